@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -30,11 +31,14 @@ def work_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, *, partition_bytes: bool = False) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it again: lineage is cut and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/tidewatch-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    # Shuffle files of steps that are over go when the driver collects its garbage; a quiet driver seldom does.
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -54,13 +58,13 @@ def slices(batch: pa.RecordBatch, column: str, most: int = BATCH_CHARS) -> Itera
             yield batch.slice(a, b - a)
 
 
-def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str, text: str) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str, text: str, most: int = BATCH_CHARS) -> DataFrame:
     """Narrow map: fn gets the columns of a bounded slice as lists and returns the output columns as lists."""
     arrow = to_arrow_schema(T._parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, text):
+            for batch in slices(whole, text, most):
                 out = fn(batch.to_pydict())
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
