@@ -31,7 +31,7 @@ COMMON = {
 }
 SYMBOLS = "#*$%&|<>"
 #: Limits of the distances, and the least characters and words of a document and of a language's reference.
-MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.35, 0.55
+MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.55
 MIN_CHARS, MIN_WORDS, MIN_REFERENCE = 200, 50, 20_000
 #: Languages whose references (a few numbers each) are broadcast; beyond, both sides are dealt out.
 MAX_BROADCAST = 10_000
