@@ -43,14 +43,17 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
-    """Row slices of a batch, each with about `most` bytes of `column` (a single longer row stays whole)."""
+    """Row slices of a batch, each with about `most` bytes (or list elements) of `column` (a single longer row stays whole)."""
     i = batch.schema.get_field_index(column)
     if i < 0 or batch.num_rows < 2:
         yield batch
         return
     import pyarrow.compute as pc
 
-    sizes = pc.fill_null(pc.binary_length(batch.column(i)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    column = batch.column(i)
+    listed = pa.types.is_list(column.type) or pa.types.is_large_list(column.type)
+    sizes = pc.list_value_length(column) if listed else pc.binary_length(column)
+    sizes = pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64)
     block = np.cumsum(sizes) // most
     at = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
     for a, b in zip(at, at[1:], strict=False):

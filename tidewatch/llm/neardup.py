@@ -56,7 +56,7 @@ def signature(items: np.ndarray, weights: np.ndarray, m: int = REGISTERS) -> np.
     low, level = 1.0, 1
     while (more := weights > low).any():
         n = int(more.sum())
-        seeds.append(mix(items[more] ^ mix(_U[0] + np.array(level, np.uint64))))
+        seeds.append(mix(items[more] ^ mix(np.array([level], np.uint64) + _U[0])))
         rates.append(np.full(n, low))
         lows.append(np.full(n, low))
         caps.append(weights[more])
