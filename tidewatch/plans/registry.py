@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from tidewatch.plans import assurance, tables
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**assurance.QUERIES, **tables.QUERIES}
+ORACLE: dict[str, str] = {**assurance.ORACLE, **tables.ORACLE}
