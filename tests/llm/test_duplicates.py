@@ -50,6 +50,21 @@ def test_repeats_of_400_bytes(spark):
     check_repeats(spark, texts, 400)
 
 
+@pytest.mark.parametrize("length,letters", [(24, "ab"), (40, "abcdefgh "), (400, "etaoin shrdlu")])
+def test_shard_arrays_combine_into_corpus_order(length, letters):
+    rnd = random.Random(4)
+    said = lambda n: "".join(rnd.choice(letters) for _ in range(n))
+    shared = said(length * 4)
+    raw = []
+    for _ in range(12):
+        k = rnd.randint(0, length)
+        raw.append((said(rnd.randint(0, length * 3)) + shared[k : k + rnd.randint(0, length * 3)] + rnd.choice(letters) * rnd.randint(0, length * 2)).encode())
+    order, same = repeats.shard_order(raw, [np.arange(max(0, len(r) - length + 1)) for r in raw], length)
+    keys = [raw[d][i : i + length] for d, i in order]
+    assert keys == sorted(keys)
+    assert same == [False, *(a == b for a, b in zip(keys, keys[1:], strict=False))]
+
+
 def test_repeated_rows_are_copies(spark):
     text = "".join(random.Random(1).choice("abcdefgh ") for _ in range(900))
     df = docs_of(spark, [text, text, "other"], [5, 5, 6])

@@ -7,10 +7,11 @@ bytes that holds a trigger that occurs once in the corpus cannot repeat, which r
 Order: a position is a pair of a suffix of the phrase that it lies in and the parse that follows. All positions of one
 phrase end form a block; blocks with equal bytes up to `length` past their last position are neighbours in corpus
 order over their whole extent, so one class name settles all of their positions. For blocks that stand alone (the ends
-of a repeat) the phrase suffixes are ordered position by position, together with one block of each settled class that
-begins with the same trigger. Only equality to the depth `length` matters, so suffixes are brought together by a
-128-bit name of their first `length` bytes instead of a rank: a rank would put all positions of a hot passage in one
-range of the sort, while names are counted before they are dealt out.
+of a repeat), together with one block of each settled class that begins with the same trigger, positions are ordered:
+in every shard the suffix arrays of its dictionary and of its parse combine into the order of its positions, and equal
+neighbours are classes. Only equality to the depth `length` matters between shards, so their classes meet by a 128-bit
+name of the first `length` bytes instead of a global rank: a rank would put all positions of a hot passage in one
+range of a sort, while names are summed in each shard before they are dealt out.
 
 Texts are dealt out once whole, and once more only for documents that still have open positions.
 
@@ -33,6 +34,8 @@ from tidewatch.llm.shingles import mix
 
 LENGTH = 400
 SLICE = 2_000_000
+#: Text bytes of a shard whose open positions are ordered at once.
+SHARD = 1_000_000
 _M = 0x9E3779B97F4A7C15
 _RANDOM = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -139,19 +142,90 @@ def _parse_rows(length: int):
     return rows
 
 
+def _ranks(parse: np.ndarray, depth: int) -> np.ndarray:
+    """Suffix ranks of the parse to a depth in phrases, by prefix doubling: its suffix array, inverted."""
+    rank, k = np.unique(parse, return_inverse=True)[1].astype(np.int64) + 1, 1
+    while k < depth and k < len(rank):
+        ahead = np.concatenate([rank[k:], np.zeros(min(k, len(rank)), np.int64)])
+        rank = np.unique(rank * (len(rank) + 1) + ahead, return_inverse=True)[1].astype(np.int64) + 1
+        k *= 2
+    return rank
+
+
+def shard_order(raw: list[bytes], places: list[np.ndarray], length: int) -> tuple[list[tuple[int, int]], list[bool]]:
+    """Corpus order of some positions of a shard's texts, and whether each equals the one before to the depth `length`.
+
+    Phrases run from trigger to trigger; the dictionary is sorted, the parse is its ranks. A position is its phrase
+    suffix, up to and with the next trigger string, and the parse after it: no such suffix is a prefix of another, so
+    ordering by the suffix array of the dictionary (of the suffixes that are asked for), then by that of the parse, is
+    the order of the corpus.
+    """
+    gram, _ = shape(length)
+    cuts, heads, number, parse = [], [], {}, []
+    for r in raw:
+        at, _ = triggers(np.frombuffer(r, np.uint8), length)
+        heads.append(len(parse))
+        cuts.append(at)
+        last = 0
+        for c in at.tolist():
+            parse.append(number.setdefault(r[last : c + gram], len(number)))
+            last = c
+        parse += [number.setdefault(r[last:], len(number)), -1]
+    spot = {phrase: k for k, phrase in enumerate(sorted(number))}
+    by_id = np.array([spot[p] for p in number] + [-1], np.int64)
+    after = _ranks(by_id[np.array(parse, np.int64)], length)
+    owner, start, tail, follow = [], [], [], []
+    for d, (r, at) in enumerate(zip(raw, places, strict=True)):
+        nxt = np.searchsorted(cuts[d], at)
+        ends = np.append(cuts[d] + gram, len(r))[nxt]
+        for i, e, k in zip(at.tolist(), ends.tolist(), nxt.tolist(), strict=True):
+            long_ = e - i >= length
+            owner.append(d)
+            start.append(i)
+            tail.append(r[i : i + length] if long_ else r[i:e])
+            follow.append(0 if long_ else int(after[heads[d] + k + 1]))
+    place = {t: k for k, t in enumerate(sorted(set(tail)))}
+    order = np.lexsort((np.array(follow, np.int64), np.array([place[t] for t in tail], np.int64))).tolist()
+    same, last = [], None
+    for k in order:
+        now = raw[owner[k]][start[k] : start[k] + length]
+        same.append(now == last)
+        last = now
+    return [(owner[k], start[k]) for k in order], same
+
+
 def _window_rows(length: int):
+    """A row for each class of equal positions in the shard (x, n), and a row for each position: with its class's name
+    if it is alone, settled if it isn't."""
+
     def rows(cols: dict[str, list]) -> dict[str, list]:
-        x, kd, kh, at, weight = [], [], [], [], []
-        for text, d, h, todo in zip(cols["text"], cols["kd"], cols["kh"], cols["todo"], strict=True):
-            raw = _bytes(text)
-            for p in todo:
-                span = range(p["a"], p["b"] + 1)
-                x += [xxhash.xxh3_128_digest(raw[i : i + length]) for i in span]
-                at += span
-                kd += [d] * len(span)
-                kh += [h] * len(span)
-                weight += [p["w"]] * len(span)
-        return {"x": x, "kd": kd, "kh": kh, "i": at, "w": weight}
+        raw = [_bytes(t) for t in cols["text"]]
+        places, weight = [], []
+        for todo in cols["todo"]:
+            spans = sorted((p["a"], p["b"], p["w"]) for p in todo)
+            places.append(np.concatenate([np.arange(a, b + 1) for a, b, _ in spans]))
+            weight.append(dict(zip(places[-1].tolist(), np.repeat([w for _, _, w in spans], [b - a + 1 for a, b, _ in spans]).tolist(), strict=True)))
+        order, same = shard_order(raw, places, length)
+        out: dict[str, list] = {"x": [], "kd": [], "kh": [], "i": [], "n": []}
+        at = 0
+        while at < len(order):
+            to = at + 1
+            while to < len(order) and same[to]:
+                to += 1
+            group = order[at:to]
+            n = sum(weight[d][i] for d, i in group)
+            name = xxhash.xxh3_128_digest(raw[group[0][0]][group[0][1] : group[0][1] + length])
+            mine = [(d, i) for d, i in group if weight[d][i] == 1]
+            # A class alone in the shard is one row that serves both ends; else its positions are settled already.
+            single = len(group) == 1 and n == 1
+            for d, i in [(None, None)] * (not single) + mine:
+                out["x"].append(name if single or d is None else None)
+                out["kd"].append(None if d is None else cols["kd"][d])
+                out["kh"].append(None if d is None else cols["kh"][d])
+                out["i"].append(i)
+                out["n"].append(n if single or d is None else 0)
+            at = to
+        return out
 
     return rows
 
@@ -206,10 +280,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     todo = alone.select("kd", "kh", "a", "b", F.lit(1).alias("w")).union(others.select("kd", "kh", "a", "b", F.lit(2).alias("w")))
     todo = todo.groupBy("kd", "kh").agg(F.collect_list(F.struct("a", "b", "w")).alias("todo"))
     texts = parsed.where("text IS NOT NULL").select("kd", "kh", "text").join(todo, ["kd", "kh"])
-    windows = written(map_batches(texts, _window_rows(length), "x binary, kd long, kh long, i int, w int", "text", 300_000))
-    twice = windows.groupBy("x").agg(F.sum("w").alias("n")).where("n > 1").select("x")
-    single = windows.where("w = 1").join(twice, "x", "left_semi").select("kd", "kh", F.col("i").alias("a"), F.col("i").alias("b"))
-    runs = settled.where("c > 1").select("kd", "kh", "a", "b").union(single)
+    windows = written(map_batches(texts, _window_rows(length), "x binary, kd long, kh long, i int, n long", "text", SHARD))
+    named_ = windows.where("x IS NOT NULL")
+    twice = named_.groupBy("x").agg(F.sum("n").alias("n")).where("n > 1").select("x")
+    place = ("kd", "kh", F.col("i").alias("a"), F.col("i").alias("b"))
+    single = named_.where("i IS NOT NULL").join(twice, "x", "left_semi").select(*place)
+    local = windows.where("x IS NULL").select(*place)
+    runs = settled.where("c > 1").select("kd", "kh", "a", "b").union(single).union(local)
     runs = runs.groupBy("kd", "kh").agg(F.collect_set(F.struct("a", "b")).alias("runs"))
     # Documents without open positions are finished and pass by the join.
     closed = parsed.where("text IS NULL").select("doc_id", "n_bytes", "text", "sha", F.expr("cast(NULL AS array<struct<a: int, b: int>>)").alias("runs"))
