@@ -7,10 +7,13 @@ keeps its earliest point, so two documents agree in a register with probability
 similarity. Bands of 4 registers give candidates; a pair is a link if the exact multiset overlap (sum of minima over
 sum of maxima) is 0.8 or more. Classes are the connected components of the links.
 
-Copies never make pairs: documents of one multiset are one node. Within a band's bucket nodes are compared with its
-least and greatest member first; as long as a bucket still holds more than one component, further members, a block of
-them a round, are compared with all members of other components, until every bucket is either one component or
-compared throughout. So no link between candidates is lost, no bucket is capped, and no group's pairs are all emitted.
+Copies never make pairs: documents of one multiset are one node. Every bucket has a hub, the member whose buckets are
+largest in sum: the text that a family of copies was made from shares most bands with all of them. A node is compared
+with the hub that it shares most bands with. Buckets that still hold more than one component are gathered to clusters
+(components over shared buckets), and within a cluster all nodes of different components are compared in blocks: a task
+gets two blocks of bounded size, multiplies their shingle incidence matrices, which gives all overlaps exactly, and
+returns links only. Blocks that lie in a cluster's largest component aren't compared with each other. So no link
+between candidates is lost, no bucket is capped, and no group's pairs are listed.
 A pair at similarity s shares a band with probability 1 - (1 - s^4)^32: over 0.9999999 from 0.8 on.
 
 Defined results: a null or empty text, or one without words, is in a class of its own; a text of under 5 words is one
@@ -23,6 +26,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -33,8 +37,8 @@ from tidewatch.llm.shingles import mix, shingle, word_hashes
 SHINGLE, THRESHOLD = 5, 0.8
 REGISTERS, ROWS = 128, 4
 BANDS = REGISTERS // ROWS
-#: Members of an unresolved bucket that one round compares with all others.
-ROUND_CENTRES = 32
+#: Members and shingles of a block of a cluster, and shingles that are multiplied at once.
+BLOCK, BLOCK_ITEMS, COLUMNS = 256, 1_000_000, 8192
 #: Text bytes that are hashed at once.
 SLICE = 1_500_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -99,17 +103,63 @@ def bands(sig: np.ndarray) -> np.ndarray:
     return h
 
 
+def coded(text_shingles: np.ndarray) -> np.ndarray:
+    """The multiset as a set: the n-th copy of a shingle is an item of its own. Sorted, so overlaps are intersections."""
+    s = np.sort(text_shingles)
+    if not len(s):
+        return s
+    first = np.concatenate([[True], s[1:] != s[:-1]])
+    copy = np.arange(len(s)) - np.maximum.accumulate(np.where(first, np.arange(len(s)), 0))
+    return np.sort(np.where(copy > 0, mix(s + copy.astype(np.uint64) * _GOLD), s))
+
+
 def overlap(a: bytes, b: bytes) -> float:
-    """Weighted Jaccard similarity of two bags, each the sorted shingle hashes with repeats."""
+    """Weighted Jaccard similarity of two coded bags."""
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     if min(len(x), len(y)) < THRESHOLD * max(len(x), len(y)):
         return min(len(x), len(y)) / max(len(x), len(y), 1)  # an upper bound, below the threshold
-    (xi, xn), (yi, yn) = bag(x), bag(y)
-    _, i, j = np.intersect1d(xi, yi, assume_unique=True, return_indices=True)
-    same = int(np.minimum(xn[i], yn[j]).sum())
+    same = len(np.intersect1d(x, y, assume_unique=True))
     return same / (len(x) + len(y) - same) if len(x) else 0.0
 
 
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Similarities of all pairs of two lists of coded bags, by multiplying incidence matrices a stretch of shingles at
+    a time; shingles of one bag alone are left out, as they add to no overlap."""
+    bags = left + right
+    sizes = np.array([len(x) for x in bags], np.int64)
+    owner = np.repeat(np.arange(len(bags)), sizes)
+    _, column, count = np.unique(np.concatenate(bags), return_inverse=True, return_counts=True)
+    shared = count > 1
+    ok = shared[column]
+    owner, column = owner[ok], (np.cumsum(shared) - 1)[column[ok]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    same = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int(shared.sum()), COLUMNS):
+        a, b = np.searchsorted(column, [at, at + COLUMNS])
+        x = np.zeros((len(bags), COLUMNS), np.float32)
+        x[owner[a:b], column[a:b] - at] = 1.0
+        same += x[: len(left)] @ x[len(left) :].T
+    total = sizes[: len(left), None] + sizes[None, len(left) :] - same
+    return same / np.maximum(total, 1)
+
+
+def _block_links(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links between nodes of different components in two blocks: one for each node and other component."""
+    i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+    left = pdf[pdf["block"] == i]
+    right = pdf[pdf["block"] == j]
+    read = lambda x: [np.frombuffer(b, np.uint64) for b in x["bag"]]
+    near = overlaps(read(left), read(right)) >= THRESHOLD if len(left) and len(right) else np.zeros((0, 0), bool)
+    (an, ac), (bn, bc) = ((x["node"].tolist(), x["comp"].tolist()) for x in (left, right))
+    out, seen = [], set()
+    for r, c in zip(*np.nonzero(near), strict=True):
+        if ac[r] != bc[c] and (an[r], bc[c]) not in seen:
+            seen.add((an[r], bc[c]))
+            out.append((an[r], bn[c]))
+    return pd.DataFrame(out, columns=["a", "b"])
+
+
 def _signed(cols: dict[str, list]) -> dict[str, list]:
     words, at = word_hashes(cols["text"])
     out: dict[str, list] = {"doc_id": cols["doc_id"], "kd": cols["kd"], "kh": cols["kh"], "n": [], "node": [], "bands": []}
@@ -127,7 +177,7 @@ def _signed(cols: dict[str, list]) -> dict[str, list]:
 
 def _bags(cols: dict[str, list]) -> dict[str, list]:
     words, at = word_hashes(cols["text"])
-    return {"node": cols["node"], "bag": [np.sort(shingle(words[a:b], SHINGLE)).tobytes() for a, b in zip(at, at[1:], strict=False)]}
+    return {"node": cols["node"], "bag": [coded(shingle(words[a:b], SHINGLE)).tobytes() for a, b in zip(at, at[1:], strict=False)]}
 
 
 def _verified(cols: dict[str, list]) -> dict[str, list]:
@@ -177,13 +227,15 @@ class Groups:
         self.docs = keyed(docs)
         self.signed = written(map_batches(self.docs, _signed, "doc_id long, kd long, kh long, n long, node binary, bands binary", "text", SLICE))
         some = self.signed.where("node IS NOT NULL")
-        self.nodes = written(some.groupBy("node").agg(F.min(F.struct("kd", "kh")).alias("rep"), F.min("bands").alias("bands")))
+        self.nodes = written(some.groupBy("node").agg(F.min(F.struct("kd", "kh")).alias("rep"), F.min("bands").alias("bands"), F.min("n").alias("n")))
         listed = map_batches(self.nodes.select("node", "bands"), _unpack, "node binary, bands array<long>", "bands")
         member = listed.select("node", F.explode("bands").alias("band"))
-        full = member.groupBy("band").agg(F.count("*").alias("size"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("size > 1")
-        self.members = written(member.join(full, "band"))
+        full = member.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+        shared = written(member.join(full, "band"))
+        score = shared.groupBy("node").agg(F.sum("size").alias("score"))
+        top = shared.join(score, "node").groupBy("band").agg(F.max(F.struct("score", "node")).alias("top"))
+        self.members = written(shared.join(top, "band").select("band", "node", F.col("top.node").alias("hub")))
         self.bags = self._bags()
-        self.tested: DataFrame | None = None
 
     def _bags(self) -> DataFrame:
         """Bags of the nodes that share a bucket; the documents' texts are dealt out once."""
@@ -198,47 +250,39 @@ class Groups:
         both = pairs.select("a", "b").join(left, "a").join(right, "b")
         return written(map_batches(both, _verified, "a binary, b binary", "bag_b", 8_000_000))
 
-    def _apart(self, pairs: DataFrame, comps: DataFrame | None) -> DataFrame:
-        """Distinct pairs between components that have not been tested."""
-        if comps is not None:
-            c = lambda n: comps.select(F.col("node").alias(n), F.col("comp").alias(f"c{n}"))
-            pairs = pairs.join(c("a"), "a", "left").join(c("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-        pairs = pairs.distinct()
-        if self.tested is not None:
-            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
-        return written(pairs)
-
-    def _try(self, pairs: DataFrame, comps: DataFrame | None) -> DataFrame | None:
-        pairs = self._apart(pairs, comps)
-        self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
-        links = self.verify(pairs)
-        return comps if links.limit(1).count() == 0 else _contract(comps, links)
-
     def components(self) -> DataFrame | None:
         """node, comp of all nodes that have a link; None if there are none."""
-        order = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-        star = self.members.where("node != lo").groupBy("node", "lo").count()
-        best = star.groupBy("node").agg(F.max(F.struct("count", "lo")).alias("m")).select(*order("node", "m.lo"))
-        comps = self._try(best, None)
-        star = self.members.where("node != lo").select(*order("node", "lo")).union(self.members.where("node != hi").select(*order("node", "hi")))
-        comps = self._try(star, comps)
-        done = 0
-        while True:
-            open_ = self.members
-            if comps is not None:
-                open_ = open_.join(comps, "node", "left")
-            else:
-                open_ = open_.withColumn("comp", F.lit(None).cast("binary"))
-            open_ = open_.select("band", "node", "size", F.coalesce("comp", "node").alias("comp"))
-            split = open_.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.max("size").alias("s")).where(f"x != y AND s > {max(done, 3)}")
-            open_ = written(open_.join(split.select("band"), "band").select("band", "node", "comp"))
-            if not open_.limit(1).count():
-                return comps
-            ranked = open_.withColumn("rank", F.row_number().over(W.partitionBy("band").orderBy("node")))
-            centre = ranked.where(f"rank > {done} AND rank <= {done + ROUND_CENTRES}").select("band", F.col("node").alias("x"), F.col("comp").alias("cx"))
-            pairs = open_.join(centre, "band").where("comp != cx").select(*order("node", "x"))
-            comps = self._try(pairs, comps)
-            done += ROUND_CENTRES
+        star = self.members.where("node != hub").groupBy("node", "hub").count()
+        best = star.groupBy("node").agg(F.max(F.struct("count", "hub")).alias("m"))
+        links = self.verify(best.select(F.least("node", "m.hub").alias("a"), F.greatest("node", "m.hub").alias("b")).distinct())
+        comps = _contract(None, links) if links.limit(1).count() else None
+        rest = self._between(comps)
+        if rest is None or not rest.limit(1).count():
+            return comps
+        return _contract(comps, rest)
+
+    def _between(self, comps: DataFrame | None) -> DataFrame | None:
+        """Links between components that share a bucket."""
+        at = self.members.join(comps, "node", "left") if comps is not None else self.members.withColumn("comp", F.lit(None).cast("binary"))
+        at = at.select("band", "node", "hub", F.coalesce("comp", "node").alias("comp"))
+        split = at.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("band")
+        at = written(at.join(split, "band").select("node", "hub", "comp").distinct())
+        if not at.limit(1).count():
+            return None
+        cluster = components(at.where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
+        member = at.select("node", "comp").distinct().join(cluster.withColumnRenamed("comp", "cluster"), "node").join(self.nodes.select("node", "n"), "node")
+        size = member.groupBy("cluster", "comp").agg(F.count("*").alias("size"))
+        largest = size.groupBy("cluster").agg(F.max(F.struct("size", "comp")).alias("m"), F.sum("size").alias("rows"))
+        member = member.join(largest, "cluster").withColumn("main", F.col("comp") == F.col("m.comp"))
+        # Other components stand before the largest one; a block ends at a number of members or of shingles.
+        order = W.partitionBy("cluster").orderBy("main", "comp", "node").rowsBetween(W.unboundedPreceding, -1)
+        before = F.coalesce(F.count("*").over(order) / BLOCK + F.sum("n").over(order) / BLOCK_ITEMS, F.lit(0.0))
+        placed = written(member.select("cluster", "node", "comp", "main", F.floor(before).cast("int").alias("block")))
+        ends = placed.groupBy("cluster").agg(F.max("block").alias("last"), F.coalesce(F.max(F.when(~F.col("main"), F.col("block"))), F.lit(-1)).alias("mixed"))
+        other = F.when(F.col("block") <= F.col("mixed"), F.sequence(F.lit(0), F.col("last"))).otherwise(F.sequence(F.lit(0), F.col("mixed")))
+        dealt = placed.join(ends, "cluster").where("mixed >= 0").withColumn("o", F.explode(other))
+        dealt = dealt.select("cluster", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "node", "comp").join(self.bags, "node")
+        return written(dealt.groupBy("cluster", "i", "j").applyInPandas(_block_links, "a binary, b binary"))
 
     def classes(self) -> DataFrame:
         """doc_id, kd, kh, n, key of the class (null without words)."""
