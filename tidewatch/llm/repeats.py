@@ -1,8 +1,9 @@
 """Exact repeats of long byte strings by prefix-free parsing.
 
-Parsing: a rolling hash over 48 bytes marks triggers; phrases run from trigger to trigger and overlap in them, so equal
-stretches of text have equal phrases. Dictionary: the distinct trigger strings with their counts. A string of `length`
-bytes that holds a trigger that occurs once in the corpus cannot repeat, which rules out nearly all positions.
+Parsing: a rolling hash over 16 bytes marks triggers; phrases run from trigger to trigger and overlap in them, so equal
+stretches of text have equal phrases. Dictionary: the distinct phrases with their counts. A string of `length` bytes that
+holds a phrase that occurs once in the corpus cannot repeat. Phrases of about 64 bytes rule out most positions; what is
+left is parsed again into phrases of about 8 bytes, which leaves little but true repeats and their ends.
 
 Order: a position is a pair of a suffix of the phrase that it lies in and the parse that follows. All positions of one
 phrase end form a block; blocks with equal bytes up to `length` past their last position are neighbours in corpus
@@ -40,10 +41,9 @@ _M = 0x9E3779B97F4A7C15
 _RANDOM = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shape(length: int) -> tuple[int, int]:
-    """Bytes of a trigger string, and the mean distance of triggers, for strings of `length` bytes."""
-    gram = 48 if length >= 200 else max(2, length // 8)
-    return gram, max(2, (length - gram) * 10 // 55)
+def shape(length: int) -> tuple[int, int, int, int]:
+    """Bytes of a trigger, mean distances of triggers in the coarse and the fine parse, bytes that join blocks."""
+    return (16, 64, 8, 48) if length >= 200 else (max(2, length // 8), max(2, length // 6), 2, length // 2)
 
 
 def rolling(data: np.ndarray, gram: int) -> np.ndarray:
@@ -64,79 +64,144 @@ def rolling(data: np.ndarray, gram: int) -> np.ndarray:
         size *= 2
 
 
-def triggers(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of trigger strings in one text and their hashes (never 0)."""
-    gram, apart = shape(length)
-    if len(data) < length:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    h = rolling(data, gram)[: len(data) - gram + 1]
-    at = np.flatnonzero(h % np.uint64(apart) == 0)
-    return at, h[at] | np.uint64(1)
+def triggers(raw: list[bytes], length: int, apart: int) -> list[np.ndarray]:
+    """Starts of the triggers of each text."""
+    gram = shape(length)[0]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    ends = np.cumsum([len(r) for r in raw])
+    if len(data) < gram:
+        return [np.empty(0, np.int64) for _ in raw]
+    at = np.flatnonzero(rolling(data, gram) % np.uint64(apart) == 0)
+    cut = np.searchsorted(at, ends)
+    out = []
+    for a, b, end, r in zip([0, *cut.tolist()], cut.tolist(), ends.tolist(), raw, strict=False):
+        own = at[a:b] - (end - len(r))
+        out.append(own[own + gram <= len(r)])
+    return out
 
 
 def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def _trigger_rows(length: int):
-    gram, apart = shape(length)
+def inside(at: np.ndarray, ranges: list[tuple[int, int]] | None, length: int, gram: int) -> np.ndarray:
+    """Numbers of the phrases (k: from trigger k to trigger k + 1) that meet a string starting in a range."""
+    if len(at) < 2:
+        return np.empty(0, np.int64)
+    if ranges is None:
+        return np.arange(len(at) - 1)
+    a = np.array([x for x, _ in ranges], np.int64)
+    b = np.array([y for _, y in ranges], np.int64) + length
+    spot = np.searchsorted(b, at[:-1], "right")
+    ok = spot < len(a)
+    ok[ok] = a[spot[ok]] < at[1:][ok] + gram
+    return np.flatnonzero(ok)
+
+
+def _pairs(ranges: list | None) -> list[tuple[int, int]] | None:
+    return None if ranges is None else sorted((r["a"], r["b"]) for r in ranges)
+
+
+def _phrase_rows(length: int, apart: int):
+    gram = shape(length)[0]
 
     def rows(cols: dict[str, list]) -> dict[str, list]:
         raw = [_bytes(t) for t in cols["text"]]
-        data = np.frombuffer(b"".join(raw), np.uint8)
-        sizes = np.array([len(r) for r in raw], np.int64)
-        starts = np.concatenate([[0], np.cumsum(sizes)])
-        if len(data) < gram:
-            return {"h": [], "k": [], "s": []}
-        h = rolling(data, gram)
-        at = np.flatnonzero(h % np.uint64(apart) == 0)
-        doc = np.searchsorted(starts, at, "right") - 1
-        ok = (at + gram <= starts[doc + 1]) & (sizes[doc] >= length)
-        at, doc = at[ok], doc[ok]
-        return {"h": (h[at] | np.uint64(1)).view(np.int64), "k": np.array(cols["k"], np.int64)[doc], "s": (at - starts[doc]).astype(np.int32)}
+        ranges = cols.get("ranges") or [None] * len(raw)
+        h: list[int] = []
+        k, s = [], []
+        for doc, r, at, own in zip(cols["k"], raw, triggers(raw, length, apart), ranges, strict=True):
+            if len(r) < length:
+                continue
+            n = inside(at, _pairs(own), length, gram)
+            starts = at[n]
+            h += [xxhash.xxh3_64_intdigest(r[a:b]) for a, b in zip(starts.tolist(), (at[n + 1] + gram).tolist(), strict=True)]
+            k.append(np.full(len(n), doc, np.int64))
+            s.append(starts.astype(np.int32))
+        join = lambda x, t: np.concatenate(x) if x else np.empty(0, t)
+        return {"h": np.array(h, np.uint64).view(np.int64), "k": join(k, np.int64), "s": join(s, np.int32)}
 
     return rows
 
 
-def open_pieces(data: bytes, repeated: list[int], length: int) -> list[tuple[int, int, int, bytes]]:
-    """(first, last, trigger hash or 0, class name) of the runs of positions that may start a repeated string."""
-    n = len(data) - length + 1
+def open_ranges(size: int, at: np.ndarray, repeated: list[int], ranges: list[tuple[int, int]] | None, length: int) -> list[tuple[int, int]]:
+    """Ranges of positions, within those given, whose strings hold no phrase that occurs once."""
+    n = size - length + 1
     if n <= 0:
         return []
-    gram, _ = shape(length)
-    at, h = triggers(np.frombuffer(data, np.uint8), length)
-    once = np.setdiff1d(at, np.array(repeated, np.int64))
+    gram = shape(length)[0]
+    known = inside(at, ranges, length, gram)
+    once = known[~np.isin(at[known], np.array(repeated, np.int64))]
     shut = np.zeros(n + 1, np.int64)
-    np.add.at(shut, np.clip(once - (length - gram), 0, n), 1)
-    np.add.at(shut, np.clip(once + 1, 0, n), -1)
-    left = np.flatnonzero(np.cumsum(shut[:n]) == 0)
+    lo, hi = np.clip(at[once + 1] + gram - length, 0, n) if len(once) else once, np.clip(at[once] + 1, 0, n) if len(once) else once
+    ok = lo < hi
+    np.add.at(shut, lo[ok], 1)
+    np.add.at(shut, hi[ok], -1)
+    free = np.cumsum(shut[:n]) == 0
+    if ranges is not None:
+        may = np.zeros(n, bool)
+        for a, b in ranges:
+            may[a : b + 1] = True
+        free &= may
+    left = np.flatnonzero(free)
     if not len(left):
         return []
-    nxt = np.searchsorted(at, left)
-    far = np.append(at, 1 << 60)[nxt] - left > length - gram
-    block = nxt * 2 + far
-    cut = np.flatnonzero((np.diff(left) != 1) | (np.diff(block) != 0)) + 1
+    cut = np.flatnonzero(np.diff(left) != 1) + 1
+    return [(int(left[a]), int(left[b - 1])) for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(left)], strict=True)]
+
+
+def pieces(data: bytes, at: np.ndarray, ranges: list[tuple[int, int]], length: int) -> list[tuple[int, int, int, bytes]]:
+    """(first, last, hash of the bytes at the first trigger or 0, class name): open ranges cut at triggers."""
+    near = shape(length)[3]
     out = []
-    for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(left)], strict=True):
-        i, j = int(left[a]), int(left[b - 1])
-        name = xxhash.xxh3_128_digest(data[i : j + length])
-        out.append((i, j, 0 if far[a] else int(h[nxt[a]].view(np.int64)), name))
+    for a, b in ranges:
+        cuts = at[np.searchsorted(at, a) : np.searchsorted(at, b)].tolist()
+        i = a
+        for j in [*cuts, b]:
+            k = int(np.searchsorted(at, i))
+            # Positions from which the joining bytes lie beyond the string have no key.
+            start = int(at[k]) if k < len(at) else 1 << 60
+            far = min(max(i, start - length + near), j + 1)
+            for x, y, key in ((i, far - 1, 0), (far, j, xxhash.xxh3_64_intdigest(data[start : start + near]) >> 1 | 1 if far <= j else 0)):
+                if x <= y:
+                    out.append((x, y, key, xxhash.xxh3_128_digest(data[x : y + length])))
+            i = j + 1
     return out
 
 
-_PIECE = "array<struct<a: int, b: int, h: long, name: binary>>"
+_RANGES = "array<struct<a: int, b: int>>"
 
 
 def _parse_rows(length: int):
+    coarse = shape(length)[1]
+
     def rows(cols: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {c: cols[c] for c in ("doc_id", "kd", "kh")} | {"n_bytes": [], "sha": [], "text": [], "pieces": []}
-        for text, seen in zip(cols["text"], cols["seen"], strict=True):
-            raw = _bytes(text)
-            found = open_pieces(raw, seen or [], length)
-            out["n_bytes"].append(len(raw))
-            out["sha"].append(None if found else hashlib.sha256(raw).hexdigest())
+        out: dict[str, list] = {c: cols[c] for c in ("doc_id", "kd", "kh", "k")} | {"n_bytes": [], "sha": [], "text": [], "ranges": []}
+        raw = [_bytes(t) for t in cols["text"]]
+        for text, r, at, seen in zip(cols["text"], raw, triggers(raw, length, coarse), cols["seen"], strict=True):
+            found = open_ranges(len(r), at, seen or [], None, length)
+            out["n_bytes"].append(len(r))
+            out["sha"].append(None if found else hashlib.sha256(r).hexdigest())
             out["text"].append(text if found else None)
-            out["pieces"].append([{"a": a, "b": b, "h": h, "name": n} for a, b, h, n in found])
+            out["ranges"].append([{"a": a, "b": b} for a, b in found])
+        return out
+
+    return rows
+
+
+def _piece_rows(length: int):
+    _, coarse, fine, _ = shape(length)
+
+    def rows(cols: dict[str, list]) -> dict[str, list]:
+        out: dict[str, list] = {c: [] for c in ("kd", "kh", "a", "b", "h", "name")}
+        raw = [_bytes(t) for t in cols["text"]]
+        for kd, kh, r, at, small, seen, ranges in zip(
+            cols["kd"], cols["kh"], raw, triggers(raw, length, max(2, coarse // 2)), triggers(raw, length, fine), cols["seen"], cols["ranges"], strict=True
+        ):
+            left = open_ranges(len(r), small, seen or [], _pairs(ranges), length)
+            for a, b, h, name in pieces(r, at, left, length):
+                for c, v in zip(out, (kd, kh, a, b, h, name), strict=True):
+                    out[c].append(v)
         return out
 
     return rows
@@ -160,10 +225,9 @@ def shard_order(raw: list[bytes], places: list[np.ndarray], length: int) -> tupl
     ordering by the suffix array of the dictionary (of the suffixes that are asked for), then by that of the parse, is
     the order of the corpus.
     """
-    gram, _ = shape(length)
+    gram, coarse, _, _ = shape(length)
     cuts, heads, number, parse = [], [], {}, []
-    for r in raw:
-        at, _ = triggers(np.frombuffer(r, np.uint8), length)
+    for r, at in zip(raw, triggers(raw, length, coarse), strict=True):
         heads.append(len(parse))
         cuts.append(at)
         last = 0
@@ -195,8 +259,8 @@ def shard_order(raw: list[bytes], places: list[np.ndarray], length: int) -> tupl
 
 
 def _window_rows(length: int):
-    """A row for each class of equal positions in the shard (x, n), and a row for each position: with its class's name
-    if it is alone, settled if it isn't."""
+    """Classes of equal positions in the shard: name x and number n, with the place of a position that is alone; and
+    runs of positions that are settled in the shard, without a name."""
 
     def rows(cols: dict[str, list]) -> dict[str, list]:
         raw = [_bytes(t) for t in cols["text"]]
@@ -206,7 +270,14 @@ def _window_rows(length: int):
             places.append(np.concatenate([np.arange(a, b + 1) for a, b, _ in spans]))
             weight.append(dict(zip(places[-1].tolist(), np.repeat([w for _, _, w in spans], [b - a + 1 for a, b, _ in spans]).tolist(), strict=True)))
         order, same = shard_order(raw, places, length)
-        out: dict[str, list] = {"x": [], "kd": [], "kh": [], "i": [], "n": []}
+        out: dict[str, list] = {"x": [], "kd": [], "kh": [], "a": [], "b": [], "n": []}
+        done: list[tuple[int, int]] = []
+
+        def put(x: bytes | None, d: int | None, a: int | None, b: int | None, n: int) -> None:
+            values = (x, None if d is None else cols["kd"][d], None if d is None else cols["kh"][d], a, b, n)
+            for c, v in zip(out, values, strict=True):
+                out[c].append(v)
+
         at = 0
         while at < len(order):
             to = at + 1
@@ -216,15 +287,20 @@ def _window_rows(length: int):
             n = sum(weight[d][i] for d, i in group)
             name = xxhash.xxh3_128_digest(raw[group[0][0]][group[0][1] : group[0][1] + length])
             mine = [(d, i) for d, i in group if weight[d][i] == 1]
-            # A class alone in the shard is one row that serves both ends; else its positions are settled already.
+            # A position alone in the shard is one row that serves both ends; else the class's positions are settled.
             single = len(group) == 1 and n == 1
-            for d, i in [(None, None)] * (not single) + mine:
-                out["x"].append(name if single or d is None else None)
-                out["kd"].append(None if d is None else cols["kd"][d])
-                out["kh"].append(None if d is None else cols["kh"][d])
-                out["i"].append(i)
-                out["n"].append(n if single or d is None else 0)
+            d, i = mine[0] if single else (None, None)
+            put(name, d, i, i, n)
+            done += [] if single else mine
             at = to
+        runs: list[list[int]] = []
+        for d, i in sorted(set(done)):
+            if runs and runs[-1][0] == d and i == runs[-1][2] + 1:
+                runs[-1][2] = i
+            else:
+                runs.append([d, i, i])
+        for d, a, b in runs:
+            put(None, d, a, b, 0)
         return out
 
     return rows
@@ -259,19 +335,24 @@ def _kept_rows(length: int):
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>"
 
 
+def _often(found: DataFrame) -> DataFrame:
+    """k, seen: starts of the phrases that occur twice or more."""
+    often = found.groupBy("h").count().where("count > 1").select("h")
+    return written(found.join(often, "h", "left_semi").groupBy("k").agg(F.collect_list("s").alias("seen")))
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """One row per row of docs with the byte spans that strings of `length` bytes found elsewhere cover."""
+    _, coarse, fine, _ = shape(length)
     docs = keyed(docs).withColumn("k", F.xxhash64("kd", "kh"))
-    found = map_batches(docs.select("k", "text"), _trigger_rows(length), "h long, k long, s int", "text", SLICE)
-    often = found.groupBy("h").count().where("count > 1").select("h")
-    seen = written(found.join(often, "h", "left_semi").groupBy("k").agg(F.collect_list("s").alias("seen")))
-    parsed = written(
-        map_batches(
-            docs.join(seen, "k", "left").select("doc_id", "kd", "kh", "text", "seen"), _parse_rows(length),
-            f"doc_id long, kd long, kh long, n_bytes long, sha string, text string, pieces {_PIECE}", "text", SLICE,
-        )
-    )
-    blocks = parsed.select("kd", "kh", F.explode("pieces").alias("p")).select("kd", "kh", "p.*")
+    row = "h long, k long, s int"
+    seen = _often(map_batches(docs.select("k", "text"), _phrase_rows(length, coarse), row, "text", SLICE))
+    joined = docs.join(seen, "k", "left").select("doc_id", "kd", "kh", "k", "text", "seen")
+    parsed = written(map_batches(joined, _parse_rows(length), f"doc_id long, kd long, kh long, k long, n_bytes long, sha string, text string, ranges {_RANGES}", "text", SLICE))
+    some = parsed.where("text IS NOT NULL")
+    seen = _often(map_batches(some.select("k", "text", "ranges"), _phrase_rows(length, fine), row, "text", SLICE))
+    joined = some.join(seen, "k", "left").select("kd", "kh", "text", "ranges", "seen")
+    blocks = written(map_batches(joined, _piece_rows(length), "kd long, kh long, a int, b int, h long, name binary", "text", SLICE))
     classes = blocks.groupBy("name").agg(F.count("*").alias("c"), F.min(F.struct("kd", "kh", "a")).alias("rep"))
     named = blocks.join(classes, "name")
     settled = written(named.select("kd", "kh", "a", "b", "h", "c", (F.struct("kd", "kh", "a") == F.col("rep")).alias("first")))
@@ -279,16 +360,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     others = settled.where("c > 1 AND first").join(alone.select("h").distinct(), "h", "left_semi")
     todo = alone.select("kd", "kh", "a", "b", F.lit(1).alias("w")).union(others.select("kd", "kh", "a", "b", F.lit(2).alias("w")))
     todo = todo.groupBy("kd", "kh").agg(F.collect_list(F.struct("a", "b", "w")).alias("todo"))
-    texts = parsed.where("text IS NOT NULL").select("kd", "kh", "text").join(todo, ["kd", "kh"])
-    windows = written(map_batches(texts, _window_rows(length), "x binary, kd long, kh long, i int, n long", "text", SHARD))
-    named_ = windows.where("x IS NOT NULL")
-    twice = named_.groupBy("x").agg(F.sum("n").alias("n")).where("n > 1").select("x")
-    place = ("kd", "kh", F.col("i").alias("a"), F.col("i").alias("b"))
-    single = named_.where("i IS NOT NULL").join(twice, "x", "left_semi").select(*place)
-    local = windows.where("x IS NULL").select(*place)
+    texts = some.select("kd", "kh", "text").join(todo, ["kd", "kh"])
+    windows = written(map_batches(texts, _window_rows(length), "x binary, kd long, kh long, a int, b int, n long", "text", SHARD))
+    classes = windows.where("x IS NOT NULL")
+    twice = classes.groupBy("x").agg(F.sum("n").alias("n")).where("n > 1").select("x")
+    single = classes.where("a IS NOT NULL").join(twice, "x", "left_semi").select("kd", "kh", "a", "b")
+    local = windows.where("x IS NULL").select("kd", "kh", "a", "b")
     runs = settled.where("c > 1").select("kd", "kh", "a", "b").union(single).union(local)
     runs = runs.groupBy("kd", "kh").agg(F.collect_set(F.struct("a", "b")).alias("runs"))
     # Documents without open positions are finished and pass by the join.
-    closed = parsed.where("text IS NULL").select("doc_id", "n_bytes", "text", "sha", F.expr("cast(NULL AS array<struct<a: int, b: int>>)").alias("runs"))
-    some = parsed.where("text IS NOT NULL").join(runs, ["kd", "kh"], "left").select("doc_id", "n_bytes", "text", "sha", "runs")
-    return map_batches(closed.union(some), _kept_rows(length), RESULT, "text")
+    closed = parsed.where("text IS NULL").select("doc_id", "n_bytes", "text", "sha", F.expr(f"cast(NULL AS {_RANGES})").alias("runs"))
+    open_ = some.join(runs, ["kd", "kh"], "left").select("doc_id", "n_bytes", "text", "sha", "runs")
+    return map_batches(closed.union(open_), _kept_rows(length), RESULT, "text")
