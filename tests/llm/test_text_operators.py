@@ -6,6 +6,7 @@ import random
 import re
 from collections import defaultdict
 
+import duckdb
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -122,8 +123,8 @@ def test_hits_match_brute_force(spark, block):
 
 def test_longest_match(spark):
     bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven")], "item_id long, text string")
-    out = rows(decontaminate.digest_hits(docs_of(spark, ["x one two three four y", "none"]), bench))
-    assert [r["longest"] for r in out] == [4, 0] and not any(r["contaminated"] for r in out)
+    out = rows(decontaminate.find_hits(docs_of(spark, ["x one two three four y", "none"]), bench))
+    assert [r["longest"] for r in out] == [4, 0] and not any(r["spans"] for r in out)
     assert decontaminate.digest_hits(docs_of(spark, ["a"]).limit(0), bench).count() == 0
     kept = decontaminate.remove_contaminated(docs_of(spark, ["a b", None]), bench.limit(0))
     assert kept.columns == docs_of(spark, ["a"]).columns and kept.count() == 2
@@ -267,3 +268,18 @@ def test_quality_rejects_symbol_text_and_keeps_prose(spark):
     assert [r["kept"] for r in out] == [True] * 30 + [False]
     kept = quality.keep_documents(docs_of(spark, [*prose, junk]))
     assert kept.count() == 30 and kept.columns == docs_of(spark, ["a"]).columns
+
+
+# --- SQL -------------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_query_matches_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "benchmark", "conversations"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got, want = queries.QUERIES[name](spark, SF), con.sql(queries.ORACLE[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    names = sorted(got.columns)
+    plain = lambda table: sorted(tuple(str(v) for v in r) for r in table)
+    assert plain(tuple(r[c] for c in names) for r in got.collect()) == plain(want.select(*names).fetchall())

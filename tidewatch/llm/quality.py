@@ -143,7 +143,8 @@ RESULT = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repe
 
 def rate_documents(docs: DataFrame) -> DataFrame:
     """The rules' counts and verdict for every row of docs."""
-    return judge(written(document_counts(docs))).select(*RESULT)
+    rated = judge(written(document_counts(docs)))
+    return rated.withColumns({c: F.round(c, 6) for c in ("js_chars", "js_words")}).select(*RESULT)
 
 
 def keep_documents(docs: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import bpe, chains, chat, decontaminate, html, neardup, quality, repeats, secrets, urls
+from tidewatch.llm import bpe, chains, chat, decontaminate, html, neardup, oracle, quality, repeats, secrets, urls
 from tidewatch.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -81,4 +81,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_near_duplicates": op10_near_duplicates,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = dict(oracle.ORACLE)
