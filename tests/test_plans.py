@@ -20,7 +20,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def cells(df: pd.DataFrame) -> list[tuple]:
     def cell(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and np.isnan(v)):
+        if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and np.isnan(v)):
             return ""
         if isinstance(v, (bool, np.bool_)):
             return str(bool(v))

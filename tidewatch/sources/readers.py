@@ -82,7 +82,7 @@ def pilot_rows(lines: DataFrame) -> DataFrame:
     """Rows of Markdown result tables: lines(n, value). A heading `### Label lag N` holds until the next."""
     lag = F.regexp_extract("value", r"^### Label lag (\d+)", 1)
     out = lines.withColumn("lag", F.last(F.when(lag != "", lag.cast("int")), ignorenulls=True).over(W.orderBy("n").rowsBetween(W.unboundedPreceding, 0)))
-    cells = F.transform(F.split(F.regexp_replace("value", r"^\s*\||\|\s*$", ""), r"\|"), F.trim)
+    cells = F.transform(F.split(F.regexp_replace("value", r"^\s*\||\|\s*$", ""), r"\|"), lambda c: F.trim(c))
     out = out.withColumn("c", cells).where((F.size("c") >= 12) & F.element_at("c", 1).rlike(r"^SC\d+$") & F.element_at("c", 4).rlike(r"^\d+$"))
     number = r"(-?\d+(?:\.\d+)?) \[(-?\+?\d+(?:\.\d+)?), (-?\+?\d+(?:\.\d+)?)\]"
     cols = ["n", "lag", F.element_at("c", 1).alias("scenario"), F.element_at("c", 2).alias("level"), F.element_at("c", 3).alias("shape"), F.element_at("c", 4).cast("int").alias("replicates")]
@@ -95,7 +95,7 @@ def pilot_rows(lines: DataFrame) -> DataFrame:
 def matrix_rows(lines: DataFrame) -> DataFrame:
     """Rows of a Markdown table whose first cell is bold: construct and the remaining cells."""
     bold = F.regexp_extract("value", r"^\|\s*\*\*([^*]+)\*\*\s*\|", 1)
-    cells = F.slice(F.transform(F.split("value", r"\|"), F.trim), 3, 64)
+    cells = F.slice(F.transform(F.split("value", r"\|"), lambda c: F.trim(c)), 3, 64)
     return lines.where(bold != "").select(bold.alias("construct"), F.filter(cells, lambda c: c != "").alias("cells"))
 
 
