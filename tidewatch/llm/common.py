@@ -39,7 +39,15 @@ def written(df: DataFrame) -> DataFrame:
     # Shuffle files of steps that are over go when the driver collects its garbage; a quiet driver seldom does.
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tidewatch_path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete a table made by written() that no later step reads."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._tidewatch_path)
+    path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import keyed, map_batches, written
+from tidewatch.llm.common import forget, keyed, map_batches, written
 from tidewatch.llm.shingles import mix
 
 LENGTH = 400
@@ -154,13 +154,14 @@ def pieces(data: bytes, at: np.ndarray, ranges: list[tuple[int, int]], length: i
     """(first, last, hash of the bytes at the first trigger or 0, class name): open ranges cut at triggers."""
     near = shape(length)[3]
     out = []
-    for a, b in ranges:
-        cuts = at[np.searchsorted(at, a) : np.searchsorted(at, b)].tolist()
+    firsts = np.searchsorted(at, [a for a, _ in ranges]).tolist()
+    lasts = np.searchsorted(at, [b for _, b in ranges]).tolist()
+    at = at.tolist()
+    for (a, b), first, last in zip(ranges, firsts, lasts, strict=True):
         i = a
-        for j in [*cuts, b]:
-            k = int(np.searchsorted(at, i))
+        for k, j in enumerate([*at[first:last], b], first):
             # Positions from which the joining bytes lie beyond the string have no key.
-            start = int(at[k]) if k < len(at) else 1 << 60
+            start = at[k] if k < len(at) else 1 << 60
             far = min(max(i, start - length + near), j + 1)
             for x, y, key in ((i, far - 1, 0), (far, j, xxhash.xxh3_64_intdigest(data[start : start + near]) >> 1 | 1 if far <= j else 0)):
                 if x <= y:
@@ -337,8 +338,11 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 def _often(found: DataFrame) -> DataFrame:
     """k, seen: starts of the phrases that occur twice or more."""
+    found = written(found)
     often = found.groupBy("h").count().where("count > 1").select("h")
-    return written(found.join(often, "h", "left_semi").groupBy("k").agg(F.collect_list("s").alias("seen")))
+    seen = written(found.join(often, "h", "left_semi").groupBy("k").agg(F.collect_list("s").alias("seen")))
+    forget(found)
+    return seen
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -356,6 +360,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     classes = blocks.groupBy("name").agg(F.count("*").alias("c"), F.min(F.struct("kd", "kh", "a")).alias("rep"))
     named = blocks.join(classes, "name")
     settled = written(named.select("kd", "kh", "a", "b", "h", "c", (F.struct("kd", "kh", "a") == F.col("rep")).alias("first")))
+    forget(blocks)
     alone = settled.where("c = 1")
     others = settled.where("c > 1 AND first").join(alone.select("h").distinct(), "h", "left_semi")
     todo = alone.select("kd", "kh", "a", "b", F.lit(1).alias("w")).union(others.select("kd", "kh", "a", "b", F.lit(2).alias("w")))
