@@ -31,14 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import forget, keyed, map_batches, written
-from tidewatch.llm.shingles import mix
 
 LENGTH = 400
 SLICE = 2_000_000
 #: Text bytes of a shard whose open positions are ordered at once.
 SHARD = 1_000_000
-_M = 0x9E3779B97F4A7C15
-_RANDOM = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Bytes that are hashed at once, so that the arrays stay in a core's cache.
+CHUNK = 1 << 17
+_M = 0x9E3779B1
+_RANDOM = np.random.default_rng(7).integers(0, 2**32, 256, dtype=np.uint32)
 
 
 def shape(length: int) -> tuple[int, int, int, int]:
@@ -46,40 +47,48 @@ def shape(length: int) -> tuple[int, int, int, int]:
     return (16, 64, 8, 48) if length >= 200 else (max(2, length // 8), max(2, length // 6), 2, length // 2)
 
 
-def rolling(data: np.ndarray, gram: int) -> np.ndarray:
-    """Polynomial hash of the gram bytes from every position, by doubling; the last gram - 1 entries are partial."""
-    part, size, out, done = _RANDOM[data], 1, np.zeros(len(data), np.uint64), 0
-    power = lambda n: np.uint64(pow(_M, n, 1 << 64))
-
-    def moved(x: np.ndarray, n: int) -> np.ndarray:
-        return np.concatenate([x[n:], np.zeros(min(n, len(x)), np.uint64)])
-
+def rolling(values: np.ndarray, gram: int) -> np.ndarray:
+    """Polynomial hash (32 bits) of every `gram` neighbouring values, by doubling."""
+    n, part, size, out, done = len(values) - gram + 1, values, 1, None, 0
+    power = lambda k: np.uint32(pow(_M, k, 1 << 32))
     while True:
         if gram & size:
-            out = out + moved(part, done) * power(done)
+            here = part[done : done + n]
+            out = here if out is None else out + here * power(done)
             done += size
         if done >= gram:
-            return mix(out)
-        part = part + moved(part, size) * power(size)
-        size *= 2
+            return out
+        ahead = part[size:] * power(size)
+        ahead += part[:-size]
+        part, size = ahead, size * 2
 
 
-def triggers(raw: list[bytes], length: int, apart: int) -> list[np.ndarray]:
-    """Starts of the triggers of each text."""
+def parses(raw: list[bytes], length: int, *aparts: int) -> list[list[np.ndarray]]:
+    """Starts of the triggers of each text, for each mean distance. Triggers are the strings of least hash, so those of
+    a larger distance are among those of a smaller one and all come from one pass."""
     gram = shape(length)[0]
     data = np.frombuffer(b"".join(raw), np.uint8)
-    ends = np.cumsum([len(r) for r in raw])
-    if len(data) < gram:
-        return [np.empty(0, np.int64) for _ in raw]
-    at = np.flatnonzero(rolling(data, gram) % np.uint64(apart) == 0)
-    cut = np.searchsorted(at, ends)
+    ends = np.cumsum([len(r) for r in raw]).tolist()
+    least, spots, hashes = np.uint32((1 << 32) // min(aparts)), [np.empty(0, np.int64)], [np.empty(0, np.uint32)]
+    for a in range(0, len(data) - gram + 1, CHUNK):
+        h = rolling(_RANDOM[data[a : a + CHUNK + gram - 1]], gram)
+        at = np.flatnonzero(h < least)
+        spots.append(at + a)
+        hashes.append(h[at])
+    spot, hash_ = np.concatenate(spots), np.concatenate(hashes)
     out = []
-    for a, b, end, r in zip([0, *cut.tolist()], cut.tolist(), ends.tolist(), raw, strict=False):
-        own = at[a:b] - (end - len(r))
-        out.append(own[own + gram <= len(r)])
+    for apart in aparts:
+        at = spot[hash_ < np.uint32((1 << 32) // apart)]
+        cut = np.searchsorted(at, ends).tolist()
+        own = [at[a:b] - (end - len(r)) for a, b, end, r in zip([0, *cut], cut, ends, raw, strict=False)]
+        out.append([x[x + gram <= len(r)] for x, r in zip(own, raw, strict=True)])
     return out
 
 
+def triggers(raw: list[bytes], length: int, apart: int) -> list[np.ndarray]:
+    return parses(raw, length, apart)[0]
+
+
 def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
@@ -196,9 +205,8 @@ def _piece_rows(length: int):
     def rows(cols: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {c: [] for c in ("kd", "kh", "a", "b", "h", "name")}
         raw = [_bytes(t) for t in cols["text"]]
-        for kd, kh, r, at, small, seen, ranges in zip(
-            cols["kd"], cols["kh"], raw, triggers(raw, length, max(2, coarse // 2)), triggers(raw, length, fine), cols["seen"], cols["ranges"], strict=True
-        ):
+        cuts = parses(raw, length, max(2, coarse // 2), fine)
+        for kd, kh, r, at, small, seen, ranges in zip(cols["kd"], cols["kh"], raw, *cuts, cols["seen"], cols["ranges"], strict=True):
             left = open_ranges(len(r), small, seen or [], _pairs(ranges), length)
             for a, b, h, name in pieces(r, at, left, length):
                 for c, v in zip(out, (kd, kh, a, b, h, name), strict=True):
@@ -271,28 +279,26 @@ def _window_rows(length: int):
             places.append(np.concatenate([np.arange(a, b + 1) for a, b, _ in spans]))
             weight.append(dict(zip(places[-1].tolist(), np.repeat([w for _, _, w in spans], [b - a + 1 for a, b, _ in spans]).tolist(), strict=True)))
         order, same = shard_order(raw, places, length)
-        out: dict[str, list] = {"x": [], "kd": [], "kh": [], "a": [], "b": [], "n": []}
+        xs, ds, starts, ns = [], [], [], []
         done: list[tuple[int, int]] = []
-
-        def put(x: bytes | None, d: int | None, a: int | None, b: int | None, n: int) -> None:
-            values = (x, None if d is None else cols["kd"][d], None if d is None else cols["kh"][d], a, b, n)
-            for c, v in zip(out, values, strict=True):
-                out[c].append(v)
-
         at = 0
         while at < len(order):
             to = at + 1
             while to < len(order) and same[to]:
                 to += 1
-            group = order[at:to]
-            n = sum(weight[d][i] for d, i in group)
-            name = xxhash.xxh3_128_digest(raw[group[0][0]][group[0][1] : group[0][1] + length])
-            mine = [(d, i) for d, i in group if weight[d][i] == 1]
-            # A position alone in the shard is one row that serves both ends; else the class's positions are settled.
-            single = len(group) == 1 and n == 1
-            d, i = mine[0] if single else (None, None)
-            put(name, d, i, i, n)
-            done += [] if single else mine
+            d, i = order[at]
+            xs.append(xxhash.xxh3_128_digest(raw[d][i : i + length]))
+            if to == at + 1:
+                # A position alone in the shard is one row that serves both ends.
+                n = weight[d][i]
+                single = n == 1
+            else:
+                # The positions of a class are settled.
+                n, single = sum(weight[e][j] for e, j in order[at:to]), False
+                done += [(e, j) for e, j in order[at:to] if weight[e][j] == 1]
+            ds.append(d if single else None)
+            starts.append(i if single else None)
+            ns.append(n)
             at = to
         runs: list[list[int]] = []
         for d, i in sorted(set(done)):
@@ -300,9 +306,15 @@ def _window_rows(length: int):
                 runs[-1][2] = i
             else:
                 runs.append([d, i, i])
-        for d, a, b in runs:
-            put(None, d, a, b, 0)
-        return out
+        key = lambda name: [None if d is None else cols[name][d] for d in ds] + [cols[name][d] for d, _, _ in runs]
+        return {
+            "x": xs + [None] * len(runs),
+            "kd": key("kd"),
+            "kh": key("kh"),
+            "a": starts + [a for _, a, _ in runs],
+            "b": starts + [b for _, _, b in runs],
+            "n": ns + [0] * len(runs),
+        }
 
     return rows
 
@@ -353,10 +365,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     seen = _often(map_batches(docs.select("k", "text"), _phrase_rows(length, coarse), row, "text", SLICE))
     joined = docs.join(seen, "k", "left").select("doc_id", "kd", "kh", "k", "text", "seen")
     parsed = written(map_batches(joined, _parse_rows(length), f"doc_id long, kd long, kh long, k long, n_bytes long, sha string, text string, ranges {_RANGES}", "text", SLICE))
+    forget(seen)
     some = parsed.where("text IS NOT NULL")
     seen = _often(map_batches(some.select("k", "text", "ranges"), _phrase_rows(length, fine), row, "text", SLICE))
     joined = some.join(seen, "k", "left").select("kd", "kh", "text", "ranges", "seen")
     blocks = written(map_batches(joined, _piece_rows(length), "kd long, kh long, a int, b int, h long, name binary", "text", SLICE))
+    forget(seen)
     classes = blocks.groupBy("name").agg(F.count("*").alias("c"), F.min(F.struct("kd", "kh", "a")).alias("rep"))
     named = blocks.join(classes, "name")
     settled = written(named.select("kd", "kh", "a", "b", "h", "c", (F.struct("kd", "kh", "a") == F.col("rep")).alias("first")))
