@@ -31,14 +31,20 @@ def work_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let shuffle files of steps that are over go: that is when the driver collects its garbage, and a quiet one seldom does."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it again: lineage is cut and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/tidewatch-{uuid.uuid4().hex}"
+    # The plan of the last step is held until its events are dealt with, so the end of that step was too early for it.
+    tidy(spark)
     df.write.option("compression", "zstd").parquet(path)
-    # Shuffle files of steps that are over go when the driver collects its garbage; a quiet driver seldom does.
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    tidy(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidewatch_path = path
     return out

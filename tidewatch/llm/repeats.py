@@ -30,10 +30,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import forget, keyed, map_batches, written
+from tidewatch.llm.common import forget, keyed, map_batches, tidy, written
 
 LENGTH = 400
 SLICE = 2_000_000
+#: Text bytes whose phrases are counted before they are dealt out.
+PHRASE_SLICE = 8_000_000
 #: Text bytes of a shard whose open positions are ordered at once.
 SHARD = 1_000_000
 #: Bytes that are hashed at once, so that the arrays stay in a core's cache.
@@ -112,23 +114,37 @@ def _pairs(ranges: list | None) -> list[tuple[int, int]] | None:
 
 
 def _phrase_rows(length: int, apart: int):
+    """Rows of three kinds w. 1: a phrase h that occurs once in the slice, at start s of document k. 2: a phrase that
+    occurs more often in the slice, once for all. 0: the starts of such phrases in document k."""
     gram = shape(length)[0]
 
     def rows(cols: dict[str, list]) -> dict[str, list]:
         raw = [_bytes(t) for t in cols["text"]]
         ranges = cols.get("ranges") or [None] * len(raw)
-        h: list[int] = []
-        k, s = [], []
-        for doc, r, at, own in zip(cols["k"], raw, triggers(raw, length, apart), ranges, strict=True):
+        hashes: list[int] = []
+        docs, starts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for d, (r, at, own) in enumerate(zip(raw, triggers(raw, length, apart), ranges, strict=True)):
             if len(r) < length:
                 continue
             n = inside(at, _pairs(own), length, gram)
-            starts = at[n]
-            h += [xxhash.xxh3_64_intdigest(r[a:b]) for a, b in zip(starts.tolist(), (at[n + 1] + gram).tolist(), strict=True)]
-            k.append(np.full(len(n), doc, np.int64))
-            s.append(starts.astype(np.int32))
-        join = lambda x, t: np.concatenate(x) if x else np.empty(0, t)
-        return {"h": np.array(h, np.uint64).view(np.int64), "k": join(k, np.int64), "s": join(s, np.int32)}
+            hashes += [xxhash.xxh3_64_intdigest(r[a:b]) for a, b in zip(at[n].tolist(), (at[n + 1] + gram).tolist(), strict=True)]
+            docs.append(np.full(len(n), d, np.int64))
+            starts.append(at[n])
+        h, d, s = np.array(hashes, np.uint64).view(np.int64), np.concatenate(docs), np.concatenate(starts)
+        k = np.array(cols["k"], np.int64)
+        each, which, count = np.unique(h, return_inverse=True, return_counts=True)
+        one, more = count[which] == 1, each[count > 1]
+        cut = np.flatnonzero(np.diff(d[~one])) + 1
+        lists = np.split(s[~one], cut) if not one.all() else []
+        owners = d[~one][np.concatenate([[0], cut])] if lists else np.empty(0, np.int64)
+        n, m, c = int(one.sum()), len(more), len(lists)
+        return {
+            "w": np.repeat(np.array([1, 2, 0], np.int32), [n, m, c]),
+            "h": np.concatenate([h[one], more, np.zeros(c, np.int64)]),
+            "k": np.concatenate([k[d[one]], np.zeros(m, np.int64), k[owners]]),
+            "s": np.concatenate([s[one], np.zeros(m + c, np.int64)]).astype(np.int32),
+            "own": [None] * (n + m) + lists,
+        }
 
     return rows
 
@@ -319,16 +335,21 @@ def _window_rows(length: int):
     return rows
 
 
+def joined_runs(runs: list[int] | None, length: int) -> list[tuple[int, int]]:
+    """Byte spans that strings starting in runs (first position in the upper half of a long, last in the lower) cover."""
+    if not runs:
+        return []
+    v = np.unique(np.array(runs, np.int64))
+    a, b = v >> 32, np.maximum.accumulate((v & 0xFFFFFFFF) + length)
+    cut = np.flatnonzero(a[1:] > b[:-1])
+    return list(zip(a[np.concatenate([[0], cut + 1])].tolist(), b[np.append(cut, len(b) - 1)].tolist(), strict=True))
+
+
 def _kept_rows(length: int):
     def rows(cols: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {"doc_id": cols["doc_id"], "n_bytes": cols["n_bytes"], "n_removed": [], "n_spans": [], "kept_sha256": [], "spans": []}
         for text, sha, runs in zip(cols["text"], cols["sha"], cols["runs"], strict=True):
-            merged: list[list[int]] = []
-            for a, b in sorted((r["a"], r["b"] + length) for r in runs or []):
-                if merged and a <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], b)
-                else:
-                    merged.append([a, b])
+            merged = joined_runs(runs, length)
             if text is not None:
                 raw, end, digest = _bytes(text), 0, hashlib.sha256()
                 for a, b in merged:
@@ -348,11 +369,15 @@ def _kept_rows(length: int):
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>"
 
 
-def _often(found: DataFrame) -> DataFrame:
-    """k, seen: starts of the phrases that occur twice or more."""
-    found = written(found)
-    often = found.groupBy("h").count().where("count > 1").select("h")
-    seen = written(found.join(often, "h", "left_semi").groupBy("k").agg(F.collect_list("s").alias("seen")))
+def _often(texts: DataFrame, length: int, apart: int) -> DataFrame:
+    """k, seen: starts of the phrases that occur twice or more. Phrases that a slice repeats are settled in the slice, so
+    a hot passage is a row for each slice and not for each document that holds it."""
+    found = written(map_batches(texts, _phrase_rows(length, apart), "w int, h long, k long, s int, own array<int>", "text", PHRASE_SLICE))
+    often = found.where("w > 0").groupBy("h").agg(F.sum("w").alias("n")).where("n > 1").select("h")
+    far = found.where("w = 1").select("h", "k", "s").join(often, "h", "left_semi").groupBy("k").agg(F.collect_list("s").alias("far"))
+    near = found.where("w = 0").groupBy("k").agg(F.flatten(F.collect_list("own")).alias("near"))
+    none = F.expr("cast(array() AS array<int>)")
+    seen = written(far.join(near, "k", "full").select("k", F.concat(F.coalesce("far", none), F.coalesce("near", none)).alias("seen")))
     forget(found)
     return seen
 
@@ -361,13 +386,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """One row per row of docs with the byte spans that strings of `length` bytes found elsewhere cover."""
     _, coarse, fine, _ = shape(length)
     docs = keyed(docs).withColumn("k", F.xxhash64("kd", "kh"))
-    row = "h long, k long, s int"
-    seen = _often(map_batches(docs.select("k", "text"), _phrase_rows(length, coarse), row, "text", SLICE))
+    seen = _often(docs.select("k", "text"), length, coarse)
     joined = docs.join(seen, "k", "left").select("doc_id", "kd", "kh", "k", "text", "seen")
     parsed = written(map_batches(joined, _parse_rows(length), f"doc_id long, kd long, kh long, k long, n_bytes long, sha string, text string, ranges {_RANGES}", "text", SLICE))
     forget(seen)
     some = parsed.where("text IS NOT NULL")
-    seen = _often(map_batches(some.select("k", "text", "ranges"), _phrase_rows(length, fine), row, "text", SLICE))
+    seen = _often(some.select("k", "text", "ranges"), length, fine)
     joined = some.join(seen, "k", "left").select("kd", "kh", "text", "ranges", "seen")
     blocks = written(map_batches(joined, _piece_rows(length), "kd long, kh long, a int, b int, h long, name binary", "text", SLICE))
     forget(seen)
@@ -386,8 +410,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     single = classes.where("a IS NOT NULL").join(twice, "x", "left_semi").select("kd", "kh", "a", "b")
     local = windows.where("x IS NULL").select("kd", "kh", "a", "b")
     runs = settled.where("c > 1").select("kd", "kh", "a", "b").union(single).union(local)
-    runs = runs.groupBy("kd", "kh").agg(F.collect_set(F.struct("a", "b")).alias("runs"))
+    runs = runs.groupBy("kd", "kh").agg(F.collect_list(F.expr("shiftleft(cast(a AS long), 32) | b")).alias("runs"))
     # Documents without open positions are finished and pass by the join.
-    closed = parsed.where("text IS NULL").select("doc_id", "n_bytes", "text", "sha", F.expr(f"cast(NULL AS {_RANGES})").alias("runs"))
+    closed = parsed.where("text IS NULL").select("doc_id", "n_bytes", "text", "sha", F.expr("cast(NULL AS array<long>)").alias("runs"))
     open_ = some.join(runs, ["kd", "kh"], "left").select("doc_id", "n_bytes", "text", "sha", "runs")
+    tidy(docs.sparkSession)
     return map_batches(closed.union(open_), _kept_rows(length), RESULT, "text")
