@@ -177,6 +177,19 @@ def test_align_counts_gaps_and_ends():
     assert chains.align(a, b, [(20, 20), (70, 70)]) == (0, 100, 0, 100, 99)
 
 
+def test_chains_start_again_after_a_long_gap():
+    far = [(i, 1000 + i) for i in range(0, 200, 8)]
+    near = [(268 + i, 1268 + i + 3 * (i > 24)) for i in range(0, 64, 8)]
+    assert chains.chain(far + near)[1] == near
+    assert chains.chain(near)[0] == near
+
+
+def test_chain_below_the_limit_gives_its_parts():
+    a = np.arange(180, dtype=np.uint32)
+    b = np.concatenate([a[:60], np.arange(900, 945, dtype=np.uint32), a[105:]])
+    assert chains.passages(a, b, [(0, 0, 60), (105, 105, 75)])[0][:2] == (0, 60)
+
+
 def test_passages_found_and_clean_left_alone(spark):
     rnd = random.Random(6)
     words = [f"v{i}" for i in range(5000)]
