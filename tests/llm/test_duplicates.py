@@ -190,6 +190,22 @@ def test_chain_below_the_limit_gives_its_parts():
     assert chains.passages(a, b, [(0, 0, 60), (105, 105, 75)])[0][:2] == (0, 60)
 
 
+@pytest.mark.parametrize("size", [50, 100])
+def test_passages_edited_down_to_the_limit(spark, size):
+    rnd = random.Random(size)
+    said = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    even = [[i for i in range(size) if i % step == 2] for step in (5, 8)]
+    drawn = [rnd.sample(range(2, size - 2), size * share // 100) for share in (10, 15, 19) for _ in range(10)]
+    texts = []
+    for at in even + drawn:
+        passage = said(size)
+        fuzzy = [f"new{i}" if i in at else w for i, w in enumerate(passage)]
+        texts += [said(30) + passage + said(30), said(20) + fuzzy + said(40)]
+    out = rows(chains.shared_passages(docs_of(spark, [" ".join(t) for t in texts])))
+    found = {r["doc_id"] for r in out if r["ref_doc_id"] == r["doc_id"] - 1}
+    assert found == set(range(1, len(texts), 2))
+
+
 def test_passages_found_and_clean_left_alone(spark):
     rnd = random.Random(6)
     words = [f"v{i}" for i in range(5000)]
