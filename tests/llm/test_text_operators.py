@@ -147,6 +147,13 @@ def test_secret_constants_and_concatenation():
     assert not secrets.literal_spans('password = "${DB_PASSWORD}"\ncolour = "f3ef4d6b2755a36d"\n')
 
 
+def test_secret_bare_values():
+    for line in ("export AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG", "db_pwd: k7Xq9ZpL2m", "DB_PWD=9f8Kq2LmZx71\n", "db.pwd = k7Xq9ZpL2m"):
+        found = [line[a:b] for a, b, _ in secrets.literal_spans(line)]
+        assert found == [line.strip().replace(": ", "=").replace(" = ", "=").split("=")[1]]
+    assert not secrets.literal_spans("token = get_token()\npwd = os.environ\ncolour: k7Xq9ZpL2m\n")
+
+
 def test_secret_query_defined_on_edges(spark):
     out = rows(secrets.scan_secrets(docs_of(spark, EDGE)))
     assert [r["n_assign"] + r["n_access"] + r["n_hex"] for r in out] == [0] * len(EDGE)

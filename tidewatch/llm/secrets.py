@@ -1,7 +1,7 @@
 """Secret scans by assignment-aware lexing.
 
 A lexer reads `name = literal`, `name: literal`, `"name": "literal"`, `name := literal` and `export NAME=literal`
-out of source and configuration text, follows constants (`k = "..."` then `api_key = k`, also `k + "..."`), and
+(quoted, or bare: to the next blank, quote, comma, semicolon or bracket, and with a digit unless the line is only NAME=value) out of source and configuration text, follows constants (`k = "..."` then `api_key = k`, also `k + "..."`), and
 scores each literal by the sensitivity of the name that it finally reaches, its length and its entropy. Spans of
 fixed patterns (assign, access, hex) are always reported; the lexer adds spans of kind `literal`.
 
@@ -36,9 +36,15 @@ SENSITIVE = {
 #: name, operator, first operand; further operands joined by + follow.
 STATEMENT = re.compile(
     r"""(?<![\w.$-])["']?(?P<name>[A-Za-z_$][\w.$-]{0,80})["']?[ \t]{0,20}(?::=|=>|=(?!=)|:(?![:/]))[ \t]{0,20}"""
-    r"""(?=["'`A-Za-z_$\d])"""
+    r"""(?=[^\s=])"""
 )
-OPERAND = re.compile(r"""(?:"([^"\n]{0,4096})"|'([^'\n]{0,4096})'|`([^`\n]{0,4096})`|([A-Za-z_$][\w.$]{0,80})(?![\w(]))""")
+OPERAND = re.compile(
+    r"""(?:"([^"\n]{0,4096})"|'([^'\n]{0,4096})'|`([^`\n]{0,4096})`|([A-Za-z_$][\w.$]*+)(?=[ \t]*(?:[+;,)\]}\r\n#]|\Z)))"""
+)
+#: A bare value goes to the next blank, quote, comma, semicolon or bracket; a call or an index is none.
+BARE = re.compile(r"""[^\s"'`,;(){}\[\]<>]++(?![(\[])""")
+#: A line NAME=value, as in .env files.
+LINE = re.compile(r"(?:export[ \t]+)?[\w.$-]++=([^\s\"'`,;(){}\[\]<>]++)[ \t]*\r?$", re.M)
 PLUS = re.compile(r"[ \t]{0,20}\+[ \t]{0,20}")
 #: A literal is reported from this score on.
 THRESHOLD = 4.0
@@ -75,11 +81,23 @@ def lex(text: str) -> list[tuple[str, list[tuple[str, int, int, str]]]]:
             if not p:
                 break
             at = p.end()
+        low = max(0, m.start() - 16)
+        line = text.rfind("\n", low, m.start()) + 1
+        if (line or not low) and (o := LINE.match(text, line)) and o.start(1) == m.end():
+            ops = [("line", o.start(1), o.end(1), o[1])]
+        if not ops and (o := BARE.match(text, at)):
+            ops.append(("bare", o.start(), o.end(), o[0]))
         if ops:
             out.append((m["name"], ops))
     return out
 
 
+def is_bare_key(kind: str, value: str) -> bool:
+    """Whether an unquoted value that no name is bound to is a literal: in code, most are names, which seldom hold digits."""
+    digits = sum(c.isdigit() for c in value)
+    return kind == "line" or (digits >= 3 and len(value) >= 16 if kind == "ref" and "." in value else digits > 0)
+
+
 def literal_spans(text: str) -> list[tuple[int, int, float]]:
     """(start, end, score) of literals that reach a sensitive name, directly or through constants."""
     bound: dict[str, list[tuple[int, int, str]]] = {}
@@ -87,7 +105,8 @@ def literal_spans(text: str) -> list[tuple[int, int, float]]:
     for name, ops in lex(text):
         parts: list[tuple[int, int, str]] = []
         for kind, a, b, value in ops:
-            parts += [(a, b, value)] if kind == "lit" else bound.get(value, [])
+            known = bound.get(value)
+            parts += [(a, b, value)] if kind == "lit" or known is None and len(ops) == 1 and is_bare_key(kind, value) else known or []
         parts = parts[:64]
         if not parts:
             continue
