@@ -154,6 +154,17 @@ def test_secret_bare_values():
     assert not secrets.literal_spans("token = get_token()\npwd = os.environ\ncolour: k7Xq9ZpL2m\n")
 
 
+def test_secret_pem_spaces_and_long():
+    pem = "-----BEGIN PRIVATE KEY-----\\nMIIEvQ9x\\n-----END PRIVATE KEY-----\\n"
+    long = "aZ3k" * 2000
+    cases = (("private_key", pem), ("passphrase", "correct horse battery staple"), ("token", long), ("x" * 200 + "_pwd", "k7Xq9ZpL2m"))
+    for name, value in cases:
+        text = f'"{name}": "{value}"'
+        assert [text[a:b] for a, b, _ in secrets.literal_spans(text)] == [value]
+    many = "pwd = " + " + ".join(f'"k{i}Xq"' for i in range(100))
+    assert len(secrets.literal_spans(many)) == 100
+
+
 def test_secret_query_defined_on_edges(spark):
     out = rows(secrets.scan_secrets(docs_of(spark, EDGE)))
     assert [r["n_assign"] + r["n_access"] + r["n_hex"] for r in out] == [0] * len(EDGE)

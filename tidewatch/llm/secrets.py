@@ -35,16 +35,17 @@ SENSITIVE = {
 }
 #: name, operator, first operand; further operands joined by + follow.
 STATEMENT = re.compile(
-    r"""(?<![\w.$-])["']?(?P<name>[A-Za-z_$][\w.$-]{0,80})["']?[ \t]{0,20}(?::=|=>|=(?!=)|:(?![:/]))[ \t]{0,20}"""
+    r"""(?<![\w.$-])["']?(?P<name>[A-Za-z_$][\w.$-]*+)["']?[ \t]{0,20}(?::=|=>|=(?!=)|:(?![:/]))[ \t]{0,20}"""
     r"""(?=[^\s=])"""
 )
 OPERAND = re.compile(
-    r"""(?:"([^"\n]{0,4096})"|'([^'\n]{0,4096})'|`([^`\n]{0,4096})`|([A-Za-z_$][\w.$]*+)(?=[ \t]*(?:[+;,)\]}\r\n#]|\Z)))"""
+    r"""(?:"([^"\n]*+)"|'([^'\n]*+)'|`([^`\n]*+)`|([A-Za-z_$][\w.$]*+)(?=[ \t]*(?:[+;,)\]}\r\n#]|\Z)))"""
 )
 #: A bare value goes to the next blank, quote, comma, semicolon or bracket; a call or an index is none.
 BARE = re.compile(r"""[^\s"'`,;(){}\[\]<>]++(?![(\[])""")
 #: A line NAME=value, as in .env files.
 LINE = re.compile(r"(?:export[ \t]+)?[\w.$-]++=([^\s\"'`,;(){}\[\]<>]++)[ \t]*\r?$", re.M)
+PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
 PLUS = re.compile(r"[ \t]{0,20}\+[ \t]{0,20}")
 #: A literal is reported from this score on.
 THRESHOLD = 4.0
@@ -64,6 +65,10 @@ def name_weight(name: str) -> float:
 def literal_score(name: str, literal: str) -> float:
     """Name weight, plus entropy; 0 for what can't be a key (short, white space, placeholders)."""
     w = name_weight(name)
+    if w and PEM.search(literal):
+        return w + 4.0
+    if w and "passphrase" in re.sub(r"[^a-z]", "", name.lower()):
+        literal = re.sub(r"(?<=\S) (?=\S)", "_", literal)
     if not w or len(literal) < 6 or re.search(r"\s|\$\{|<[^>]*>|\*{3}|%\(", literal):
         return 0.0
     return w + min(entropy(literal), 4.0) * min(len(literal), 16) / 16
@@ -107,7 +112,7 @@ def literal_spans(text: str) -> list[tuple[int, int, float]]:
         for kind, a, b, value in ops:
             known = bound.get(value)
             parts += [(a, b, value)] if kind == "lit" or known is None and len(ops) == 1 and is_bare_key(kind, value) else known or []
-        parts = parts[:64]
+        parts = list(dict.fromkeys(parts))
         if not parts:
             continue
         bound[name] = parts
