@@ -53,6 +53,14 @@ def test_extract_without_article_tag():
     assert html.extract(page) == ("Words, of text. " * 20).strip() + "\nShort."
 
 
+def test_extract_keeps_all_scored_blocks():
+    long = ("Words, of text. " * 30).strip()
+    two = f"<body><div class=text><p>{long}</p></div><div class=text><p>{long} b</p></div></body>"
+    assert html.extract(two) == f"{long}\n{long} b"
+    plain = f"<body><h1>Head</h1><p>{long[:300].strip()}</p><blockquote>{long[:400].strip()}</blockquote></body>"
+    assert html.extract(plain) == f"Head\n{long[:300].strip()}\n{long[:400].strip()}"
+
+
 # --- URLs ----------------------------------------------------------------------------------------------------------
 
 

@@ -3,8 +3,8 @@
 A page is parsed to text pieces, each with its root-to-leaf tag path. For each path of the page the characters and the
 punctuation marks of its pieces are summed; text per node and punctuation per node are two ratios of a path. The
 sequence of ratios over the page's blocks is smoothed with a Gaussian kernel, the smoothed ratios are fused into one
-score, and blocks below a share of the page's spread are dropped. Blocks in an article keep together: within the
-container that holds most of the scored text, short blocks (a heading, a one-word paragraph) stay. Text under elements
+score, and blocks from a share of the page's spread on are kept. Blocks in an article keep together: within the
+containers that hold the kept text, short blocks (a heading, a one-word paragraph) stay. Text under elements
 that are never article text (script, style, nav, footer, form, aside, adverts, notices, comments and the like, by tag,
 role or class word) has no score.
 
@@ -228,14 +228,25 @@ def extract(page: str | None) -> str:
         half = [i for i in weight if weight[i] > 0.5 * total and known[i][0].name not in ("p", "li", "td", "h1")]
         home = max(half, key=lambda i: known[i][1], default=None)
 
+    # Containers only add blocks to those kept: further marked ones, else the common ancestor of all kept blocks.
+    homes = {home} if home is not None else set()
+    over, up = set(), known[home][0].up if home is not None else None
+    while up:
+        over.add(up.i)
+        up = up.up
+    if good:
+        homes |= set(good) - over
+    elif sum(keep) > 1:
+        homes.add(max((i for i in weight if weight[i] == total), key=lambda i: known[i][1]))
+
     def inside(n: Node | None) -> bool:
         while n:
-            if n.i == home:
+            if n.i in homes:
                 return True
             n = n.up
         return False
 
-    return "\n".join(t for (n, t), ok in zip(found, able, strict=True) if ok and inside(n))
+    return "\n".join(t for (n, t), ok, k in zip(found, able, keep, strict=True) if k or ok and inside(n))
 
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
