@@ -61,6 +61,20 @@ def test_extract_keeps_all_scored_blocks():
     assert html.extract(plain) == f"Head\n{long[:300].strip()}\n{long[:400].strip()}"
 
 
+def test_extract_recovers_from_layout_words():
+    long = ("Words, of text. " * 30).strip()
+    for page in (
+        f"<div class='content-sidebar-wrap'><main><p>{long}</p></main></div>",
+        f"<div class='layout has-sidebar'><p>{long}</p></div>",
+        f"<article data-title='Hidden gems' data-slug=hidden-x><p>{long}</p></article>",
+        f"<div data-id=menu><p>{long}</p></div>",
+        f"<article><svg width=1 /><p>{long}</p></article><svg></svg>",
+        f"<datalist><option value=a><option value=b></datalist><article><p>{long}</p></article>",
+    ):
+        assert html.extract(page) == long
+    assert html.extract(f"<p>{long} <math><mi>x</mi></math></p>") == long + " x"
+
+
 # --- URLs ----------------------------------------------------------------------------------------------------------
 
 

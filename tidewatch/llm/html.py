@@ -29,7 +29,7 @@ from tidewatch.llm.common import map_batches
 
 #: Elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe noframes noembed xmp title svg math canvas object select option button".split())
+RAW = frozenset("script style noscript template textarea iframe noframes noembed xmp title svg canvas object select option button".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -45,8 +45,18 @@ BAD_WORDS = frozenset(
 GOOD_WORDS = frozenset("article content main post entry story body text".split())
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
-_ATTR = re.compile(r"""\b(class|id|role|aria-hidden|hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+#: Words that mark what is no article even where an article element is inside; the others also name layouts around one.
+STICKY = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion related recommended comment comments disqus "
+    "reply replies respond cookie cookies consent gdpr popup modal newsletter subscribe signup login".split()
+)
+#: Elements skipped with their content only up to an end tag that is there; those that may be closed by "/>".
+_NEED_END = frozenset("noscript template svg canvas object select option button iframe".split())
+_MAY_CLOSE = frozenset("svg iframe".split())
+_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?[A-Za-z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.S)
+#: An option ends before the next one and where its list ends.
+_OPTION_END = re.compile(r"</?(?:option|optgroup|select|datalist)\b", re.I)
 _NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
 _SPACE = re.compile(r"[ \t\n\r\f\v\x85\xa0  -     　]+")
 _PUNCT = re.compile(r"[.,;:!?¿¡…、。，]")
@@ -59,24 +69,28 @@ _SCOPE = frozenset("ul ol dl table article section div aside nav main form foote
 
 
 class Node:
-    __slots__ = ("name", "bad", "good", "up", "i")
+    __slots__ = ("name", "bad", "hard", "good", "up", "i")
 
     def __init__(self, name: str, attrs: str, up: Node | None, i: int):
         self.name, self.up, self.i = name, up, i
         bad = name in NEVER or name == "header" and not (up and up.within("article", "main"))
+        hard, marks = bad, set()
         good = name in ("article", "main")
         if attrs:
             for m in _ATTR.finditer(attrs):
                 key, value = m[1].lower(), (m[2] or "").strip("\"'")
                 if key == "style":
-                    bad |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
+                    hard |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
                 elif key in ("hidden", "aria-hidden"):
-                    bad |= value.lower() != "false" and (key == "hidden" or value.lower() == "true")
-                else:
+                    hard |= value.lower() != "false" and (key == "hidden" or value.lower() == "true")
+                elif key in ("class", "id", "role"):
                     words = set(_WORD.findall(_CAMEL.sub(" ", value).lower()))
                     good |= bool(words & GOOD_WORDS)
-                    bad |= bool(words & BAD_WORDS) and name not in ("html", "body", "article", "main")
-        self.bad = bad or bool(up and up.bad)
+                    if name not in ("html", "body", "article", "main"):
+                        marks |= words & BAD_WORDS
+        # hard: by tag, style or sticky word; an article or main recovers from layout words around it.
+        self.hard = hard or bool(marks & STICKY) or bool(up and up.hard)
+        self.bad = self.hard or bool(marks) or bool(up and up.bad and name not in ("article", "main"))
         self.good = good and not self.bad
 
     def within(self, *names: str) -> bool:
@@ -152,8 +166,14 @@ def blocks(page: str) -> list[tuple[Node, str]]:
             text.append(" ")
             continue
         if name in RAW:
+            if name in _MAY_CLOSE and tag.endswith("/>"):
+                continue
+            if name == "option":
+                end = _OPTION_END.search(page, at)
+                at = end.start() if end else at
+                continue
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            at = end.end() if end else at if name in _NEED_END else len(page)
             continue
         if name in BLOCK:
             flush()
@@ -189,6 +209,9 @@ def smooth(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
 def extract(page: str | None) -> str:
     found = blocks(page or "")
     able = [not n.bad for n, _ in found]
+    # Layout words around most of the text say nothing.
+    if sum(len(t) for n, t in found if n.bad and not n.hard) > sum(len(t) for n, t in found if not n.bad):
+        able = [not n.hard for n, _ in found]
     if not any(able):
         return ""
     nodes: dict[str, set[int]] = defaultdict(set)
