@@ -29,7 +29,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from tidewatch.llm.common import keyed, map_batches, written
 from tidewatch.llm.shingles import mix, shingle, word_hashes
@@ -208,6 +207,14 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _spanning(star: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect what distinct (node, hub) pairs connect: each node with its least hub, and that hub with
+    the node's others. Members of one family mostly have the same hubs, so few edges are left."""
+    least = star.groupBy("node").agg(F.min("hub").alias("least"))
+    hubs = star.join(least, "node").where("hub != least").select(F.col("least").alias("a"), F.col("hub").alias("b"))
+    return least.select(F.col("node").alias("a"), F.col("least").alias("b")).union(hubs.distinct())
+
+
 def _contract(comps: DataFrame | None, edges: DataFrame) -> DataFrame:
     """Components after adding edges."""
     if comps is None:
@@ -269,18 +276,20 @@ class Groups:
         at = written(at.join(split, "band").select("node", "hub", "comp").distinct())
         if not at.limit(1).count():
             return None
-        cluster = components(at.where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
+        cluster = components(_spanning(at.where("node != hub").select("node", "hub").distinct()))
         member = at.select("node", "comp").distinct().join(cluster.withColumnRenamed("comp", "cluster"), "node").join(self.nodes.select("node", "n"), "node")
-        size = member.groupBy("cluster", "comp").agg(F.count("*").alias("size"))
-        largest = size.groupBy("cluster").agg(F.max(F.struct("size", "comp")).alias("m"), F.sum("size").alias("rows"))
-        member = member.join(largest, "cluster").withColumn("main", F.col("comp") == F.col("m.comp"))
-        # Other components stand before the largest one; a block ends at a number of members or of shingles.
-        order = W.partitionBy("cluster").orderBy("main", "comp", "node").rowsBetween(W.unboundedPreceding, -1)
-        before = F.coalesce(F.count("*").over(order) / BLOCK + F.sum("n").over(order) / BLOCK_ITEMS, F.lit(0.0))
-        placed = written(member.select("cluster", "node", "comp", "main", F.floor(before).cast("int").alias("block")))
-        ends = placed.groupBy("cluster").agg(F.max("block").alias("last"), F.coalesce(F.max(F.when(~F.col("main"), F.col("block"))), F.lit(-1)).alias("mixed"))
-        other = F.when(F.col("block") <= F.col("mixed"), F.sequence(F.lit(0), F.col("last"))).otherwise(F.sequence(F.lit(0), F.col("mixed")))
-        dealt = placed.join(ends, "cluster").where("mixed >= 0").withColumn("o", F.explode(other))
+        member = written(member)
+        size = member.groupBy("cluster", "comp").agg(F.count("*").alias("rows"), F.sum("n").alias("items"))
+        whole = size.groupBy("cluster").agg(F.max(F.struct("rows", "comp", "items")).alias("m"), F.sum("rows").alias("rows"), F.sum("items").alias("items"))
+        blocks = lambda rows, items: F.ceil(F.greatest(rows / BLOCK, items / BLOCK_ITEMS)).cast("int")
+        whole = whole.select("cluster", F.col("m.comp").alias("largest"), blocks(F.col("rows") - F.col("m.rows"), F.col("items") - F.col("m.items")).alias("mixed"), blocks(F.col("m.rows"), F.col("m.items")).alias("own"))
+        # Other components stand in the first blocks, the largest one in the rest; a node's hash names its block. The
+        # few numbers of each cluster are written, so that the join with a hot cluster can be split.
+        whole = written(whole.where("mixed > 0"))
+        spot = F.expr("abs(hash(node) DIV 2)")
+        dealt = member.join(whole, "cluster").withColumn("block", F.when(F.col("comp") == F.col("largest"), F.col("mixed") + spot % F.col("own")).otherwise(spot % F.col("mixed")))
+        last = F.when(F.col("block") < F.col("mixed"), F.col("mixed") + F.col("own")).otherwise(F.col("mixed")) - 1
+        dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), last)))
         dealt = dealt.select("cluster", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "node", "comp").join(self.bags, "node")
         return written(dealt.groupBy("cluster", "i", "j").applyInPandas(_block_links, "a binary, b binary"))
 
