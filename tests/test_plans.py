@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from tidewatch.functions import scalar as S
-from tidewatch.operators import catalog, detectors, features, inference, layers, model
+from tidewatch.functions.rng import uniform
+from tidewatch.operators import catalog, detectors, features, inference, layers, model, worlds
 from tidewatch.operators import indicators as I
 from tidewatch.operators import windows as wn
-from tidewatch.plans import registry
+from tidewatch.operators.cases import FEATURES, windowed_cases
+from tidewatch.operators.streams import NAMES
+from tidewatch.plans import assurance, registry
 from tidewatch.sources import readers
 from tidewatch.streaming.cusum import streaming_cusum
 
-TABLES = "region nation customer supplier part orders lineitem events documents labels".split()
+TABLES = "region nation customer supplier part orders lineitem events documents benchmark labels".split()
 
 
 def cells(df: pd.DataFrame) -> list[tuple]:
@@ -137,13 +140,48 @@ def test_windows_drop_the_remainder_and_keep_ties_in_order(spark):
     assert len(out) == 100 and [r.window * 50 + r.pos for r in out] == list(range(100))
 
 
-def test_calibration_meets_the_target():
+def least_by_hand(cube, names, target, j):
+    """Least threshold that meets the target, by trying one threshold after the other."""
+    for h in np.geomspace(0.2, 20, 4000):
+        event = detectors.cusum_array(cube[..., names], h).any(-1)
+        if 1000 * detectors.starts(event, j).mean() <= target:
+            return h
+
+
+def test_calibration_meets_the_target(spark):
     rng = np.random.default_rng(2)
-    cube, other = rng.normal(size=(120, 40, 3)), rng.normal(size=(120, 40, 3))
-    h = detectors.bisect_threshold(cube, 20.0, 2)
-    assert detectors.rate_of(cube, h, 2) <= 20.0 and abs(detectors.rate_of(other, h, 2) - 20.0) < 8
-    parts = detectors.bisect_split({"P": cube[..., :2], "U": cube[..., 2:]}, 20.0, 2, {"P": 0.5, "U": 0.5})
-    assert set(parts) == {"P", "U"}
+    cube = rng.normal(size=(60, 40, 12))
+    rows = [(s, t, n, float(cube[s, t, k])) for s in range(60) for t in range(40) for k, n in enumerate(NAMES)]
+    z = spark.createDataFrame(rows, "stream long, t long, indicator string, z double")
+    got = {(r.arm, r.component): r.h for r in detectors.calibrate_arms(z, 20.0, 2).collect()}
+    for arm in ("harm", "input", "union"):
+        want = least_by_hand(cube, [NAMES.index(n) for n in detectors.FLAT_ARMS[arm]], 20.0, 2)
+        assert got[arm, "all"] == pytest.approx(want, rel=2e-3)
+    parts = detectors.SPLIT_ARMS["split"]
+    event = np.any([detectors.cusum_array(cube[..., [NAMES.index(n) for n in names]], got["split", c]).any(-1) for c, names in parts.items()], axis=0)
+    assert 17 < 1000 * detectors.starts(event, 2).mean() <= 20
+
+
+def test_quantiles_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(wn, "BRACKET", 50)
+    rng = np.random.default_rng(4)
+    a, b = rng.normal(size=30_000), np.round(rng.exponential(size=30_000), 1)
+    df = spark.createDataFrame([(float(x), float(y) if k % 7 else None, None) for k, (x, y) in enumerate(zip(a, b, strict=True))], "a double, b double, c double")
+    got = wn.quantiles(df, {"a": [0.0, 0.001, 1 / 3, 0.75, 1.0], "b": [0.1, 0.5, 0.999], "c": [0.5]})
+    keep = b[np.arange(30_000) % 7 != 0]
+    assert np.allclose(got["a"], np.quantile(a, [0.0, 0.001, 1 / 3, 0.75, 1.0])) and np.allclose(got["b"], np.quantile(keep, [0.1, 0.5, 0.999])) and got["c"] == [None]
+
+
+def test_position_over_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(wn, "RANGE_ROWS", 40)
+    df = spark.range(3000).selectExpr("id", "id * 7919 % 1013 AS k")
+    out = wn.global_position(df, "k", "id").orderBy("k", "id").collect()
+    assert [r.pos for r in out] == list(range(3000))
+
+
+def test_uniforms_of_two_salts_are_independent(spark):
+    u = spark.range(4000).select(uniform(F.col("id"), 3).alias("a"), uniform(F.col("id"), 4).alias("b")).toPandas()
+    assert abs(np.corrcoef(u.a, u.b)[0, 1]) < 0.05 and abs(u.a.mean() - 0.5) < 0.02
 
 
 def test_newton_recovers_the_slope():
@@ -163,20 +201,92 @@ def test_rollup_vector(spark):
     assert tuple(out[0])[1:] == (85.0, 80.0, 90.0, 90.0, 2.0) and out[1].hr_mean is None
 
 
-def test_perturbations_do_nothing_at_level_zero_or_one(spark):
-    w = layers.world(spark, 2000).cache()
-    base = w.agg(F.sum("p"), F.sum("y"), F.sum("error")).first()
-    for name, level in (("covariate_mean_shift", 0.0), ("variable_rescale", 1.0), ("class_prior_shift", 1.0), ("mcar_missingness", 0.0), ("version_swap_with_regression", 0.0), ("out_of_scope_use_share", 0.0)):
-        out = layers.perturbation(name)(w, F.lit(1.0), level).agg(F.sum("p"), F.sum("y"), F.sum("error")).first()
+def test_changes_do_nothing_at_level_zero_or_one(spark):
+    ids = spark.range(2000).withColumnRenamed("id", "case_id")
+    base = worlds.scored(worlds.drawn(ids)).agg(F.sum("p"), F.sum("y"), F.sum("error")).first()
+    for name, level in (("variable_rescale", 1.0), ("class_prior_shift", 1.0), ("mcar_missingness", 0.0), ("version_swap_with_regression", 0.0), ("out_of_scope_use_share", 0.0), ("slope_and_intercept_drift", 1.0)):
+        out = worlds.change(name)(ids, F.lit(1.0), level, (1.0,)).agg(F.sum("p"), F.sum("y"), F.sum("error")).first()
         assert np.allclose([float(v) for v in out], [float(v) for v in base]), name
     with pytest.raises(KeyError):
-        layers.perturbation("unknown")
+        worlds.change("unknown")
+    with pytest.raises(ValueError):
+        worlds.register("none")(lambda *a: a)
+
+
+def test_solved_slopes_lose_what_they_should(spark):
+    pool = worlds.pool(spark)
+    for name, group in (("outcome_model_change", None), ("subgroup_outcome_model_change", 1), ("covariate_and_concept_drift", None)):
+        for k, known in enumerate(assurance.SOLVED[name]):
+            slope = pool.slope(assurance.LEVELS[name] * (k + 1) / 3, group)
+            assert (slope, pool.intercept(slope, group)) == pytest.approx(known, abs=1e-7)
+    s = pool.slope(0.136)
+    assert pool.sensitivity(s) == pytest.approx(pool.sensitivity(1.0) * (1 - 0.136), abs=1e-6)
+    ids = spark.range(60_000).withColumnRenamed("id", "case_id")
+    rows = {n: worlds.world_summary(worlds.change(n)(ids, F.lit(1.0), v, (1.0,)), [F.lit(0).alias("k")]).first() for n, v in (("none", 0.0), ("outcome_model_change", 0.136), ("covariate_mean_shift", 0.8), ("class_prior_shift", 2.0))}
+    assert rows["outcome_model_change"].prevalence == pytest.approx(0.15, abs=0.006)
+    assert rows["outcome_model_change"].sensitivity == pytest.approx(rows["none"].sensitivity * (1 - 0.136), abs=0.02)
+    assert rows["class_prior_shift"].sensitivity == pytest.approx(rows["none"].sensitivity, abs=0.02)
+    assert rows["covariate_mean_shift"].prevalence > 0.2
+    with pytest.raises(ValueError):
+        pool.slope(0.9)
+
+
+def test_outcome_link_keeps_the_prevalence(spark):
+    ids = spark.range(40_000).withColumnRenamed("id", "case_id")
+    out = worlds._slope(ids, F.lit(1.0), 0.6, (1.0,), mode="outcome_link").agg(F.avg("y")).first()[0]
+    assert out == pytest.approx(0.15, abs=0.006)
     with pytest.raises(ValueError):
-        layers.register("none")(lambda *a: a)
+        worlds._slope(ids, F.lit(1.0), 0.6, (1.0,), mode="other")
+
+
+def area_by_hand(y, p):
+    r = pd.Series(p).rank().to_numpy()
+    n1 = y.sum()
+    return (r[y == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * (len(y) - n1))
+
+
+def test_gain_matches_whole_table(spark):
+    rng = np.random.default_rng(5)
+    y = rng.integers(0, 2, 400)
+    p0, p1 = np.round(rng.random(400), 2), np.clip(np.round(0.3 * y + 0.7 * rng.random(400), 2), 0, 1)
+    rows = [(k // 20, k % 20, int(y[k]), float(p0[k]), float(p1[k])) for k in range(400)]
+    df = spark.createDataFrame(rows, "stream long, t long, y int, p double, q double")
+    got = model.auroc_gain(df.select("stream", "t", "y", "p"), df.select("stream", "t", "y", F.col("q").alias("p")), 40, 7).first()
+    draws = np.random.default_rng(7)
+    gains = []
+    for _ in range(40):
+        at = np.concatenate([np.arange(20) + 20 * s for s in draws.integers(0, 20, 20)])
+        gains.append(area_by_hand(y[at], p1[at]) - area_by_hand(y[at], p0[at]))
+    assert (got.auroc_base, got.auroc_full) == pytest.approx((area_by_hand(y, p0), area_by_hand(y, p1)))
+    assert (got.lo, got.hi) == pytest.approx(tuple(np.quantile(gains, [0.025, 0.975])))
+
+
+def test_model_indicators_match_their_parts(spark):
+    df = windowed_cases(spark, SF)
+    wide = {r.window: r for r in I.model_indicators(df, 5, FEATURES).collect()}
+    for name, part in (("P4", I.auroc(df, ["window"])), ("U1", I.ece(df, ["window"])), ("P5", I.model_ratios(df, ["window"]))):
+        assert {k: pytest.approx(r[name]) for k, r in wide.items()} == {r.window: r[name] for r in part.collect()}
+
+
+def test_pooled_bootstrap_covers_the_mean(spark):
+    rows = [("A", "a", 1.0 + k % 3) for k in range(60)] + [("A", "b", 3.0 + k % 3) for k in range(60)] + [("B", "a", 4.0 + k % 3) for k in range(60)]
+    r = inference.pooled_bootstrap(spark.createDataFrame(rows, "scenario string, cell string, value double"), 2.5).first()
+    assert r.estimate == pytest.approx(4.0) and r.lo < 4.0 < r.hi and r.hi - r.lo < 0.5 and r.p == 0.0
+
+
+def test_cells_and_scenario_rules(spark):
+    rows = [("a", ["P1"], ["P2"], ["RH1"], "fair_test", True), ("b", ["P1"], ["P1", "ZZ"], ["RH1"], "fair_test", True), ("c", [], [], [], "control", True)]
+    sc = spark.createDataFrame(rows, "id string, responsive array<string>, held_stable array<string>, hypotheses array<string>, purpose string, primary boolean")
+    known = spark.createDataFrame([("P1",), ("P2",), ("P3",)], "indicator string")
+    got = sorted((r["where"], r.message) for r in catalog.validate_scenarios(sc, known, ["RH1", "RH2"], 2, {"RH1": 3}).collect())
+    assert got == [
+        ("P3", "not covered"), ("RH1", "fewer than 3 fair tests"), ("RH2", "fewer than 2 scenarios"), ("b", "responsive and held stable overlap"),
+        ("b", "unknown indicator"), ("c", "primary delay without harm"),
+    ]
 
 
 def test_model_fit_and_levels(spark):
-    w = layers.world(spark, 6000).withColumn("label", F.col("y"))
+    w = worlds.scored(worlds.drawn(spark.range(6000).withColumnRenamed("id", "case_id"))).withColumn("label", F.col("y"))
     m = model.fit_real(w, ["x1", "x2", "x3"], grid=[1.0])
     again = model.with_regression(m, 0.5)
     norm = lambda k: sum(v * v for v in k["weights"].values())

@@ -5,23 +5,38 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Multiplier, increment and modulus of the generator.
-A, C, M = 1103515245, 12345, 2147483648
+#: Multipliers and increment of the mixer; all products stay below 2^63 in any SQL engine.
+A, B, C, M1, M2, M = 1103515245, 1640531527, 12345, 2146121005, 73244475, 1 << 32
 
 
 def uniform(ident: Column, salt: int | Column) -> Column:
-    """[0, 1): two steps of a linear congruential generator, exact in any SQL engine."""
-    s = F.lit(salt) if isinstance(salt, int) else salt
-    one = ((ident % M) * A + s * C + C) % M
-    return ((one * A + C) % M).cast("double") / F.lit(float(M))
+    """[0, 1): id and salt mixed by two rounds of shift, exclusive or and multiplication, exact in any SQL engine.
+
+    The rounds are not linear, so draws of one id under different salts are independent.
+    """
+    first = F.lit((salt + 1) * B + C) if isinstance(salt, int) else (salt + 1) * B + C
+    x = ((ident % M) * A + first) % M
+    for by, times in ((16, M1), (15, M2)):
+        x = (x.bitwiseXOR(F.shiftright(x, by)) * times) % M
+    return x.cast("double") / F.lit(float(M))
 
 
 def uniform_sql(ident: str, salt: int | str) -> str:
     """The same as SQL text."""
-    return f"(((((({ident}) % {M}) * {A} + ({salt}) * {C} + {C}) % {M}) * {A} + {C}) % {M}) / {M}.0"
+    first = (salt + 1) * B + C if isinstance(salt, int) else f"(({salt}) + 1) * {B} + {C}"
+    x = f"(((({ident}) % {M}) * {A} + {first}) % {M})"
+    for by, times in ((16, M1), (15, M2)):
+        x = f"((xor({x}, ({x} >> {by})) * {times}) % {M})"
+    return f"({x} / {M}.0)"
 
 
 def normal(ident: Column, salt: int) -> Column:
     """Standard normal by Box and Muller from two uniforms."""
     u, v = uniform(ident, salt), uniform(ident, salt + 7919)
     return F.sqrt(-2.0 * F.log(F.greatest(u, F.lit(1.0 / M)))) * F.cos(2.0 * F.pi() * v)
+
+
+def normal_sql(ident: str, salt: int) -> str:
+    """The same as SQL text."""
+    u, v = uniform_sql(ident, salt), uniform_sql(ident, salt + 7919)
+    return f"(sqrt(-2.0 * ln(greatest({u}, 1.0 / {M}))) * cos(2.0 * pi() * {v}))"

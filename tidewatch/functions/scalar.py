@@ -198,7 +198,11 @@ def markdown_cell(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"\|", r"\\|"), r"\s+", " "))
 
 
-def suppress_small(counts: list[str], least: int = 10) -> list[Column]:
+#: Fixed value: cells below this size are not shown.
+LEAST_CELL = 10
+
+
+def suppress_small(counts: list[str], least: int = LEAST_CELL) -> list[Column]:
     """Counts below the least become null; all of a row do if its first count, the cell's size, is below it."""
     size = F.col(counts[0])
     return [F.when((size >= least) & (F.col(c) >= least), F.col(c)).alias(c) for c in counts]

@@ -77,9 +77,11 @@ def coverage(constructs: DataFrame, records: DataFrame) -> DataFrame:
     return constructs.join(flat, "construct", "left").withColumn("gap", F.col("ids").isNull())
 
 
-def validate_scenarios(scenarios: DataFrame, known: DataFrame, hypotheses: list[str], least: int = 2) -> DataFrame:
+def validate_scenarios(scenarios: DataFrame, known: DataFrame, hypotheses: list[str], least: int = 2, fair: dict[str, int] | None = None) -> DataFrame:
     """scenarios(id, responsive, held_stable, hypotheses arrays): overlaps, unknown ids, hypotheses with few scenarios,
-    indicators that no scenario covers. known(indicator)."""
+    indicators that no scenario covers. known(indicator). With columns purpose and primary also: hypotheses with fewer
+    fair tests than `fair` asks for, and flags that contradict the purpose (a fair test needs responsive indicators, a
+    control has no primary delay)."""
     overlap = scenarios.where(F.arrays_overlap("responsive", "held_stable"))
     flat = scenarios.select("id", F.explode(F.array_union("responsive", "held_stable")).alias("indicator"))
     few = scenarios.select("id", F.explode("hypotheses").alias("h")).groupBy("h").agg(F.countDistinct("id").alias("n"))
@@ -89,9 +91,56 @@ def validate_scenarios(scenarios: DataFrame, known: DataFrame, hypotheses: list[
         _say(flat.join(known, "indicator", "left_anti"), "id", "unknown indicator"),
         _say(want.join(few, "h", "left").where(F.coalesce("n", F.lit(0)) < least), "h", f"fewer than {least} scenarios"),
         missing_in(known, flat, "indicator", "not covered"),
+        *_purpose_rules(scenarios, fair or {}),
     )
 
 
+def _purpose_rules(scenarios: DataFrame, fair: dict[str, int]) -> list[DataFrame]:
+    if "purpose" not in scenarios.columns:
+        return []
+    out = [_say(scenarios.where((F.col("purpose") == "fair_test") & (F.coalesce(F.size("responsive"), F.lit(0)) < 1)), "id", "fair test without a responsive indicator")]
+    if "primary" in scenarios.columns:
+        out.append(_say(scenarios.where(F.col("primary") & F.col("purpose").isin("control", "harmless_drift")), "id", "primary delay without harm"))
+    if fair:
+        want = scenarios.sparkSession.createDataFrame(list(fair.items()), "h string, least int")
+        n = scenarios.where("purpose = 'fair_test'").select("id", F.explode("hypotheses").alias("h")).groupBy("h").agg(F.countDistinct("id").alias("n"))
+        few = want.join(n, "h", "left").where(F.coalesce("n", F.lit(0)) < F.col("least"))
+        out.append(few.select(F.col("h").alias("where"), F.concat(F.lit("fewer than "), F.col("least"), F.lit(" fair tests")).alias("message")))
+    return out
+
+
+def cells(scenarios: DataFrame, known: list[str]) -> DataFrame:
+    """kind, id, level, shape of the cells to run. scenarios: id, type, family, purpose, primary, shapes.
+
+    Delays are studied for fair tests and blind spots with a primary delay: medium and high in the abrupt shape, fair
+    tests also high in the gradual one; a scenario that only ramps is studied in its first shape. Harmless drift is
+    studied for alert rates, high and abrupt. Controls and changes that aren't known are left out.
+    """
+    own = scenarios.where(F.col("type").isin(*known) & (F.col("family") != "control"))
+    abrupt, gradual = (F.array_contains("shapes", s) for s in ("abrupt", "gradual"))
+    delay = F.col("purpose").isin("fair_test", "blind_spot") & F.col("primary")
+    shape = F.when(abrupt, F.lit("abrupt")).otherwise(F.element_at("shapes", 1))
+    cell = lambda when, kind, level, s: F.when(when, F.struct(F.lit(kind).alias("kind"), F.lit(level).alias("level"), s.alias("shape")))
+    rows = F.array_compact(
+        F.array(
+            cell(delay, "tafd", "medium", shape), cell(delay, "tafd", "high", shape), cell(delay & abrupt & gradual & (F.col("purpose") == "fair_test"), "tafd", "high", F.lit("gradual")),
+            cell(F.col("purpose") == "harmless_drift", "alert", "high", F.lit("abrupt")),
+        )
+    )
+    return own.select("id", F.explode(rows).alias("c")).select("c.kind", "id", "c.level", "c.shape")
+
+
+def paired_differences(store: DataFrame, scenarios: list[str], lag: int, reference: str, candidate: str | None) -> DataFrame:
+    """scenario, cell, replicate, value: reference minus candidate (or the reference alone) at a lag, from a store of
+    arrays under keys scenario|level|shape|lag|name. Keys of another form are passed over."""
+    p = F.split("key", r"\|")
+    own = store.where(F.size(p) == 5).select(p[0].alias("scenario"), F.concat_ws("|", p[1], p[2]).alias("cell"), p[3].try_cast("int").alias("_lag"), p[4].alias("_name"), F.posexplode("values").alias("replicate", "v"))
+    own = own.where(F.col("scenario").isin(*scenarios) & (F.col("_lag") == lag) & F.col("_name").isin(*([reference] if candidate is None else [reference, candidate])))
+    of = lambda name: F.max(F.when(F.col("_name") == name, F.col("v")))
+    value = of(reference) if candidate is None else of(reference) - of(candidate)
+    return own.groupBy("scenario", "cell", "replicate").agg(value.alias("value")).where("value IS NOT NULL")
+
+
 def contains_quote(quotes: DataFrame, sources: DataFrame) -> DataFrame:
     """quotes(id, source, quote), sources(source, text): messages for quotes that the normalized source lacks."""
     s = sources.select("source", normalized(F.col("text"), "a-z0-9").alias("_t"))

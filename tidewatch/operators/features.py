@@ -47,6 +47,16 @@ def feature_table(cohort: DataFrame, parts: list[tuple[DataFrame, str]], keep: l
     return out.select(*keep, *have)
 
 
+def label_flag(stays: DataFrame, flag: str) -> DataFrame:
+    """label 1 where the flag holds, 0 where it doesn't; stays without the flag are dropped."""
+    return stays.where(F.col(flag).isNotNull()).withColumn("label", F.col(flag).cast("boolean").cast("int"))
+
+
+def survived(died: Column) -> Column:
+    """Whether a stay ended alive; an unknown end doesn't count."""
+    return F.coalesce(~died.cast("boolean"), F.lit(False))
+
+
 def label_return(stays: DataFrame, subject: str, admit: str, discharge: str, tie: str, days: int) -> DataFrame:
     """Adds next_admit and label: 1 if the subject's next stay starts within days of this discharge; none is 0."""
     w = W.partitionBy(subject).orderBy(admit, tie)

@@ -23,6 +23,8 @@ LAGGED = ("P1", "P2", "P3", "P4", "P5", "P6", "U1", "U2", "U3", "U4", "H3", "H4"
 MODEL = ("P1", "P2", "P3", "P4", "P5", "P6", "U1", "U2", "U3", "U4", "U5", "C2", "C3")
 COMPONENT = {n: "O" if n[0] == "O" else n[0] for n in DIRECTION}
 HIGH_CONFIDENCE, BINS = 0.9, 15
+#: Stretches of the score axis whose cumulative counts are taken on their own.
+KS_STRETCHES = 4096
 
 
 def ratio(num: Column, den: Column) -> Column:
@@ -30,11 +32,11 @@ def ratio(num: Column, den: Column) -> Column:
     return F.try_divide(num.cast("double"), den.cast("double"))
 
 
-def model_ratios(df: DataFrame, by: list[str]) -> DataFrame:
-    """The indicators that are sums over one window's own cases: one hash aggregation."""
+def ratio_columns() -> list[Column]:
+    """The indicators that are sums over one window's own cases."""
     y, d, e, g, p = (F.col(c) for c in ("y", "decision", "error", "g", "p"))
     high = (F.col("confidence") >= HIGH_CONFIDENCE).cast("int")
-    return df.groupBy(*by).agg(
+    return [
         ratio(F.sum(y * d), F.sum(y)).alias("P1"),
         ratio(F.sum((1 - y) * (1 - d)), F.sum(1 - y)).alias("P2"),
         ratio(F.sum(y * d), F.sum(d)).alias("P3"),
@@ -43,7 +45,29 @@ def model_ratios(df: DataFrame, by: list[str]) -> DataFrame:
         F.avg((p - y) * (p - y)).alias("U2"),
         ratio(F.sum(e * high), F.sum(high)).alias("U4"),
         (1 - F.avg(F.col("out_of_scope").cast("double"))).alias("C3"),
-    )
+    ]
+
+
+def model_ratios(df: DataFrame, by: list[str]) -> DataFrame:
+    """The ratio indicators of each window: one hash aggregation."""
+    return df.groupBy(*by).agg(*ratio_columns())
+
+
+def window_table(df: DataFrame, by: list[str], features: tuple[str, ...] = (), extra: list[Column] | None = None) -> DataFrame:
+    """All indicators that need a window's own cases only, its size (_n) and feature sums (_f1 ..): one exchange.
+
+    Midranks and calibration bins are taken in the frames of the window's cases, so a single aggregation ends it.
+    """
+    w = W.partitionBy(*by)
+    rank = F.rank().over(w.orderBy("p")) + (F.count("*").over(W.partitionBy(*by, "p")) - 1) / 2
+    b = F.least(F.floor(F.col("p") * BINS), F.lit(BINS - 1))
+    y = F.col("y")
+    n1, n0 = F.sum(y), F.sum(1 - y)
+    gaps = [F.abs(F.coalesce(F.sum(F.when(F.col("_b") == k, y - F.col("p"))), F.lit(0.0))) for k in range(BINS)]
+    return df.withColumns({"_r": rank, "_b": b}).groupBy(*by).agg(
+        *ratio_columns(), ratio(F.sum(F.col("_r") * y) - n1 * (n1 + 1) / 2, n1 * n0).alias("P4"),
+        (reduce(lambda a, c: a + c, gaps) / F.count("*")).alias("U1"), F.count("*").alias("_n"), *(F.sum(f).alias(f"_{f}") for f in features), *(extra or []),
+    )
 
 
 def auroc(df: DataFrame, by: list[str], y: str = "y", score: str = "p", name: str = "P4") -> DataFrame:
@@ -62,30 +86,46 @@ def ece(df: DataFrame, by: list[str], name: str = "U1", bins: int = BINS) -> Dat
     return parts.groupBy(*by).agg((F.sum(F.abs("_d")) / F.sum("_n")).alias(name))
 
 
+def baseline_cdf(df: DataFrame, baseline: Column, stream: list[str]) -> DataFrame:
+    """stream, p, _f: the share of the stream's baseline scores up to each score that occurs in it.
+
+    The running sum is taken in stretches of the score, 1/KS_STRETCHES wide, each on its own; the stretches' totals, at
+    most KS_STRETCHES rows a stream, carry over.
+    """
+    stretch = F.floor(S.clip(F.col("p"), 0.0, 1.0) * KS_STRETCHES).cast("int")
+    in_base = F.sum(F.when(baseline, 1).otherwise(0))
+    values = df.groupBy(*stream, "p").agg(in_base.alias("_n")).withColumn("_k", stretch)
+    along = W.partitionBy(*stream).orderBy("_k")
+    whole = along.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    sums = values.groupBy(*stream, "_k").agg(F.sum("_n").alias("_s"))
+    carried = sums.select(*stream, "_k", (F.sum("_s").over(along) - F.col("_s")).alias("_before"), F.sum("_s").over(whole).alias("_total"))
+    own = F.sum("_n").over(W.partitionBy(*stream, "_k").orderBy("p"))
+    return values.join(carried, [*stream, "_k"]).select(*stream, "p", ((F.col("_before") + own) / F.col("_total")).alias("_f"))
+
+
 def ks_to_baseline(df: DataFrame, by: list[str], baseline: Column, stream: list[str], name: str = "U5") -> DataFrame:
     """Largest distance between a window's scores and the pooled baseline scores of its stream.
 
-    The baseline's cumulative counts are taken at its distinct values and spread to all values by a running maximum
-    over their union, so no window is compared with every baseline row.
+    Scores meet the baseline's distribution by a join on the value, so no window is compared with every baseline row.
     """
-    ref = df.where(baseline).groupBy(*stream, "p").count()
-    w = W.partitionBy(*stream).orderBy("p")
-    total = F.sum("count").over(W.partitionBy(*stream))
-    values = df.select(*stream, "p").distinct().join(ref, [*stream, "p"], "left").fillna(0, ["count"])
-    cdf = values.select(*stream, "p", (F.sum("count").over(w) / total).alias("_f"))
     own = W.partitionBy(*by)
     i, m = F.row_number().over(own.orderBy("p")), F.count("*").over(own)
-    far = df.join(cdf, [*stream, "p"]).select(*by, F.greatest(F.abs(i / m - F.col("_f")), F.abs((i - 1) / m - F.col("_f"))).alias("_d"))
+    far = df.join(baseline_cdf(df, baseline, stream), [*stream, "p"]).select(*by, F.greatest(F.abs(i / m - F.col("_f")), F.abs((i - 1) / m - F.col("_f"))).alias("_d"))
     return far.groupBy(*by).agg(F.max("_d").alias(name))
 
 
 def mean_shift(df: DataFrame, by: list[str], features: tuple[str, ...], baseline: Column, stream: list[str], name: str = "C2") -> DataFrame:
     """Cases in the window times the squared distance of its feature means from the baseline's."""
-    sums = df.groupBy(*by).agg(F.count("*").alias("_n"), F.first(baseline).alias("_b"), *(F.sum(f).alias(f"_{f}") for f in features))
-    w = W.partitionBy(*stream) if stream else W.partitionBy(F.lit(1))
-    base_n = F.sum(F.when(F.col("_b"), F.col("_n"))).over(w)
-    gap = [F.col(f"_{f}") / F.col("_n") - F.sum(F.when(F.col("_b"), F.col(f"_{f}"))).over(w) / base_n for f in features]
-    return sums.select(*by, (F.col("_n") * reduce(lambda a, b: a + b, (g * g for g in gap))).alias(name))
+    sums = df.groupBy(*by).agg(F.count("*").alias("_n"), *(F.sum(f).alias(f"_{f}") for f in features))
+    return shift_of_sums(sums, features, baseline, stream, name).select(*by, name)
+
+
+def shift_of_sums(sums: DataFrame, features: tuple[str, ...], baseline: Column, stream: list[str], name: str = "C2") -> DataFrame:
+    """The same from a window table with _n and the features' sums; a stream's baseline sums are one row."""
+    base = sums.where(baseline).groupBy(*stream).agg(F.sum("_n").alias("_bn"), *(F.sum(f"_{f}").alias(f"_b{f}") for f in features))
+    both = sums.join(base, stream) if stream else sums.crossJoin(F.broadcast(base))
+    gap = [F.col(f"_{f}") / F.col("_n") - F.col(f"_b{f}") / F.col("_bn") for f in features]
+    return both.withColumn(name, F.col("_n") * reduce(lambda a, b: a + b, (g * g for g in gap))).drop("_bn", *(f"_b{f}" for f in features))
 
 
 def newton_slope(y: np.ndarray, p: np.ndarray, iterations: int = 30) -> tuple[float, float]:
@@ -120,14 +160,13 @@ def slope_deviation(df: DataFrame, by: list[str], name: str = "U3") -> DataFrame
     return listed.mapInPandas(solve, schema)
 
 
-def model_indicators(df: DataFrame, n_baseline: int, features: tuple[str, ...], slope: bool = True) -> DataFrame:
-    """Wide table of all model indicators, a row per window. The windowed cases are dealt out by window once."""
-    by, base = ["window"], F.col("window") < n_baseline
-    dealt = df.repartition("window")
-    out = model_ratios(dealt, by).join(auroc(dealt, by), by).join(ece(dealt, by), by)
-    flat = dealt.withColumn("_s", F.lit(0))
-    out = out.join(ks_to_baseline(flat, by, base, ["_s"]), by).join(mean_shift(flat, by, features, base, []), by)
-    return out.join(slope_deviation(dealt, by), by) if slope else out
+def model_indicators(df: DataFrame, n_baseline: int, features: tuple[str, ...], slope: bool = True, stream: tuple[str, ...] = ()) -> DataFrame:
+    """Wide table of all model indicators, a row per window: one pass by window, and the join by value that U5 needs."""
+    by, base = [*stream, "window"], F.col("window") < n_baseline
+    out = shift_of_sums(window_table(df, by, features), features, base, list(stream))
+    out = out.join(ks_to_baseline(df, by, base, list(stream)), by)
+    out = out.join(slope_deviation(df, by), by) if slope else out
+    return out.select(*by, *(c for c in MODEL if c in out.columns))
 
 
 def long_form(wide: DataFrame, names: list[str], by: list[str]) -> DataFrame:

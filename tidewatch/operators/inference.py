@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewatch.functions.rng import uniform
+from tidewatch.operators.windows import quantiles
 
 
 def block_plan(spark: SparkSession, streams: int, n_out: int, n_real: int, block: int, salt: int = 1) -> DataFrame:
@@ -32,43 +35,68 @@ def resampled(table: DataFrame, plan: DataFrame, window: str = "window") -> Data
 
 
 def bootstrap(pairs: DataFrame, by: list[str], seed: int = 1, n_boot: int = 2000) -> DataFrame:
-    """Per comparison (columns reference and candidate, paired): mean reduction, interval, two-sided p.
+    """Per comparison (columns reference and candidate, paired): mean reduction with interval and two-sided p, and the
+    reduction relative to the reference's mean with its interval. All come from the same draws.
 
     A comparison has a bounded number of replicates, so a group is small.
     """
     kinds = dict(pairs.dtypes)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = (pdf["reference"] - pdf["candidate"]).to_numpy(float)
-        d.sort()
-        rng = np.random.default_rng(seed)
-        means = d[rng.integers(0, len(d), (n_boot, len(d)))].mean(1)
+        own = pdf.sort_values(["reference", "candidate"])
+        ref, gain = own["reference"].to_numpy(float), (own["reference"] - own["candidate"]).to_numpy(float)
+        n, rng, means, refs = len(own), np.random.default_rng(seed), np.empty(n_boot), np.empty(n_boot)
+        for k in range(n_boot):
+            times = np.bincount(rng.integers(0, n, n), minlength=n)
+            means[k], refs[k] = times @ gain / n, times @ ref / n
         share = float((means <= 0).mean())
+        rho = np.divide(means, refs, out=np.full(n_boot, np.nan), where=refs != 0)
+        cut = lambda x: np.nanquantile(x, [0.025, 0.975]) if np.isfinite(x).any() else (None, None)
+        (lo, hi), (rho_lo, rho_hi) = cut(means), cut(rho)
         out = {b: pdf[b].iloc[0] for b in by} | {
-            "n": len(d), "reduction": d.mean(), "lo": np.quantile(means, 0.025), "hi": np.quantile(means, 0.975), "p": min(1.0, 2 * min(share, 1 - share)),
+            "n": n, "reduction": gain.mean(), "lo": lo, "hi": hi, "p": min(1.0, 2 * min(share, 1 - share)),
+            "rho": gain.mean() / ref.mean() if ref.mean() else None, "rho_lo": rho_lo, "rho_hi": rho_hi,
         }
         return pd.DataFrame([out])
 
-    schema = ", ".join(f"{b} {kinds[b]}" for b in by) + ", n long, reduction double, lo double, hi double, p double"
+    schema = ", ".join(f"{b} {kinds[b]}" for b in by) + ", n long, reduction double, lo double, hi double, p double, rho double, rho_lo double, rho_hi double"
     return pairs.groupBy(*by).applyInPandas(solve, schema)
 
 
+def paired_with(values: DataFrame, arm: str, key: list[str], value: str, reference: str) -> DataFrame:
+    """arm, key, reference, candidate for all arms but the reference: a frame for each replicate, no self-join."""
+    of = F.max(F.when(F.col(arm) == reference, F.col(value))).over(W.partitionBy(*key))
+    return values.select(arm, *key, of.alias("reference"), F.col(value).alias("candidate")).where((F.col(arm) != reference) & F.col("reference").isNotNull())
+
+
+def reductions(values: DataFrame, arm: str, key: list[str], value: str, reference: str) -> DataFrame:
+    """Per arm: replicates, difference of the mean delays, and that relative to the reference's mean delay."""
+    n = paired_with(values, arm, key, value, reference).groupBy(arm).agg(F.count("*").alias("n"), F.avg("reference").alias("_r"), F.avg("candidate").alias("_c"))
+    return n.select(arm, "n", (F.col("_r") - F.col("_c")).alias("reduction"), F.try_divide(F.col("_r") - F.col("_c"), F.col("_r")).alias("rho"))
+
+
+def arm_reductions(values: DataFrame, arm: str, key: list[str], value: str, reference: str, seed: int = 1) -> DataFrame:
+    """Per arm: bootstrap() of its delays against the reference's, paired by key."""
+    return bootstrap(paired_with(values, arm, key, value, reference).select(arm, "reference", "candidate"), [arm], seed)
+
+
 def pooled_bootstrap(values: DataFrame, margin: float, seed: int = 1, n_boot: int = 2000) -> DataFrame:
-    """One row over scenario, cell, value: mean of scenario means of cell means, interval, share of draws <= margin."""
-    cell = values.groupBy("scenario", "cell").agg(F.array_sort(F.collect_list("value")).alias("v"))
+    """One row over scenario, cell, value: mean of scenario means of cell means, interval, share of draws <= margin.
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.default_rng(seed)
-        by: dict[str, list[np.ndarray]] = {}
-        point: dict[str, list[float]] = {}
-        for s, v in sorted(((s, np.asarray(v, float)) for s, v in zip(pdf["scenario"], pdf["v"], strict=True)), key=lambda x: (x[0], len(x[1]), x[1].sum())):
-            by.setdefault(s, []).append(v[rng.integers(0, len(v), (n_boot, len(v)))].mean(1))
-            point.setdefault(s, []).append(float(v.mean()))
-        draws = np.mean([np.mean(x, axis=0) for x in by.values()], axis=0)
-        est = float(np.mean([np.mean(x) for x in point.values()]))
-        return pd.DataFrame([{"estimate": est, "lo": np.quantile(draws, 0.025), "hi": np.quantile(draws, 0.975), "p": float((draws <= margin).mean())}])
+    A cell's replicates, a bounded number, are drawn from in a group of their own; the draws then meet by their number.
+    """
 
-    return cell.groupBy(F.lit(1).alias("_one")).applyInPandas(solve, "estimate double, lo double, hi double, p double")
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = np.sort(pdf["value"].to_numpy(float))
+        rng = np.random.default_rng([seed, zlib.crc32(repr((pdf["scenario"].iloc[0], pdf["cell"].iloc[0])).encode())])
+        means = [v[rng.integers(0, len(v), len(v))].mean() for _ in range(n_boot)]
+        return pd.DataFrame({"scenario": pdf["scenario"].iloc[0], "draw": range(n_boot), "m": means})
+
+    own = values.select(F.col("scenario").cast("string").alias("scenario"), F.col("cell").cast("string").alias("cell"), F.col("value").cast("double").alias("value")).where("value IS NOT NULL")
+    draws = own.groupBy("scenario", "cell").applyInPandas(draw, "scenario string, draw int, m double")
+    by_draw = draws.groupBy("scenario", "draw").agg(F.avg("m").alias("m")).groupBy("draw").agg(F.avg("m").alias("m"))
+    ends = by_draw.agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"), F.avg((F.col("m") <= margin).cast("double")).alias("p"))
+    return pooled_mean(own).withColumnRenamed("pooled", "estimate").crossJoin(F.broadcast(ends))
 
 
 def pooled_mean(values: DataFrame, value: str = "value") -> DataFrame:
@@ -110,14 +138,13 @@ def audit_weights(df: DataFrame, fraction: float, salt: int, stratified: bool) -
     """Adds weight: 1 / inclusion probability for sampled cases, else 0. Strata are thirds of the confidence."""
     mult = F.lit(1.0)
     if stratified:
-        q = df.agg(F.percentile("confidence", [1 / 3, 2 / 3]).alias("_q"))
-        df = df.crossJoin(F.broadcast(q))
-        mult = F.when(F.col("confidence") < F.col("_q")[0], 3.0).when(F.col("confidence") < F.col("_q")[1], 1.0).otherwise(0.5)
+        lo, hi = quantiles(df, {"confidence": [1 / 3, 2 / 3]})["confidence"]
+        mult = F.when(F.col("confidence") < lo, 3.0).when(F.col("confidence") < hi, 1.0).otherwise(0.5)
     df = df.withColumn("_m", mult)
     total = df.agg(F.sum("_m").alias("_sum"), F.count("*").alias("_n"))
     pi = F.least(F.lit(1.0), fraction * F.col("_n") * F.col("_m") / F.col("_sum"))
     out = df.crossJoin(F.broadcast(total)).withColumn("_pi", pi)
-    return out.withColumn("weight", F.when(uniform(F.col("case_id"), salt) < F.col("_pi"), 1 / F.col("_pi")).otherwise(0.0)).drop("_m", "_q", "_sum", "_n", "_pi")
+    return out.withColumn("weight", F.when(uniform(F.col("case_id"), salt) < F.col("_pi"), 1 / F.col("_pi")).otherwise(0.0)).drop("_m", "_sum", "_n", "_pi")
 
 
 def ehor(df: DataFrame, discovery: float = 0.5) -> DataFrame:
@@ -125,17 +152,35 @@ def ehor(df: DataFrame, discovery: float = 0.5) -> DataFrame:
 
     Needs required (R), intercepted (I), reviewed, and weight.
     """
+    return ehor_by(df, [], discovery)
+
+
+def ehor_by(df: DataFrame, by: list[str], discovery: float = 0.5) -> DataFrame:
+    """The same for each group. The squared gaps of the standard error are sums too, so one aggregation does it all:
+    a case with weight w adds w(w - 1)(i - e)^2, which is e^2 for a missed and (1 - e)^2 for an intercepted one."""
     c, one = F.col, lambda x: F.sum(x.cast("int"))
-    hit = c("intercepted") & c("required")
+    hit, miss = c("intercepted") & c("required"), ~c("intercepted") & c("required")
     ratio = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
-    theta = df.agg(
+    weight = lambda x: F.sum(F.when(x, c("weight")).otherwise(0.0))
+    spread = lambda x: F.sum(F.when(x & (c("weight") > 0), c("weight") * (c("weight") - 1)).otherwise(0.0))
+    out = df.groupBy(*by).agg(
         ratio(one(hit), one(c("required"))).alias("ehor"),
         ratio(one(c("required") & c("reviewed")), one(c("required"))).alias("coverage"),
         ratio(one(hit), one(c("required") & c("reviewed"))).alias("detection"),
-        ratio(F.sum(F.when(hit, c("weight")).otherwise(0.0)), F.sum(F.when(c("required"), c("weight")).otherwise(0.0))).alias("ehor_ht"),
-        ratio(one(hit).cast("double"), one(hit) + discovery * one(c("required") & ~c("intercepted"))).alias("naive"),
-    )
-    gap = F.when(c("required"), c("intercepted").cast("int") - c("ehor_ht")).otherwise(0.0)
-    both = df.crossJoin(F.broadcast(theta))
-    se = both.agg(F.try_divide(F.sqrt(F.sum(F.when(c("weight") > 0, c("weight") * (c("weight") - 1) * gap * gap).otherwise(0.0))), F.sum(F.when(c("required"), c("weight")).otherwise(0.0))).alias("se"))
-    return theta.crossJoin(F.broadcast(se))
+        ratio(weight(hit), weight(c("required"))).alias("ehor_ht"),
+        ratio(one(hit).cast("double"), one(hit) + discovery * one(miss)).alias("naive"),
+        spread(hit).alias("_hit"), spread(miss).alias("_miss"), weight(c("required")).alias("_n"),
+    )
+    e = c("ehor_ht")
+    se = F.try_divide(F.sqrt(c("_hit") * (1 - e) * (1 - e) + c("_miss") * e * e), c("_n"))
+    return out.withColumn("se", se).drop("_hit", "_miss", "_n")
+
+
+def estimate_summary(estimates: DataFrame, by: list[str]) -> DataFrame:
+    """Mean truth; bias, root mean square error and coverage of ehor_ht; bias and error of the naive figure."""
+    gap, far = F.col("ehor_ht") - F.col("ehor"), F.col("naive") - F.col("ehor")
+    inside = F.coalesce(F.abs(gap) <= 1.96 * F.col("se"), F.lit(False)).cast("double")
+    return estimates.groupBy(*by).agg(
+        F.count("*").alias("replicates"), F.avg("ehor").alias("truth"), F.avg(gap).alias("bias"), F.sqrt(F.avg(gap * gap)).alias("rmse"), F.avg(inside).alias("coverage"),
+        F.avg(far).alias("naive_bias"), F.sqrt(F.avg(far * far)).alias("naive_rmse"),
+    )

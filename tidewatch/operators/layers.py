@@ -1,9 +1,8 @@
-"""Review and workflow layers drawn over a case stream, perturbations of it, and synthetic worlds."""
+"""Review and workflow layers drawn over a case stream, and changes of it."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -77,6 +76,70 @@ def workflow(df: DataFrame, f: Workflow = WORKFLOW, dup: float = 1.0, salt: int
     return out.withColumn("sentinel", F.col("downstream") & (F.col("severity") >= f.sentinel))
 
 
+# --- mixtures of reviewer failures -----------------------------------------------------------------------------------
+
+
+def failed(kind: str, level: float, base: dict[str, float]) -> float:
+    """The reviewer parameter `kind` under a failure in full effect."""
+    return {"bias": base["bias"] + level, "coverage": level, "false_reject": base["false_reject"] + level, "latency": base["latency"] * level}[kind]
+
+
+def mixture_schedule(spark: SparkSession, n: int, n_out: int, n_baseline: int, kinds: dict[str, tuple[float, ...]], low: int, high: int, r: Reviewer = REVIEWER, salt: int = 400) -> DataFrame:
+    """stream, window and reviewer parameters: one or two failures of different kinds, of a drawn level, from a drawn
+    monitored window in low..high on. Draws are functions of the stream."""
+    s, names = F.col("stream"), list(kinds)
+    base = {"bias": r.bias, "coverage": r.coverage, "false_reject": r.false_reject, "latency": r.latency}
+    pick = lambda k, m: F.floor(uniform(s, salt + k) * m).cast("int")
+    rows = spark.range(n * n_out).select((F.col("id") / n_out).cast("long").alias("stream"), (F.col("id") % n_out).alias("window"))
+    rows = rows.withColumns({"_k1": pick(0, len(names)), "_two": uniform(s, salt + 2) < 0.5, "_s1": low + pick(5, high - low + 1), "_s2": low + pick(7, high - low + 1)})
+    rows = rows.withColumn("_k2", (F.col("_k1") + 1 + pick(1, len(names) - 1)) % len(names))
+    out = {}
+    for k, (name, levels) in enumerate(kinds.items()):
+        value = F.lit(float(base[name]))
+        for kind, draw, start, on in (("_k1", 4, "_s1", F.lit(True)), ("_k2", 6, "_s2", F.col("_two"))):
+            at = F.element_at(F.array(*(F.lit(float(failed(name, v, base))) for v in levels)), pick(draw, len(levels)) + 1)
+            value = F.when(on & (F.col(kind) == k) & (F.col("window") >= n_baseline + F.col(start)), at).otherwise(value)
+        out[name] = value
+    return rows.withColumns(out).drop("_k1", "_k2", "_two", "_s1", "_s2")
+
+
+def mixture_labels(windows: DataFrame, population: DataFrame, r: Reviewer = REVIEWER, h: Harm = HARM) -> DataFrame:
+    """Adds ratio (expected harm under a window's reviewer over that under the baseline's) and y (ratio from 1 + kappa on).
+
+    population is harm.with_weighted_errors of a fixed population: one row, so every window's ratio is a formula.
+    """
+    on_time = S.in_time(r.deadline, r.latency, r.latency_sigma)
+    left = lambda coverage, bias: F.col("all") - coverage * on_time * (1 - bias) * F.col("seen")
+    both = windows.crossJoin(F.broadcast(population))
+    out = both.withColumn("ratio", F.try_divide(left(F.col("coverage"), F.col("bias")), left(F.lit(r.coverage), F.lit(r.bias))))
+    return out.withColumn("y", (F.col("ratio") >= 1 + h.kappa).cast("int")).drop("all", "seen")
+
+
+def review_under(df: DataFrame, ident: Column, r: Reviewer = REVIEWER, h: Harm = HARM, salt: int = 430, audit: float = 0.2) -> DataFrame:
+    """review() under each row's own parameters: columns bias, coverage, false_reject and latency."""
+    c = F.col
+    seen = S.recognition(c("decision"), c("p"), c("severity"), r.beta0, r.beta_confidence, r.beta_severity, c("bias"))
+    out = df.withColumns({"examined": uniform(ident, salt) < c("coverage"), "is_error": c("error") == 1, "latency": c("latency") * F.exp(r.latency_sigma * normal(ident, salt + 1)), "audited": uniform(ident, salt + 2) < audit})
+    out = out.withColumns(
+        {
+            "recognized": c("examined") & c("is_error") & (uniform(ident, salt + 3) < seen),
+            "wrong": c("examined") & ~c("is_error") & (uniform(ident, salt + 4) < c("false_reject")),
+            "required": c("is_error") & (c("severity") >= h.cutoff),
+            "in_time": F.lit(True) if math.isinf(r.deadline) else c("latency") <= r.deadline,
+        }
+    )
+    return out.withColumns({"reviewed": c("examined"), "intercepted": c("recognized") & c("in_time")})
+
+
+def synthetic_cohort(ids: DataFrame, features: list[str], prevalence: float = 0.2, subgroup_share: float = 0.5, salt: int = 500) -> DataFrame:
+    """order_key, label, subgroup and features around plus or minus 0.3 to 0.6 by the label, for each order_key."""
+    i = F.col("order_key")
+    df = ids.select("order_key", (uniform(i, salt) < prevalence).cast("int").alias("label"), (uniform(i, salt + 1) < subgroup_share).cast("int").alias("subgroup"))
+    step = 0.3 / max(1, len(features) - 1)
+    side = F.when(F.col("label") == 1, 1.0).otherwise(-1.0)
+    return df.withColumns({f: side * (0.3 + k * step) + normal(i, salt + 2 + k) for k, f in enumerate(features)})
+
+
 # --- the deployed model on a cohort ----------------------------------------------------------------------------------
 
 
@@ -119,143 +182,3 @@ def scope_creep(df: DataFrame, pool: DataFrame, columns: list[str], level: float
     out = out.join(other, "slot", "left")
     out = out.withColumns({c: F.when(F.col("_in"), F.col(f"_{c}")).otherwise(F.col(c)) for c in columns})
     return out.withColumn("out_of_scope", F.col("_in").cast("int")).drop("_in", "_pool", "slot", *(f"_{c}" for c in columns))
-
-
-# --- synthetic worlds ------------------------------------------------------------------------------------------------
-
-Perturbation = Callable[[DataFrame, Column, float], DataFrame]
-_REGISTRY: dict[str, Perturbation] = {}
-
-
-def register(name: str) -> Callable[[Perturbation], Perturbation]:
-    def put(f: Perturbation) -> Perturbation:
-        if name in _REGISTRY:
-            raise ValueError(f"{name} is registered already")
-        _REGISTRY[name] = f
-        return f
-
-    return put
-
-
-def perturbation(name: str) -> Perturbation:
-    if name not in _REGISTRY:
-        raise KeyError(name)
-    return _REGISTRY[name]
-
-
-def registered() -> list[str]:
-    return sorted(_REGISTRY)
-
-
-WEIGHTS = (0.50, 0.40, 0.35, 0.30, 0.25, 0.20)
-SEPARATION, PREVALENCE, SUBGROUP, SUBGROUP_SCALE = 1.19, 0.15, 0.10, 0.85
-
-
-def direction(g: int = 0) -> list[float]:
-    """Difference of the class means by feature."""
-    norm = math.sqrt(sum(w * w for w in WEIGHTS))
-    return [SEPARATION * w / norm * (SUBGROUP_SCALE if g else 1.0) for w in WEIGHTS]
-
-
-def world(spark: SparkSession, n: int, salt: int = 1, prevalence: float = PREVALENCE) -> DataFrame:
-    """Synthetic cases: y, g, severity, x1.. around plus or minus half the direction, and the optimal score p."""
-    i = F.col("id")
-    df = spark.range(n).withColumns({"y": (uniform(i, salt) < prevalence).cast("int"), "g": (uniform(i, salt + 1) < SUBGROUP).cast("int")})
-    side = F.when(F.col("y") == 1, 0.5).otherwise(-0.5)
-    a, b = direction(0), direction(1)
-    for k in range(len(WEIGHTS)):
-        df = df.withColumn(f"x{k + 1}", side * F.when(F.col("g") == 1, b[k]).otherwise(a[k]) + normal(i, salt + 100 + k))
-    df = df.withColumn("severity", S.severity(uniform(i, salt + 2), F.col("y"), HARM.positive, HARM.negative))
-    return scored(df).withColumnRenamed("id", "case_id")
-
-
-def scored(df: DataFrame, threshold: float = 0.15) -> DataFrame:
-    z = S.linear_score([F.col(f"x{k + 1}") for k in range(len(WEIGHTS))], direction(0), math.log(PREVALENCE / (1 - PREVALENCE)))
-    df = df.withColumn("p", S.sigmoid(z))
-    return df.withColumn("decision", S.decide(F.col("p"), threshold)).withColumn("error", S.error(F.col("y"), F.col("decision")))
-
-
-def _redraw(df: DataFrame, p: Column, salt: int) -> DataFrame:
-    return df.withColumn("y", (uniform(F.col("case_id"), salt) < p).cast("int")).withColumn("error", S.error(F.col("y"), F.col("decision")))
-
-
-@register("none")
-def _none(df: DataFrame, progress: Column, level: float) -> DataFrame:
-    return df
-
-
-@register("covariate_mean_shift")
-def _shift(df: DataFrame, progress: Column, level: float) -> DataFrame:
-    norm = math.sqrt(sum(d * d for d in direction()))
-    return scored(df.withColumns({f"x{k + 1}": F.col(f"x{k + 1}") + S.ramp_amount(level, progress) * d / norm for k, d in enumerate(direction())}))
-
-
-@register("class_prior_shift")
-def _prior(df: DataFrame, progress: Column, level: float) -> DataFrame:
-    """Prevalence times the ramp, at most 0.95: negatives become positives, moved to the positives' side."""
-    want = F.least(F.lit(0.95), PREVALENCE * S.ramp_ratio(level, progress))
-    flip = (F.col("y") == 0) & (uniform(F.col("case_id"), 301) < (want - PREVALENCE) / (1 - PREVALENCE))
-    out = df.withColumn("_f", flip)
-    out = out.withColumns({f"x{k + 1}": F.col(f"x{k + 1}") + F.when(F.col("_f"), d).otherwise(0.0) for k, d in enumerate(direction())})
-    return scored(out.withColumn("y", F.when(F.col("_f"), 1).otherwise(F.col("y"))).drop("_f"))
-
-
-@register("slope_and_intercept_drift")
-def _slope(df: DataFrame, progress: Column, level: float) -> DataFrame:
-    return df.withColumn("p", S.sigmoid(S.logit(F.col("p")) * S.ramp_ratio(level, progress)))
-
-
-@register("shrink_scores_to_base_rate_recalibrated")
-def _shrink(df: DataFrame, progress: Column, level: float) -> DataFrame:
-    share = S.ramp_amount(level, progress)
-    out = df.withColumn("p", (1 - share) * F.col("p") + share * PREVALENCE)
-    return _redraw(out.withColumn("decision", S.decide(F.col("p"), 0.15)), F.col("p"), 302)
-
-
-@register("mcar_missingness")
-def _mcar(df: DataFrame, progress: Column, level: float) -> DataFrame:
-    return scored(df.withColumn("x1", F.when(uniform(F.col("case_id"), 303) < S.ramp_amount(level, progress), 0.0).otherwise(F.col("x1"))))
-
-
-@register("variable_rescale")
-def _rescale(df: DataFrame, progress: Column, level: float) -> DataFrame:
-    return scored(rescale(df, "x1", level, progress))
-
-
-@register("outcome_model_change")
-def _concept(df: DataFrame, progress: Column, level: float) -> DataFrame:
-    z = S.logit(F.col("p"))
-    return _redraw(df, S.sigmoid(z * S.ramp_ratio(level, progress)), 304)
-
-
-@register("subgroup_outcome_model_change")
-def _concept_sub(df: DataFrame, progress: Column, level: float) -> DataFrame:
-    z = S.logit(F.col("p"))
-    new = F.when(F.col("g") == 1, S.sigmoid(z * S.ramp_ratio(level, progress)))
-    out = df.withColumn("y", F.when(new.isNotNull(), (uniform(F.col("case_id"), 305) < new).cast("int")).otherwise(F.col("y")))
-    return out.withColumn("error", S.error(F.col("y"), F.col("decision")))
-
-
-@register("version_swap_with_regression")
-def _version(df: DataFrame, progress: Column, level: float) -> DataFrame:
-    """Weights turn towards a direction at right angles, with the norm kept."""
-    d = direction()
-    other = [(-1) ** k * d[k ^ 1] for k in range(len(d))]
-    share = S.ramp_amount(level, progress)
-    z = sum((F.col(f"x{k + 1}") * ((1 - share) * d[k] + share * other[k]) for k in range(len(d))), F.lit(math.log(PREVALENCE / (1 - PREVALENCE))))
-    out = df.withColumn("p", S.sigmoid(z))
-    return out.withColumn("decision", S.decide(F.col("p"), 0.15)).withColumn("error", S.error(F.col("y"), F.col("decision")))
-
-
-@register("covariate_and_concept_drift")
-def _both(df: DataFrame, progress: Column, level: float) -> DataFrame:
-    return _concept(_shift(df, progress, 0.5), progress, level)
-
-
-@register("out_of_scope_use_share")
-def _scope(df: DataFrame, progress: Column, level: float) -> DataFrame:
-    """A share of cases comes from a population where the score tells less."""
-    out = df.withColumn("out_of_scope", (uniform(F.col("case_id"), 306) < S.ramp_amount(level, progress)).cast("int"))
-    weak = S.sigmoid(0.4 * S.logit(F.col("p")))
-    y = F.when(F.col("out_of_scope") == 1, (uniform(F.col("case_id"), 307) < weak).cast("int")).otherwise(F.col("y"))
-    return out.withColumn("y", y).withColumn("error", S.error(F.col("y"), F.col("decision")))

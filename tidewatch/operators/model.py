@@ -9,11 +9,13 @@ from functools import reduce
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewatch.functions import scalar as S
 from tidewatch.functions.rng import uniform
 from tidewatch.operators.layers import rescore
+from tidewatch.operators.windows import quantiles
 
 
 def _fit(df: DataFrame, features: list[str], label: str, reg: float) -> tuple[list[float], float]:
@@ -24,7 +26,7 @@ def _fit(df: DataFrame, features: list[str], label: str, reg: float) -> tuple[li
 
 def threshold_for(scored: DataFrame, label: str, sensitivity: float, p: str = "p") -> float:
     """Score that keeps a share of the positives: the exact linear quantile."""
-    return scored.where(F.col(label) == 1).agg(F.percentile(p, 1 - sensitivity)).first()[0]
+    return quantiles(scored.where(F.col(label) == 1).select(p), {p: [1 - sensitivity]})[p][0]
 
 
 def fit_plain(df: DataFrame, features: list[str], label: str = "y", sensitivity: float = 0.75) -> dict:
@@ -37,9 +39,8 @@ def fit_plain(df: DataFrame, features: list[str], label: str = "y", sensitivity:
 
 def fit_real(df: DataFrame, features: list[str], label: str = "label", sensitivity: float = 0.75, folds: int = 5, grid: list[float] | None = None) -> dict:
     """Winsorize at 0.1 and 99.9 %, impute means, standardize (population sd), choose the penalty by fold log loss."""
-    aggs = [F.percentile(f, F.array(F.lit(0.001), F.lit(0.999))).alias(f) for f in features]
-    q = df.select(*(S.nan_to_null(F.col(f).cast("double")).alias(f) for f in features)).agg(*aggs).first()
-    bounds = {f: (float(q[f][0]), float(q[f][1])) for f in features}
+    plain = df.select(*(S.nan_to_null(F.col(f).cast("double")).alias(f) for f in features))
+    bounds = {f: tuple(q) for f, q in quantiles(plain, {f: [0.001, 0.999] for f in features}).items()}
     cut = df.withColumns({f: S.clip(S.nan_to_null(F.col(f).cast("double")), *bounds[f]) for f in features})
     m = cut.agg(*(F.avg(f).alias(f) for f in features)).first()
     means = {f: float(m[f]) for f in features}
@@ -128,31 +129,57 @@ def intercept_for(p: DataFrame, want: float, z: str = "z", tol: float = 1e-6) ->
     return (lo + hi) / 2
 
 
+#: Stretches of the score axis in which pairs of held-out rows are counted on their own.
+GAIN_STRETCHES = 64
+
+
 def auroc_gain(base: DataFrame, full: DataFrame, n_boot: int = 500, seed: int = 1) -> DataFrame:
-    """base, full: stream, y, p of held-out streams. Gain in AUROC with an interval from whole streams resampled."""
+    """base, full: stream, t, y, p of held-out streams. Gain in AUROC with an interval from whole streams resampled.
+
+    Under a draw a row weighs as often as its stream was drawn. Pairs of a positive above a negative are counted within
+    stretches of the score, each in a group of its own for all draws at once, and across stretches from their sums.
+    """
     import numpy as np
     import pandas as pd
 
-    both = base.select("stream", "t", "y", F.col("p").alias("p0")).join(full.select("stream", "t", F.col("p").alias("p1")), ["stream", "t"])
-
-    def area(y, p):
-        r = pd.Series(p).rank().to_numpy()
-        n1 = y.sum()
-        return (r[y == 1].sum() - n1 * (n1 + 1) / 2) / max(1, n1 * (len(y) - n1))
+    ids = [r[0] for r in base.select("stream").distinct().orderBy("stream").collect()]
+    n = len(ids)
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        groups = [g for _, g in pdf.sort_values(["stream", "t"]).groupby("stream")]
+    def times() -> np.ndarray:
+        """Draws by streams; row 0 is the sample itself."""
         rng = np.random.default_rng(seed)
-        gains = []
-        for _ in range(n_boot):
-            d = pd.concat([groups[k] for k in rng.integers(0, len(groups), len(groups))])
-            y = d["y"].to_numpy()
-            gains.append(area(y, d["p1"].to_numpy()) - area(y, d["p0"].to_numpy()))
-        y = pdf["y"].to_numpy()
-        gain = area(y, pdf["p1"].to_numpy()) - area(y, pdf["p0"].to_numpy())
-        return pd.DataFrame([{"gain": gain, "lo": np.quantile(gains, 0.025), "hi": np.quantile(gains, 0.975)}])
-
-    return both.groupBy(F.lit(1).alias("_one")).applyInPandas(solve, "gain double, lo double, hi double")
+        out = np.ones((n_boot + 1, n))
+        for k in range(1, n_boot + 1):
+            out[k] = np.bincount(rng.integers(0, n, n), minlength=n)
+        return out
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        weight = times()
+        own = pdf.sort_values("p")
+        col = np.searchsorted(ids, own["stream"].to_numpy())
+        y, p = own["y"].to_numpy(), own["p"].to_numpy()
+        tie = np.flatnonzero(np.append(True, np.diff(p) != 0))
+        rows = []
+        for k in range(n_boot + 1):
+            w = weight[k, col]
+            pos, neg = np.add.reduceat(w * y, tie), np.add.reduceat(w * (1 - y), tie)
+            below = np.cumsum(neg) - neg
+            rows.append((k, pos.sum(), neg.sum(), float((pos * (below + neg / 2)).sum())))
+        return pd.DataFrame(rows, columns=["draw", "pos", "neg", "inside"]).assign(score=pdf["score"].iloc[0], stretch=pdf["stretch"].iloc[0])
+
+    both = base.select("stream", "y", "p", F.lit(0).alias("score")).union(full.select("stream", "y", "p", F.lit(1).alias("score")))
+    both = both.withColumn("stretch", F.floor(S.clip(F.col("p"), 0.0, 1.0) * GAIN_STRETCHES).cast("int"))
+    parts = both.groupBy("score", "stretch").applyInPandas(count, "draw int, pos double, neg double, inside double, score int, stretch int")
+    w = W.partitionBy("score", "draw").orderBy("stretch").rowsBetween(W.unboundedPreceding, -1)
+    pairs = parts.withColumn("_under", F.coalesce(F.sum("neg").over(w), F.lit(0.0)))
+    areas = pairs.groupBy("draw", "score").agg(F.try_divide(F.sum(F.col("inside") + F.col("pos") * F.col("_under")), F.sum("pos") * F.sum("neg")).alias("area"))
+    gains = areas.groupBy("draw").agg(F.max(F.when(F.col("score") == 0, F.col("area"))).alias("auroc_base"), F.max(F.when(F.col("score") == 1, F.col("area"))).alias("auroc_full"))
+    gains = gains.withColumn("gain", F.col("auroc_full") - F.col("auroc_base"))
+    drawn, point = F.when(F.col("draw") > 0, F.col("gain")), lambda c: F.max(F.when(F.col("draw") == 0, F.col(c)))
+    return gains.agg(
+        point("auroc_base").alias("auroc_base"), point("auroc_full").alias("auroc_full"), point("gain").alias("gain"),
+        F.percentile(drawn, 0.025).alias("lo"), F.percentile(drawn, 0.975).alias("hi"), F.avg((drawn <= 0).cast("double")).alias("p"),
+    )
 
 
 def union_cases(*parts: DataFrame) -> DataFrame:

@@ -2,43 +2,129 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Ranges that a global order is cut into; each is sorted on its own.
-RANGES = 256
+#: Rows of a range of a global order (a range is sorted in one task), and the most ranges.
+RANGE_ROWS, MOST_RANGES = 200_000, 65_536
+
+
+def range_bounds(df: DataFrame, key: Column, rows: int | None = None) -> DataFrame:
+    """One row: coarse (every step-th bound) and fine, the sorted distinct bounds that cut key into even ranges.
+
+    The number of ranges follows the number of rows, up to MOST_RANGES numbers in one row, so it may be broadcast.
+    """
+    n = df.count() if rows is None else rows
+    ranges = max(8, min(MOST_RANGES, -(-n // RANGE_ROWS)))
+    cut = [i / ranges for i in range(1, ranges)]
+    fine = F.array_distinct(F.coalesce(F.percentile_approx(key, cut, max(10_000, 4 * ranges)), F.expr("cast(array() AS array<double>)")))
+    out = df.agg(fine.alias("_fine")).withColumn("_step", F.greatest(F.ceil(F.sqrt(F.size("_fine"))), F.lit(1)).cast("int"))
+    return out.withColumn("_coarse", F.expr("filter(_fine, (x, i) -> (i + 1) % _step = 0)"))
+
+
+def range_of(key: Column) -> Column:
+    """Number of bounds below key: first among the coarse ones, then among the fine ones of that stretch."""
+    block = F.size(F.filter("_coarse", lambda x: x < key))
+    inside = F.filter(F.slice("_fine", block * F.col("_step") + 1, F.col("_step")), lambda x: x < key)
+    return F.when(key.isNull(), -1).otherwise(block * F.col("_step") + F.size(inside))
 
 
-def global_position(df: DataFrame, order: str, tie: str, ranges: int = RANGES) -> DataFrame:
-    """Adds pos, the row's place in the order of (order, tie), without a one-partition sort.
+def global_position(df: DataFrame, order: str, tie: str, total: bool = False) -> DataFrame:
+    """Adds pos, the row's place in the order of (order, tie), and with total _rows, without a one-partition sort.
 
     Quantiles of the order key cut the rows into ranges; a row's place is the rows of earlier ranges plus its place in
-    its own range. The bounds are one row of `ranges` numbers, so broadcasting them is safe at any size. Equal keys share
-    a range: a key that holds most rows is sorted in one task, by spilling.
+    its own range. Equal keys share a range: a key that holds most rows is sorted in one task, by spilling.
     """
     key = F.col(order).cast("timestamp").cast("double") if dict(df.dtypes)[order].startswith("timestamp") else F.col(order).cast("double")
-    cut = [i / ranges for i in range(1, ranges)]
-    bounds = df.agg(F.percentile_approx(key, cut, 10_000).alias("b")).select(F.array_distinct("b").alias("b"))
-    below = F.size(F.filter("b", lambda x: x < F.col("_k")))
-    cut_rows = df.withColumn("_k", key).crossJoin(F.broadcast(bounds)).withColumn("_range", F.when(F.col("_k").isNull(), -1).otherwise(below))
+    keyed = df.withColumn("_k", key)
+    cut_rows = keyed.crossJoin(F.broadcast(range_bounds(keyed, F.col("_k")))).withColumn("_range", range_of(F.col("_k"))).drop("_k", "_fine", "_step", "_coarse")
     sizes = cut_rows.groupBy("_range").count()
-    before = sizes.select("_range", (F.sum("count").over(W.orderBy("_range")) - F.col("count")).alias("_before"))
+    along = W.orderBy("_range")
+    before = sizes.select("_range", (F.sum("count").over(along) - F.col("count")).alias("_before"), F.sum("count").over(along.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("_rows"))
     placed = cut_rows.withColumn("_own", F.row_number().over(W.partitionBy("_range").orderBy(order, tie)))
+    # One row for each range, so at most MOST_RANGES rows.
     out = placed.join(F.broadcast(before), "_range")
-    return out.withColumn("pos", F.col("_before") + F.col("_own") - 1).drop("_k", "b", "_range", "_own", "_before")
+    return out.withColumn("pos", F.col("_before") + F.col("_own") - 1).drop("_range", "_own", "_before", *([] if total else ["_rows"]))
 
 
 def assign_windows(df: DataFrame, order: str, tie: str, per_window: int) -> DataFrame:
     """Adds window and pos (place in the window); the rows of an incomplete last window are dropped."""
     if per_window < 1:
         raise ValueError("per_window must be at least 1")
-    placed = global_position(df, order, tie).withColumn("window", F.floor(F.col("pos") / per_window).cast("long"))
-    full = placed.groupBy("window").count().where(F.col("count") == per_window).select("window")
-    out = placed.join(F.broadcast(full), "window", "left_semi")
+    placed = global_position(df, order, tie, total=True)
+    placed = placed.where(F.col("pos") < F.col("_rows") - F.col("_rows") % per_window).drop("_rows")
+    out = placed.withColumn("window", F.floor(F.col("pos") / per_window).cast("long"))
     return out.withColumn("pos", (F.col("pos") % per_window).cast("long"))
 
 
+#: Values that selection fetches for one rank once no more are left between its pivots.
+BRACKET = 10_000
+
+
+def order_statistics(df: DataFrame, wanted: list[tuple[str, int]]) -> dict[tuple[str, int], float]:
+    """The value of each (column, rank from 0) by distributed selection; nulls are left out.
+
+    Each round sketches two pivots around every rank among the rows between its last pivots, and counts the rows beside
+    and at them: one aggregation each for all ranks. A few ten thousandths of the rows are left per round, and only when
+    BRACKET or fewer are, they are fetched.
+    """
+    out: dict[tuple[str, int], float] = {}
+    sizes = df.agg(F.count(F.lit(1)), *(F.count(c) for c in dict.fromkeys(c for c, _ in wanted))).first()
+    size_of = dict(zip(dict.fromkeys(c for c, _ in wanted), sizes[1:], strict=True))
+    #: (value below, value above, rows up to the first, rows between both)
+    left: dict[tuple[str, int], tuple[float, float, int, int]] = {(c, r): (-math.inf, math.inf, 0, size_of[c]) for c, r in wanted if 0 <= r < size_of[c]}
+    x = lambda c: F.col(c).cast("double")
+    between = lambda c, lo, hi: F.when((x(c) > lo) & (x(c) < hi), x(c))
+    while left:
+        small = [key for key, v in left.items() if v[3] <= BRACKET]
+        if small:
+            row = df.agg(*(F.array_sort(F.collect_list(between(c, *left[c, r][:2]))).alias(f"v{k}") for k, (c, r) in enumerate(small))).first()
+            for k, (c, r) in enumerate(small):
+                out[c, r] = row[k][r - left.pop((c, r))[2]]
+            continue
+        keys = list(left)
+        aggs = []
+        for k, (c, r) in enumerate(keys):
+            lo, hi, below, held = left[c, r]
+            share = (r - below + 0.5) / held
+            aggs.append(F.percentile_approx(between(c, lo, hi), [max(0.0, share - 2e-4), min(1.0, share + 2e-4)], 10_000).alias(f"p{k}"))
+        pivots = [tuple(p) for p in df.agg(*aggs).first()]
+        aggs = []
+        for (c, _), (p, q) in zip(keys, pivots, strict=True):
+            aggs += [F.sum(F.when(cond, 1).otherwise(0)) for cond in (x(c) < p, x(c) <= p, x(c) < q, x(c) <= q)]
+        counts = df.agg(*(a.alias(f"n{k}") for k, a in enumerate(aggs))).first()
+        for k, ((c, r), (p, q)) in enumerate(zip(keys, pivots, strict=True)):
+            lo, hi, below, held = left[c, r]
+            under_p, to_p, under_q, to_q = counts[4 * k : 4 * k + 4]
+            if under_p <= r < to_p or under_q <= r < to_q:
+                out[c, r] = p if r < to_p else q
+                del left[c, r]
+            elif r < under_p:
+                left[c, r] = (lo, p, below, under_p - below)
+            elif r < under_q:
+                left[c, r] = (p, q, to_p, under_q - to_p)
+            else:
+                left[c, r] = (q, hi, to_q, below + held - to_q)
+    return out
+
+
+def quantiles(df: DataFrame, wanted: dict[str, list[float]]) -> dict[str, list[float | None]]:
+    """Exact quantiles of columns, linear between neighbouring order statistics; None for a column without values."""
+    sizes = df.agg(*(F.count(c) for c in wanted)).first()
+    at = {(c, q): (n - 1) * q for c, n in zip(wanted, sizes, strict=True) for q in wanted[c] if n}
+    ranks = sorted({(c, r) for (c, _), h in at.items() for r in (math.floor(h), math.ceil(h))})
+    value = order_statistics(df, ranks) if ranks else {}
+
+    def of(c: str, h: float) -> float:
+        a, b = value[c, math.floor(h)], value[c, math.ceil(h)]
+        return a + (h - math.floor(h)) * (b - a)
+
+    return {c: [of(c, at[c, q]) if (c, q) in at else None for q in qs] for c, qs in wanted.items()}
+
+
 def composite_order(df: DataFrame, bucket: str, order: str, tie: str, ranks: dict[str, int]) -> DataFrame:
     """combined_order = rank of the bucket + (place in the bucket - 1) / rows of the bucket; unknown buckets raise."""
     rank = F.element_at(F.create_map(*(F.lit(x) for kv in ranks.items() for x in kv)), F.col(bucket))

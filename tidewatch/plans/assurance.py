@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions import scalar as S
-from tidewatch.functions.rng import uniform, uniform_sql
-from tidewatch.operators import detectors, harm, inference, layers
+from tidewatch.functions.rng import normal_sql, uniform, uniform_sql
+from tidewatch.operators import detectors, harm, inference, layers, streams, worlds
 from tidewatch.operators import indicators as I
 from tidewatch.operators import windows as wn
 from tidewatch.operators.cases import BASELINE, CASES_SQL, FEATURES, HARM, REVIEWER, cases, windowed_cases
@@ -24,27 +25,34 @@ def _r(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in cols})
 
 
-RATIO_SQL = f"""
-ind AS (SELECT window_no AS win,
+def ratio_sql(source: str = "c", keys: str = "window_no AS win", more: str = "") -> str:
+    """Common table expression `ind`: the ratio indicators of groups of cases."""
+    high = f"confidence >= {I.HIGH_CONFIDENCE}"
+    return f"""
+ind AS (SELECT {keys},
   sum(y * decision)::DOUBLE / nullif(sum(y), 0) AS P1,
   sum((1 - y) * (1 - decision))::DOUBLE / nullif(sum(1 - y), 0) AS P2,
   sum(y * decision)::DOUBLE / nullif(sum(decision), 0) AS P3,
   1000 * avg(w * error) AS P5,
   abs(sum(error * g)::DOUBLE / nullif(sum(g), 0) - sum(error * (1 - g))::DOUBLE / nullif(sum(1 - g), 0)) AS P6,
   avg((p - y) * (p - y)) AS U2,
-  sum(CASE WHEN confidence >= {I.HIGH_CONFIDENCE} THEN error END)::DOUBLE / nullif(count(CASE WHEN confidence >= {I.HIGH_CONFIDENCE} THEN 1 END), 0) AS U4,
-  1 - avg(out_of_scope) AS C3 FROM c GROUP BY 1)"""
+  sum(CASE WHEN {high} THEN error END)::DOUBLE / nullif(count(CASE WHEN {high} THEN 1 END), 0) AS U4,
+  1 - avg(out_of_scope) AS C3{more} FROM {source} GROUP BY {", ".join(str(k + 1) for k in range(keys.count(",") + 1))})"""
+
+
+RATIO_SQL = ratio_sql()
 _dir = "CASE indicator " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in I.DIRECTION.items()) + " END"
 _late = "indicator IN (" + ", ".join(f"'{k}'" for k in I.LAGGED) + ")"
 
 
-def _scores_sql(names: tuple[str, ...], lag: int = LAG) -> str:
+def _scores_sql(names: tuple[str, ...], lag: int = LAG, stream: str = "", baseline: int = BASELINE, of: str = "ind", to: str = "z") -> str:
+    """Common table expression `to`: standardized and lagged scores of a wide table; stream: leading key columns, with a comma."""
     return f"""
-lf AS (SELECT win, indicator, x FROM ind UNPIVOT INCLUDE NULLS (x FOR indicator IN ({", ".join(names)}))),
-zz AS (SELECT *, coalesce({_dir} * (x - avg(CASE WHEN win < {BASELINE} THEN x END) OVER (PARTITION BY indicator))
-  / greatest(stddev_samp(CASE WHEN win < {BASELINE} THEN x END) OVER (PARTITION BY indicator), 1e-6), 0) AS z0 FROM lf),
-zl AS (SELECT *, CASE WHEN {_late} THEN lag(z0, {lag}) OVER (PARTITION BY indicator ORDER BY win) ELSE z0 END AS z1 FROM zz),
-z AS (SELECT indicator, win - {BASELINE} AS t, coalesce(z1, 0) AS z FROM zl WHERE win >= {BASELINE})"""
+{to}_f AS (SELECT {stream} win, indicator, x FROM {of} UNPIVOT INCLUDE NULLS (x FOR indicator IN ({", ".join(names)}))),
+{to}_z AS (SELECT *, coalesce({_dir} * (x - avg(CASE WHEN win < {baseline} THEN x END) OVER (PARTITION BY {stream} indicator))
+  / greatest(stddev_samp(CASE WHEN win < {baseline} THEN x END) OVER (PARTITION BY {stream} indicator), 1e-6), 0) AS z0 FROM {to}_f),
+{to}_l AS (SELECT *, CASE WHEN {_late} THEN lag(z0, {lag}) OVER (PARTITION BY {stream} indicator ORDER BY win) ELSE z0 END AS z1 FROM {to}_z),
+{to} AS (SELECT {stream} indicator, win - {baseline} AS t, coalesce(z1, 0) AS z FROM {to}_l WHERE win >= {baseline})"""
 
 
 FOLD_SQL = f"""
@@ -90,8 +98,8 @@ SELECT win, round(sum(abs(d)) / sum(n), 6) AS U1 FROM b GROUP BY 1"""
 
 
 def window_ks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = windowed_cases(spark, sf_dir).withColumn("_s", F.lit(0))
-    return _r(I.ks_to_baseline(df, ["window"], F.col("window") < BASELINE, ["_s"]).withColumnRenamed("window", "win"), "U5")
+    df = windowed_cases(spark, sf_dir)
+    return _r(I.ks_to_baseline(df, ["window"], F.col("window") < BASELINE, []).withColumnRenamed("window", "win"), "U5")
 
 
 WINDOW_KS = f"""WITH {CASES_SQL}, b AS (SELECT p, count(*) AS n FROM c WHERE window_no < {BASELINE} GROUP BY 1),
@@ -210,27 +218,25 @@ SELECT arm, round(avg(a), 6) AS share FROM s GROUP BY 1"""
 
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fourth window taken as the start of a change in turn, its onset one window later."""
-    e = _events(spark, sf_dir)
-    starts = e.select(F.col("t").alias("s0")).distinct().where("s0 % 4 = 1").withColumn("t0", F.col("s0") + 1)
-    return detectors.classify(e.crossJoin(F.broadcast(starts)).withColumn("s", F.col("s0")), ["arm", "s"], "s0", "t0", 20, J)
+    """Every window taken as the start of a change in turn, its onset one window later."""
+    return detectors.classify_all_starts(_events(spark, sf_dir), ["arm"], 1, 20, J)
 
 
 CLASSIFIED = f"""WITH RECURSIVE {EVENTS_SQL}, st AS (SELECT *, {_episode_sql("event", "arm")} AS st FROM ev),
-s0 AS (SELECT DISTINCT t AS s0, t + 1 AS t0 FROM ev WHERE t % 4 = 1),
-k AS (SELECT arm, s0 AS s, any_value(t0) AS t0, sum((st AND t < s0)::INT) AS false_alarms, min(CASE WHEN event AND t >= s0 THEN t END) AS first,
-  coalesce(bool_or(event AND t < s0 AND t >= s0 - {J}), false) AS carry_in FROM st, s0 GROUP BY 1, 2)
+k AS (SELECT arm, t AS s, t + 1 AS t0, coalesce(sum(st::INT) OVER (PARTITION BY arm ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS false_alarms,
+  min(CASE WHEN event THEN t END) OVER (PARTITION BY arm ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS first,
+  coalesce(bool_or(event) OVER (PARTITION BY arm ORDER BY t ROWS BETWEEN {J} PRECEDING AND 1 PRECEDING), false) AS carry_in FROM st)
 SELECT arm, s, false_alarms::BIGINT AS false_alarms, (first IS NULL OR first >= t0 + 20) AS censored, CASE WHEN first IS NULL OR first >= t0 + 20 THEN 20 ELSE greatest(0, first - t0) END::BIGINT AS tafd,
   coalesce(first < t0, false) AS anticipatory, CASE WHEN first < t0 THEN t0 - first ELSE 0 END::BIGINT AS lead_time, carry_in FROM k"""
 
+#: Geometry of null streams and replicates: streams, windows, baseline windows, windows of a block.
+NULL = {"streams": 300, "n_out": 64, "n_baseline": 16, "block": 8}
 
-def null_scores(spark: SparkSession, sf_dir: str, streams: int = 40, n_out: int = 48) -> DataFrame:
-    """Scores of resampled null streams: window tables are resampled, cases are not multiplied."""
-    wide = I.model_ratios(windowed_cases(spark, sf_dir), ["window"])
-    n_real = wide.count()
-    plan = inference.block_plan(spark, streams, n_out, n_real, min(4, n_real))
-    long = I.long_form(inference.resampled(wide, plan), list(RATIOS), ["stream", "window"])
-    return detectors.scores(long, 16, LAG, ["stream"])
+
+def null_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all indicators in resampled null streams."""
+    df = windowed_cases(spark, sf_dir)
+    return streams.null_scores(df, FEATURES, NULL["streams"], NULL["n_out"], NULL["n_baseline"], NULL["block"], LAG)
 
 
 def calibrated_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -313,16 +319,11 @@ SELECT param_id, round(a * (1 - verify) + m * (1 - p_deliver) + d * 0.2 * late,
 # --- review, workflow, audits --------------------------------------------------------------------------------------------
 
 
-def _normal_sql(ident: str, salt: int) -> str:
-    u, v = uniform_sql(ident, salt), uniform_sql(ident, salt + 7919)
-    return f"sqrt(-2.0 * ln(greatest({u}, 1.0 / 2147483648))) * cos(2.0 * pi() * {v})"
-
-
 def _u(salt: int) -> str:
     return uniform_sql("case_id", salt)
 
 
-REVIEW_SQL = f"""{CASES_SQL}, r1 AS (SELECT *, {_u(30)} < {REVIEWER.coverage} AS examined, error = 1 AS is_error, exp({REVIEWER.latency_sigma} * {_normal_sql("case_id", 31)}) AS latency, {_u(32)} < 0.2 AS audited FROM c),
+REVIEW_SQL = f"""{CASES_SQL}, r1 AS (SELECT *, {_u(30)} < {REVIEWER.coverage} AS examined, error = 1 AS is_error, exp({REVIEWER.latency_sigma} * {normal_sql("case_id", 31)}) AS latency, {_u(32)} < 0.2 AS audited FROM c),
 r2 AS (SELECT *, examined AND is_error AND {_u(33)} < {_seen} AS recognized, examined AND NOT is_error AND {_u(34)} < {REVIEWER.false_reject} AS wrong, is_error AND severity >= {HARM.cutoff} AS required, true AS in_time FROM r1),
 rv AS (SELECT *, examined AS reviewed, recognized AND in_time AS intercepted FROM r2)"""
 
@@ -348,7 +349,7 @@ def workflow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 WORKFLOW_SQL = f"""{REVIEW_SQL}, w1 AS (SELECT window_no, case_id, is_error, intercepted, severity, decision = 1 AS initiated, decision = 1 AND y = 1 AS required, (decision = 1 AND y = 1 AND {_u(50)} < 0.98) AS delivered,
-  exp(0.5 * {_normal_sql("case_id", 51)}) AS tat, CASE WHEN decision = 1 THEN 1 ELSE 0 END AS alerts FROM rv),
+  exp(0.5 * {normal_sql("case_id", 51)}) AS tat, CASE WHEN decision = 1 THEN 1 ELSE 0 END AS alerts FROM rv),
 wf AS (SELECT *, delivered AND tat > 4.0 AS late, initiated AND {_u(53)} < CASE WHEN required AND NOT delivered THEN 0.98 * 0.5 ELSE 0.98 END AS completed,
   CASE WHEN alerts > 0 AND {_u(60)} < 0.7 THEN 1 ELSE 0 END AS actioned, is_error AND NOT intercepted AND {_u(54)} >= 0.5 AS downstream FROM w1)"""
 WORKFLOW = f"""WITH {WORKFLOW_SQL} SELECT window_no AS win, round({_n("delivered")} / nullif({_n("required")}, 0), 6) AS H7, round({_n("completed")} / nullif({_n("initiated")}, 0), 6) AS O1,
@@ -461,25 +462,112 @@ j AS (SELECT *, rk <= round_even(share * in_window, 0) AS inn, CAST(floor({_u(91
 a AS (SELECT j.* REPLACE (CASE WHEN inn THEN py ELSE y END AS y, {", ".join(f"CASE WHEN inn THEN p{f} ELSE {f} END AS {f}" for f in FEATURES)}) FROM j LEFT JOIN pool ON inn AND pool.slot = j.sl), {_model_sql("a", "m")} {_rates}"""
 
 
+#: Level of each change in the query below.
+LEVELS = {
+    "none": 1.0, "covariate_mean_shift": 0.8, "class_prior_shift": 1.95, "slope_and_intercept_drift": 0.5, "shrink_scores_to_base_rate_recalibrated": 0.4,
+    "mcar_missingness": 0.5, "variable_rescale": 3.51, "outcome_model_change": 0.136, "subgroup_outcome_model_change": 0.15, "version_swap_with_regression": 0.653,
+    "covariate_and_concept_drift": 0.1, "out_of_scope_use_share": 0.3,
+}
+#: Slope and intercept of the outcome link that the pool gives for a loss (and subgroup); tests solve them anew.
+SOLVED = {
+    "outcome_model_change": ((0.888842046726495, -1.7009515430719904), (0.7868586932308972, -1.6730363162994755), (0.6920003066770732, -1.652624290285847)),
+    "subgroup_outcome_model_change": ((0.8741053999401629, -1.7052328335884797), (0.7573014437220991, -1.6816114320900712), (0.6473766355775297, -1.6657310444691464)),
+    "covariate_and_concept_drift": ((0.9172755717299879, -1.709734414013624), (0.8398450859822333, -1.6868162747995765), (0.76680449815467, -1.668251219262971)),
+    "out_of_scope_use_share": ((0.2133012250997126, -1.657995403654752),),
+}
+_summary = ("prevalence", "mean_p", "sensitivity", "error_rate", "mean_severity", "scope_share")
+
+
+def _world_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").cast("long").alias("case_id"))
+
+
 def synthetic_world(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Harm-free summary of 20,000 synthetic cases under every registered change."""
-    n = 20_000
+    """Every registered change at three stages of an incremental ramp, over a synthetic case for each event."""
+    ids = _world_ids(spark, sf_dir)
+    progress = (F.col("case_id") % 3 + 1) / 3.0
+    parts = [
+        worlds.world_summary(worlds.change(name)(ids, progress, LEVELS[name], (1 / 3, 2 / 3, 1.0)), [F.lit(name).alias("change"), (F.col("case_id") % 3).alias("stage")])
+        for name in worlds.registered()
+    ]
+    return _r(reduce(DataFrame.unionByName, parts), *_summary)
+
+
+def _world_sql() -> str:
+    u, d = lambda k: uniform_sql("case_id", k), worlds.direction()
+    pr, odds, norm = "((case_id % 3 + 1) / 3.0)", worlds.LOG_ODDS, sum(v * v for v in worlds.direction()) ** 0.5
+    sub = f"CASE WHEN g = 1 THEN {worlds.SUBGROUP_SCALE} ELSE 1.0 END"
+    sev = lambda y: _severity(y, u(3))
+    lin = lambda xs: " + ".join(f"{w} * ({x})" for w, x in zip(d, xs, strict=True))
+    own = list(worlds.X)
+    sig = lambda z: f"(1 / (1 + exp(-({z}))))"
+    out = ["i AS (SELECT event_id AS case_id FROM events)"]
     parts = []
-    for name in layers.registered():
-        df = layers.perturbation(name)(layers.world(spark, n), F.lit(1.0), 0.5)
-        parts.append(df.agg(F.lit(name).alias("change"), F.avg(F.col("y").cast("double")).alias("prevalence"), F.avg("p").alias("mean_p"), F.avg(F.col("error").cast("double")).alias("error_rate")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return _r(out, "prevalence", "mean_p", "error_rate")
+
+    def solved(name: str, k: int) -> str:
+        rows = SOLVED[name]
+        return "CASE case_id % 3 " + " ".join(f"WHEN {n} THEN {r[k]!r}" for n, r in enumerate(rows)) + " END"
+
+    for name in worlds.registered():
+        level = LEVELS[name]
+        amount, ratio = f"({level} * {pr})", f"(1 + {pr} * ({level} - 1))"
+        prior = f"least({worlds.MOST_PREVALENT}, {worlds.PREVALENCE} * {ratio})" if name == "class_prior_shift" else f"{worlds.PREVALENCE}"
+        flag = f"({u(306)} < least(1.0, {amount}))::INT" if name == "out_of_scope_use_share" else "0"
+        move = {"covariate_mean_shift": amount, "covariate_and_concept_drift": f"({worlds.COMPOUND_SHIFT} * {pr})", "out_of_scope_use_share": f"({worlds.COMPOUND_SHIFT} * out_of_scope)"}.get(name, "0.0")
+        link_ = f"({lin(own)}) * {sub}"
+        y = "y"
+        if name == "covariate_mean_shift":
+            y = f"({u(4)} < {sig(f'{odds} + {link_}')})::INT"
+        elif name in ("outcome_model_change", "covariate_and_concept_drift"):
+            y = f"({u(4)} < {sig(f'{solved(name, 1)} + {solved(name, 0)} * ({link_})')})::INT"
+        elif name == "subgroup_outcome_model_change":
+            y = f"({u(4)} < {sig(f'CASE WHEN g = 1 THEN {solved(name, 1)} ELSE {odds} END + CASE WHEN g = 1 THEN {solved(name, 0)} ELSE 1.0 END * ({link_})')})::INT"
+        elif name == "out_of_scope_use_share":
+            y = f"CASE WHEN out_of_scope = 1 THEN ({u(4)} < {sig(f'{SOLVED[name][0][1]!r} + {SOLVED[name][0][0]!r} * ({link_})')})::INT ELSE y END"
+        inputs, weights = list(own), [str(v) for v in d]
+        if name == "mcar_missingness":
+            inputs[0] = f"CASE WHEN {u(303)} < {amount} THEN {worlds.TRAIN_MEAN!r} ELSE x1 END"
+        if name == "variable_rescale":
+            inputs[0] = f"x1 * {ratio}"
+        if name == "version_swap_with_regression":
+            weights = [f"((1 - {amount}) * {a} + {amount} * {(-1) ** k * d[k ^ 1]})" for k, a in enumerate(d)]
+        score = sig(f"{odds} + " + " + ".join(f"{w} * ({x})" for w, x in zip(weights, inputs, strict=True)))
+        shown, last = "p", "y2"
+        if name == "slope_and_intercept_drift":
+            q = "least(greatest(p, 1e-9), 1 - 1e-9)"
+            shown = sig(f"ln({q} / (1 - {q})) / {ratio}")
+        if name == "shrink_scores_to_base_rate_recalibrated":
+            shown, last = f"((1 - {amount}) * p + {amount} * {worlds.PREVALENCE})", f"({u(302)} < rp)::INT"
+        k = f"w{len(parts)}"
+        side = "CASE WHEN y = 1 THEN 0.5 ELSE -0.5 END"
+        xs = ", ".join(f"{side} * CASE WHEN g = 1 THEN {b} ELSE {a} END + {normal_sql('case_id', 101 + n)} + {move} * {a / norm!r} AS {x}" for n, (x, a, b) in enumerate(zip(own, d, worlds.direction(1), strict=True)))
+        by_shown = name == "shrink_scores_to_base_rate_recalibrated"
+        out += [
+            f"{k}a AS (SELECT case_id, ({u(1)} < {prior})::INT AS y, ({u(2)} < {worlds.SUBGROUP})::INT AS g, {flag} AS out_of_scope FROM i)",
+            f"{k}b AS (SELECT *, {xs} FROM {k}a)",
+            f"{k}c AS (SELECT *, {y} AS y2, {score} AS p FROM {k}b)",
+            f"{k}d AS (SELECT *, {shown} AS rp FROM {k}c)",
+            f"{k}e AS (SELECT case_id % 3 AS stage, out_of_scope, rp, {last} AS y3, ({'rp' if by_shown else 'p'} >= {worlds.THRESHOLD})::INT AS d, {sev(last)} AS sev FROM {k}d)",
+        ]
+        parts.append(
+            f"SELECT '{name}' AS change, stage, round(avg(y3), 6) AS prevalence, round(avg(rp), 6) AS mean_p, round(sum(y3 * d)::DOUBLE / nullif(sum(y3), 0), 6) AS sensitivity, "
+            f"round(avg((y3 <> d)::INT), 6) AS error_rate, round(avg(sev), 6) AS mean_severity, round(avg(out_of_scope), 6) AS scope_share FROM {k}e GROUP BY 2"
+        )
+    return "WITH " + ",\n".join(out) + "\n" + "\nUNION ALL ".join(parts)
+
+
+def _severity(y: str, u: str) -> str:
+    row = lambda p: f"CASE WHEN {u} <= {p[0]} THEN 1 WHEN {u} <= {p[0] + p[1]} THEN 2 ELSE 3 END"
+    return f"CASE WHEN ({y}) = 1 THEN {row(HARM.positive)} ELSE {row(HARM.negative)} END"
+
+
+SYNTHETIC_WORLD = _world_sql()
 
 
 def bootstrap_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reduction of delay of every system against the conventional one, with interval, p and Holm's adjustment."""
     d = classified(spark, sf_dir).select("arm", "s", "tafd")
-    pairs = d.where("arm <> 'conventional'").join(d.where("arm = 'conventional'").select("s", F.col("tafd").alias("reference")), "s")
-    out = inference.bootstrap(pairs.select("arm", "reference", F.col("tafd").alias("candidate")), ["arm"])
-    return inference.holm(out.withColumnRenamed("arm", "test"))
+    return inference.holm(inference.arm_reductions(d, "arm", ["s"], "tafd", "conventional").withColumnRenamed("arm", "test"))
 
 
 def holm_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -518,11 +606,10 @@ def exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     ex = harm.onset_table(windowed_cases(spark, sf_dir), BASELINE).where(F.col("window") >= BASELINE)
     ex = ex.select((F.col("window") - BASELINE).alias("t"), F.greatest(F.lit(0.0), F.col("rhe") - F.col("base")).alias("excess"))
     d = classified(spark, sf_dir).select("arm", "s", (F.col("s") + 1).alias("t0"), "tafd")
-    all_ = d.select("arm", "s").crossJoin(F.broadcast(ex))
-    return _r(detectors.exposure(all_, d, ["arm", "s"]), "exposure")
+    return _r(detectors.exposure(ex, d, ["arm", "s"]), "exposure")
 
 
-EXPOSURE = CLASSIFIED.replace("WITH RECURSIVE ", "WITH RECURSIVE ", 1).rsplit("SELECT arm, s,", 1)[0] + f""",
+EXPOSURE = CLASSIFIED.rsplit("SELECT arm, s,", 1)[0] + f""",
 d AS (SELECT arm, s, t0, CASE WHEN first IS NULL OR first >= t0 + 20 THEN 20 ELSE greatest(0, first - t0) END AS tafd FROM k),
 hm AS (SELECT *, 1000.0 * w * error * (1 - {REVIEWER.coverage} * {_seen}) AS harm FROM c), bb AS (SELECT avg(harm) AS base FROM hm WHERE window_no < {BASELINE}),
 x AS (SELECT window_no - {BASELINE} AS t, greatest(0, avg(harm) - any_value(base)) AS excess FROM hm, bb WHERE window_no >= {BASELINE} GROUP BY 1)
@@ -552,6 +639,6 @@ ORACLE = {
     "arm_events": ARM_EVENTS, "alert_rates": ALERT_RATES, "horizon_alerts": HORIZON, "classified": CLASSIFIED, "block_plan": BLOCK_PLAN,
     "harm_windows": HARM_WINDOWS, "onset": ONSET, "rolling_onset": ROLLING_ONSET, "onset_cusum": ONSET_CUSUM, "workflow_harm": WORKFLOW_HARM,
     "oversight": OVERSIGHT, "workflow": WORKFLOW, "audit": AUDIT, "audit_stratified": AUDIT_STRATIFIED, "schedules": SCHEDULES,
-    "perturb_rescale": PERTURB_RESCALE, "perturb_missing": PERTURB_MISSING, "perturb_scope": PERTURB_SCOPE, "holm_tests": HOLM, "pooled_mean": POOLED,
+    "perturb_rescale": PERTURB_RESCALE, "perturb_missing": PERTURB_MISSING, "perturb_scope": PERTURB_SCOPE, "synthetic_world": SYNTHETIC_WORLD, "holm_tests": HOLM, "pooled_mean": POOLED,
     "progress_runs": PROGRESS_RUNS, "exposure": EXPOSURE, "chunked_harm": CHUNKED,
 }

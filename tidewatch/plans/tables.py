@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewatch.functions import scalar as S
@@ -66,13 +67,22 @@ def _stays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def return_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Survivors only: a next stay within 30 days."""
-    return _stays(spark, sf_dir).where("o_orderstatus <> 'F'").select("stay", "subject", "label")
+    return _stays(spark, sf_dir).where(features.survived(F.col("o_orderstatus") == "F")).select("stay", "subject", "label")
 
 
 _lead = "n AS (SELECT *, lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS nx FROM orders)"
 RETURN_LABEL = f"WITH {_lead} SELECT o_orderkey AS stay, o_custkey AS subject, coalesce(nx <= o_orderdate + INTERVAL 30 DAY, false)::INT AS label FROM n WHERE o_orderstatus <> 'F'"
 
 
+def death_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """label 1 for a status of F, 0 for others; those without a status are dropped; and whether the stay counts as survived."""
+    o = features.label_flag(_t(spark, sf_dir, "orders").withColumn("died", F.col("o_orderstatus") == "F"), "died")
+    return o.select(F.col("o_orderkey").alias("stay"), "label", features.survived(F.col("died")).alias("survived"))
+
+
+DEATH_LABEL = "SELECT o_orderkey AS stay, (o_orderstatus = 'F')::INT AS label, o_orderstatus <> 'F' AS survived FROM orders WHERE o_orderstatus IS NOT NULL"
+
+
 def exists_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """1 where a stay has a returned line at a high discount."""
     pos = _t(spark, sf_dir, "lineitem").where("l_returnflag = 'R' AND l_discount >= 0.08").select(F.col("l_orderkey").alias("stay"))
@@ -93,37 +103,98 @@ LABELLED = f"SELECT a.stay, f1_count, f2_last, label FROM ({FEATURE_ROLLUP}) a J
 # --- suppressed aggregates -----------------------------------------------------------------------------------------------
 
 
-def _suppressed(sql: str, counts: list[str]):
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        from tidewatch.sources.readers import run_aggregate
+def _priority_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stays of each priority, and those of them that cost at least 30,000, by quarter."""
+    o = _t(spark, sf_dir, "orders").withColumn("quarter", F.concat(F.year("o_orderdate"), F.lit("Q"), F.quarter("o_orderdate")))
+    return o.groupBy("quarter", F.col("o_orderpriority").alias("priority")).agg(F.count("*").alias("stays"), F.count_if(F.col("o_totalprice") >= 30000).alias("dear"))
 
-        for name in ("orders", "customer", "nation", "region", "lineitem"):
-            _t(spark, sf_dir, name).createOrReplaceTempView(name)
-        return run_aggregate(spark, sql, counts)
 
-    return run
+def _open_by_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stays of each market segment, those still open, and those of customers in debt."""
+    both = _t(spark, sf_dir, "orders").join(_t(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    return both.groupBy(F.col("c_mktsegment").alias("segment")).agg(
+        F.count("*").alias("stays"), F.count_if(F.col("o_orderstatus") == "O").alias("still_open"), F.count_if(F.col("c_acctbal") < 0).alias("in_debt")
+    )
 
 
-def _suppressed_sql(sql: str, counts: list[str]) -> str:
-    size = counts[0]
-    shown = ", ".join(f"CASE WHEN {size} >= 10 AND {c} >= 10 THEN {c} END AS {c}" for c in counts)
-    return f"SELECT * EXCLUDE ({', '.join(counts)}), {shown} FROM ({sql})"
+def _region_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines shipped by each region's suppliers, and how many of them came back."""
+    li, s = _t(spark, sf_dir, "lineitem"), _t(spark, sf_dir, "supplier")
+    n, r = _t(spark, sf_dir, "nation"), _t(spark, sf_dir, "region")
+    both = li.join(s, li.l_suppkey == s.s_suppkey).join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
+    return both.groupBy(F.col("r_name").alias("region"), F.year("l_shipdate").alias("shipped")).agg(F.count("*").alias("lines"), F.count_if(F.col("l_returnflag") == "R").alias("came_back"))
+
+
+def _gap_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bands of days between a subject's neighbouring stays, and the stays after which the status was F."""
+    w = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    days = F.date_diff(F.lead("o_orderdate").over(w), F.col("o_orderdate"))
+    gaps = _t(spark, sf_dir, "orders").select("o_orderstatus", days.alias("days")).where("days IS NOT NULL")
+    band = features.size_bins(F.col("days"), [30, 90, 365], ["a month", "a quarter", "a year", "longer"])
+    return gaps.groupBy(band.alias("band")).agg(F.count("*").alias("gaps"), F.count_if(F.col("o_orderstatus") == "F").alias("ended"))
+
+
+def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stays with and without a measured feature f5, by status."""
+    have = _readings(spark, sf_dir).where("feature = 'f5'").select("stay").distinct().withColumn("has", F.lit(1))
+    o = _t(spark, sf_dir, "orders").join(have, F.col("stay") == F.col("o_orderkey"), "left")
+    return o.groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("stays"), F.count("has").alias("measured"))
+
+
+def _part_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of each brand, and the large ones among them."""
+    return _t(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("brand")).agg(F.count("*").alias("parts"), F.count_if(F.col("p_size") > 40).alias("large"))
+
 
+def _label_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of each source, those with a label, and the good ones."""
+    both = _t(spark, sf_dir, "documents").select("doc_id", "source").join(_t(spark, sf_dir, "labels"), "doc_id", "left")
+    return both.groupBy("source").agg(F.count("*").alias("documents"), F.count("quality").alias("labelled"), F.count_if(F.col("quality") == 1).alias("good"))
 
-_year = "CAST(year(o_orderdate) AS INT)"
-#: The fixed aggregates: name to (SQL for both engines, count columns; the first is the cell's size).
+
+def _busy_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users by how many events they have; busy ones have 5 or more on one day."""
+    e = _t(spark, sf_dir, "events")
+    day = e.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
+    user = day.groupBy("user_id").agg(F.sum("n").alias("n"), F.max("n").alias("top"))
+    band = features.size_bins(F.col("n"), [40, 60, 80], ["under 40", "40 to 59", "60 to 79", "80 up"])
+    return user.groupBy(band.alias("band")).agg(F.count("*").alias("users"), F.count_if(F.col("top") >= 5).alias("busy"))
+
+
+#: The suppressed aggregates: name to (frame, count columns, the first of which is the cell's size, SQL of the frame).
 AGGREGATES = {
-    "agg_by_period": (f"SELECT {_year} AS period, c_mktsegment AS segment, count(*) AS n, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS deaths FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2", ["n", "deaths"]),
-    "agg_codes_by_period": (f"SELECT {_year} AS period, count(*) AS n, CAST(sum(CASE WHEN d.k IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS coded FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_returnflag = 'R' AND l_tax >= 0.08) d ON d.k = o_orderkey GROUP BY 1", ["n", "coded"]),
-    "agg_row_number": ("SELECT l_linenumber AS rn, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY 1 LIMIT 5", ["n"]),
-    "agg_by_nation": (f"SELECT n_name AS nation, r_name AS region, {_year} AS period, count(*) AS n, CAST(sum(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END) AS BIGINT) AS urgent FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY 1, 2, 3", ["n", "urgent"]),
-    "agg_return_by_period": (f"WITH a AS (SELECT {_year} AS period, o_orderstatus, o_orderdate, lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS nx FROM orders) SELECT period, count(*) AS n, CAST(sum(CASE WHEN nx <= o_orderdate + INTERVAL 30 DAY THEN 1 ELSE 0 END) AS BIGINT) AS returned FROM a WHERE o_orderstatus <> 'F' GROUP BY 1", ["n", "returned"]),
-    "agg_size_bins": ("WITH h AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) SELECT CASE WHEN n < 5 THEN 'under 5' WHEN n < 10 THEN '5 to 9' WHEN n < 15 THEN '10 to 14' WHEN n < 20 THEN '15 to 19' ELSE '20 or more' END AS size_bin, count(*) AS customers, CAST(sum(n) AS BIGINT) AS stays FROM h GROUP BY 1", ["customers", "stays"]),
-    "agg_unit_types": ("SELECT c_mktsegment AS unit_type, count(*) AS n FROM customer GROUP BY 1", ["n"]),
-    "agg_available": ("SELECT count(*) AS n, CAST(sum(CASE WHEN o_orderpriority IS NOT NULL AND o_orderpriority <> '' THEN 1 ELSE 0 END) AS BIGINT) AS with_prediction FROM orders", ["n", "with_prediction"]),
+    "agg_priority_mix": (_priority_mix, ["stays", "dear"], "SELECT year(o_orderdate) || 'Q' || quarter(o_orderdate) AS quarter, o_orderpriority AS priority, count(*) AS stays, count_if(o_totalprice >= 30000) AS dear FROM orders GROUP BY 1, 2"),
+    "agg_open_by_segment": (_open_by_segment, ["stays", "still_open", "in_debt"], "SELECT c_mktsegment AS segment, count(*) AS stays, count_if(o_orderstatus = 'O') AS still_open, count_if(c_acctbal < 0) AS in_debt FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1"),
+    "agg_region_returns": (_region_returns, ["lines", "came_back"], "SELECT r_name AS region, year(l_shipdate)::INT AS shipped, count(*) AS lines, count_if(l_returnflag = 'R') AS came_back FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY 1, 2"),
+    "agg_gap_bands": (_gap_bands, ["gaps", "ended"], "SELECT CASE WHEN d < 30 THEN 'a month' WHEN d < 90 THEN 'a quarter' WHEN d < 365 THEN 'a year' ELSE 'longer' END AS band, count(*) AS gaps, count_if(o_orderstatus = 'F') AS ended FROM (SELECT o_orderstatus, date_diff('day', o_orderdate, lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)) AS d FROM orders) WHERE d IS NOT NULL GROUP BY 1"),
+    "agg_measured": (_measured, ["stays", "measured"], "SELECT o_orderstatus AS status, count(*) AS stays, count_if(o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 7)) AS measured FROM orders GROUP BY 1"),
+    "agg_part_sizes": (_part_sizes, ["parts", "large"], "SELECT p_brand AS brand, count(*) AS parts, count_if(p_size > 40) AS large FROM part GROUP BY 1"),
+    "agg_label_cover": (_label_cover, ["documents", "labelled", "good"], "SELECT source, count(*) AS documents, count(quality) AS labelled, count_if(quality = 1) AS good FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1"),
+    "agg_busy_users": (_busy_users, ["users", "busy"], "SELECT CASE WHEN n < 40 THEN 'under 40' WHEN n < 60 THEN '40 to 59' WHEN n < 80 THEN '60 to 79' ELSE '80 up' END AS band, count(*) AS users, count_if(top >= 5) AS busy FROM (SELECT user_id, sum(n) AS n, max(n) AS top FROM (SELECT user_id, ts::DATE AS day, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1) GROUP BY 1"),
 }
 
 
+def _suppressed(frame, counts: list[str]):
+    return lambda spark, sf_dir: features.suppressed(frame(spark, sf_dir), counts)
+
+
+def _suppressed_sql(counts: list[str], sql: str) -> str:
+    least = S.LEAST_CELL
+    shown = ", ".join(f"CASE WHEN {counts[0]} >= {least} AND {c} >= {least} THEN {c} END::BIGINT AS {c}" for c in counts)
+    return f"SELECT * EXCLUDE ({', '.join(counts)}), {shown} FROM ({sql})"
+
+
+def statement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stated read-only statement, run over views and suppressed."""
+    from tidewatch.sources.readers import run_aggregate
+
+    _t(spark, sf_dir, "lineitem").createOrReplaceTempView("lineitem")
+    return run_aggregate(spark, STATEMENT, ["lines"])
+
+
+STATEMENT = "SELECT l_linestatus AS status, l_linenumber AS line, count(*) AS lines FROM lineitem GROUP BY l_linestatus, l_linenumber"
+
+
 def composite_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = {"1-URGENT": 0, "2-HIGH": 1, "3-MEDIUM": 2, "4-NOT SPECIFIED": 3, "5-LOW": 4}
     o = _t(spark, sf_dir, "orders")
@@ -188,34 +259,40 @@ FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1"""
 
 
 def duplicate_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.duplicates(_t(spark, sf_dir, "lineitem").where("l_linenumber = 1"), "l_orderkey")
+    """Lines that are listed more than once, by order and line number."""
+    lines = _t(spark, sf_dir, "lineitem").select(F.concat_ws("/", "l_orderkey", "l_linenumber").alias("line"))
+    return catalog.duplicates(lines, "line")
 
 
-DUPLICATES = "SELECT CAST(l_orderkey AS VARCHAR) AS \"where\", 'duplicate id' AS message FROM lineitem WHERE l_linenumber = 1 GROUP BY l_orderkey HAVING count(*) > 1"
+DUPLICATES = "SELECT l_orderkey || '/' || l_linenumber AS \"where\", 'duplicate id' AS message FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1"
 
 
 def quote_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quotes (the start of each document) against sources (other documents): which are not contained."""
-    d = _t(spark, sf_dir, "documents")
-    q = d.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("source"), F.substring("text", 5, 60).alias("quote"))
-    s = d.where("doc_id % 3 <> 0").select(F.col("doc_id").alias("source"), "text")
-    return catalog.contains_quote(q, s)
+    """Whole benchmark items as quotes, each against the document of the same place in the order of ids: which are absent."""
+    q = _t(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.regexp_extract(F.col("item_id").cast("string"), r"([0-9]+)$", 1).cast("long").alias("source"), F.col("text").alias("quote"))
+    s = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("source"), "text")
+    own = s.select(F.col("source").cast("string").alias("id"), "source", F.expr("substring(text, 1, CAST(length(text) / 2 AS INT))").alias("quote"))
+    shifted = own.select("id", (F.col("source") + 1).alias("source"), "quote")
+    return catalog.contains_quote(q.union(own).union(shifted), s)
 
 
 _nrm = lambda c: f"regexp_replace(lower({c}), '[^a-z0-9]', '', 'g')"
-QUOTES = f"""WITH q AS (SELECT a.doc_id AS id, b.doc_id AS src, contains({_nrm("b.text")}, {_nrm("substr(a.text, 5, 60)")}) AS ok FROM documents a LEFT JOIN documents b ON a.doc_id = b.doc_id AND b.doc_id % 3 <> 0)
-SELECT CAST(id AS VARCHAR) AS "where", CASE WHEN src IS NULL THEN 'no such source' ELSE 'quote not found' END AS message FROM q WHERE src IS NULL OR NOT ok"""
+QUOTES = f"""WITH h AS (SELECT doc_id, substr(text, 1, (length(text) / 2)::INT) AS quote FROM documents),
+q AS (SELECT item_id::VARCHAR AS id, TRY_CAST(regexp_extract(item_id::VARCHAR, '([0-9]+)$', 1) AS BIGINT) AS src, text AS quote FROM benchmark
+  UNION ALL SELECT doc_id::VARCHAR, doc_id, quote FROM h UNION ALL SELECT doc_id::VARCHAR, doc_id + 1, quote FROM h),
+j AS (SELECT id, doc_id, contains({_nrm("b.text")}, {_nrm("quote")}) AS ok FROM q LEFT JOIN documents b ON b.doc_id = q.src)
+SELECT id AS "where", CASE WHEN doc_id IS NULL THEN 'no such source' ELSE 'quote not found' END AS message FROM j WHERE doc_id IS NULL OR NOT ok"""
 
 
 def page_locator(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of a document stand for pages: the first page that has the start of its last words."""
     d = _t(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "\n", "\f").alias("text"))
-    q = d.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("source"), F.expr("right(text, 60)").alias("quote"))
-    return catalog.locate_page(d.select(F.col("doc_id").alias("source"), "text"), q, 20).select("id", F.col("page").cast("int").alias("page"))
+    q = d.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("source"), F.expr("right(text, 90)").alias("quote"))
+    return catalog.locate_page(d.select(F.col("doc_id").alias("source"), "text"), q).select("id", F.col("page").cast("int").alias("page"))
 
 
 PAGES = f"""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) AS page FROM documents),
-q AS (SELECT doc_id, substr({_nrm("right(text, 60)")}, 1, 20) AS start FROM documents), h AS (SELECT q.doc_id, min(page) AS page FROM q JOIN p USING (doc_id) WHERE contains({_nrm("body")}, start) GROUP BY 1)
+q AS (SELECT doc_id, substr({_nrm("right(text, 90)")}, 1, 50) AS start FROM documents), h AS (SELECT q.doc_id, min(page) AS page FROM q JOIN p USING (doc_id) WHERE contains({_nrm("body")}, start) GROUP BY 1)
 SELECT q.doc_id AS id, page::INT AS page FROM q LEFT JOIN h USING (doc_id)"""
 
 
@@ -260,11 +337,12 @@ QUERIES = {
     "labelled_features": labelled_features, "composite_order": composite_order, "schema_dump": schema_dump, "keyword_counts": keyword_counts,
     "normalized_text": normalized_text, "label_joins": label_joins, "duplicate_values": duplicate_values, "quote_check": quote_check,
     "page_locator": page_locator, "reference_check": reference_check, "parsed_levels": parsed_levels, "margins": margins,
-    **{k: _suppressed(*v) for k, v in AGGREGATES.items()},
+    "statement": statement, "death_label": death_label, **{k: _suppressed(f, c) for k, (f, c, _) in AGGREGATES.items()},
 }
 ORACLE = {
     "feature_rollup": FEATURE_ROLLUP, "closed_window": CLOSED_WINDOW, "return_label": RETURN_LABEL, "exists_label": EXISTS_LABEL,
     "labelled_features": LABELLED, "composite_order": COMPOSITE, "schema_dump": SCHEMA_DUMP, "keyword_counts": KEYWORDS, "normalized_text": NORMALIZED,
     "label_joins": LABEL_JOINS, "duplicate_values": DUPLICATES, "quote_check": QUOTES, "page_locator": PAGES, "reference_check": REFERENCES,
-    "parsed_levels": LEVELS, "margins": MARGINS, **{k: _suppressed_sql(*v) for k, v in AGGREGATES.items()},
+    "parsed_levels": LEVELS, "margins": MARGINS, "statement": _suppressed_sql(["lines"], STATEMENT), "death_label": DEATH_LABEL,
+    **{k: _suppressed_sql(c, sql) for k, (_, c, sql) in AGGREGATES.items()},
 }
