@@ -1,18 +1,20 @@
 """HTML extraction by tag-path ratios.
 
-A page is parsed to text pieces, each with its root-to-leaf tag path. For each path of the page the characters and the
-punctuation marks of its pieces are summed; text per node and punctuation per node are two ratios of a path. The
-sequence of ratios over the page's blocks is smoothed with a Gaussian kernel, the smoothed ratios are fused into one
-score, and blocks from a share of the page's spread on are kept. Blocks in an article keep together: within the
-containers that hold the kept text, short blocks (a heading, a one-word paragraph) stay. Text under elements
-that are never article text (script, style, nav, footer, form, aside, adverts, notices, comments and the like, by tag,
-role or class word) has no score.
+A page is parsed to text pieces, each with its root-to-leaf tag path. For each path of the page the characters outside
+links and the punctuation marks of its pieces are summed; unlinked text per node and punctuation per node are two ratios
+of a path. The sequence of ratios over the page's blocks is smoothed with a Gaussian kernel, and the smoothed ratios are
+fused into one score, which is 0 for blocks whose tag, role or class words say that they are never article text (script,
+style, nav, footer, form, aside, adverts, notices, comments and the like). Blocks in an article keep together: a block
+inside a container that holds the text of high score has the score of its container, so that short ones (a heading, a
+one-word paragraph) stay. Blocks from a share of the spread of the page's scores on are the text; without that threshold
+every block would be.
 
 White space inside a block is one space; blocks are joined by one line end, in page order. Character references are
 decoded. Nothing else is dropped or capped.
 
 Defined results: a null or empty page, or one without text, gives an empty text; very long pages are read whole;
-repeated rows each get a row; other columns are ignored.
+repeated rows each get a row; of containers with equal text the deeper one counts; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -69,12 +71,12 @@ _SCOPE = frozenset("ul ol dl table article section div aside nav main form foote
 
 
 class Node:
-    __slots__ = ("name", "bad", "hard", "good", "up", "i")
+    __slots__ = ("name", "bad", "hard", "good", "link", "up", "i")
 
     def __init__(self, name: str, attrs: str, up: Node | None, i: int):
         self.name, self.up, self.i = name, up, i
-        bad = name in NEVER or name == "header" and not (up and up.within("article", "main"))
-        hard, marks = bad, set()
+        self.link = name == "a" or bool(up and up.link)
+        hard, marks = name in NEVER, set()
         good = name in ("article", "main")
         if attrs:
             for m in _ATTR.finditer(attrs):
@@ -88,6 +90,10 @@ class Node:
                     good |= bool(words & GOOD_WORDS)
                     if name not in ("html", "body", "article", "main"):
                         marks |= words & BAD_WORDS
+        # A header outside an article is the page's, unless its words say that it is the article's.
+        hard |= name == "header" and not good and not (up and up.within("article", "main"))
+        if name == "header" and good and not marks & STICKY:
+            marks = set()
         # hard: by tag, style or sticky word; an article or main recovers from layout words around it.
         self.hard = hard or bool(marks & STICKY) or bool(up and up.hard)
         self.bad = self.hard or bool(marks) or bool(up and up.bad and name not in ("article", "main"))
@@ -109,19 +115,20 @@ class Node:
         return ".".join(reversed(out))
 
 
-def blocks(page: str) -> list[tuple[Node, str]]:
-    """(nearest block element, text) of each run of text between block borders, in page order."""
+def blocks(page: str) -> list[tuple[Node, str, int]]:
+    """(nearest block element, text, characters of it in links) of each run of text between block borders, in page order."""
     at, root, count = 0, Node("html", "", None, 0), 1
     open_, now = root, root
-    out: list[tuple[Node, str]] = []
+    out: list[tuple[Node, str, int]] = []
     text: list[str] = []
+    linked = 0
 
     def flush() -> None:
-        nonlocal text
+        nonlocal text, linked
         if text:
             if joined := _SPACE.sub(" ", html.unescape("".join(text))).strip(" "):
-                out.append((now, joined))
-            text = []
+                out.append((now, joined, min(linked, len(joined))))
+            text, linked = [], 0
 
     def owner(n: Node) -> Node:
         while n.up and n.name not in BLOCK:
@@ -140,6 +147,7 @@ def blocks(page: str) -> list[tuple[Node, str]]:
                 flush()
                 now = own
             text.append(chunk)
+            linked += len(chunk) if open_.link else 0
         if not m:
             break
         at, tag = m.end(), m[0]
@@ -208,29 +216,34 @@ def smooth(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
 
 def extract(page: str | None) -> str:
     found = blocks(page or "")
-    able = [not n.bad for n, _ in found]
+    able = [not n.bad for n, _, _ in found]
     # Layout words around most of the text say nothing.
-    if sum(len(t) for n, t in found if n.bad and not n.hard) > sum(len(t) for n, t in found if not n.bad):
-        able = [not n.hard for n, _ in found]
+    if sum(len(t) for n, t, _ in found if n.bad and not n.hard) > sum(len(t) for n, t, _ in found if not n.bad):
+        able = [not n.hard for n, _, _ in found]
     if not any(able):
         return ""
+    if all(linked >= len(t) for (_, t, linked), ok in zip(found, able, strict=True) if ok):
+        found = [(n, t, 0) for n, t, _ in found]  # an article of links only
     nodes: dict[str, set[int]] = defaultdict(set)
     chars: dict[str, int] = defaultdict(int)
     marks: dict[str, int] = defaultdict(int)
-    paths = [n.path() for n, _ in found]
-    for (n, t), p, ok in zip(found, paths, able, strict=True):
+    paths = [n.path() for n, _, _ in found]
+    for (n, t, linked), p, ok in zip(found, paths, able, strict=True):
         if ok:
             nodes[p].add(n.i)
-            chars[p] += len(t)
-            marks[p] += len(_PUNCT.findall(t))
-    by_text = np.array([chars[p] / len(nodes[p]) if ok else 0.0 for p, ok in zip(paths, able, strict=True)])
-    by_mark = np.array([marks[p] / len(nodes[p]) if ok else 0.0 for p, ok in zip(paths, able, strict=True)])
-    fused = smooth(by_text) * (1.0 + smooth(by_mark))
-    keep = [ok and s >= ALPHA * fused.std() * (s < fused.max()) for ok, s in zip(able, fused, strict=True)]
+            chars[p] += len(t) - linked
+            marks[p] += len(_PUNCT.findall(t)) if linked < len(t) else 0
+    ratio = lambda of: np.array([of[p] / len(nodes[p]) if ok else 0.0 for p, ok in zip(paths, able, strict=True)])
+    fused = smooth(ratio(chars)) * (1.0 + smooth(ratio(marks)))
+    # Smoothing gives no score to what is never article text, nor to what is all links.
+    own = np.array([ok and linked < len(t) for (_, t, linked), ok in zip(found, able, strict=True)])
+    score = np.where(own, fused, 0.0)
+    limit = min(ALPHA * score.std(), score.max()) if score.max() > 0 else ALPHA
+    keep = [bool(s >= limit) for s in score]
     # The container of the article: the marked one with most scored text, else the deepest node with over half of it.
     weight: dict[int, float] = defaultdict(float)
     known: dict[int, tuple[Node, int]] = {}
-    for (n, t), k in zip(found, keep, strict=True):
+    for (n, t, _), k in zip(found, keep, strict=True):
         if k:
             up: Node | None = n
             chain = []
@@ -262,14 +275,18 @@ def extract(page: str | None) -> str:
     elif sum(keep) > 1:
         homes.add(max((i for i in weight if weight[i] == total), key=lambda i: known[i][1]))
 
-    def inside(n: Node | None) -> bool:
+    def inside(n: Node | None, all_links: bool) -> bool:
+        """Whether a container holds the block; a block of links only needs a marked one."""
         while n:
-            if n.i in homes:
+            if n.i in homes and (n.good or not all_links):
                 return True
             n = n.up
         return False
 
-    return "\n".join(t for (n, t), ok, k in zip(found, able, keep, strict=True) if k or ok and inside(n))
+    # Blocks of a container have its score.
+    whole = max(float(score.max()), limit)
+    score = [max(s, whole) if ok and inside(n, linked >= len(t)) else s for (n, t, linked), s, ok in zip(found, score, able, strict=True)]
+    return "\n".join(t for (_, t, _), s in zip(found, score, strict=True) if s >= limit)
 
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
