@@ -152,6 +152,41 @@ def test_longest_match(spark):
     assert kept.columns == docs_of(spark, ["a"]).columns and kept.count() == 2
 
 
+def brute_longest(text, items):
+    """Longest run of item words in the text that holds a whole window, and its first place."""
+    pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    plain = lambda t: pattern.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    w, best = plain(text), (0, None)
+    for _, t in items:
+        b = plain(t)
+        for i in range(len(w)):
+            for k in range(len(b)):
+                n = 0
+                while i + n < len(w) and k + n < len(b) and w[i + n] == b[k + n]:
+                    n += 1
+                if (n >= 10 or 0 < len(b) == n) and (n > best[0] or n == best[0] and i < best[1]):
+                    best = (n, i)
+    return best
+
+
+@pytest.mark.parametrize("block", [30, 10**6])
+def test_longest_hits_match_brute_force(spark, block):
+    rnd = random.Random(11)
+    vocab = ["the", "of", "été", "a1", "x"]
+    said = lambda n: " ".join(rnd.choice(vocab) for _ in range(n))
+    items = [(i, said(n)) for i, n in enumerate([3, 12, 40, 40, 90])]
+    items.append((9, items[4][1][30:200] + " " + said(20)))
+    texts = [*EDGE]
+    for _ in range(25):
+        _, t = rnd.choice(items[2:])
+        w = t.split()
+        k = rnd.randint(0, 15)
+        texts.append(f"{said(4)} {' '.join(w[k : k + rnd.randint(8, 60)])} {said(6)} {' '.join(w[:12])}")
+    out = decontaminate.find_hits(docs_of(spark, texts), spark.createDataFrame(items, "item_id long, text string"), block_words=block)
+    for r in rows(out):
+        assert (r["longest_hit"], r["longest_at"]) == brute_longest(texts[r["doc_id"]], items)
+
+
 # --- secrets ---------------------------------------------------------------------------------------------------------
 
 

@@ -9,6 +9,9 @@ layout; applying one needs no code per layout. Canonical turns (role, text) are
 Inside roles and texts a backslash is written `\\\\`, `<|` is `<\\|`, and a line end inside a role is `\\n`, so no text
 can look like a turn mark and the original comes back exactly. The loss mask covers the text of assistant turns.
 
+Tables of turns go the same way: each row is a record of some layout, is read by its fingerprint's mapping, and the turns
+that come out are put in order by conversation, turn and place in the record.
+
 Defined results: null texts and roles are empty; ties in the turn number are ordered by role, then text; repeated rows
 are repeated turns; null turn numbers come first; a null conversation id is a conversation of its own; very long texts
 are kept whole; an empty table has no conversations; other columns are ignored. Layouts without a mapping become
@@ -22,6 +25,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from functools import reduce
 from typing import Any
 
 import pyarrow as pa
@@ -83,6 +87,7 @@ def fingerprint(paths: set[str]) -> str:
 #: (role and the fields whose non-empty texts are joined by a blank line).
 LAYOUTS: list[dict[str, Any]] = [
     {"paths": {"role", "text"}, "row": ("role", "text")},
+    {"paths": {"turn.speaker", "turn.body.content"}, "row": ("turn.speaker", "turn.body.content")},
     {"paths": {"messages[].role", "messages[].content"}, "turns": ("messages", "role", "content")},
     {"paths": {"conversations[].from", "conversations[].value"}, "turns": ("conversations", "from", "value")},
     {"paths": {"prompt", "response"}, "parts": [("user", ["prompt"]), ("assistant", ["response"])]},
@@ -104,8 +109,8 @@ def canonical(record: dict[str, Any]) -> tuple[str, list[tuple[str, str]] | None
     if m is None:
         return print_, None
     if "row" in m:
-        role, text = m["row"]
-        return print_, [(record[role] or "", record[text] or "")]
+        role, text = (reduce(lambda v, k: v[k], at.split("."), record) for at in m["row"])
+        return print_, [(role or "", text or "")]
     if "turns" in m:
         name, role, text = m["turns"]
         return print_, [(ROLES.get(t[role], t[role]) or "", t[text] or "") for t in record[name]]
@@ -162,8 +167,31 @@ class _Reader:
         return self.conv, self.n, self.turns.hexdigest(), self.loss, self.masked.hexdigest(), self.chars
 
 
+def canonical_turns(records: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", json_col: str = "record") -> DataFrame:
+    """conv_id, turn, at (place in the record), role, text, fingerprint of all turns of records of known layouts, as JSON.
+
+    A record without a mapping, or that is no JSON object, is one row with null role and text. No shuffle.
+    """
+
+    def rows(cols: dict[str, list]) -> dict[str, list]:
+        out: dict[str, list] = {c: [] for c in ("conv_id", "turn", "at", "role", "text", "fingerprint")}
+        for conv, turn, raw in zip(cols["conv_id"], cols["turn"], cols["record"], strict=True):
+            try:
+                record = json.loads(raw or "null")
+            except ValueError:
+                record = None
+            print_, turns = canonical(record if isinstance(record, dict) else {})
+            for k, (role, text) in enumerate([(None, None)] if turns is None else turns):
+                for c, v in zip(out, (conv, turn, k, role, text, print_), strict=True):
+                    out[c].append(v)
+        return out
+
+    own = records.select(F.col(id_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(json_col).cast("string").alias("record"))
+    return map_batches(own, rows, "conv_id long, turn long, at long, role string, text string, fingerprint string", "record")
+
+
 def turn_rows(turns: DataFrame, parts: int | None = None) -> DataFrame:
-    """The rows in order: each conversation is in one partition, sorted by turn, role and text.
+    """The rows in order: each conversation is in one partition, sorted by turn, place in its record, role and text.
 
     A conversation is one record and its digests are sequential, so it stays in one task; but it streams through it a
     batch at a time and is never collected, so that its length is not bounded by memory.
@@ -171,11 +199,12 @@ def turn_rows(turns: DataFrame, parts: int | None = None) -> DataFrame:
     own = turns.select(
         F.col("conv_id").cast("long").alias("conv_id"),
         F.col("turn").cast("long").alias("turn"),
+        (F.col("at").cast("long") if "at" in turns.columns else F.lit(0)).alias("at"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
     dealt = own.repartition(parts, "conv_id") if parts else own.repartition("conv_id")
-    return dealt.sortWithinPartitions("conv_id", "turn", "role", "text")
+    return dealt.sortWithinPartitions("conv_id", "turn", "at", "role", "text")
 
 
 def format_turns(turns: DataFrame) -> DataFrame:
@@ -188,9 +217,8 @@ def format_turns(turns: DataFrame) -> DataFrame:
             out: dict[str, list] = {"conv_id": cols["conv_id"], "at": [], "formatted": []}
             for conv, role, text in zip(cols["conv_id"], cols["role"], cols["text"], strict=True):
                 now = [conv, now[1] + 1] if conv == now[0] else [conv, 0]
-                _, got = canonical({"role": role, "text": text})
                 out["at"].append(now[1])
-                out["formatted"].append("".join(write_turn(r, t) for r, t in got or []))
+                out["formatted"].append(write_turn(role, text))
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("conv_id", pa.int64()), ("at", pa.int64()), ("formatted", pa.string())]))
 
     return turn_rows(turns).mapInArrow(run, "conv_id long, at long, formatted string")

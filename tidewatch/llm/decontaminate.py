@@ -4,7 +4,9 @@ Each bounded slice of a partition is a shard. Its documents become one sequence
 it, to the depth of a window, is built (sparse: suffixes whose first two words stand together nowhere in the benchmark
 can match nothing of two words or more and are left out). Every benchmark suffix is then binary-searched in the shard's
 array, one word deeper at a time, all suffixes at once: that gives its longest verbatim match and the locations. A
-suffix that reaches the window's length marks its locations as hit. Shards need no exchange, so there is no shuffle.
+suffix that reaches the window's length marks its locations as hit, and the search goes on past the window, a word at a
+time over the suffixes that are left, until no benchmark suffix goes further: that is the longest verbatim match of each
+location. Shards need no exchange, so there is no shuffle.
 
 The benchmark is the stated query set: it goes to the workers in blocks of a bounded number of words, one pass for each
 block, so any benchmark fits. Training documents are read whole and none is left out.
@@ -49,6 +51,8 @@ class Block:
         at: dict[bytes, int] = {}
         owners: list[set[str]] = []
         rows: list[np.ndarray] = []
+        places: list[list[int]] = []
+        whole: list[int] = []
         for item, text in items:
             ids = [self.number.setdefault(w, len(self.number)) for w in words(text)]
             for i in range(max(1, len(ids) - window + 1)) if ids else ():
@@ -57,7 +61,13 @@ class Block:
                 if k == len(rows):
                     rows.append(row)
                     owners.append(set())
+                    places.append([])
                 owners[k].add(item)
+                places[k].append(len(whole) + i)
+            whole += [*ids, -2]
+        #: All items, each ended by -2, and where each window stands in them.
+        self.whole = np.array(whole, np.int64)
+        self.places = [np.array(p, np.int64) for p in places]
         self.owners = [sorted(o) for o in owners]
         self.length = np.array([len(r) for r in rows], np.int64)
         self.queries = np.full((len(rows), window), -1, np.int64)
@@ -108,6 +118,32 @@ class Block:
         return suffixes, longest, lo, hi
 
 
+    def deepen(self, text: np.ndarray, found: list[tuple[int, np.ndarray]]) -> dict[int, int]:
+        """Longest verbatim match in words of each location of full windows: found has a window's number and its
+        locations in the shard. Locations and benchmark suffixes that have the same words so far are a group; each round
+        reads one word more of both and keeps the groups that go on."""
+        depth = {int(p): len(self.queries[q][self.queries[q] >= 0]) for q, at in found for p in at}
+        full = [(q, at) for q, at in found if self.length[q] == self.window]
+        if not full:
+            return depth
+        p = np.concatenate([at for _, at in full]).astype(np.int64)
+        g = np.repeat(np.arange(len(full)), [len(at) for _, at in full])
+        b = np.concatenate([self.places[q] for q, _ in full])
+        h = np.repeat(np.arange(len(full)), [len(self.places[q]) for q, _ in full])
+        d, v = self.window, len(self.number) + 3
+        while len(p) and len(b):
+            here = g * v + np.where(p + d < len(text), text[np.minimum(p + d, len(text) - 1)], -1) + 2
+            there = h * v + np.where(b + d < len(self.whole), self.whole[np.minimum(b + d, len(self.whole) - 1)], -2) + 2
+            # A word that isn't in the benchmark is -1 in the shard, an item's end -2 in the benchmark: they meet nothing.
+            groups = np.intersect1d(here[(here - 2) % v < v - 2], there[there % v != 0])
+            on, off = np.isin(here, groups), np.isin(there, groups)
+            p, g = p[on], np.searchsorted(groups, here[on])
+            b, h = b[off], np.searchsorted(groups, there[off])
+            d += 1
+            depth.update(dict.fromkeys(p.tolist(), d))
+        return depth
+
+
 def read_shard(texts: list[str | None], number: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     """Word numbers of all texts, each followed by -1, and where each text starts (with the end)."""
     parts, starts, at = [], [0], 0
@@ -157,10 +193,11 @@ def find_hits(
     block_words: int = BLOCK_WORDS,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per row of docs: doc_id, n_words, spans of hit words (merged), items that occur, longest match, `keep`."""
+    """One row per row of docs: doc_id, n_words, spans of hit words (merged), items that occur, longest verbatim match
+    (of any length, from two words on), the longest one that holds a window with its first place, and the columns `keep`."""
     spark = docs.sparkSession
     kept = ", ".join(f"`k_{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    schema = f"doc_id long, text string, n_words long, spans {_SPANS}, items array<string>, longest long" + (kept and f", {kept}")
+    schema = f"doc_id long, text string, n_words long, spans {_SPANS}, items array<string>, longest long, longest_hit long, longest_at long" + (kept and f", {kept}")
     out = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(text_col).cast("string").alias("text"),
@@ -168,7 +205,9 @@ def find_hits(
         F.expr(f"cast(array() as {_SPANS})").alias("spans"),
         F.expr("cast(array() as array<string>)").alias("items"),
         F.lit(0).cast("long").alias("longest"),
-        *(F.col(c).alias(f"k_{c}") for c in keep),
+        F.lit(0).cast("long").alias("longest_hit"),
+        F.lit(None).cast("long").alias("longest_at"),
+        *(F.col(f"`{c}`").alias(f"k_{c}") for c in keep),
     )
     for block in _blocks(benchmark, item_col, text_col, block_words):
         shared = spark.sparkContext.broadcast(block)
@@ -180,9 +219,8 @@ def find_hits(
             doc_of = np.searchsorted(starts, suffixes, "right") - 1
             spans: list[list[tuple[int, int]]] = [[] for _ in cols["doc_id"]]
             items: list[set[str]] = [set(i) for i in cols["items"]]
-            best = cols["longest"]
-            full = np.flatnonzero((longest == b.length) & (longest > 0))
-            for q in full.tolist():
+            full = np.flatnonzero((longest == b.length) & (longest > 0)).tolist()
+            for q in full:
                 for k in range(lo[q], hi[q]):
                     d = int(doc_of[k])
                     s = int(suffixes[k] - starts[d])
@@ -191,16 +229,20 @@ def find_hits(
             depth = np.zeros(len(suffixes), np.int64)
             for q in np.argsort(longest, kind="stable").tolist():
                 depth[lo[q] : hi[q]] = longest[q]
-            deepest = np.zeros(len(best), np.int64)
-            np.maximum.at(deepest, doc_of, depth)
-            best = np.maximum(best, deepest).tolist()
+            most = np.array(cols["longest"], np.int64)
+            np.maximum.at(most, doc_of, depth)
+            best, where = list(cols["longest_hit"]), list(cols["longest_at"])
+            for p, n in sorted(b.deepen(ids, [(q, suffixes[lo[q] : hi[q]]) for q in full]).items()):
+                d = int(np.searchsorted(starts, p, "right")) - 1
+                if n > best[d]:
+                    best[d], where[d] = n, p - int(starts[d])
             old = [[(s["start"], s["end"]) for s in x] for x in cols["spans"]]
             merged: list[list[dict[str, Any]]] = [
                 [{"start": s, "end": e} for s, e in _merge(x, y)] for x, y in zip(old, spans, strict=True)
             ]
             return {
                 **cols, "n_words": (np.diff(starts) - 1).tolist(), "spans": merged,
-                "items": [sorted(i) for i in items], "longest": best,
+                "items": [sorted(i) for i in items], "longest": np.maximum(most, best).tolist(), "longest_hit": best, "longest_at": where,
             }
 
         out = map_batches(out, rows, schema, "text")
@@ -216,6 +258,8 @@ def digest_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"),
         (F.size("spans") > 0).alias("contaminated"),
+        "longest_hit",
+        "longest_at",
     )
 
 
@@ -223,4 +267,4 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a hit, with the columns of docs."""
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     clean = find_hits(docs, benchmark, keep=rest).where(F.size("spans") == 0)
-    return clean.select(*(F.col(f"k_{c}").alias(c) if c in rest else F.col(c) for c in docs.columns))
+    return clean.select(*(F.col(f"`k_{c}`").alias(c) if c in rest else F.col(c) for c in docs.columns))

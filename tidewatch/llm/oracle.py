@@ -16,13 +16,17 @@ SELECT h.page_id, h.host, h.path, f.rule, coalesce(say, 'allow') AS verdict FROM
 _pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 OP4 = f"""WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '{_pattern}') AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '{_pattern}') AS w FROM benchmark),
-bw AS (SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(list_slice(w, i, i + 9), ' ') AS win FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+bp AS (SELECT item, i AS j, least(len(w), 10) AS n, array_to_string(list_slice(w, i, i + 9), ' ') AS win FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+bw AS (SELECT DISTINCT item, n, win FROM bp),
 dw AS (SELECT doc_id, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS win FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM w, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)),
 h AS (SELECT doc_id, i, dw.n, item FROM dw JOIN bw ON bw.n = dw.n AND bw.win = dw.win),
 p AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM h) GROUP BY 1),
-t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY 1)
-SELECT w.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM w LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)"""
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY 1),
+m AS (SELECT doc_id, item, i, dw.n, i - j AS g, i - row_number() OVER (PARTITION BY doc_id, item, i - j ORDER BY i) AS island FROM dw JOIN bp ON bp.n = dw.n AND bp.win = dw.win),
+l AS (SELECT doc_id, min(i) AS i, max(n) + count(*) - 1 AS size FROM m GROUP BY doc_id, item, g, island),
+lo AS (SELECT doc_id, max(size) AS longest, arg_min(i, (-size, i)) - 1 AS longest_at FROM l GROUP BY 1)
+SELECT w.doc_id, len(w) AS n_words, coalesce(longest, 0)::BIGINT AS longest_hit, longest_at::BIGINT AS longest_at, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN lo USING (doc_id)"""
 
 _esc = lambda c: f"replace(replace({c}, '\\', '\\\\'), '<|', '<\\|')"
 OP6 = f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewatch.llm import bpe, chains, chat, decontaminate, html, neardup, oracle, quality, repeats, secrets, urls
 from tidewatch.llm.common import table
@@ -40,13 +42,29 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def chat_records(turns: DataFrame) -> DataFrame:
+    """conv_id, turn, record: each row of a turn table as JSON in one of four layouts, as its sources would have it.
+
+    Shared role names are written as the layout has them (human, gpt); other roles go to a layout without such names.
+    """
+    made = lambda c: F.to_json(c, {"ignoreNullFields": "false"})
+    role, text = F.col("role").cast("string").alias("role"), F.col("text").cast("string")
+    speaker = F.when(F.col("role") == "user", "human").otherwise("gpt")
+    flat = made(F.struct(role, text.alias("text")))
+    listed = made(F.struct(F.array(F.struct(role, text.alias("content"))).alias("messages")))
+    spoken = made(F.struct(F.array(F.struct(speaker.alias("from"), text.alias("value"))).alias("conversations")))
+    nested = made(F.struct(F.struct(role.alias("speaker"), F.struct(text.alias("content")).alias("body")).alias("turn")))
+    kind = F.pmod(F.coalesce("conv_id", F.lit(0)), F.lit(4))
+    record = F.when(kind == 0, flat).when(kind == 1, listed).when((kind == 2) & F.col("role").isin("user", "assistant"), spoken).otherwise(nested)
+    return turns.select("conv_id", "turn", record.alias("record"))
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame(
-        [(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string"
-    )
-    return chat.digest_chats(turns.unionByName(extra))
+    # The added conversation is one record of a layout with a prompt and a response.
+    extra = spark.createDataFrame([(-7, 0, json.dumps({"prompt": said, "response": said}))], "conv_id long, turn long, record string")
+    return chat.digest_chats(chat.canonical_turns(chat_records(turns).unionByName(extra)))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
