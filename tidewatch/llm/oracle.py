@@ -47,28 +47,37 @@ def _js(p: tuple[str, ...]) -> str:
     return f"sqrt(greatest({' + '.join(part)}, 0))"
 
 
-def _common() -> str:
-    seen: set[str] = set()
-    out = []
-    for k, ws in quality.COMMON.items():
-        own = ", ".join(f"'{w}'" for w in dict.fromkeys(ws) if w not in seen)
-        seen |= set(ws)
-        out.append(f"len(list_filter(w, lambda x: x IN ({own}))) AS w_{k}")
-    return ", ".join(out)
+_words = ", ".join(f"'{w}'" for w in quality.WORDS)
+_bins = ", ".join(f"len(list_filter(c, lambda x: x = '{w}')) AS w{k}" for k, w in enumerate(quality.WORDS))
 
 
+def _js_bins() -> tuple[str, str, str]:
+    """Both totals of the word bins, with the pseudo-counts, and their Jensen-Shannon distance from totals nw and rw."""
+    k = len(quality.BINS)
+    n, m = (" + ".join(f"{pre}{c}" for c in quality.BINS) + f" + {quality.SMOOTH * k}" for pre in ("", "r_"))
+    part = []
+    for c in quality.BINS:
+        x, y = f"(({c} + {quality.SMOOTH}) / nw)", f"((r_{c} + {quality.SMOOTH}) / rw)"
+        part += [f"{x} * log2(2 * {x} / ({x} + {y}))", f"{y} * log2(2 * {y} / ({x} + {y}))"]
+    return n, m, f"sqrt(greatest(({' + '.join(part)}) / 2, 0))"
+
+
+_nw, _rw, _jw = _js_bins()
 _gone = lambda pattern: f"(length(t) - length(regexp_replace(t, '{pattern}', '', 'g')))"
 OP9 = f"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS t FROM documents),
-w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
+w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines,
+  list_filter(string_split(regexp_replace(lower(t), '[^a-zß-ÿ]+', ' ', 'g'), ' '), lambda x: x IN ({_words})) AS c FROM d),
 q AS (SELECT doc_id, lang, len(w) AS n_words, length(t) AS n_chars, {_gone("[\\x20\\x09-\\x0D]+")} AS c_space, {_gone("[#*$%&|<>]+")} AS c_symbol, {_gone("[a-z]+")} AS c_lower, {_gone("[A-Z]+")} AS c_upper,
-  {_gone("[0-9]+")} AS c_digit, {_gone("[^\\x00-\\x7F]+")} AS c_high, len(lines) - len(list_distinct(lines)) AS n_dup_lines, {_common()} FROM w),
+  {_gone("[0-9]+")} AS c_digit, {_gone("[^\\x00-\\x7F]+")} AS c_high, len(lines) - len(list_distinct(lines)) AS n_dup_lines, {_bins} FROM w),
 g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)),
 m AS (SELECT doc_id, unnest(range(i, i + 3)) AS k FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, win) AS c FROM g) WHERE c > 1),
 rep AS (SELECT doc_id, count(DISTINCT k) AS n_repeat_words FROM m GROUP BY 1),
-a AS (SELECT q.*, n_chars - c_space - c_symbol - c_lower - c_upper - c_digit - c_high AS c_punct, n_words - w_en - w_fr - w_de - w_es AS w_other, coalesce(n_repeat_words, 0) AS n_repeat_words FROM q LEFT JOIN rep USING (doc_id)),
-ref AS (SELECT lang, {", ".join(f"sum({c}) AS r_{c}" for c in (*quality.CHARS, *quality.WORDS))} FROM a GROUP BY 1),
-j AS (SELECT *, CASE WHEN n_chars >= {quality.MIN_CHARS} AND {" + ".join(f"r_{c}" for c in quality.CHARS)} >= {quality.MIN_REFERENCE} THEN {_js(quality.CHARS)} END AS jc,
-  CASE WHEN n_words >= {quality.MIN_WORDS} AND {" + ".join(f"r_{c}" for c in quality.CHARS)} >= {quality.MIN_REFERENCE} THEN {_js(quality.WORDS)} END AS jw, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM a JOIN ref USING (lang))
+a AS (SELECT q.*, n_chars - c_space - c_symbol - c_lower - c_upper - c_digit - c_high AS c_punct, greatest(0, n_words - {" - ".join(f"w{k}" for k in range(len(quality.WORDS)))}) AS w{len(quality.WORDS)}, coalesce(n_repeat_words, 0) AS n_repeat_words,
+  n_words < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words AS base_failed FROM q LEFT JOIN rep USING (doc_id)),
+ref AS (SELECT lang, {", ".join(f"sum({c}) AS r_{c}" for c in (*quality.CHARS, *quality.BINS))} FROM a WHERE NOT base_failed GROUP BY 1),
+b AS (SELECT *, {_nw} AS nw, {_rw} AS rw FROM a LEFT JOIN ref USING (lang)),
+j AS (SELECT *, CASE WHEN n_chars >= {quality.MIN_CHARS} AND {" + ".join(f"r_{c}" for c in quality.CHARS)} >= {quality.MIN_REFERENCE_CHARS} THEN {_js(quality.CHARS)} END AS jc,
+  CASE WHEN n_words >= {quality.MIN_WORDS} AND {" + ".join(f"r_{c}" for c in quality.BINS)} >= {quality.MIN_REFERENCE_WORDS} THEN {_jw} END AS jw FROM b)
 SELECT doc_id, n_words::BIGINT AS n_words, (n_chars - c_space)::BIGINT AS word_chars, c_symbol::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
   NOT base_failed AND coalesce(jc, 0) <= {quality.MAX_CHAR_DISTANCE} AND coalesce(jw, 0) <= {quality.MAX_WORD_DISTANCE} AS kept, round(jc, 6) AS js_chars, round(jw, 6) AS js_words FROM j"""
 

@@ -1,10 +1,11 @@
 """Quality rules by distribution divergence, in DataFrame functions only.
 
-Each document's character-class histogram and common-word histogram are compared with those of its language, taken over
-all documents of that language, by the Jensen-Shannon distance (base 2, so 0 to 1). A document is rejected if a
-distance exceeds its limit; documents with too few characters or words for a histogram, or whose language has too
-little text for a reference, are not judged by that distance. Fixed base rules come first: fewer than 50 words, or
-more than half of all words in 3-word windows that the document repeats.
+Each document's character-class histogram, and its histogram over the common words (a bin for each, case folded and
+without punctuation, and one for all other words; half a word is added to each bin), are compared with those of its
+language, taken over all documents of that language that pass the base rules, by the Jensen-Shannon distance (base 2, so
+0 to 1). A document is rejected if a distance exceeds its limit; documents with too few characters or words for a
+histogram, or whose language has too little text for a reference, are not judged by that distance. Fixed base rules come
+first: fewer than 50 words, or more than half of all words in 3-word windows that the document repeats.
 
 Counts of a document are computed in one pass without a shuffle and written; the references are sums by language
 (partial sums first, so a hot language costs nothing), joined back to rows that are a few numbers each.
@@ -32,12 +33,16 @@ COMMON = {
 SYMBOLS = "#*$%&|<>"
 #: Limits of the distances, and the least characters and words of a document and of a language's reference.
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.55
-MIN_CHARS, MIN_WORDS, MIN_REFERENCE = 200, 50, 20_000
+MIN_CHARS, MIN_WORDS, MIN_REFERENCE_CHARS, MIN_REFERENCE_WORDS = 200, 50, 20_000, 4_000
+#: Added to each bin of a word histogram.
+SMOOTH = 0.5
 #: Languages whose references (a few numbers each) are broadcast; beyond, both sides are dealt out.
 MAX_BROADCAST = 10_000
 _SPACES = " \t\n\x0b\x0c\r"
 CHARS = ("c_lower", "c_upper", "c_digit", "c_space", "c_symbol", "c_punct", "c_high")
-WORDS = ("w_en", "w_fr", "w_de", "w_es", "w_other")
+#: Bins of the word histogram; the last is for all other words.
+WORDS = tuple(sorted({w for ws in COMMON.values() for w in ws}))
+BINS = tuple(f"w{k}" for k in range(len(WORDS) + 1))
 
 
 def _less(text: Column, pattern: str) -> Column:
@@ -49,8 +54,8 @@ def document_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per row of docs: the rules' counts, both histograms and the columns `keep`."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
-    kept = [F.col(c).alias(f"k_{c}") for c in keep]
-    names = [f"k_{c}" for c in keep]
+    kept = [F.col(f"`{c}`").alias(f"k_{c}") for c in keep]
+    names = [f"`k_{c}`" for c in keep]
     q = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(lang, F.lit("")).alias("lang"), text.alias("t"), *kept)
     q = q.select(
         "doc_id", "lang", "t", *names,
@@ -69,8 +74,8 @@ def document_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             "n": F.size("w"),
             "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
             "g": F.expr("CASE WHEN size(w) < 3 THEN cast(array() AS array<bigint>) ELSE transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2])) END"),
-            "a": F.expr(_packed("en", "fr")),
-            "b": F.expr(_packed("de", "es")),
+            # The common words alone, each between two blanks of its own, so that a bin's count is what its removal takes.
+            "c": F.concat(F.lit(" "), F.array_join(F.filter(F.split(F.regexp_replace(F.lower("t"), "[^a-zß-ÿ]+", " "), " "), lambda x: x.isin(*WORDS)), "  "), F.lit(" ")),
         }
     )
     # Only documents that repeat a window pay for the sort.
@@ -79,33 +84,23 @@ def document_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     q = q.withColumn("d", F.expr("transform(filter(s, (x, k) -> (k > 0 AND s[k - 1].h = x.h) OR (k < size(s) - 1 AND s[k + 1].h = x.h)), x -> x.i)"))
     q = q.withColumn("n_repeat_words", F.expr("CASE WHEN d IS NULL THEN 0L ELSE cast(size(array_distinct(concat(d, transform(d, x -> x + 1), transform(d, x -> x + 2)))) AS bigint) END"))
-    two = 2**31
     q = q.withColumns(
         {
             "n_words": F.col("n").cast("long"),
             "word_chars": F.col("n_chars") - F.col("c_space"),
             "n_symbols": F.col("c_symbol"),
             "c_punct": F.col("n_chars") - sum((F.col(c) for c in CHARS if c != "c_punct"), F.lit(0)),
-            "w_en": F.col("a") % two, "w_fr": F.floor(F.col("a") / two).cast("long"),
-            "w_de": F.col("b") % two, "w_es": F.floor(F.col("b") / two).cast("long"),
         }
     )
-    q = q.withColumn("w_other", F.col("n_words") - F.col("w_en") - F.col("w_fr") - F.col("w_de") - F.col("w_es"))
+    marked = ", ".join(f"' {w} '" for w in WORDS)
+    q = q.withColumn("bins", F.expr(f"transform(array({marked}), k -> cast((length(c) - length(replace(c, k, ''))) DIV length(k) AS bigint))"))
+    q = q.withColumn("bins", F.expr("concat(bins, array(greatest(0L, n_words - aggregate(bins, 0L, (x, y) -> x + y))))"))
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return q.select(
-        "doc_id", "lang", *names, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", *CHARS, *WORDS
+        "doc_id", "lang", *names, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "n_chars", *CHARS, "bins"
     )
 
 
-def _packed(low: str, high: str) -> str:
-    """Counts of two languages' common words (words of an earlier language are left to it) in one number."""
-    earlier: set[str] = set()
-    lists = {}
-    for k, ws in COMMON.items():
-        lists[k] = ", ".join(f"'{w}'" for w in ws if w not in earlier)
-        earlier |= set(ws)
-    return f"aggregate(w, 0L, (acc, x) -> acc + CASE WHEN x IN ({lists[low]}) THEN 1L WHEN x IN ({lists[high]}) THEN {2**31}L ELSE 0L END)"
-
-
 def js_distance(p: list[Column], q: list[Column]) -> Column:
     """Jensen-Shannon distance, base 2, of two histograms given as counts; null if either is empty."""
     total = [reduce(lambda a, b: a + b, x).cast("double") for x in (p, q)]
@@ -119,19 +114,29 @@ def js_distance(p: list[Column], q: list[Column]) -> Column:
     return F.when((total[0] > 0) & (total[1] > 0), value)
 
 
+def js_of_bins(p: Column, q: Column) -> Column:
+    """The same of two arrays of counts, with SMOOTH added to each bin."""
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) + SMOOTH * len(BINS)
+    half = lambda a, b: a * F.log2(F.lit(2.0) * a / (a + b))
+    n, m = total(p), total(q)
+    parts = F.zip_with(p, q, lambda x, y: (half((x + SMOOTH) / n, (y + SMOOTH) / m) + half((y + SMOOTH) / m, (x + SMOOTH) / n)) / 2)
+    return F.sqrt(F.greatest(F.aggregate(parts, F.lit(0.0), lambda s, x: s + x), F.lit(0.0)))
+
+
 def judge(counts: DataFrame) -> DataFrame:
-    """Adds js_chars, js_words, base_failed and kept. counts is read twice, so it should be a written table."""
-    sums = counts.groupBy(F.col("lang").alias("r_lang")).agg(*(F.sum(c).alias(f"r_{c}") for c in (*CHARS, *WORDS)))
+    """Adds js_chars, js_words and kept. counts is read twice, so it should be a written table."""
+    own = counts.where(~F.col("base_failed")).groupBy(F.col("lang").alias("r_lang"))
+    sums = own.agg(*(F.sum(c).alias(f"r_{c}") for c in CHARS), F.array(*(F.sum(F.col("bins")[k]) for k in range(len(BINS)))).alias("r_bins"))
     sums = written(sums)
     few = sums.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
     both = counts.join(F.broadcast(sums) if few else sums, F.col("lang") == F.col("r_lang"), "left")
     cols = lambda names, pre="": [F.col(pre + c) for c in names]
-    reference = sum(cols(CHARS, "r_"), F.lit(0))
+    chars = sum(cols(CHARS, "r_"), F.lit(0))
+    words = F.aggregate("r_bins", F.lit(0).cast("long"), lambda s, x: s + x)
     both = both.withColumns(
         {
-            "js_chars": F.when((F.col("n_chars") >= MIN_CHARS) & (reference >= MIN_REFERENCE), js_distance(cols(CHARS), cols(CHARS, "r_"))),
-            "js_words": F.when((F.col("n_words") >= MIN_WORDS) & (reference >= MIN_REFERENCE), js_distance(cols(WORDS), cols(WORDS, "r_"))),
-            "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
+            "js_chars": F.when((F.col("n_chars") >= MIN_CHARS) & (chars >= MIN_REFERENCE_CHARS), js_distance(cols(CHARS), cols(CHARS, "r_"))),
+            "js_words": F.when((F.col("n_words") >= MIN_WORDS) & (words >= MIN_REFERENCE_WORDS), js_of_bins(F.col("bins"), F.col("r_bins"))),
         }
     )
     far = (F.coalesce("js_chars", F.lit(0.0)) > MAX_CHAR_DISTANCE) | (F.coalesce("js_words", F.lit(0.0)) > MAX_WORD_DISTANCE)
@@ -150,4 +155,4 @@ def rate_documents(docs: DataFrame) -> DataFrame:
 def keep_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs that are kept, with the columns of docs."""
     rated = judge(written(document_counts(docs, keep=tuple(docs.columns))))
-    return rated.where("kept").select(*(F.col(f"k_{c}").alias(c) for c in docs.columns))
+    return rated.where("kept").select(*(F.col(f"`k_{c}`").alias(c) for c in docs.columns))
