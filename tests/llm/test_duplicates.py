@@ -224,6 +224,57 @@ def test_passages_found_and_clean_left_alone(spark):
     assert chains.shared_passages(df.limit(0)).count() == 0
 
 
+def shares_run(texts, size=50):
+    """Documents with a run of `size` words that another document holds too."""
+    holders = defaultdict(set)
+    for i, t in enumerate(texts):
+        w = (t or "").split()
+        for k in range(len(w) - size + 1):
+            holders[tuple(w[k : k + size])].add(i)
+    return {i for d in holders.values() if len(d) > 1 for i in d}
+
+
+def test_no_exact_passage_is_lost(spark):
+    """Lines that recur in ever new cuts, so that the seeds of a passage have many first holders."""
+    rnd = random.Random(21)
+    lines = [[f"l{k}w{i}" for i in range(rnd.randint(12, 40))] for k in range(12)]
+    texts = []
+    for _ in range(60):
+        body = [w for k in rnd.choices(range(12), k=3) for w in lines[k]] if rnd.random() < 0.7 else []
+        texts.append(" ".join([f"x{rnd.random()}" for _ in range(rnd.randint(0, 30))] + body + [f"y{rnd.random()}" for _ in range(20)]))
+    words = [w for line in lines[:4] for w in line]
+    texts += [" ".join(words[:36]), " ".join(words[25:60]), " ".join(words[:60] + ["b"]), " ".join(["c"] + words[:60])]
+    found = rows(chains.shared_passages(docs_of(spark, texts).repartition(5)))
+    assert shares_run(texts) <= {r["doc_id"] for r in found} | {r["ref_doc_id"] for r in found}
+    for r in found:
+        a, b = texts[r["doc_id"]].split()[r["start_word"] : r["end_word"]], texts[r["ref_doc_id"]].split()[r["ref_start_word"] : r["ref_end_word"]]
+        assert max(len(a), len(b)) >= 50 and 2 * r["n_match"] >= 0.8 * (len(a) + len(b)) and r["doc_id"] != r["ref_doc_id"]
+
+
+def test_passages_past_the_first_margin_and_odd_rows(spark):
+    rnd = random.Random(3)
+    said = lambda n: [f"q{rnd.randrange(10**6)}" for _ in range(n)]
+    core = said(520)
+    sparse = [f"z{i}" if i % 4 == 3 and i > 120 else w for i, w in enumerate(core)]
+    texts = [" ".join(core), " ".join(sparse), None, "", " ".join(said(40_000) + core[:60]), "a b c"]
+    df = docs_of(spark, texts, [1, 2, None, None, 7, 8]).repartition(6)
+    found = rows(chains.shared_passages(df))
+    by = {frozenset((r["doc_id"], r["ref_doc_id"])): r for r in found}
+    assert by[frozenset((1, 2))]["end_word"] >= 515 and any(7 in k for k in by) and all(k <= {1, 2, 7} for k in by)
+
+
+def test_longest_common_subsequence():
+    rnd = random.Random(2)
+    for _ in range(50):
+        a, b = ([rnd.randrange(4) for _ in range(rnd.randrange(25))] for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = row[:]
+            for j, y in enumerate(b):
+                row[j + 1] = last[j] + 1 if x == y else max(row[j], last[j + 1])
+        assert chains._lcs(a, b) == row[-1]
+
+
 # --- pipeline --------------------------------------------------------------------------------------------------------
 
 
