@@ -4,15 +4,18 @@ import hashlib
 import json
 import random
 import re
+import string
 from collections import defaultdict
 
 import duckdb
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from tests.conftest import SF
-from tidewatch.llm import bpe, chat, decontaminate, html, quality, queries, secrets, urls
+from tidewatch.llm import bpe, chat, common, decontaminate, html, quality, queries, secrets, urls
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, url string, rule string"
 
@@ -78,6 +81,41 @@ def test_extract_recovers_from_layout_words():
 # --- URLs ----------------------------------------------------------------------------------------------------------
 
 
+PROSE = "<p>The river was long, and the boats went slowly along it; nobody knew why, but they did.</p>"
+
+
+@pytest.mark.parametrize(
+    "page,want,lost",
+    [
+        ('<div class="layout with-sidebar"><article><h1>Head</h1>{}</article><aside>Side</aside></div>', ["Head"], ["Side"]),
+        ('<header>Site</header><header class="entry-header"><h1>Headline</h1></header><div class="entry-content">{}</div>', ["Headline"], ["Site"]),
+        ("<div><a href=a>One</a> <a href=b>Two</a> <a href=c>A long link, with commas, too</a></div><article>{}</article>", [], ["One", "commas"]),
+        ("<article><p>Sum of <math><mi>x</mi></math> and more, so it goes on.</p>{}</article>", ["Sum of x and more"], []),
+        ('<main>{}<section class="comments"><p>Nice post, thanks a lot, really good.</p></section></main>', [], ["Nice post"]),
+        ('<table><tr><td><font>{}</font></td></tr></table><form><p>Subscribe now, please.</p></form>', [], ["Subscribe"]),
+        ("<article><ul><li><a href=a>One</a></li><li><a href=b>Two</a></li></ul></article>", ["One", "Two"], []),
+    ],
+)
+def test_extract_templates(page, want, lost):
+    whole = "<html><head><title>T</title></head><body><nav><a href=x>Home</a></nav>" + page.replace("{}", PROSE * 4) + "<footer>Foot</footer></body></html>"
+    got = html.extract(whole)
+    assert got.count("The river was long") == (4 if "{}" in page else 0)
+    assert all(w in got for w in want) and not any(w in got for w in [*lost, "Home", "Foot"])
+
+
+def test_the_threshold_selects(monkeypatch):
+    page = f"<body><nav>Home</nav><article><h1>Head</h1>{PROSE * 4}</article><footer>Foot</footer></body>"
+    assert "Foot" not in html.extract(page)
+    monkeypatch.setattr(html, "ALPHA", 0.0)
+    assert "Foot" in html.extract(page)
+
+
+def test_pages_query_on_edges(spark):
+    df = spark.createDataFrame([(1, "u", None), (1, "u", PROSE), (1, "u", PROSE), (None, None, "")], "page_id long, url string, html string")
+    assert sorted(r["n_chars"] for r in html.extract_pages(df).collect()) == [0, 0, len(PROSE) - 7, len(PROSE) - 7]
+    assert html.extract_pages(df.limit(0)).count() == 0
+
+
 def brute_rule(url, rules):
     host, path = urls.split_url(url)
     fits = [
@@ -222,6 +260,53 @@ def test_secret_pem_spaces_and_long():
     assert len(secrets.literal_spans(many)) == 100
 
 
+def test_secret_escapes_and_triple_quotes():
+    found = lambda t: [t[a:b] for a, k, b in secrets.scan(t)[1] if k == 3]
+    assert found('secret_key = "abc\\"Zx81mQpLq"') == ['abc\\"Zx81mQpLq']
+    assert found('api_key = """\nZx81mQpLq77\n"""') == ["Zx81mQpLq77"]
+    long = "aB3$" * 3000
+    assert found(f'db_password = "{long}"') == [long]
+
+
+def brute_base(text):
+    """Base spans, character by character: kind, start, end."""
+    text = text or ""
+    out = []
+    key = re.compile(r"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?", re.I | re.A)
+    at = 0
+    while at < len(text):
+        m = key.match(text, at)
+        end = m.end() if m else at
+        while m and end < len(text) and text[end] in string.ascii_letters + string.digits + "+/_.=-":
+            end += 1
+        if m and end > m.end():
+            out += [("assign", at, end)] if end - m.end() >= 6 else []
+            at = end
+        else:
+            at += 1
+    for kind, first, letters, least in (("access", "AKIA", string.ascii_uppercase + string.digits, 20), ("hex", "", string.digits + "abcdef", 24)):
+        at = 0
+        while at < len(text):
+            end = at + len(first)
+            while text.startswith(first, at) and end < len(text) and text[end] in letters:
+                end += 1
+            found = text.startswith(first, at) and end > at + len(first)
+            out += [(kind, at, end)] if found and end - at >= least else []
+            at = end if found else at + 1
+    return sorted(out, key=lambda s: (s[1], ["assign", "access", "hex"].index(s[0])))
+
+
+def test_base_spans_of_the_whole_table_match_a_scan_by_hand(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    text = {r.doc_id: r.text for r in docs.collect()}
+    for r in queries.op5_secrets(spark, SF).collect():
+        want = brute_base(text[r.doc_id])
+        said = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+        assert r.base_sha256 == hashlib.sha256(said.encode()).hexdigest(), r.doc_id
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == kind for k, _, _ in want) for kind in ("assign", "access", "hex"))
+    assert secrets.scan_secrets(docs.limit(0)).count() == 0
+
+
 def test_secret_query_defined_on_edges(spark):
     out = rows(secrets.scan_secrets(docs_of(spark, EDGE)))
     assert [r["n_assign"] + r["n_access"] + r["n_hex"] for r in out] == [0] * len(EDGE)
@@ -334,6 +419,15 @@ def test_quality_matches_brute_force(spark):
     assert quality.rate_documents(docs_of(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_quality_rejects_text_of_another_language(spark):
+    rnd = random.Random(6)
+    common = quality.COMMON
+    said = lambda lang: " ".join(rnd.choice(common[lang]) if rnd.random() < 0.5 else "w" + rnd.choice("abcdefgh") * rnd.randint(2, 6) for _ in range(300))
+    texts = [said("en") for _ in range(40)] + [said("fr")]
+    out = rows(quality.rate_documents(docs_of(spark, texts)))
+    assert [r["kept"] for r in out] == [True] * 40 + [False] and out[-1]["js_words"] > quality.MAX_WORD_DISTANCE > max(r["js_words"] for r in out[:-1])
+
+
 def test_quality_rejects_symbol_text_and_keeps_prose(spark):
     rnd = random.Random(4)
     words = ["the", "river", "stone", "of", "light", "and", "a", "window", "under", "grey"]
@@ -345,6 +439,37 @@ def test_quality_rejects_symbol_text_and_keeps_prose(spark):
     assert kept.count() == 30 and kept.columns == docs_of(spark, ["a"]).columns
 
 
+# --- stages on odd tables ----------------------------------------------------------------------------------------------
+
+
+def test_stages_keep_odd_columns_and_bear_empty_tables(spark, tmp_path):
+    spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    long = " ".join(f"w{i}" for i in range(60_000))
+    texts = [None, "", long, long, "the river and the light " * 3, 'token = "Zx81mQpLq77"']
+    docs = docs_of(spark, texts, [1, None, 3, 3, 5, 6])
+    odd = docs.select("doc_id", "text", "lang", "source", "n_chars", *(F.col("source").alias(c) for c in ("a.b", "kd", "kh", "k", "row", "class_key", "k_text", "bins", "spans", "items", "c")))
+    for df in (odd, odd.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, df, str(tmp_path))
+            assert set(out.columns) == set(odd.columns), name
+            got = out.collect()
+            assert name != "secrets" or len(got) == df.count()
+            assert all(r["a.b"] == r["source"] for r in got)
+        assert corpus_pipeline.STAGES[-1][1](spark, df, str(tmp_path)).count() == df.count()
+
+
+def test_work_folder_must_be_shared_on_a_cluster(spark, monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+        getConf = staticmethod(lambda: {})
+
+    class Session:
+        conf, sparkContext = {}, Context()
+
+    with pytest.raises(ValueError):
+        common.work_dir(Session())
+
+
 # --- SQL -------------------------------------------------------------------------------------------------------------
 
 

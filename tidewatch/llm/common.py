@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,13 +20,16 @@ BATCH_CHARS = 8_000_000
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The shared folder that the cluster names in spark.checkpoint.dir. Only a session on one machine may do without: it
+    gets a temporary folder; on a cluster executors could not read each other's files there, so that is an error."""
     try:
         found = spark.conf.get("spark.checkpoint.dir", None)
     except Exception:  # noqa: BLE001 - a static setting that is unknown to this session
         found = None
     found = found or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = getattr(work_dir, "own", None) or tempfile.mkdtemp(prefix="tidewatch-")
         work_dir.own = found
     return found.rstrip("/")

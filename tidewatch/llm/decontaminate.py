@@ -9,7 +9,7 @@ time over the suffixes that are left, until no benchmark suffix goes further: th
 location. Shards need no exchange, so there is no shuffle.
 
 The benchmark is the stated query set: it goes to the workers in blocks of a bounded number of words, one pass for each
-block, so any benchmark fits. Training documents are read whole and none is left out.
+block; between passes the result so far is written, so one block is held at once and any benchmark fits. Training documents are read whole and none is left out.
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of the text with A-Z lower-cased. An item's windows are its runs of 10
 words; an item of fewer words is one window.
@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import map_batches
+from tidewatch.llm.common import map_batches, written
 
 WINDOW = 10
 #: Benchmark words that one pass hands to the workers.
@@ -169,15 +169,16 @@ def _merge(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int) -> Iterator[Block]:
     items: list[tuple[str, str | None]] = []
-    size = 0
+    size, first = 0, True
     rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t"))
     for r in rows.toLocalIterator():
         items.append((r["i"] or "", r["t"]))
         size += len(words(r["t"]))
         if size >= most:
             yield Block(items)
-            items, size = [], 0
-    yield Block(items)
+            items, size, first = [], 0, False
+    if items or first:
+        yield Block(items)
 
 
 _SPANS = "array<struct<start: long, end: long>>"
@@ -209,7 +210,11 @@ def find_hits(
         F.lit(None).cast("long").alias("longest_at"),
         *(F.col(f"`{c}`").alias(f"k_{c}") for c in keep),
     )
+    shared = None
     for block in _blocks(benchmark, item_col, text_col, block_words):
+        if shared:
+            out = written(out)
+            shared.unpersist()
         shared = spark.sparkContext.broadcast(block)
 
         def rows(cols: dict[str, list], shared=shared) -> dict[str, list]:

@@ -319,13 +319,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one row of each class (that of the least doc_id), with the columns of docs."""
     rows = written(Groups(docs).classes())
     keep = rows.where("class_key IS NOT NULL").groupBy("class_key").agg(F.min(F.struct("kd", "kh")).alias("k")).select("k.kd", "k.kh")
-    key = keyed(docs)
     wide = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")).alias("kd"),
         F.xxhash64(F.col("text").cast("string")).alias("kh"),
     )
-    del key
     found = wide.join(keep, ["kd", "kh"]).dropDuplicates(["kd", "kh"]).select("row.*")
     none = wide.join(rows.where("class_key IS NULL").select("kd", "kh").distinct(), ["kd", "kh"]).select("row.*")
     return found.unionByName(none)

@@ -1,12 +1,13 @@
 """Secret scans by assignment-aware lexing.
 
 A lexer reads `name = literal`, `name: literal`, `"name": "literal"`, `name := literal` and `export NAME=literal`
-(quoted, or bare: to the next blank, quote, comma, semicolon or bracket, and with a digit unless the line is only NAME=value) out of source and configuration text, follows constants (`k = "..."` then `api_key = k`, also `k + "..."`), and
+(quoted, with escapes, in triple quotes also over lines, or bare: to the next blank, quote, comma, semicolon or bracket, and with a digit unless the line is only NAME=value) out of source and configuration text, follows constants (`k = "..."` then `api_key = k`, also `k + "..."`), and
 scores each literal by the sensitivity of the name that it finally reaches, its length and its entropy. Spans of
 fixed patterns (assign, access, hex) are always reported; the lexer adds spans of kind `literal`.
 
 Defined results: a null text is empty and has no spans; very long texts are read whole; repeated rows each get their
-own row; other columns of the input are ignored.
+own row; spans with one start are in the order of their kinds; an empty table gives no rows; other columns of the input
+are ignored, or kept as they are where documents are rewritten.
 """
 
 from __future__ import annotations
@@ -39,8 +40,11 @@ STATEMENT = re.compile(
     r"""(?=[^\s=])"""
 )
 OPERAND = re.compile(
-    r"""(?:"([^"\n]*+)"|'([^'\n]*+)'|`([^`\n]*+)`|([A-Za-z_$][\w.$]*+)(?=[ \t]*(?:[+;,)\]}\r\n#]|\Z)))"""
+    r"""(?:\"\"\"((?:[^\\"]|\\.|"(?!""))*+)\"\"\"|'''((?:[^\\']|\\.|'(?!''))*+)'''"""
+    r"""|"((?:[^"\\\n]|\\.)++)"|'((?:[^'\\\n]|\\.)++)'|`([^`\n]++)`|([A-Za-z_$][\w.$]*+)(?=[ \t]*(?:[+;,)\]}\r\n#]|\Z)))""",
+    re.S,
 )
+_ESCAPE = re.compile(r"\\(.)", re.S)
 #: A bare value goes to the next blank, quote, comma, semicolon or bracket; a call or an index is none.
 BARE = re.compile(r"""[^\s"'`,;(){}\[\]<>]++(?![(\[])""")
 #: A line NAME=value, as in .env files.
@@ -81,7 +85,10 @@ def lex(text: str) -> list[tuple[str, list[tuple[str, int, int, str]]]]:
         at, ops = m.end(), []
         while o := OPERAND.match(text, at):
             g = o.lastindex
-            ops.append(("ref" if g == 4 else "lit", o.start(g), o.end(g), o.group(g)))
+            a, value = o.start(g), o.group(g)
+            if g <= 2:  # in triple quotes, the blank space around the literal is layout
+                a, value = a + len(value) - len(value.lstrip()), value.strip()
+            ops.append(("ref" if g == 6 else "lit", a, a + len(value), value if g == 6 else _ESCAPE.sub(r"\1", value)))
             p = PLUS.match(text, o.end())
             if not p:
                 break
@@ -187,8 +194,10 @@ def redact_documents(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
 
     def rows(cols: dict[str, list]) -> dict[str, list]:
         text = [t and redact(t, mark) for t in cols["text"]]
-        size = [n if a == b else len(b) for n, a, b in zip(cols["n_chars"], cols["text"], text, strict=True)]
-        return {**{c: cols[c] for c in rest}, "text": text, "n_chars": size}
+        out = {**{c: cols[c] for c in rest}, "text": text}
+        if "n_chars" in cols:
+            out["n_chars"] = [n if a == b else len(b) for n, a, b in zip(cols["n_chars"], cols["text"], text, strict=True)]
+        return out
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return map_batches(docs, rows, schema, "text")

@@ -6,25 +6,29 @@ URLs are swept in key order; a stack holds the rule hosts whose intervals are op
 URL's path is located among the sorted rule paths, whose nesting (also found by a stack) leads to the longest prefix.
 Of all rules that fit, the longest (host and path characters together, then host) decides; equal rules: block wins.
 
-Rules go to the workers in sorted blocks of a bounded number, one pass for each block, so no rule table is too large.
-There is no shuffle, so a hot host costs nothing special.
+Up to BLOCK_RULES rules (they are counted first) go to all workers, and URLs are swept where they are: no shuffle. More
+rules are a table like the URLs: both are cut into ranges of keys, a rule going to every range that its interval meets
+(a range's border lies in no more intervals than its host has labels), both sides are sorted in each range and swept in
+one merge. A host with many URLs is spread over several ranges, to which its rules go.
 
 Defined results: a null URL, or one without `://`, has empty host and path and fits only rules that its empty host
-could, so none; very long URLs are read whole; repeated rows each get a row; a URL that no rule fits gets the default
+could, so none; an empty table gives no rows; very long URLs are read whole; repeated rows each get a row; a URL that no rule fits gets the default
 verdict (allow) and a null rule; null or empty rule hosts are ignored; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import map_batches
 
-#: Rules that one pass hands to the workers.
+#: Rules that are handed to all workers; more are joined by ranges.
 BLOCK_RULES = 200_000
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -102,6 +106,94 @@ class RuleBlock:
 
 
 SCHEMA = "page_id long, host string, path string, rule string, verdict string"
+_ROW = "part int, key string, kind int, path string, host string, verdict string, page_id long"
+
+
+def _swept(default: str, block: Broadcast) -> Callable[[dict[str, list]], dict[str, list]]:
+    """One batch of URLs against all rules."""
+
+    def rows(cols: dict[str, list]) -> dict[str, list]:
+        split = [split_url(u) for u in cols["url"]]
+        rule: list[str | None] = [None] * len(split)
+        verdict = [default] * len(split)
+        for at, (name, say) in block.value.sweep(sorted((host_key(h), p, i) for i, (h, p) in enumerate(split))):
+            rule[at], verdict[at] = name, say
+        return {"page_id": cols["page_id"], "host": [h for h, _ in split], "path": [p for _, p in split], "rule": rule, "verdict": verdict}
+
+    return rows
+
+
+def _split_rows(cols: dict[str, list]) -> dict[str, list]:
+    split = [split_url(u) for u in cols["url"]]
+    return {"page_id": cols["page_id"], "key": [host_key(h) for h, _ in split], "host": [h for h, _ in split], "path": [p for _, p in split]}
+
+
+def _rule_rows(cols: dict[str, list]) -> dict[str, list]:
+    host = [(h or "").translate(_LOWER) for h in cols["host"]]
+    return {"key": [host_key(h) for h in host], "host": host, "path": [p or "" for p in cols["path"]], "verdict": cols["verdict"]}
+
+
+def _merge(batches: Iterator[pa.RecordBatch], default: str) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by range, key and kind (rules before URLs): a stack of the rule hosts whose intervals are open."""
+    schema = pa.schema([(c.split()[0], pa.int64() if "long" in c else pa.string()) for c in SCHEMA.split(", ")])
+    part: int | None = None
+    stack: list[tuple[str, PathRules]] = []
+    new: dict[str, tuple[str, str]] = {}
+    key_of_new = ""
+
+    def open_new() -> None:
+        nonlocal new
+        if new:
+            while stack and not key_of_new.startswith(stack[-1][0]):
+                stack.pop()
+            stack.append((key_of_new, PathRules(new)))
+            new = {}
+
+    for batch in batches:
+        cols = batch.to_pydict()
+        out: dict[str, list] = {f.name: [] for f in schema}
+        for p, key, kind, path, host, say, page in zip(*(cols[c] for c in ("part", "key", "kind", "path", "host", "verdict", "page_id")), strict=True):
+            if p != part:
+                part, stack, new = p, [], {}
+            if kind == 0:
+                if key != key_of_new:
+                    open_new()
+                    key_of_new = key
+                if new.get(path, ("", ""))[1] != "block":
+                    new[path] = (host + path, say)
+                continue
+            open_new()
+            while stack and not key.startswith(stack[-1][0]):
+                stack.pop()
+            found = [(len(r[0]), len(k), r) for k, rules in stack if (r := rules.longest(path))]
+            name, verdict = max(found)[2] if found else (None, default)
+            for c, v in zip(out, (page, host, path, name, verdict), strict=True):
+                out[c].append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
+
+
+#: Keys that are looked at for each range's border.
+PER_RANGE = 50
+
+
+def _range_join(pages: DataFrame, rules: DataFrame, default: str) -> DataFrame:
+    spark = pages.sparkSession
+    urls = map_batches(pages, _split_rows, "page_id long, key string, host string, path string", "url")
+    known = map_batches(rules, _rule_rows, "key string, host string, path string, verdict string", "host").where("key <> ''")
+    ranges = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = urls.count()
+    # Borders only say where rows go, so they may come from a sample of the keys, of a stated size.
+    seen = sorted(r[0] for r in urls.select("key").sample(fraction=min(1.0, 2 * PER_RANGE * ranges / max(n, 1)), seed=1).limit(4 * PER_RANGE * ranges).collect())
+    borders = F.array(*(F.lit(seen[k * len(seen) // ranges]) for k in range(1, ranges))) if seen else F.expr("cast(array() AS array<string>)")
+    below = lambda key: F.size(F.filter(borders, lambda b: b < key))
+    upto = lambda key: F.size(F.filter(borders, lambda b: b <= key))
+    # A key that is a border several times has that many ranges to itself.
+    own = F.when(upto(F.col("key")) > below(F.col("key")), below(F.col("key")) + F.pmod(F.xxhash64("page_id", "path"), upto(F.col("key")) - below(F.col("key")) + 1)).otherwise(below(F.col("key")))
+    left = urls.select(own.cast("int").alias("part"), "key", F.lit(1).alias("kind"), "path", "host", F.lit(None).cast("string").alias("verdict"), "page_id")
+    last = F.concat("key", F.lit("\U0010ffff"))
+    right = known.select(F.explode(F.sequence(below(F.col("key")), below(last))).alias("part"), "key", F.lit(0).alias("kind"), "path", "host", "verdict", F.lit(None).cast("long").alias("page_id"))
+    both = left.unionByName(right).repartition(ranges, "part").sortWithinPartitions("part", "key", "kind")
+    return both.mapInArrow(lambda batches: _merge(batches, default), SCHEMA)
 
 
 def filter_urls(
@@ -114,43 +206,10 @@ def filter_urls(
     block_rules: int = BLOCK_RULES,
 ) -> DataFrame:
     """One row per row of pages: host, path, the deciding rule and the verdict. rules: host, path, verdict."""
-    spark = pages.sparkSession
-    out = pages.select(
-        F.col(id_col).cast("long").alias("page_id"),
-        F.col(url_col).cast("string").alias("url"),
-        F.lit(None).cast("string").alias("rule"),
-        F.lit(default).alias("verdict"),
-    )
+    own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"))
     known = rules.select(*(F.col(c).cast("string").alias(c) for c in ("host", "path", "verdict")))
-
-    def blocks() -> Iterator[RuleBlock]:
-        block: list[tuple[str, str, str]] = []
-        # The rules are the stated filter, not the data; they pass through the driver a block at a time.
-        for r in known.toLocalIterator():
-            block.append((r["host"], r["path"], r["verdict"]))
-            if len(block) >= block_rules:
-                yield RuleBlock(block)
-                block = []
-        yield RuleBlock(block)
-
-    for block in blocks():
-        shared = spark.sparkContext.broadcast(block)
-
-        def rows(cols: dict[str, list], shared=shared) -> dict[str, list]:
-            split = [split_url(u) for u in cols["url"]]
-            rule, verdict = list(cols["rule"]), list(cols["verdict"])
-            for at, (name, say) in shared.value.sweep(sorted((host_key(h), p, i) for i, (h, p) in enumerate(split))):
-                old = rule[at]
-                if old is None or len(name) > len(old):
-                    rule[at], verdict[at] = name, say
-                elif len(name) == len(old) and name.find("/") > old.find("/"):
-                    rule[at], verdict[at] = name, say
-                elif name == old and say == "block":
-                    verdict[at] = say
-            return {
-                "page_id": cols["page_id"], "url": cols["url"], "rule": rule, "verdict": verdict,
-                "host": [h for h, _ in split], "path": [p for _, p in split],
-            }
-
-        out = map_batches(out.select("page_id", "url", "rule", "verdict"), rows, f"url string, {SCHEMA}", "url")
-    return out.select("page_id", "host", "path", "rule", "verdict")
+    some = [(r["host"], r["path"], r["verdict"]) for r in known.limit(block_rules + 1).collect()]
+    if len(some) > block_rules:
+        return _range_join(own, known, default)
+    shared = pages.sparkSession.sparkContext.broadcast(RuleBlock(some))
+    return map_batches(own, _swept(default, shared), SCHEMA, "url")
