@@ -424,8 +424,10 @@ def test_quality_rejects_text_of_another_language(spark):
     common = quality.COMMON
     said = lambda lang: " ".join(rnd.choice(common[lang]) if rnd.random() < 0.5 else "w" + rnd.choice("abcdefgh") * rnd.randint(2, 6) for _ in range(300))
     texts = [said("en") for _ in range(40)] + [said("fr")]
-    out = rows(quality.rate_documents(docs_of(spark, texts)))
+    out = rows(quality.rate_documents(docs_of(spark, texts).withColumn("lang", F.lit("en"))))
     assert [r["kept"] for r in out] == [True] * 40 + [False] and out[-1]["js_words"] > quality.MAX_WORD_DISTANCE > max(r["js_words"] for r in out[:-1])
+    unknown = rows(quality.rate_documents(docs_of(spark, texts).withColumn("lang", F.lit("xx"))))
+    assert all(r["kept"] and r["js_words"] is None for r in unknown)
 
 
 def test_quality_rejects_symbol_text_and_keeps_prose(spark):

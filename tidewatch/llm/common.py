@@ -82,14 +82,18 @@ def slices(batch: pa.RecordBatch, column: str, most: int = BATCH_CHARS) -> Itera
 def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str, text: str, most: int = BATCH_CHARS) -> DataFrame:
     """Narrow map: fn gets the columns of a bounded slice as lists and returns the output columns as lists."""
     arrow = to_arrow_schema(T._parse_datatype_string(schema))
+    names = df.columns
+    # Columns go in under plain names, as mapInArrow can't resolve names with dots.
+    plain = df.toDF(*(f"c{i}" for i in range(len(names))))
+    at = f"c{names.index(text)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, text, most):
-                out = fn(batch.to_pydict())
+            for batch in slices(whole, at, most):
+                out = fn(dict(zip(names, batch.to_pydict().values(), strict=True)))
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema)
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

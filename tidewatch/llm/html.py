@@ -64,6 +64,8 @@ _SPACE = re.compile(r"[ \t\n\r\f\v\x85\xa0  -     　]+")
 _PUNCT = re.compile(r"[.,;:!?¿¡…、。，]")
 #: Share of the smoothed scores' spread below which a block goes; width of the kernel, in blocks.
 ALPHA, SIGMA = 0.5, 1.0
+#: Share of a block's characters in links from which it is a list of links.
+LINKED = 0.8
 #: Opening one of these closes an open p.
 _CLOSES_P = BLOCK - {"html", "body"}
 _CLOSES_SELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -222,7 +224,7 @@ def extract(page: str | None) -> str:
         able = [not n.hard for n, _, _ in found]
     if not any(able):
         return ""
-    if all(linked >= len(t) for (_, t, linked), ok in zip(found, able, strict=True) if ok):
+    if all(linked >= LINKED * len(t) for (_, t, linked), ok in zip(found, able, strict=True) if ok):
         found = [(n, t, 0) for n, t, _ in found]  # an article of links only
     nodes: dict[str, set[int]] = defaultdict(set)
     chars: dict[str, int] = defaultdict(int)
@@ -232,11 +234,11 @@ def extract(page: str | None) -> str:
         if ok:
             nodes[p].add(n.i)
             chars[p] += len(t) - linked
-            marks[p] += len(_PUNCT.findall(t)) if linked < len(t) else 0
+            marks[p] += len(_PUNCT.findall(t)) if linked < LINKED * len(t) else 0
     ratio = lambda of: np.array([of[p] / len(nodes[p]) if ok else 0.0 for p, ok in zip(paths, able, strict=True)])
     fused = smooth(ratio(chars)) * (1.0 + smooth(ratio(marks)))
-    # Smoothing gives no score to what is never article text, nor to what is all links.
-    own = np.array([ok and linked < len(t) for (_, t, linked), ok in zip(found, able, strict=True)])
+    # Smoothing gives no score to what is never article text, nor to lists of links.
+    own = np.array([ok and linked < LINKED * len(t) for (_, t, linked), ok in zip(found, able, strict=True)])
     score = np.where(own, fused, 0.0)
     limit = min(ALPHA * score.std(), score.max()) if score.max() > 0 else ALPHA
     keep = [bool(s >= limit) for s in score]
@@ -275,6 +277,13 @@ def extract(page: str | None) -> str:
     elif sum(keep) > 1:
         homes.add(max((i for i in weight if weight[i] == total), key=lambda i: known[i][1]))
 
+    # A header that its words mark as the article's, beside the container.
+    for n, _, _ in found:
+        while home is not None and n:
+            if n.name == "header" and n.good and n.up is known[home][0].up:
+                homes.add(n.i)
+            n = n.up
+
     def inside(n: Node | None, all_links: bool) -> bool:
         """Whether a container holds the block; a block of links only needs a marked one."""
         while n:
@@ -285,7 +294,7 @@ def extract(page: str | None) -> str:
 
     # Blocks of a container have its score.
     whole = max(float(score.max()), limit)
-    score = [max(s, whole) if ok and inside(n, linked >= len(t)) else s for (n, t, linked), s, ok in zip(found, score, able, strict=True)]
+    score = [max(s, whole) if ok and inside(n, linked >= LINKED * len(t)) else s for (n, t, linked), s, ok in zip(found, score, able, strict=True)]
     return "\n".join(t for (_, t, _), s in zip(found, score, strict=True) if s >= limit)
 
 

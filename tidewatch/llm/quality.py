@@ -1,10 +1,11 @@
 """Quality rules by distribution divergence, in DataFrame functions only.
 
-Each document's character-class histogram, and its histogram over the common words (a bin for each, case folded and
+Each document's character-class histogram, and its histogram over its language's common words (a bin for each, case folded and
 without punctuation, and one for all other words; half a word is added to each bin), are compared with those of its
 language, taken over all documents of that language that pass the base rules, by the Jensen-Shannon distance (base 2, so
 0 to 1). A document is rejected if a distance exceeds its limit; documents with too few characters or words for a
-histogram, or whose language has too little text for a reference, are not judged by that distance. Fixed base rules come
+histogram, or whose language has too little text for a reference or no list of common words, are not judged by that
+distance. Fixed base rules come
 first: fewer than 50 words, or more than half of all words in 3-word windows that the document repeats.
 
 Counts of a document are computed in one pass without a shuffle and written; the references are sums by language
@@ -25,7 +26,7 @@ from tidewatch.llm.common import written
 
 #: Common words by language.
 COMMON = {
-    "en": "the of and to in is that it for was on with as by at be this are from or an".split(),
+    "en": "the of and to in is that it for was on with as by at be this are from or".split(),
     "fr": "le la les de des et un une du en est que qui dans pour par sur au avec pas".split(),
     "de": "der die das und in den von zu mit ist des ein eine für auf im dem nicht als auch".split(),
     "es": "el la los las de que y en un una por con no para es se lo su al del".split(),
@@ -40,9 +41,9 @@ SMOOTH = 0.5
 MAX_BROADCAST = 10_000
 _SPACES = " \t\n\x0b\x0c\r"
 CHARS = ("c_lower", "c_upper", "c_digit", "c_space", "c_symbol", "c_punct", "c_high")
-#: Bins of the word histogram; the last is for all other words.
+#: Bins of the word histogram: one for all other words, then the language's list; the lists are of one length.
 WORDS = tuple(sorted({w for ws in COMMON.values() for w in ws}))
-BINS = tuple(f"w{k}" for k in range(len(WORDS) + 1))
+BINS = tuple(f"w{k}" for k in range(len(COMMON["en"]) + 1))
 
 
 def _less(text: Column, pattern: str) -> Column:
@@ -92,9 +93,11 @@ def document_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             "c_punct": F.col("n_chars") - sum((F.col(c) for c in CHARS if c != "c_punct"), F.lit(0)),
         }
     )
-    marked = ", ".join(f"' {w} '" for w in WORDS)
-    q = q.withColumn("bins", F.expr(f"transform(array({marked}), k -> cast((length(c) - length(replace(c, k, ''))) DIV length(k) AS bigint))"))
-    q = q.withColumn("bins", F.expr("concat(bins, array(greatest(0L, n_words - aggregate(bins, 0L, (x, y) -> x + y))))"))
+    marked = ", ".join(f"'{lang}', array({', '.join(f"' {w} '" for w in ws)})" for lang, ws in COMMON.items())
+    q = q.withColumn("m", F.expr(f"coalesce(try_element_at(map({marked}), lang), cast(array() AS array<string>))")).withColumn("l", F.length("c"))
+    q = q.withColumn("bins", F.expr("transform(m, k -> cast((l - length(replace(c, k, ''))) DIV length(k) AS bigint))"))
+    found = F.expr("aggregate(bins, 0L, (x, y) -> x + y)")
+    q = q.withColumn("bins", F.when(F.size("m") > 0, F.concat(F.array(F.greatest(F.lit(0), F.col("n_words") - found)), "bins")))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return q.select(
         "doc_id", "lang", *names, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "n_chars", *CHARS, "bins"
@@ -114,29 +117,30 @@ def js_distance(p: list[Column], q: list[Column]) -> Column:
     return F.when((total[0] > 0) & (total[1] > 0), value)
 
 
-def js_of_bins(p: Column, q: Column) -> Column:
-    """The same of two arrays of counts, with SMOOTH added to each bin."""
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) + SMOOTH * len(BINS)
+def js_of_bins(p: Column, q: Column, n: Column, m: Column) -> Column:
+    """The same of two arrays of counts with totals n and m, which include the SMOOTH that is added to each bin."""
     half = lambda a, b: a * F.log2(F.lit(2.0) * a / (a + b))
-    n, m = total(p), total(q)
-    parts = F.zip_with(p, q, lambda x, y: (half((x + SMOOTH) / n, (y + SMOOTH) / m) + half((y + SMOOTH) / m, (x + SMOOTH) / n)) / 2)
-    return F.sqrt(F.greatest(F.aggregate(parts, F.lit(0.0), lambda s, x: s + x), F.lit(0.0)))
+    both = F.zip_with(p, q, lambda x, y: F.struct(((x + SMOOTH) / n).alias("a"), ((y + SMOOTH) / m).alias("b")))
+    total = F.aggregate(both, F.lit(0.0), lambda s, x: s + (half(x["a"], x["b"]) + half(x["b"], x["a"])) / 2)
+    return F.sqrt(F.greatest(total, F.lit(0.0)))
 
 
 def judge(counts: DataFrame) -> DataFrame:
     """Adds js_chars, js_words and kept. counts is read twice, so it should be a written table."""
     own = counts.where(~F.col("base_failed")).groupBy(F.col("lang").alias("r_lang"))
-    sums = own.agg(*(F.sum(c).alias(f"r_{c}") for c in CHARS), F.array(*(F.sum(F.col("bins")[k]) for k in range(len(BINS)))).alias("r_bins"))
-    sums = written(sums)
+    sums = own.agg(*(F.sum(c).alias(f"r_{c}") for c in CHARS), F.array(*(F.sum(F.get("bins", F.lit(k))) for k in range(len(BINS)))).alias("r_bins"))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x)
+    sums = written(sums.withColumn("r_words", total("r_bins")))
     few = sums.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
     both = counts.join(F.broadcast(sums) if few else sums, F.col("lang") == F.col("r_lang"), "left")
     cols = lambda names, pre="": [F.col(pre + c) for c in names]
     chars = sum(cols(CHARS, "r_"), F.lit(0))
-    words = F.aggregate("r_bins", F.lit(0).cast("long"), lambda s, x: s + x)
+    more = SMOOTH * len(BINS)
+    both = both.withColumns({"own_words": total("bins") + more, "ref_words": F.col("r_words") + more})
     both = both.withColumns(
         {
             "js_chars": F.when((F.col("n_chars") >= MIN_CHARS) & (chars >= MIN_REFERENCE_CHARS), js_distance(cols(CHARS), cols(CHARS, "r_"))),
-            "js_words": F.when((F.col("n_words") >= MIN_WORDS) & (words >= MIN_REFERENCE_WORDS), js_of_bins(F.col("bins"), F.col("r_bins"))),
+            "js_words": F.when((F.col("n_words") >= MIN_WORDS) & (F.col("r_words") >= MIN_REFERENCE_WORDS), js_of_bins(F.col("bins"), F.col("r_bins"), F.col("own_words"), F.col("ref_words"))),
         }
     )
     far = (F.coalesce("js_chars", F.lit(0.0)) > MAX_CHAR_DISTANCE) | (F.coalesce("js_words", F.lit(0.0)) > MAX_WORD_DISTANCE)
