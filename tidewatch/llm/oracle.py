@@ -49,7 +49,7 @@ def _js(p: tuple[str, ...]) -> str:
 
 _words = ", ".join(f"'{w}'" for w in quality.WORDS)
 _lists = "CASE lang " + " ".join(f"WHEN '{lang}' THEN [{', '.join(f"'{w}'" for w in ws)}]" for lang, ws in quality.COMMON.items()) + " END"
-_bins = ", ".join(f"len(list_filter(c, lambda x: x = m[{k}])) AS w{k}" for k in range(1, len(quality.BINS)))
+_bins = ", ".join(f"len(list_filter(c, lambda x: x = m[{k - 1}])) AS w{k}" for k in range(2, len(quality.BINS)))
 
 
 def _js_bins() -> tuple[str, str, str]:
@@ -69,11 +69,11 @@ OP9 = f"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '
 w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines,
   list_filter(string_split(regexp_replace(lower(t), '[^a-zß-ÿ]+', ' ', 'g'), ' '), lambda x: x IN ({_words})) AS c, {_lists} AS m FROM d),
 q AS (SELECT doc_id, lang, len(w) AS n_words, length(t) AS n_chars, {_gone("[\\x20\\x09-\\x0D]+")} AS c_space, {_gone("[#*$%&|<>]+")} AS c_symbol, {_gone("[a-z]+")} AS c_lower, {_gone("[A-Z]+")} AS c_upper,
-  {_gone("[0-9]+")} AS c_digit, {_gone("[^\\x00-\\x7F]+")} AS c_high, len(lines) - len(list_distinct(lines)) AS n_dup_lines, {_bins} FROM w),
+  {_gone("[0-9]+")} AS c_digit, {_gone("[^\\x00-\\x7F]+")} AS c_high, len(lines) - len(list_distinct(lines)) AS n_dup_lines, len(c) AS n_common, {_bins} FROM w),
 g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)),
 m AS (SELECT doc_id, unnest(range(i, i + 3)) AS k FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, win) AS c FROM g) WHERE c > 1),
 rep AS (SELECT doc_id, count(DISTINCT k) AS n_repeat_words FROM m GROUP BY 1),
-a AS (SELECT q.*, n_chars - c_space - c_symbol - c_lower - c_upper - c_digit - c_high AS c_punct, greatest(0, n_words - {" - ".join(quality.BINS[1:])}) AS w0, coalesce(n_repeat_words, 0) AS n_repeat_words,
+a AS (SELECT q.*, n_chars - c_space - c_symbol - c_lower - c_upper - c_digit - c_high AS c_punct, greatest(0, n_words - n_common) AS w0, n_common - {" - ".join(quality.BINS[2:])} AS w1, coalesce(n_repeat_words, 0) AS n_repeat_words,
   n_words < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words AS base_failed FROM q LEFT JOIN rep USING (doc_id)),
 ref AS (SELECT lang, {", ".join(f"sum({c}) AS r_{c}" for c in (*quality.CHARS, *quality.BINS))} FROM a WHERE NOT base_failed GROUP BY 1),
 b AS (SELECT *, {_nw} AS nw, {_rw} AS rw FROM a LEFT JOIN ref USING (lang)),

@@ -1,7 +1,8 @@
 """Quality rules by distribution divergence, in DataFrame functions only.
 
 Each document's character-class histogram, and its histogram over its language's common words (a bin for each, case folded and
-without punctuation, and one for all other words; half a word is added to each bin), are compared with those of its
+without punctuation, one for the other languages' common words and one for the rest; half a word is added to each bin),
+are compared with those of its
 language, taken over all documents of that language that pass the base rules, by the Jensen-Shannon distance (base 2, so
 0 to 1). A document is rejected if a distance exceeds its limit; documents with too few characters or words for a
 histogram, or whose language has too little text for a reference or no list of common words, are not judged by that
@@ -41,9 +42,9 @@ SMOOTH = 0.5
 MAX_BROADCAST = 10_000
 _SPACES = " \t\n\x0b\x0c\r"
 CHARS = ("c_lower", "c_upper", "c_digit", "c_space", "c_symbol", "c_punct", "c_high")
-#: Bins of the word histogram: one for all other words, then the language's list; the lists are of one length.
+#: Bins of the word histogram: all other words, other languages' common words, then the language's list (one length).
 WORDS = tuple(sorted({w for ws in COMMON.values() for w in ws}))
-BINS = tuple(f"w{k}" for k in range(len(COMMON["en"]) + 1))
+BINS = tuple(f"w{k}" for k in range(len(COMMON["en"]) + 2))
 
 
 def _less(text: Column, pattern: str) -> Column:
@@ -75,8 +76,7 @@ def document_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             "n": F.size("w"),
             "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
             "g": F.expr("CASE WHEN size(w) < 3 THEN cast(array() AS array<bigint>) ELSE transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2])) END"),
-            # The common words alone, each between two blanks of its own, so that a bin's count is what its removal takes.
-            "c": F.concat(F.lit(" "), F.array_join(F.filter(F.split(F.regexp_replace(F.lower("t"), "[^a-zß-ÿ]+", " "), " "), lambda x: x.isin(*WORDS)), "  "), F.lit(" ")),
+            "ca": F.filter(F.split(F.regexp_replace(F.lower("t"), "[^a-zß-ÿ]+", " "), " "), lambda x: x.isin(*WORDS)),
         }
     )
     # Only documents that repeat a window pay for the sort.
@@ -94,10 +94,13 @@ def document_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         }
     )
     marked = ", ".join(f"'{lang}', array({', '.join(f"' {w} '" for w in ws)})" for lang, ws in COMMON.items())
+    # The common words alone, each between two blanks of its own, so that a bin's count is what its removal takes.
+    q = q.withColumns({"n_common": F.size("ca"), "c": F.concat(F.lit(" "), F.array_join("ca", "  "), F.lit(" "))})
     q = q.withColumn("m", F.expr(f"coalesce(try_element_at(map({marked}), lang), cast(array() AS array<string>))")).withColumn("l", F.length("c"))
     q = q.withColumn("bins", F.expr("transform(m, k -> cast((l - length(replace(c, k, ''))) DIV length(k) AS bigint))"))
-    found = F.expr("aggregate(bins, 0L, (x, y) -> x + y)")
-    q = q.withColumn("bins", F.when(F.size("m") > 0, F.concat(F.array(F.greatest(F.lit(0), F.col("n_words") - found)), "bins")))
+    q = q.withColumn("n_own", F.expr("aggregate(bins, 0L, (x, y) -> x + y)"))
+    rest = F.array(F.greatest(F.lit(0), F.col("n_words") - F.col("n_common")), F.col("n_common") - F.col("n_own"))
+    q = q.withColumn("bins", F.when(F.size("m") > 0, F.concat(rest, "bins")))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return q.select(
         "doc_id", "lang", *names, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "n_chars", *CHARS, "bins"
