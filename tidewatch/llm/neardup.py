@@ -37,7 +37,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 REGISTERS, ROWS = 128, 4
 BANDS = REGISTERS // ROWS
 #: Members and shingles of a block of a cluster, and shingles that are multiplied at once.
-BLOCK, BLOCK_ITEMS, COLUMNS = 256, 1_000_000, 8192
+BLOCK, BLOCK_ITEMS, COLUMNS = 256, 400_000, 8192
 #: Text bytes that are hashed at once.
 SLICE = 1_500_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
