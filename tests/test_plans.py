@@ -345,3 +345,21 @@ def test_readers(spark, tmp_path):
     with pytest.raises(ValueError):
         readers.run_aggregate(spark, "DROP TABLE x", ["n"])
     assert readers.setting("TIDEWATCH_NONE", None, "d") == "d"
+
+
+def test_stores_records_and_environment(spark, tmp_path):
+    df = spark.createDataFrame([("S1", 1, 2.0), ("S2", 1, 3.0)], "scenario string, replicate int, tafd double")
+    readers.write_replicates(df, str(tmp_path / "store"))
+    assert readers.read_replicates(spark, str(tmp_path / "store")).count() == 2
+    assert [r.tafd for r in readers.read_replicates(spark, str(tmp_path / "store"), ["S2"]).collect()] == [3.0]
+    tags = spark.createDataFrame([("a", ["predictive"]), ("b", []), ("c", None)], "id string, types array<string>")
+    assert [r.id for r in readers.tagged(tags, "types", "predictive").collect()] == ["a"]
+    assert set(readers.environment()) == {"python", "platform", "pyspark", "numpy", "pandas", "pyarrow"}
+
+
+def test_a_number_is_replaced_in_place():
+    text = "# head\n- {id: S1, levels: {low: 0.25 SD, high: 1.5x}}  # keep\n- {id: S10, levels: {low: 0.3 SD}}\n"
+    assert readers.with_number(text, "S1", "low", 0.41234) == text.replace("0.25 SD", "0.412 SD")
+    for record, field in (("S2", "low"), ("S1", "medium")):
+        with pytest.raises(ValueError):
+            readers.with_number(text, record, field, 1.0)

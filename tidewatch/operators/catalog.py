@@ -234,3 +234,21 @@ def verdicts(found: DataFrame, previous: DataFrame | None = None) -> DataFrame:
         out = out.withColumn("sources", F.sort_array(F.array_union(F.coalesce("sources", F.array()), F.coalesce("_old", F.array())))).drop("_old")
     n = F.coalesce(F.size("sources"), F.lit(0))
     return out.withColumn("verdict", F.when(n >= 2, "VALID").when(n == 1, "WARNING").otherwise("ERROR"))
+
+
+def bibliography(found: DataFrame) -> DataFrame:
+    """id, verdict, entry: a BibTeX entry for what two sources (VALID) or one (WARNING) confirm. found: id, title, authors,
+    year, venue, doi, verdict, sources."""
+    line = lambda name, c: F.when(c.isNotNull() & (c != ""), F.concat(F.lit(f"  {name} = {{"), c, F.lit("},")))
+    authors = F.concat_ws(" and ", "authors")
+    lines = F.array(
+        F.concat(F.lit("@misc{"), F.col("id"), F.lit(",")), line("title", F.col("title")), line("author", F.when(authors == "", F.lit("Unknown")).otherwise(authors)),
+        line("year", F.col("year").cast("string")), line("howpublished", F.col("venue")), line("doi", F.col("doi")),
+        F.concat(F.lit("  note = {Confirmed by "), F.concat_ws(", ", "sources"), F.lit("}")), F.lit("}"),
+    )
+    return found.where(F.col("verdict").isin("VALID", "WARNING")).select("id", "verdict", F.concat_ws("\n", lines).alias("entry"))
+
+
+def audit_counts(found: DataFrame) -> DataFrame:
+    """Entries of each verdict."""
+    return found.groupBy("verdict").agg(F.count("*").alias("n"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -106,6 +107,40 @@ def corpus(spark: SparkSession, files: DataFrame, root: str) -> DataFrame:
     return both.groupBy("group").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("path", "value"))), lambda x: x["value"])).alias("text"))
 
 
+def read_replicates(spark: SparkSession, path: str, scenarios: list[str] | None = None) -> DataFrame:
+    """A replicate store; only the folders of the named scenarios are read."""
+    df = spark.read.parquet(path)
+    return df.where(F.col("scenario").isin(*scenarios)) if scenarios is not None else df
+
+
+def tagged(records: DataFrame, column: str, tag: str) -> DataFrame:
+    """Records whose array column has the tag; a null array has none."""
+    return records.where(F.array_contains(column, tag))
+
+
+def environment() -> dict[str, str]:
+    """Versions that results depend on, for the record of a run. Draws need no seed: they are functions of ids and salts."""
+    import platform
+    from importlib.metadata import version
+
+    return {"python": platform.python_version(), "platform": platform.platform(), **{p: version(p) for p in ("pyspark", "numpy", "pandas", "pyarrow")}}
+
+
+def with_number(text: str, record: str, field: str, value: float) -> str:
+    """YAML text in which the number of one field of one list record is replaced, and nothing else: layout and comments
+    stay. ValueError unless the record and the field are there exactly once."""
+    from tidewatch.functions.scalar import format_level
+
+    items = re.split(r"(?m)^(?=- )", text)
+    own = [k for k, item in enumerate(items) if re.search(rf"(?<![\w.])id:\s*['\"]?{re.escape(record)}(?![\w.])", item)]
+    if len(own) != 1:
+        raise ValueError(f"{len(own)} records {record}")
+    new, n = re.subn(rf"(?<![\w.])({re.escape(field)}:\s*)([^,}}\]\n]*)", lambda m: m[1] + format_level(m[2], value), items[own[0]])
+    if n != 1:
+        raise ValueError(f"{n} fields {field} in {record}")
+    return "".join([*items[: own[0]], new, *items[own[0] + 1 :]])
+
+
 # --- sinks -----------------------------------------------------------------------------------------------------------
 
 
