@@ -82,4 +82,13 @@ j AS (SELECT *, CASE WHEN n_chars >= {quality.MIN_CHARS} AND {" + ".join(f"r_{c}
 SELECT doc_id, n_words::BIGINT AS n_words, (n_chars - c_space)::BIGINT AS word_chars, c_symbol::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
   NOT base_failed AND coalesce(jc, 0) <= {quality.MAX_CHAR_DISTANCE} AND coalesce(jw, 0) <= {quality.MAX_WORD_DISTANCE} AS kept, round(jc, 6) AS js_chars, round(jw, 6) AS js_words FROM j"""
 
-ORACLE = {"op3_urls": OP3, "op4_decontamination": OP4, "op6_chat": OP6, "op9_quality": OP9}
+_h = ", ".join(f"('0x' || substr(h, {8 * k + 1}, 8))::BIGINT AS h{k + 1}" for k in range(4))
+OP13 = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS w, {_h} FROM d),
+k AS (SELECT *, len(w) AS n, least(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS a, greatest(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM w),
+c AS (SELECT *, array_to_string(list_slice(w, 1, a), '') AS pre, array_to_string(list_slice(w, a + 1, b), '') AS mid, array_to_string(list_slice(w, b + 1, n), '') AS suf FROM k)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE '<P>' || pre || '<S>' || suf || '<M>' || mid END) AS output_sha256, sha256(pre || mid || suf) AS restored_sha256 FROM c"""
+
+ORACLE = {"op3_urls": OP3, "op4_decontamination": OP4, "op6_chat": OP6, "op9_quality": OP9, "op13_infill": OP13}

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, chains, chat, decontaminate, html, neardup, oracle, quality, repeats, secrets, urls
+from tidewatch.llm import bpe, chains, chat, decontaminate, html, infill, neardup, oracle, quality, repeats, secrets, urls
 from tidewatch.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -87,6 +87,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digest_infills(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repeats": op1_repeats,
     "op2_html": op2_html,
@@ -98,5 +102,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_quality": op9_quality,
     "op10_near_duplicates": op10_near_duplicates,
+    "op13_infill": op13_infill,
 }
 ORACLE: dict[str, str] = dict(oracle.ORACLE)
