@@ -9,10 +9,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, chains, chat, decontaminate, html, infill, neardup, oracle, quality, repeats, secrets, urls
+from tidewatch.llm import align, bpe, chains, chat, decontaminate, html, infill, neardup, oracle, quality, repeats, secrets, urls
 from tidewatch.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
+#: The two vocabularies that are aligned.
+ALIGNED = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 
 
 #: Rules of the URL query: host, path, verdict.
@@ -87,6 +89,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"), *map(public_tokenizers.path, ALIGNED))
+
+
 def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digest_infills(table(spark, sf_dir, "documents"))
 
@@ -102,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_quality": op9_quality,
     "op10_near_duplicates": op10_near_duplicates,
+    "op12_align": op12_align,
     "op13_infill": op13_infill,
 }
 ORACLE: dict[str, str] = dict(oracle.ORACLE)
