@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import align, bpe, chains, chat, decontaminate, html, infill, neardup, oracle, quality, repeats, secrets, urls
+from tidewatch.llm import align, bpe, chains, chat, decontaminate, html, infill, lm, neardup, oracle, quality, repeats, secrets, urls
 from tidewatch.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -89,6 +89,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op11_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_corpus(table(spark, sf_dir, "documents"))
+
+
 def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align(table(spark, sf_dir, "documents"), *map(public_tokenizers.path, ALIGNED))
 
@@ -108,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_quality": op9_quality,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_language_model": op11_language_model,
     "op12_align": op12_align,
     "op13_infill": op13_infill,
 }
