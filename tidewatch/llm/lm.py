@@ -26,6 +26,7 @@ texts N and V are 0 and every token has probability 1; an empty table gives no r
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 import os
 import re
@@ -44,6 +45,8 @@ from tidewatch.llm.shingles import mix, word_hashes
 ORDER = 2
 #: Text that is counted or scored at once, in bytes; text for each shard; bits of the least number of shards.
 SLICE_BYTES, SHARD_BYTES, LEAST_BITS = 8_000_000, 16_000_000, 9
+#: Text whose words are hashed in one array operation, in characters.
+HASH_CHARS = 1_000_000
 #: Of 7 remainders of an id's checksum, the one whose texts are held out.
 FOLDS, HELD_OUT = 7, 2
 BEGIN, END = np.uint64(0x5BF03635D1C93A41), np.uint64(0xA3EC647659359ACD)
@@ -56,11 +59,17 @@ STATS = ("raw", "words", "total", "kinds", "n1", "n2", "n3", "n4")
 
 def sequence(texts: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Token hashes of all texts with order - 1 begin marks before each, the places of the tokens, tokens by text."""
-    words, bounds = word_hashes([(t or "").encode().translate(_LOWER).decode() for t in texts])
-    n = np.diff(bounds)
+    hashed, n = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    ends = np.cumsum([len(t or "") for t in texts])
+    cuts = np.searchsorted(ends, np.arange(0, ends[-1] if len(ends) else 0, HASH_CHARS), side="right")
+    for i, j in itertools.pairwise(dict.fromkeys([0, *cuts.tolist(), len(texts)])):
+        words, bounds = word_hashes([(t or "").encode().translate(_LOWER).decode() for t in texts[i:j]])
+        hashed.append(words)
+        n.append(np.diff(bounds))
+    words, n = np.concatenate(hashed), np.concatenate(n)
     start = np.cumsum(n + order) - (n + order)
     out = np.full(int((n + order).sum()), BEGIN, np.uint64)
-    out[np.arange(len(words)) + np.repeat(start + order - 1 - bounds[:-1], n)] = words
+    out[np.arange(len(words)) + np.repeat(start + order - 1 - (np.cumsum(n) - n), n)] = words
     out[start + n + order - 1] = END
     places = np.arange(int((n + 1).sum())) + np.repeat((order - 1) * np.arange(1, len(n) + 1), n + 1)
     return out, places, n + 1
