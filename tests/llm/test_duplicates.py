@@ -301,3 +301,23 @@ def test_pipeline_stages(spark, tmp_path):
     assert seen["decontamination"] == [*range(40), 44]
     assert "04dbebab" not in " ".join(r.text for r in at.collect())
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 41
+
+
+def test_a_slice_never_holds_more_documents_than_a_place_can_name(spark):
+    """Many short texts in one large Arrow batch; the passage's holder comes after the 65,536th."""
+    rnd = random.Random(11)
+    said = lambda n: [f"p{rnd.randrange(10**6)}" for _ in range(n)]
+    passage = said(80)
+    texts = ["one"] * 69_990 + [" ".join(said(5) + passage)] + ["two"] * 20
+    setting, old = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set(setting, "200000")
+    try:
+        ids = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+        other = spark.createDataFrame([(900_000, " ".join(said(7) + passage + said(3)))], "doc_id long, text string").coalesce(1)
+        df = ids.union(other)
+        found = rows(chains.shared_passages(df))
+        size = df.select("doc_id", "text").mapInArrow(chains._pack, chains._ddl(chains._SLICE)).selectExpr("size(size) AS n").collect()
+    finally:
+        spark.conf.set(setting, old)
+    assert sum(r.n for r in size) == len(texts) + 1 and max(r.n for r in size) <= chains.SLICE_DOCS
+    assert [{r["doc_id"], r["ref_doc_id"]} for r in found] == [{69_990, 900_000}]
