@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tests.conftest import SF
 from tidewatch.functions import scalar as S
 from tidewatch.functions.rng import uniform
-from tidewatch.operators import catalog, detectors, features, inference, layers, model, worlds
+from tidewatch.operators import calibration, catalog, detectors, features, inference, layers, model, worlds
 from tidewatch.operators import indicators as I
 from tidewatch.operators import windows as wn
 from tidewatch.operators.cases import FEATURES, windowed_cases
@@ -153,7 +153,7 @@ def test_calibration_meets_the_target(spark):
     cube = rng.normal(size=(60, 40, 12))
     rows = [(s, t, n, float(cube[s, t, k])) for s in range(60) for t in range(40) for k, n in enumerate(NAMES)]
     z = spark.createDataFrame(rows, "stream long, t long, indicator string, z double")
-    got = {(r.arm, r.component): r.h for r in detectors.calibrate_arms(z, 20.0, 2).collect()}
+    got = {(r.arm, r.component): r.h for r in calibration.calibrate_arms(z, 20.0, 2).collect()}
     for arm in ("harm", "input", "union"):
         want = least_by_hand(cube, [NAMES.index(n) for n in detectors.FLAT_ARMS[arm]], 20.0, 2)
         assert got[arm, "all"] == pytest.approx(want, rel=2e-3)
@@ -162,6 +162,72 @@ def test_calibration_meets_the_target(spark):
     assert 17 < 1000 * detectors.starts(event, 2).mean() <= 20
 
 
+def rate_by_hand(cube, h, j):
+    """Starts in all streams, window by window; h: a threshold for each indicator."""
+    n = 0
+    for z in cube:
+        s, last = [0.0] * z.shape[1], None
+        for t, row in enumerate(z):
+            event = False
+            for k, v in enumerate(row):
+                s[k] = max(0.0, s[k] + v - 0.5)
+                if s[k] > h[k]:
+                    s[k], event = 0.0, True
+            if event:
+                n += last is None or t - last > j
+                last = t
+    return n
+
+
+def test_calibrated_thresholds_are_exact(spark):
+    """Every threshold against counting at each value that a CUSUM takes: none lower meets the budget."""
+    rng = np.random.default_rng(8)
+    cube = np.round(rng.normal(size=(9, 25, 12)), 2)
+    rows = [(s, t, n, float(cube[s, t, k])) for s in range(9) for t in range(25) for k, n in enumerate(NAMES)]
+    z = spark.createDataFrame(rows, "stream long, t long, indicator string, z double").repartition(3)
+    target, j = 60.0, 2
+    budget = target * 9 * 25 / 1000
+    got = {(r.arm, r.component): r for r in calibration.calibrate_arms(z, target, j).collect()}
+    col = lambda names: [NAMES.index(n) for n in names]
+
+    def least(names, allowed):
+        own = cube[..., col(names)]
+        tried = sorted({0.2, *(float(v) for s in own for v in calibration.levels(s))})
+        return next(h for h in tried if rate_by_hand(own, [h] * len(names), j) <= allowed)
+
+    for arm in ("conventional", "harm", "input"):
+        assert (got[arm, "all"].h, got[arm, "all"].met) == (least(detectors.FLAT_ARMS[arm], budget), True)
+    parts, best = detectors.SPLIT_ARMS["split"], None
+    for allowed in [0.3 * budget / 3, *(n for n in range(1, 200) if 0.3 * budget / 3 <= n <= budget)]:
+        h = {c: least(names, allowed) for c, names in parts.items()}
+        names = [n for ns in parts.values() for n in ns]
+        if best and rate_by_hand(cube[..., col(names)], [h[c] for c, ns in parts.items() for _ in ns], j) > budget:
+            break
+        best = h
+    assert {c: got["split", c].h for c in parts} == best
+
+
+def test_cusum_over_batches(spark):
+    """Series cut by batches carry on, and thresholds may differ by row."""
+    rng = np.random.default_rng(3)
+    rows = [(f"s{k}", t, float(v), 1.5 + k % 3) for k in range(7) for t, v in enumerate(rng.normal(0.5, 1, 40 + 7 * k))]
+    df = spark.createDataFrame(rows, "indicator string, t long, z double, h double")
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(setting)
+    spark.conf.set(setting, "11")
+    try:
+        got = {(r.indicator, r.t): (r.s, r.alarm) for r in detectors.cusum(df, F.col("h"), ["indicator"]).collect()}
+        alone = [r.s for r in detectors.cusum(df.where("indicator = 's0'"), F.col("h"), []).orderBy("t").collect()]
+    finally:
+        spark.conf.set(setting, old)
+    s, name = 0.0, None
+    for k, t, v, h in rows:
+        s = max(0.0, (s if k == name else 0.0) + v - 0.5)
+        assert got[k, t] == (pytest.approx(s, abs=1e-12), s > h)
+        name, s = k, 0.0 if s > h else s
+    assert alone == [got["s0", t][0] for t in range(40)]
+
+
 def test_quantiles_are_exact(spark, monkeypatch):
     monkeypatch.setattr(wn, "BRACKET", 50)
     rng = np.random.default_rng(4)

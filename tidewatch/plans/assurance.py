@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import scalar as S
 from tidewatch.functions.rng import normal_sql, uniform, uniform_sql
-from tidewatch.operators import detectors, harm, inference, layers, streams, worlds
+from tidewatch.operators import calibration, detectors, harm, inference, layers, streams, worlds
 from tidewatch.operators import indicators as I
 from tidewatch.operators import windows as wn
 from tidewatch.operators.cases import BASELINE, CASES_SQL, FEATURES, HARM, REVIEWER, cases, windowed_cases
@@ -240,7 +240,7 @@ def null_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def calibrated_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detectors.calibrate_arms(null_scores(spark, sf_dir), 30.0, J)
+    return calibration.calibrate_arms(null_scores(spark, sf_dir), 30.0, J)
 
 
 _p = uniform_sql("draw", 1)
