@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,3 +42,29 @@ def normal_sql(ident: str, salt: int) -> str:
     """The same as SQL text."""
     u, v = uniform_sql(ident, salt), uniform_sql(ident, salt + 7919)
     return f"(sqrt(-2.0 * ln(greatest({u}, 1.0 / {M}))) * cos(2.0 * pi() * {v}))"
+
+
+def poisson_most(mean: float) -> int:
+    """The least count whose upper tail is below the generator's resolution."""
+    term = total = math.exp(-mean)
+    k = 0
+    while 1 - total > 1 / M and k < 10_000:
+        k += 1
+        term *= mean / k
+        total += term
+    return k
+
+
+def poisson(u: Column, mean: Column, most: float) -> Column:
+    """Poisson count by inversion of a uniform; `most` is the greatest value that the mean takes."""
+    step = lambda a, k: F.struct((a["term"] * mean / k).alias("term"), (a["total"] + a["term"] * mean / k).alias("total"), (a["n"] + (u >= a["total"]).cast("int")).alias("n"))
+    none = F.struct(F.exp(-mean).alias("term"), F.exp(-mean).alias("total"), F.lit(0).alias("n"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(max(1, poisson_most(most)))), none, step, lambda a: a["n"])
+
+
+def poisson_sql(u: str, mean: str, most: float) -> str:
+    """The same as SQL text: a list of the sums of the terms, and how many of them u reaches."""
+    terms = [f"exp(-({mean}))"]
+    for k in range(1, poisson_most(most)):
+        terms.append(f"{terms[0]} * pow({mean}, {k}) / {math.factorial(k)}.0")
+    return "(" + " + ".join(f"({u} >= {' + '.join(terms[: k + 1])})::INT" for k in range(len(terms))) + ")"

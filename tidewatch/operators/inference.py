@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,33 +30,42 @@ def resampled(table: DataFrame, plan: DataFrame, window: str = "window") -> Data
     return plan.join(table.withColumnRenamed(window, "src_window"), "src_window").drop("src_window").withColumnRenamed("out_window", window)
 
 
-def bootstrap(pairs: DataFrame, by: list[str], seed: int = 1, n_boot: int = 2000) -> DataFrame:
+#: Draws of one seed have numbers of their own; so do the replicates of one cell.
+DRAWS, CELL = 100_000, 1 << 20
+
+
+def resample(numbered: DataFrame, by: list[str], columns: list[str], seed: int, n_boot: int, offset: Column | None = None) -> DataFrame:
+    """by, _draw and columns of n replicates drawn with replacement from the n of each group, for every draw.
+
+    numbered has _i (0 to n - 1) and _n. Which replicate a place of a draw gets is a function of place and draw, so draws
+    are joins and aggregations, recomputed tasks agree and any SQL engine can repeat them.
+    """
+    place = F.col("_i").cast("long") + (offset if offset is not None else F.lit(0))
+    drawn = numbered.select(*by, "_n", place.alias("_place"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_boot - 1).cast("long"))).alias("_draw"))
+    drawn = drawn.select(*by, "_draw", F.floor(uniform(F.col("_place"), F.col("_draw") + seed * DRAWS) * F.col("_n")).cast("int").alias("_i"))
+    return drawn.join(numbered.select(*by, "_i", *columns), [*by, "_i"])
+
+
+def bootstrap(pairs: DataFrame, by: list[str], seed: int = 1, n_boot: int = 2000, order: list[str] | None = None) -> DataFrame:
     """Per comparison (columns reference and candidate, paired): mean reduction with interval and two-sided p, and the
     reduction relative to the reference's mean with its interval. All come from the same draws.
 
-    A comparison has a bounded number of replicates, so a group is small.
+    order: columns that tell a comparison's replicates apart. They are numbered in that order, a bounded number each.
     """
-    kinds = dict(pairs.dtypes)
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf.sort_values(["reference", "candidate"])
-        ref, gain = own["reference"].to_numpy(float), (own["reference"] - own["candidate"]).to_numpy(float)
-        n, rng, means, refs = len(own), np.random.default_rng(seed), np.empty(n_boot), np.empty(n_boot)
-        for k in range(n_boot):
-            times = np.bincount(rng.integers(0, n, n), minlength=n)
-            means[k], refs[k] = times @ gain / n, times @ ref / n
-        share = float((means <= 0).mean())
-        rho = np.divide(means, refs, out=np.full(n_boot, np.nan), where=refs != 0)
-        cut = lambda x: np.nanquantile(x, [0.025, 0.975]) if np.isfinite(x).any() else (None, None)
-        (lo, hi), (rho_lo, rho_hi) = cut(means), cut(rho)
-        out = {b: pdf[b].iloc[0] for b in by} | {
-            "n": n, "reduction": gain.mean(), "lo": lo, "hi": hi, "p": min(1.0, 2 * min(share, 1 - share)),
-            "rho": gain.mean() / ref.mean() if ref.mean() else None, "rho_lo": rho_lo, "rho_hi": rho_hi,
-        }
-        return pd.DataFrame([out])
-
-    schema = ", ".join(f"{b} {kinds[b]}" for b in by) + ", n long, reduction double, lo double, hi double, p double, rho double, rho_lo double, rho_hi double"
-    return pairs.groupBy(*by).applyInPandas(solve, schema)
+    w = W.partitionBy(*by)
+    rank = F.row_number().over(w.orderBy(*(order or ["reference", "candidate"]))) - 1
+    gain = F.col("reference").cast("double") - F.col("candidate")
+    own = pairs.select(*by, F.col("reference").cast("double").alias("_ref"), gain.alias("_gain"), rank.alias("_i"), F.count("*").over(w).alias("_n"))
+    draws = resample(own, by, ["_ref", "_gain"], seed, n_boot).groupBy(*by, "_draw").agg(F.avg("_gain").alias("_m"), F.avg("_ref").alias("_r"))
+    draws = draws.withColumn("_rho", F.try_divide("_m", "_r"))
+    end = lambda c, q: F.percentile(c, q)
+    ends = draws.groupBy(*by).agg(
+        end("_m", 0.025).alias("lo"), end("_m", 0.975).alias("hi"), F.avg((F.col("_m") <= 0).cast("double")).alias("_s"), end("_rho", 0.025).alias("rho_lo"), end("_rho", 0.975).alias("rho_hi")
+    )
+    point = own.groupBy(*by).agg(F.count("*").alias("n"), F.avg("_gain").alias("reduction"), F.avg("_ref").alias("_r"))
+    out = point.join(ends, by) if by else point.crossJoin(F.broadcast(ends))
+    p = F.least(F.lit(1.0), 2 * F.least(F.col("_s"), 1 - F.col("_s")))
+    return out.select(*by, "n", "reduction", "lo", "hi", p.alias("p"), F.try_divide("reduction", "_r").alias("rho"), "rho_lo", "rho_hi")
 
 
 def paired_with(values: DataFrame, arm: str, key: list[str], value: str, reference: str) -> DataFrame:
@@ -77,26 +82,28 @@ def reductions(values: DataFrame, arm: str, key: list[str], value: str, referenc
 
 def arm_reductions(values: DataFrame, arm: str, key: list[str], value: str, reference: str, seed: int = 1) -> DataFrame:
     """Per arm: bootstrap() of its delays against the reference's, paired by key."""
-    return bootstrap(paired_with(values, arm, key, value, reference).select(arm, "reference", "candidate"), [arm], seed)
+    return bootstrap(paired_with(values, arm, key, value, reference).select(arm, *key, "reference", "candidate"), [arm], seed, order=key)
 
 
-def pooled_bootstrap(values: DataFrame, margin: float, seed: int = 1, n_boot: int = 2000) -> DataFrame:
-    """One row over scenario, cell, value: mean of scenario means of cell means, interval, share of draws <= margin.
+def pooled_bootstrap(values: DataFrame, margin: float, seed: int = 1, n_boot: int = 2000, by: list[str] | None = None, order: str = "value") -> DataFrame:
+    """Per by, over scenario, cell, value: mean of scenario means of cell means, interval, share of draws <= margin.
 
-    A cell's replicates, a bounded number, are drawn from in a group of their own; the draws then meet by their number.
+    A cell's replicates, a bounded number, are numbered by `order` and drawn within their cell; cells draw apart.
     """
-
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.sort(pdf["value"].to_numpy(float))
-        rng = np.random.default_rng([seed, zlib.crc32(repr((pdf["scenario"].iloc[0], pdf["cell"].iloc[0])).encode())])
-        means = [v[rng.integers(0, len(v), len(v))].mean() for _ in range(n_boot)]
-        return pd.DataFrame({"scenario": pdf["scenario"].iloc[0], "draw": range(n_boot), "m": means})
-
-    own = values.select(F.col("scenario").cast("string").alias("scenario"), F.col("cell").cast("string").alias("cell"), F.col("value").cast("double").alias("value")).where("value IS NOT NULL")
-    draws = own.groupBy("scenario", "cell").applyInPandas(draw, "scenario string, draw int, m double")
-    by_draw = draws.groupBy("scenario", "draw").agg(F.avg("m").alias("m")).groupBy("draw").agg(F.avg("m").alias("m"))
-    ends = by_draw.agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"), F.avg((F.col("m") <= margin).cast("double")).alias("p"))
-    return pooled_mean(own).withColumnRenamed("pooled", "estimate").crossJoin(F.broadcast(ends))
+    by = by or []
+    group = [*by, "scenario", "cell"]
+    cell = lambda c: F.col(c).cast("string").alias(c)
+    own = values.select(*by, cell("scenario"), cell("cell"), F.col("value").cast("double").alias("value"), F.col(order).alias("_o")).where("value IS NOT NULL")
+    w = W.partitionBy(*group)
+    own = own.select(*group, "value", (F.row_number().over(w.orderBy("_o")) - 1).alias("_i"), F.count("*").over(w).alias("_n"))
+    # One row a cell of a stated design.
+    cells = own.select("scenario", "cell").distinct().withColumn("_cell", F.row_number().over(W.orderBy("scenario", "cell")))
+    numbered = own.join(F.broadcast(cells), ["scenario", "cell"])
+    draws = resample(numbered.select(*group, "_cell", "value", "_i", "_n"), [*group, "_cell"], ["value"], seed, n_boot, F.col("_cell") * CELL)
+    means = lambda df, more: df.groupBy(*group, *more).agg(F.avg("value").alias("m")).groupBy(*by, "scenario", *more).agg(F.avg("m").alias("m")).groupBy(*by, *more).agg(F.avg("m").alias("m"))
+    ends = means(draws, ["_draw"]).groupBy(*by).agg(F.percentile("m", 0.025).alias("lo"), F.percentile("m", 0.975).alias("hi"), F.avg((F.col("m") <= margin).cast("double")).alias("p"))
+    point = means(own, []).withColumnRenamed("m", "estimate")
+    return point.join(ends, by) if by else point.crossJoin(F.broadcast(ends))
 
 
 def pooled_mean(values: DataFrame, value: str = "value") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewatch.functions import scalar as S
-from tidewatch.functions.rng import normal, uniform
+from tidewatch.functions.rng import normal, poisson, poisson_most, uniform
 from tidewatch.operators.cases import HARM, REVIEWER, WORKFLOW, Harm, Reviewer, Workflow
 
 
@@ -36,19 +36,6 @@ def review(df: DataFrame, r: Reviewer = REVIEWER, h: Harm = HARM, salt: int = 30
     return out.withColumns({"reviewed": F.col("examined"), "intercepted": F.col("recognized") & F.col("in_time")})
 
 
-def _poisson(u: Column, mean: float, most: int = 12) -> Column:
-    """Inverse distribution function of a Poisson count, cut where the tail is below the generator's resolution."""
-    out, p, total = F.lit(most), math.exp(-mean), 0.0
-    cuts = []
-    for k in range(most):
-        total += p
-        cuts.append((total, k))
-        p *= mean / (k + 1)
-    for c, k in reversed(cuts):
-        out = F.when(u < c, k).otherwise(out)
-    return out
-
-
 def workflow(df: DataFrame, f: Workflow = WORKFLOW, dup: float = 1.0, salt: int = 50, ident: str = "case_id") -> DataFrame:
     """Adds initiated, required, delivered, late, completed, alerts, actioned, tat, downstream and sentinel. Needs review()."""
     i = F.col(ident)
@@ -60,7 +47,7 @@ def workflow(df: DataFrame, f: Workflow = WORKFLOW, dup: float = 1.0, salt: int
             "required": needs,
             "delivered": needs & (uniform(i, salt) < f.p_deliver),
             "tat": f.tat_median * F.exp(f.tat_sigma * normal(i, salt + 1)),
-            "alerts": F.when(fires, 1 + (_poisson(uniform(i, salt + 2), dup - 1) if dup > 1 else F.lit(0))).otherwise(0),
+            "alerts": F.when(fires, 1 + (poisson(uniform(i, salt + 2), F.lit(dup - 1.0), dup - 1) if dup > 1 else F.lit(0))).otherwise(0),
         }
     )
     rate = f.action_base / (1 + f.fatigue * (dup - 1))
@@ -69,13 +56,70 @@ def workflow(df: DataFrame, f: Workflow = WORKFLOW, dup: float = 1.0, salt: int
             "late": F.col("delivered") & (F.col("tat") > f.tat_limit),
             "completed": fires & (uniform(i, salt + 3) < F.when(needs & ~F.col("delivered"), f.completion * f.abandon).otherwise(f.completion)),
             # each message on its own: one uniform for each possible message
-            "actioned": sum(((F.col("alerts") > k) & (uniform(i, salt + 10 + k) < rate)).cast("int") for k in range(13 if dup > 1 else 1)),
+            "actioned": sum(((F.col("alerts") > k) & (uniform(i, salt + 10 + k) < rate)).cast("int") for k in range(1 + poisson_most(dup - 1) if dup > 1 else 1)),
             "downstream": F.col("is_error") & ~F.col("intercepted") & (uniform(i, salt + 4) >= f.verify),
         }
     )
     return out.withColumn("sentinel", F.col("downstream") & (F.col("severity") >= f.sentinel))
 
 
+# --- failures of reviewers and workflow inside streams ------------------------------------------------------------------
+
+
+def failing(rows: DataFrame, progress: Column, r: Reviewer = REVIEWER, f: Workflow = WORKFLOW) -> DataFrame:
+    """Adds every reviewer and workflow parameter of a row whose columns kind and level name the failure.
+
+    Kinds: bias, coverage, latency, false_reject of reviewers; delivery, tat, dup, verify of the workflow. A slower review
+    lengthens the turnaround, and duplicated alerts make reviewers accept more (by fatigue_bias).
+    """
+    level = F.col("level")
+    moved = lambda kind, at, base: F.when(F.col("kind") == kind, at).otherwise(F.lit(float(base)))
+    ramp = 1 + progress * (level - 1)
+    out = rows.withColumns(
+        {
+            "coverage": moved("coverage", r.coverage + (level - r.coverage) * progress, r.coverage),
+            "false_reject": moved("false_reject", r.false_reject + level * progress, r.false_reject),
+            "latency": moved("latency", r.latency * ramp, r.latency),
+            "p_deliver": moved("delivery", f.p_deliver * (1 - level * progress), f.p_deliver),
+            "dup": moved("dup", ramp, 1.0),
+            "verify": moved("verify", F.greatest(F.lit(0.0), f.verify - level * progress), f.verify),
+            "bias": moved("bias", r.bias + level * progress, r.bias),
+        }
+    )
+    return out.withColumns(
+        {"tat_mult": moved("tat", ramp, 1.0) * F.col("latency") / r.latency, "bias": F.col("bias") + f.fatigue_bias * (1 - 1 / F.col("dup"))}
+    )
+
+
+def workflow_under(df: DataFrame, ident: Column, most_dup: float, f: Workflow = WORKFLOW, h: Harm = HARM, salt: int = 470) -> DataFrame:
+    """workflow() under each row's own parameters: columns p_deliver, tat_mult, dup and verify. Needs review_under().
+
+    An alert on a severe case requires escalation. most_dup is the greatest duplication in the table.
+    """
+    c, most = F.col, most_dup - 1
+    fires = c("decision") == 1
+    out = df.withColumns(
+        {
+            "initiated": fires,
+            "required": fires & (c("severity") >= h.cutoff),
+            "tat": f.tat_median * c("tat_mult") * F.exp(f.tat_sigma * normal(ident, salt + 1)),
+            "alerts": F.when(fires, 1 + poisson(uniform(ident, salt + 2), c("dup") - 1, most)).otherwise(0),
+            "_rate": f.action_base / (1 + f.fatigue * (c("dup") - 1)),
+        }
+    )
+    out = out.withColumn("delivered", c("required") & (uniform(ident, salt) < c("p_deliver")))
+    done = F.when(c("required") & ~c("delivered"), f.completion * f.abandon).otherwise(f.completion)
+    return out.withColumns(
+        {
+            "late": c("delivered") & (c("tat") > f.tat_limit),
+            "completed": fires & (uniform(ident, salt + 3) < done),
+            # Each message on its own: one uniform for each.
+            "actioned": F.when(fires, F.size(F.filter(F.sequence(F.lit(0), c("alerts") - 1), lambda k: uniform(ident, salt + 10 + k.cast("long")) < c("_rate")))).otherwise(0),
+            "downstream": c("is_error") & ~c("intercepted") & (uniform(ident, salt + 4) >= c("verify")),
+        }
+    ).withColumn("sentinel", c("downstream") & (c("severity") >= f.sentinel)).drop("_rate")
+
+
 # --- mixtures of reviewer failures -----------------------------------------------------------------------------------
 
 

@@ -567,7 +567,21 @@ SYNTHETIC_WORLD = _world_sql()
 def bootstrap_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reduction of delay of every system against the conventional one, with interval, p and Holm's adjustment."""
     d = classified(spark, sf_dir).select("arm", "s", "tafd")
-    return inference.holm(inference.arm_reductions(d, "arm", ["s"], "tafd", "conventional").withColumnRenamed("arm", "test"))
+    out = inference.holm(inference.arm_reductions(d, "arm", ["s"], "tafd", "conventional").withColumnRenamed("arm", "test"))
+    return _r(out, "reduction", "lo", "hi", "p", "rho", "rho_lo", "rho_hi", "adjusted")
+
+
+_pick = uniform_sql("i", f"(draw + {inference.DRAWS})")
+BOOTSTRAP_ARMS = CLASSIFIED.rsplit("SELECT arm, s,", 1)[0] + f""",
+dl AS (SELECT arm, s, CASE WHEN first IS NULL OR first >= t0 + 20 THEN 20 ELSE greatest(0, first - t0) END AS tafd FROM k),
+pr AS (SELECT a.arm, b.tafd::DOUBLE AS ref, (b.tafd - a.tafd)::DOUBLE AS gain, row_number() OVER (PARTITION BY a.arm ORDER BY s) - 1 AS i, count(*) OVER (PARTITION BY a.arm) AS n FROM dl a JOIN dl b USING (s) WHERE b.arm = 'conventional' AND a.arm <> 'conventional'),
+dr AS (SELECT arm, draw, CAST(floor({_pick} * n) AS BIGINT) AS i FROM pr, (SELECT unnest(range(2000)) AS draw)),
+bo AS (SELECT arm, draw, avg(gain) AS m, avg(ref) AS r FROM dr JOIN pr USING (arm, i) GROUP BY 1, 2),
+en AS (SELECT arm, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi, avg((m <= 0)::INT) AS sh, quantile_cont(m / nullif(r, 0), 0.025) AS rho_lo, quantile_cont(m / nullif(r, 0), 0.975) AS rho_hi FROM bo GROUP BY 1),
+po AS (SELECT arm, count(*) AS n, avg(gain) AS reduction, avg(ref) AS r FROM pr GROUP BY 1),
+al AS (SELECT arm AS test, n, reduction, lo, hi, least(1.0, 2 * least(sh, 1 - sh)) AS p, reduction / nullif(r, 0) AS rho, rho_lo, rho_hi FROM po JOIN en USING (arm)),
+rk AS (SELECT *, row_number() OVER (ORDER BY p, test) AS rk, count(*) OVER () AS mm FROM al), ad AS (SELECT *, max(least(1.0, (mm - rk + 1) * p)) OVER (ORDER BY rk) AS adjusted FROM rk)
+SELECT test, n, {", ".join(f"round({c}, 6) AS {c}" for c in ("reduction", "lo", "hi", "p", "rho", "rho_lo", "rho_hi", "adjusted"))}, adjusted <= 0.05 AS reject FROM ad"""
 
 
 def holm_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -639,6 +653,6 @@ ORACLE = {
     "arm_events": ARM_EVENTS, "alert_rates": ALERT_RATES, "horizon_alerts": HORIZON, "classified": CLASSIFIED, "block_plan": BLOCK_PLAN,
     "harm_windows": HARM_WINDOWS, "onset": ONSET, "rolling_onset": ROLLING_ONSET, "onset_cusum": ONSET_CUSUM, "workflow_harm": WORKFLOW_HARM,
     "oversight": OVERSIGHT, "workflow": WORKFLOW, "audit": AUDIT, "audit_stratified": AUDIT_STRATIFIED, "schedules": SCHEDULES,
-    "perturb_rescale": PERTURB_RESCALE, "perturb_missing": PERTURB_MISSING, "perturb_scope": PERTURB_SCOPE, "synthetic_world": SYNTHETIC_WORLD, "holm_tests": HOLM, "pooled_mean": POOLED,
+    "perturb_rescale": PERTURB_RESCALE, "perturb_missing": PERTURB_MISSING, "perturb_scope": PERTURB_SCOPE, "synthetic_world": SYNTHETIC_WORLD, "bootstrap_arms": BOOTSTRAP_ARMS, "holm_tests": HOLM, "pooled_mean": POOLED,
     "progress_runs": PROGRESS_RUNS, "exposure": EXPOSURE, "chunked_harm": CHUNKED,
 }

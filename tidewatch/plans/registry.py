@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.plans import assurance, studies, tables
+from tidewatch.plans import assurance, failures, studies, tables
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**assurance.QUERIES, **studies.QUERIES, **tables.QUERIES}
-ORACLE: dict[str, str] = {**assurance.ORACLE, **studies.ORACLE, **tables.ORACLE}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**assurance.QUERIES, **studies.QUERIES, **failures.QUERIES, **tables.QUERIES}
+ORACLE: dict[str, str] = {**assurance.ORACLE, **studies.ORACLE, **failures.ORACLE, **tables.ORACLE}
