@@ -259,6 +259,32 @@ def test_newton_recovers_the_slope():
     assert abs(I.newton_slope(y, p)[1] - 0.6) < 0.05
 
 
+def test_slope_in_the_engine_equals_newton(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, int(rng.random() < 0.4), float(p)) for k in range(4) for p in np.clip(rng.beta(2, 3, 120), 0, 1)] + [(9, 1, 0.3), (9, 1, 0.8)]
+    got = {r.k: r.U3 for r in I.slope_deviation(spark.createDataFrame(rows, "k int, y int, p double"), ["k"]).collect()}
+    for k in range(4):
+        y, p = (np.array([r[c] for r in rows if r[0] == k], float) for c in (1, 2))
+        assert got[k] == pytest.approx(abs(I.newton_slope(y, p)[1] - 1), abs=1e-9)
+    assert set(got) == {0, 1, 2, 3, 9}
+
+
+def test_area_of_large_groups(spark):
+    rng = np.random.default_rng(9)
+    rows = [(int(g), int(y), float(p)) for g, y, p in zip(rng.integers(0, 3, 900), rng.integers(0, 2, 900), np.round(rng.random(900), 2), strict=True)] + [(7, 1, 0.5)]
+    df = spark.createDataFrame(rows, "g int, y int, p double")
+    want = {r.g: r.P4 for r in I.auroc(df, ["g"]).collect()}
+    assert {r.g: r.P4 for r in I.auroc_of_large(df, ["g"]).collect()} == {k: v if v is None else pytest.approx(v) for k, v in want.items()}
+
+
+def test_place_in_a_bucket_over_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(wn, "RANGE_ROWS", 50)
+    df = spark.range(2000).selectExpr("id", "id * 7919 % 1013 AS k", "CASE WHEN id % 10 = 0 THEN 'b' ELSE 'a' END AS bucket")
+    out = wn.composite_order(df, "bucket", "k", "id", {"a": 0, "b": 1}).orderBy("bucket", "k", "id").collect()
+    n = {"a": 1800, "b": 200}
+    assert [r.combined_order for r in out] == [pytest.approx(("ab".index(b)) + k / n[b]) for b in "ab" for k in range(n[b])]
+
+
 def test_rollup_vector(spark):
     ts = "timestamp '2020-01-01 {}:00:00'"
     r = spark.sql(f"SELECT 1 AS stay, {ts.format('01')} AS time, 1 AS item, 80.0D AS value UNION ALL SELECT 1, {ts.format('02')}, 1, 90.0D UNION ALL SELECT 1, {ts.format('05')}, 1, 1.0D")

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -79,6 +77,21 @@ def auroc(df: DataFrame, by: list[str], y: str = "y", score: str = "p", name: st
     return ranked.groupBy(*by).agg(ratio(F.sum(F.col("_r") * F.col(y)) - n1 * (n1 + 1) / 2, n1 * n0).alias(name))
 
 
+def auroc_of_large(df: DataFrame, by: list[str], y: str = "y", score: str = "p", name: str = "P4") -> DataFrame:
+    """The same for groups of any size: pairs are counted by distinct score, in stretches of the score with carried counts,
+    so no task sorts a group. Scores lie in 0 to 1."""
+    stretch = F.floor(S.clip(F.col(score), 0.0, 1.0) * KS_STRETCHES).cast("int")
+    pos, neg = F.sum(F.col(y)).alias("_pos"), F.sum(1 - F.col(y)).alias("_neg")
+    values = df.groupBy(*by, score).agg(pos, neg).withColumn("_k", stretch)
+    along = W.partitionBy(*by).orderBy("_k")
+    sums = values.groupBy(*by, "_k").agg(F.sum("_neg").alias("_s"))
+    carried = sums.select(*by, "_k", (F.sum("_s").over(along) - F.col("_s")).alias("_before"))
+    own = F.coalesce(F.sum("_neg").over(W.partitionBy(*by, "_k").orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    pairs = values.withColumn("_own", own).join(carried, [*by, "_k"])
+    wins = F.sum(F.col("_pos") * (F.col("_before") + F.col("_own") + F.col("_neg") / 2))
+    return pairs.groupBy(*by).agg(ratio(wins, F.sum("_pos") * F.sum("_neg")).alias(name))
+
+
 def ece(df: DataFrame, by: list[str], name: str = "U1", bins: int = BINS) -> DataFrame:
     """Expected calibration error: bins first, then windows."""
     b = F.least(F.floor(F.col("p") * bins), F.lit(bins - 1))
@@ -144,20 +157,34 @@ def newton_slope(y: np.ndarray, p: np.ndarray, iterations: int = 30) -> tuple[fl
     return float(b[0]), float(b[1])
 
 
-def slope_deviation(df: DataFrame, by: list[str], name: str = "U3") -> DataFrame:
-    """|calibration slope - 1| of each group by Newton's method on the group's scores (a window's cases)."""
-    kinds = dict(df.dtypes)
-    schema = ", ".join(f"{b} {kinds[b]}" for b in by) + f", {name} double"
-
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = pdf[by].copy()
-            out[name] = [abs(newton_slope(np.asarray(y, float), np.asarray(p, float))[1] - 1) for y, p in zip(pdf["ys"], pdf["ps"], strict=True)]
-            yield out
-
-    # A window has a fixed number of cases, so its lists are bounded; many windows share an Arrow batch.
-    listed = df.groupBy(*by).agg(F.collect_list(F.struct("y", "p")).alias("l")).select(*by, F.col("l.y").alias("ys"), F.col("l.p").alias("ps"))
-    return listed.mapInPandas(solve, schema)
+def slope_deviation(df: DataFrame, by: list[str], name: str = "U3", iterations: int = 30) -> DataFrame:
+    """|calibration slope - 1| of each group by Newton's method, as a fold over the steps and, in each, over the group's
+    scores: a window has a fixed number of cases, so its list is bounded."""
+    q = S.clip(F.col("p"), S.EPS, 1 - S.EPS)
+    listed = df.groupBy(*by).agg(F.collect_list(F.struct(F.col("y").cast("double").alias("y"), F.log(q / (1 - q)).alias("z"))).alias("_l"))
+    sums = ("g0", "g1", "h00", "h01", "h11")
+    none = F.struct(*(F.lit(0.0).alias(c) for c in sums))
+    once = lambda value, use: F.transform(F.array(value), use)[0]  # noqa: E731 - a value that is used more than once
+
+    def add(b, a, x):
+        mu = 1 / (1 + F.exp(-S.clip(b["b0"] + b["b1"] * x["z"], -700.0, 700.0)))
+        terms = lambda m: (x["y"] - m["mu"], x["z"] * (x["y"] - m["mu"]), m["w"], m["w"] * x["z"], m["w"] * x["z"] * x["z"])
+        weighed = once(mu, lambda m: F.struct(m.alias("mu"), (m * (1 - m) + S.EPS).alias("w")))
+        return once(weighed, lambda m: F.struct(*((a[c] + t).alias(c) for c, t in zip(sums, terms(m), strict=True))))
+
+    def newton(b, _):
+        def move(s):
+            det = s["h00"] * s["h11"] - s["h01"] * s["h01"]
+            det = F.when(F.abs(det) >= 1e-12, det).otherwise(1e-12)
+            return F.struct(
+                (b["b0"] + (s["h11"] * s["g0"] - s["h01"] * s["g1"]) / det).alias("b0"), (b["b1"] + (s["h00"] * s["g1"] - s["h01"] * s["g0"]) / det).alias("b1")
+            )
+
+        return once(F.aggregate("_l", none, lambda a, x: add(b, a, x)), move)
+
+    start = F.struct(F.lit(0.0).alias("b0"), F.lit(1.0).alias("b1"))
+    solved = F.aggregate(F.sequence(F.lit(1), F.lit(iterations)), start, newton)
+    return listed.select(*by, F.abs(solved["b1"] - 1).alias(name))
 
 
 def model_indicators(df: DataFrame, n_baseline: int, features: tuple[str, ...], slope: bool = True, stream: tuple[str, ...] = ()) -> DataFrame:

@@ -129,9 +129,18 @@ def composite_order(df: DataFrame, bucket: str, order: str, tie: str, ranks: dic
     """combined_order = rank of the bucket + (place in the bucket - 1) / rows of the bucket; unknown buckets raise."""
     rank = F.element_at(F.create_map(*(F.lit(x) for kv in ranks.items() for x in kv)), F.col(bucket))
     known = F.when(F.col(bucket).isin(*ranks), rank).otherwise(F.raise_error(F.concat(F.lit("unknown bucket "), F.col(bucket))))
-    w = W.partitionBy(bucket)
-    place = F.row_number().over(w.orderBy(order, tie)) - 1
-    return df.withColumn("combined_order", known + place / F.count("*").over(w))
+    # Ranges of the order key part every bucket, so a bucket of any size is sorted in many tasks; counts carry over.
+    kind = dict(df.dtypes)[order]
+    key = (F.col(order).cast("timestamp") if kind.startswith(("timestamp", "date")) else F.col(order)).cast("double")
+    keyed = df.withColumn("_k", key)
+    cut_rows = keyed.crossJoin(F.broadcast(range_bounds(keyed, F.col("_k")))).withColumn("_range", range_of(F.col("_k"))).drop("_k", "_fine", "_step", "_coarse")
+    sizes = cut_rows.groupBy(bucket, "_range").count()
+    along = W.partitionBy(bucket).orderBy("_range")
+    whole = along.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    before = sizes.select(F.col(bucket).alias("_b"), F.col("_range").alias("_r"), (F.sum("count").over(along) - F.col("count")).alias("_before"), F.sum("count").over(whole).alias("_rows"))
+    placed = cut_rows.withColumn("_own", F.row_number().over(W.partitionBy(bucket, "_range").orderBy(order, tie)) - 1)
+    out = placed.join(before, (F.col(bucket).eqNullSafe(F.col("_b"))) & (F.col("_range") == F.col("_r")))
+    return out.withColumn("combined_order", known + (F.col("_before") + F.col("_own")) / F.col("_rows")).drop("_range", "_own", "_before", "_rows", "_b", "_r")
 
 
 def standardize(x: Column, baseline: Column, direction: Column, over: W, full: bool = True) -> Column:

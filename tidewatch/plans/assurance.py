@@ -119,7 +119,18 @@ SELECT win, round(n * ({" + ".join(f"(m.{f} - b.{f}) * (m.{f} - b.{f})" for f in
 
 
 def window_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.slope_deviation(windowed_cases(spark, sf_dir), ["window"]).withColumnRenamed("window", "win")
+    return _r(I.slope_deviation(windowed_cases(spark, sf_dir), ["window"]).withColumnRenamed("window", "win"), "U3")
+
+
+_q = f"least(greatest(p, {S.EPS!r}), {1 - S.EPS!r})"
+WINDOW_SLOPE = f"""WITH RECURSIVE {CASES_SQL}, l AS (SELECT window_no AS win, list({{'y': y::DOUBLE, 'z': ln({_q} / (1 - {_q}))}}) AS l FROM c GROUP BY 1),
+s AS (SELECT win, 0 AS step, 0.0::DOUBLE AS b0, 1.0::DOUBLE AS b1, l FROM l UNION ALL
+  SELECT win, step + 1, b0 + (h11 * g0 - h01 * g1) / det, b1 + (h00 * g1 - h01 * g0) / det, l FROM (SELECT *, CASE WHEN abs(h00 * h11 - h01 * h01) >= 1e-12 THEN h00 * h11 - h01 * h01 ELSE 1e-12 END AS det FROM
+  (SELECT win, step, b0, b1, l, list_sum(list_transform(m, lambda x: x.y - x.mu)) AS g0, list_sum(list_transform(m, lambda x: x.z * (x.y - x.mu))) AS g1, list_sum(list_transform(m, lambda x: x.w)) AS h00,
+    list_sum(list_transform(m, lambda x: x.w * x.z)) AS h01, list_sum(list_transform(m, lambda x: x.w * x.z * x.z)) AS h11 FROM
+  (SELECT *, list_transform(m0, lambda x: {{'y': x.y, 'z': x.z, 'mu': x.mu, 'w': x.mu * (1 - x.mu) + {S.EPS!r}}}) AS m FROM
+  (SELECT *, list_transform(l, lambda x: {{'y': x.y, 'z': x.z, 'mu': 1 / (1 + exp(-least(greatest(b0 + b1 * x.z, -700), 700)))}}) AS m0 FROM s WHERE step < 30)))))
+SELECT win, round(abs(b1 - 1), 6) AS U3 FROM s WHERE step = 30"""
 
 
 def rolling_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,7 +154,7 @@ def overall_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
         I.ratio(F.sum(y * d), F.sum(d)).alias("ppv"), I.ratio(F.sum((1 - y) * (1 - d)), F.sum(1 - d)).alias("npv"),
         F.avg((F.col("p") - y) * (F.col("p") - y)).alias("brier"),
     )
-    return _r(a.join(I.auroc(df, ["g"], name="auroc"), "g").join(I.ece(df, ["g"], "ece"), "g"), "se", "sp", "ppv", "npv", "brier", "auroc", "ece")
+    return _r(a.join(I.auroc_of_large(df, ["g"], name="auroc"), "g").join(I.ece(df, ["g"], "ece"), "g"), "se", "sp", "ppv", "npv", "brier", "auroc", "ece")
 
 
 OVERALL = f"""WITH {CASES_SQL}, a AS (SELECT g, sum(y * decision)::DOUBLE / nullif(sum(y), 0) AS se, sum((1 - y) * (1 - decision))::DOUBLE / nullif(sum(1 - y), 0) AS sp,
@@ -649,7 +660,7 @@ QUERIES = {
 }
 ORACLE = {
     "case_windows": CASE_WINDOWS, "window_ratios": WINDOW_RATIOS, "window_auroc": WINDOW_AUROC, "window_ece": WINDOW_ECE, "window_ks": WINDOW_KS,
-    "window_mean_shift": WINDOW_MEAN_SHIFT, "rolling_calibration": ROLLING, "overall_metrics": OVERALL, "scores": SCORES, "alert_table": ALERTS,
+    "window_mean_shift": WINDOW_MEAN_SHIFT, "window_slope": WINDOW_SLOPE, "rolling_calibration": ROLLING, "overall_metrics": OVERALL, "scores": SCORES, "alert_table": ALERTS,
     "arm_events": ARM_EVENTS, "alert_rates": ALERT_RATES, "horizon_alerts": HORIZON, "classified": CLASSIFIED, "block_plan": BLOCK_PLAN,
     "harm_windows": HARM_WINDOWS, "onset": ONSET, "rolling_onset": ROLLING_ONSET, "onset_cusum": ONSET_CUSUM, "workflow_harm": WORKFLOW_HARM,
     "oversight": OVERSIGHT, "workflow": WORKFLOW, "audit": AUDIT, "audit_stratified": AUDIT_STRATIFIED, "schedules": SCHEDULES,
