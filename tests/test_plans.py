@@ -390,6 +390,34 @@ def test_model_fit_and_levels(spark):
     assert not model.solve_level(lambda xs: [1 + x for x in xs], 9.0, 0.0, 2.0)["attained"]
 
 
+def penalized_by_hand(x, y, c):
+    """Newton's method for one model, in one place."""
+    b, ridge = np.zeros(x.shape[1]), np.diag([0.0] + [1.0] * (x.shape[1] - 1))
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-x @ b))
+        b = b + np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge / c, x.T @ (y - p) - ridge @ b / c)
+    return b
+
+
+def test_penalty_search_equals_a_direct_solver(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    x = np.column_stack([np.ones(600), rng.normal(size=(600, 3))])
+    y = (rng.random(600) < 1 / (1 + np.exp(-(x @ [-0.5, 1.0, -0.7, 0.2])))).astype(float)
+    fold = rng.integers(0, 4, 600)
+    df = spark.createDataFrame([(*map(float, r[1:]), float(v), int(k)) for r, v, k in zip(x, y, fold, strict=True)], "a double, b double, c double, y double, _fold int").repartition(3)
+    jobs, own = [], model._summed
+    monkeypatch.setattr(model, "_summed", lambda *a: (jobs.append(1), own(*a))[1])
+    coef, loss = model.penalized_fits(df, ["a", "b", "c"], "y", [0.01, 1.0, 50.0], 4)
+    assert len(jobs) < 15  # for 15 models
+    for g, c in enumerate([0.01, 1.0, 50.0]):
+        assert np.allclose(coef[-1, g], penalized_by_hand(x, y, c), atol=1e-6)
+        for k in range(4):
+            b = penalized_by_hand(x[fold != k], y[fold != k], c)
+            p = 1 / (1 + np.exp(-x[fold == k] @ b))
+            assert np.allclose(coef[k, g], b, atol=1e-6)
+            assert loss[k, g] == pytest.approx(-np.mean(y[fold == k] * np.log(p) + (1 - y[fold == k]) * np.log(1 - p)), abs=1e-6)
+
+
 def test_streaming_cusum_equals_batch(spark, tmp_path):
     z = [0.2, 1.9, 2.5, 0.1, 3.0, 2.0, 2.0, -1.0, 4.0]
     series(spark, z[:4]).coalesce(1).write.parquet(str(tmp_path / "in/a"))

@@ -1,19 +1,20 @@
-"""Model fitting with Spark ML, and solving for levels of a change."""
+"""Model fitting, models as rows, and solving for levels of a change."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewatch.functions import scalar as S
-from tidewatch.functions.rng import uniform
 from tidewatch.operators.layers import rescore
 from tidewatch.operators.windows import quantiles
 
@@ -37,42 +38,130 @@ def fit_plain(df: DataFrame, features: list[str], label: str = "y", sensitivity:
     return model | {"threshold": threshold_for(rescore(df, model), label, sensitivity)}
 
 
+#: Fixed value: bounds of a probability in the log loss.
+TINY = 1e-15
+
+
+def _blocks(batches: Iterator[pd.DataFrame], features: list[str], label: str, coef: np.ndarray, folds: int, held: bool) -> Iterator[pd.DataFrame]:
+    """Sums over a partition for every model: gradient and Hessian over the rows it learns from, or loss over those it does not.
+
+    coef has a row for each penalty of each fold, and last for each penalty of all rows.
+    """
+    models, width = coef.shape
+    fold_of = np.repeat(np.arange(folds + 1), models // (folds + 1))
+    grad, hess, loss, rows = np.zeros((models, width)), np.zeros((models, width, width)), np.zeros(models), np.zeros(models)
+    for pdf in batches:
+        x = np.column_stack([np.ones(len(pdf)), pdf[features].to_numpy(float)])
+        y, fold = pdf[label].to_numpy(float)[:, None], pdf["_fold"].to_numpy()[:, None]
+        p = 1 / (1 + np.exp(-np.clip(x @ coef.T, -700, 700)))
+        if held:
+            out = (fold == fold_of).astype(float)
+            q = np.clip(p, TINY, 1 - TINY)
+            loss += (out * -(y * np.log(q) + (1 - y) * np.log(1 - q))).sum(0)
+            rows += out.sum(0)
+            continue
+        own = (fold != fold_of).astype(float)
+        grad += ((y - p) * own).T @ x
+        weight = p * (1 - p) * own
+        for m in range(models):
+            hess[m] += (x * weight[:, m : m + 1]).T @ x
+    sums = np.concatenate([loss[:, None], rows[:, None]] if held else [grad, hess.reshape(models, -1)], 1)
+    yield pd.DataFrame({"m": range(models), "sums": list(sums)})
+
+
+def _summed(std: DataFrame, features: list[str], label: str, coef: np.ndarray, folds: int, held: bool) -> np.ndarray:
+    """The sums of _blocks over all rows, a row for each model: one job. A partition sends one row for each model."""
+    part = std.select(*features, label, "_fold").mapInPandas(lambda it: _blocks(it, features, label, coef, folds, held), "m int, sums array<double>")
+    total = part.groupBy("m").applyInPandas(lambda pdf: pd.DataFrame({"m": [pdf["m"].iloc[0]], "sums": [np.sum(np.stack(pdf["sums"].to_list()), 0)]}), "m int, sums array<double>")
+    got = {r["m"]: r["sums"] for r in total.collect()}
+    return np.array([got[m] for m in range(len(coef))])
+
+
+def penalized_fits(std: DataFrame, features: list[str], label: str, grid: list[float], folds: int, tol: float = 1e-9, most: int = 50) -> tuple[np.ndarray, np.ndarray]:
+    """Logistic models (intercept first) by Newton's method, for every penalty C of the grid, left out each fold and on all rows;
+    and the mean log loss of the left-out rows by fold and penalty. All models move in the same passes, so the number of
+    jobs is that of the slowest model's steps. Minimized: half the squared weights + C * the summed loss.
+    """
+    width, models = len(features) + 1, (folds + 1) * len(grid)
+    coef, c = np.zeros((models, width)), np.tile(grid, folds + 1)
+    ridge = np.diag([0.0] + [1.0] * (width - 1))
+    for _ in range(most):
+        sums = _summed(std, features, label, coef, folds, False)
+        grad, hess = sums[:, :width], sums[:, width:].reshape(models, width, width)
+        step = np.stack([np.linalg.lstsq(hess[m] + ridge / c[m], grad[m] - ridge @ coef[m] / c[m], rcond=None)[0] for m in range(models)])
+        coef = coef + step
+        if np.abs(step).max() < tol:
+            break
+    loss = _summed(std, features, label, coef, folds, True)[: folds * len(grid)]
+    mean = np.divide(loss[:, 0], loss[:, 1], out=np.full(len(loss), np.nan), where=loss[:, 1] > 0)
+    return coef.reshape(folds + 1, len(grid), width), mean.reshape(folds, len(grid))
+
+
 def fit_real(df: DataFrame, features: list[str], label: str = "label", sensitivity: float = 0.75, folds: int = 5, grid: list[float] | None = None) -> dict:
-    """Winsorize at 0.1 and 99.9 %, impute means, standardize (population sd), choose the penalty by fold log loss."""
+    """Winsorize at 0.1 and 99.9 %, impute means, standardize (population sd), choose the penalty by fold log loss.
+
+    A row's fold is a hash of its features and label, so recomputed rows stay in their folds.
+    """
     plain = df.select(*(S.nan_to_null(F.col(f).cast("double")).alias(f) for f in features))
     bounds = {f: tuple(q) for f, q in quantiles(plain, {f: [0.001, 0.999] for f in features}).items()}
     cut = df.withColumns({f: S.clip(S.nan_to_null(F.col(f).cast("double")), *bounds[f]) for f in features})
     m = cut.agg(*(F.avg(f).alias(f) for f in features)).first()
     means = {f: float(m[f]) for f in features}
     full = cut.withColumns({f: F.coalesce(f, F.lit(means[f])) for f in features})
-    s = full.agg(*(F.stddev_pop(f).alias(f) for f in features), F.count("*").alias("_n")).first()
+    s = full.agg(*(F.stddev_pop(f).alias(f) for f in features)).first()
     sds = {f: float(s[f]) or 1.0 for f in features}
-    std = full.withColumns({f: (F.col(f) - means[f]) / sds[f] for f in features}).withColumn("_fold", F.floor(uniform(F.monotonically_increasing_id(), 5) * folds)).persist()
+    std = full.select(*((((F.col(f) - means[f]) / sds[f]).alias(f)) for f in features), F.col(label).cast("double").alias(label))
+    std = std.withColumn("_fold", F.pmod(F.xxhash64(*features, label), F.lit(folds)).cast("int")).persist()
     grid = grid or [10 ** (-4 + 5 * k / 9) for k in range(10)]
     try:
-        losses = {}
-        for c in grid if len(grid) > 1 else []:
-            parts = []
-            for k in range(folds):
-                w, b = _fit(std.where(F.col("_fold") != k), features, label, 1 / (c * s["_n"] * (folds - 1) / folds))
-                p = S.clip(S.sigmoid(S.linear_score([F.col(f) for f in features], w, b)), 1e-15, 1 - 1e-15)
-                y = F.col(label)
-                parts.append(std.where(F.col("_fold") == k).agg(F.avg(-(y * F.log(p) + (1 - y) * F.log(1 - p)))).first()[0])
-            losses[c] = sum(parts) / folds
-        best = min(losses, key=losses.get) if losses else grid[0]
-        w, b = _fit(std, features, label, 1 / (best * s["_n"]))
+        coef, loss = penalized_fits(std, features, label, grid, folds)
     finally:
         std.unpersist()
-    model = {"features": features, "weights": dict(zip(features, w, strict=True)), "intercept": b, "bounds": bounds, "means": means, "sds": sds, "threshold": 0.5, "C": best}
+    best = int(np.argmin(np.nanmean(loss, 0)))
+    b, *w = map(float, coef[-1, best])
+    model = {"features": features, "weights": dict(zip(features, w, strict=True)), "intercept": b, "bounds": bounds, "means": means, "sds": sds, "threshold": 0.5, "C": grid[best]}
     return model | {"threshold": threshold_for(rescore(df, model), label, sensitivity)}
 
 
+def versions(spark: SparkSession, models: dict[str, dict]) -> DataFrame:
+    """Models as rows: version, intercept, threshold and, one for each feature in order, arrays of bounds, means, sds, weights."""
+    rows = []
+    for name, m in models.items():
+        f = m["features"]
+        rows.append((name, float(m["intercept"]), float(m["threshold"]), *([float(v) for v in x] for x in ([m["bounds"][c][0] for c in f], [m["bounds"][c][1] for c in f], [m["means"][c] for c in f], [m["sds"][c] for c in f], [m["weights"][c] for c in f]))))
+    return spark.createDataFrame(rows, "version string, intercept double, threshold double, low array<double>, high array<double>, mean array<double>, sd array<double>, weight array<double>")
+
+
+def score_versions(df: DataFrame, table: DataFrame, features: list[str], share: str = "share") -> DataFrame:
+    """Adds p and decision to rows under the models that `table` names for them.
+
+    table: version, version_to and share by the columns it has in common with df (window, say), with the arrays of both
+    joined in by mix_versions(). One join by these keys; the score is a sum over the features of the row.
+    """
+    keys = [c for c in table.columns if c in df.columns]
+    both = df.join(table, keys)
+    terms = F.lit(0.0)
+    for k, f in enumerate(features):
+        x = F.coalesce(S.clip(S.nan_to_null(F.col(f).cast("double")), F.col("low")[k], F.col("high")[k]), F.col("mean")[k])
+        terms = terms + F.col("weight")[k] * ((x - F.col("mean")[k]) / F.col("sd")[k])
+    out = both.withColumn("p", S.sigmoid(F.col("intercept") + terms))
+    out = out.withColumn("decision", (F.col("p") >= F.col("threshold")).cast("int"))
+    return out.drop("intercept", "threshold", "low", "high", "mean", "sd", "weight", share, "version", "version_to")
+
+
+def mix_versions(schedule: DataFrame, table: DataFrame, share: str = "share") -> DataFrame:
+    """schedule (keys, version, version_to, share) with the coefficients of that mix: weights and intercept move from one
+    version to the other by the share; bounds, means, sds and threshold are the first's."""
+    to = table.select(F.col("version").alias("version_to"), F.col("intercept").alias("_i"), F.col("weight").alias("_w"))
+    out = schedule.join(F.broadcast(table), "version").join(F.broadcast(to), "version_to")
+    mixed = F.zip_with("weight", "_w", lambda a, b: (1 - F.col(share)) * a + F.col(share) * b)
+    return out.withColumns({"weight": mixed, "intercept": (1 - F.col(share)) * F.col("intercept") + F.col(share) * F.col("_i")}).drop("_i", "_w")
+
+
 def with_regression(model: dict, fraction: float, seed: int = 0) -> dict:
     """A copy whose weights are turned by a fraction towards a random direction at right angles, of equal norm."""
     if fraction <= 0:
         return dict(model)
-    import numpy as np
-
     w = np.array([model["weights"][f] for f in model["features"]])
     r = np.random.default_rng(seed).normal(size=len(w))
     r -= (r @ w) / (w @ w) * w
@@ -139,9 +228,6 @@ def auroc_gain(base: DataFrame, full: DataFrame, n_boot: int = 500, seed: int =
     Under a draw a row weighs as often as its stream was drawn. Pairs of a positive above a negative are counted within
     stretches of the score, each in a group of its own for all draws at once, and across stretches from their sums.
     """
-    import numpy as np
-    import pandas as pd
-
     ids = [r[0] for r in base.select("stream").distinct().orderBy("stream").collect()]
     n = len(ids)
 

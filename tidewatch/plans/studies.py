@@ -173,6 +173,46 @@ def mixture_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A._r(spark.createDataFrame(out, "auroc_base double, auroc_full double, gain double, lo double, hi double, p double"), "auroc_base", "auroc_full", "gain", "lo", "hi", "p")
 
 
+# --- fitted models and versions ------------------------------------------------------------------------------------------
+
+
+def fitted_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model fitted on the first fifth of the windows (penalty by fold loss, threshold by sensitivity) on all later ones."""
+    df = windowed_cases(spark, sf_dir)
+    last = df.agg(F.max("window")).first()[0]
+    fitted = model.fit_real(df.where(F.col("window") <= last // 5), list(A.FEATURES), "y")
+    scored = layers.rescore(df.where(F.col("window") > last // 5).drop("p", "decision"), fitted)
+    y, d = F.col("y"), F.col("decision")
+    out = scored.groupBy("window").agg(F.avg("p").alias("mean_p"), F.avg(y.cast("double")).alias("rate"), I.ratio(F.sum(y * d), F.sum(y)).alias("sensitivity"))
+    return A._r(out.join(I.auroc(scored, ["window"], name="auroc"), "window").withColumnRenamed("window", "win"), "mean_p", "rate", "sensitivity", "auroc")
+
+
+#: Two versions of the deployed model; the second's weights are turned by half towards a direction at right angles.
+VERSIONS = {"v1": A.MODEL, "v2": A.MODEL | {"weights": {"x1": 0.15, "x2": 0.75, "x3": 0.45}, "intercept": -0.1}}
+REGRESSION = {"s0": 2, "ramp": 6}
+
+
+def version_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The case stream under a rollout of a worse version: coefficients by window, mixed by progress, joined to the cases."""
+    df = windowed_cases(spark, sf_dir)
+    progress = S.window_progress("gradual", F.col("window"), BASELINE, REGRESSION["s0"], REGRESSION["ramp"])
+    schedule = df.select("window").distinct().withColumns({"version": F.lit("v1"), "version_to": F.lit("v2"), "share": progress})
+    mixed = model.mix_versions(schedule, model.versions(spark, VERSIONS))
+    scored = model.score_versions(df.drop("p", "decision"), mixed, list(A.FEATURES))
+    y, d = F.col("y"), F.col("decision")
+    out = scored.groupBy("window").agg(F.avg("p").alias("mean_p"), I.ratio(F.sum(y * d), F.sum(y)).alias("sensitivity"), F.avg((F.col("p") - y) * (F.col("p") - y)).alias("brier"))
+    return A._r(out.withColumnRenamed("window", "win"), "mean_p", "sensitivity", "brier")
+
+
+def _versions_sql() -> str:
+    mix = lambda a, b: f"((1 - pr) * {a} + pr * {b})"
+    a, b = VERSIONS["v1"], VERSIONS["v2"]
+    clean = lambda f: f"((least(greatest({f}, {a['bounds'][f][0]}), {a['bounds'][f][1]}) - {a['means'][f]}) / {a['sds'][f]})"
+    z = " + ".join([mix(a["intercept"], b["intercept"]), *(f"{mix(a['weights'][f], b['weights'][f])} * {clean(f)}" for f in A.FEATURES)])
+    return f"""WITH {CASES_SQL}, q AS (SELECT * EXCLUDE (p, decision), {A._prog} AS pr FROM c), m AS (SELECT *, 1 / (1 + exp(-({z}))) AS p FROM q), d AS (SELECT *, (p >= {a["threshold"]})::INT AS decision FROM m)
+SELECT window_no AS win, round(avg(p), 6) AS mean_p, round(sum(y * decision)::DOUBLE / nullif(sum(y), 0), 6) AS sensitivity, round(avg((p - y) * (p - y)), 6) AS brier FROM d GROUP BY 1"""
+
+
 # --- cohorts and catalogs ------------------------------------------------------------------------------------------------
 
 
@@ -236,7 +276,7 @@ SELECT level::DOUBLE AS level, round(h / (SELECT h FROM hh WHERE level = 1), 6)
 
 QUERIES = {
     "replicates": replicates, "arm_reductions": arm_reductions, "paired_differences": paired_differences, "audit_study": audit_study,
-    "mixture_windows": mixture_windows, "mixture_gain": mixture_gain, "synthetic_cohort": synthetic_cohort, "catalog_cells": catalog_cells, "harm_levels": harm_levels,
+    "fitted_model": fitted_model, "version_regression": version_regression, "mixture_windows": mixture_windows, "mixture_gain": mixture_gain, "synthetic_cohort": synthetic_cohort, "catalog_cells": catalog_cells, "harm_levels": harm_levels,
 }
 _REPLICATES = _replicates_sql()
 ORACLE = {
@@ -247,5 +287,5 @@ SELECT arm, count(*) AS n, round(avg(r) - avg(c), 6) AS reduction, round((avg(r)
     "paired_differences": A.CLASSIFIED.rsplit("SELECT arm, s,", 1)[0] + """, dl AS (SELECT arm, s, 'S' || (s % 3) AS scenario, CASE WHEN s % 2 = 0 THEN 'high' ELSE 'low' END || '|abrupt' AS cell,
   row_number() OVER (PARTITION BY arm, s % 3, s % 2 ORDER BY s) - 1 AS replicate, CASE WHEN first IS NULL OR first >= t0 + 20 THEN 20 ELSE greatest(0, first - t0) END AS tafd FROM k)
 SELECT a.scenario, a.cell, a.replicate::INT AS replicate, (a.tafd - b.tafd)::DOUBLE AS value FROM dl a JOIN dl b USING (scenario, cell, replicate) WHERE a.arm = 'conventional' AND b.arm = 'union' AND a.scenario IN ('S0', 'S1')""",
-    "audit_study": AUDIT_STUDY, "mixture_windows": _mixture_sql(), "synthetic_cohort": SYNTHETIC_COHORT, "catalog_cells": CATALOG_CELLS, "harm_levels": _levels_sql(),
+    "audit_study": AUDIT_STUDY, "version_regression": _versions_sql(), "mixture_windows": _mixture_sql(), "synthetic_cohort": SYNTHETIC_COHORT, "catalog_cells": CATALOG_CELLS, "harm_levels": _levels_sql(),
 }
