@@ -364,6 +364,15 @@ def test_chat_defined_on_nulls_and_ties(spark):
 # --- BPE -------------------------------------------------------------------------------------------------------------
 
 
+def test_roles_come_back_whatever_the_layout(spark):
+    """Conversations take layouts by their id: the same turns must give the same digests in each."""
+    said = [("bot", "a"), ("model", "b"), ("ai", "c"), ("human", "d"), ("gpt", "e"), ("user", "f"), ("assistant", "g"), ("tool", "h"), (None, None)]
+    turns = spark.createDataFrame([(c, k, r, t, "x") for c in range(8) for k, (r, t) in enumerate(said)], "conv_id long, turn long, role string, text string, `a.record` string")
+    got = chat.digest_chats(chat.canonical_turns(queries.chat_records(turns))).collect()
+    want = hashlib.sha256("".join(f"{r or ''}\n{t or ''}\n" for r, t in said).encode()).hexdigest()
+    assert len(got) == 8 and {(r.turns_sha256, r.loss_chars, r.loss_sha256) for r in got} == {(want, 1, hashlib.sha256(b"g").hexdigest())}
+
+
 @pytest.fixture(scope="module")
 def both():
     path = public_tokenizers.path("word_bpe_49k.json")

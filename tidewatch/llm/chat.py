@@ -83,13 +83,15 @@ def fingerprint(paths: set[str]) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
 
 
-#: Declarative mappings: the layout's paths, then either `turns` (list, role and text fields, role names) or `parts`
+#: Names that the from-value layout uses for the canonical roles; other layouts have roles as they are.
+SPOKEN = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "ai": "assistant"}
+#: Declarative mappings: the layout's paths, then either `turns` (list, role and text fields; `roles`, its names) or `parts`
 #: (role and the fields whose non-empty texts are joined by a blank line).
 LAYOUTS: list[dict[str, Any]] = [
     {"paths": {"role", "text"}, "row": ("role", "text")},
     {"paths": {"turn.speaker", "turn.body.content"}, "row": ("turn.speaker", "turn.body.content")},
     {"paths": {"messages[].role", "messages[].content"}, "turns": ("messages", "role", "content")},
-    {"paths": {"conversations[].from", "conversations[].value"}, "turns": ("conversations", "from", "value")},
+    {"paths": {"conversations[].from", "conversations[].value"}, "turns": ("conversations", "from", "value"), "roles": SPOKEN},
     {"paths": {"prompt", "response"}, "parts": [("user", ["prompt"]), ("assistant", ["response"])]},
     {"paths": {"prompt", "completion"}, "parts": [("user", ["prompt"]), ("assistant", ["completion"])]},
     {"paths": {"question", "answer"}, "parts": [("user", ["question"]), ("assistant", ["answer"])]},
@@ -97,8 +99,6 @@ LAYOUTS: list[dict[str, Any]] = [
     {"paths": {"instruction", "input", "output"}, "parts": [("user", ["instruction", "input"]), ("assistant", ["output"])]},
     {"paths": {"system", "prompt", "response"}, "parts": [("system", ["system"]), ("user", ["prompt"]), ("assistant", ["response"])]},
 ]
-#: Names that layouts use for the canonical roles.
-ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "ai": "assistant"}
 MAPPINGS = {fingerprint(m["paths"]): m for m in LAYOUTS}
 
 
@@ -113,7 +113,8 @@ def canonical(record: dict[str, Any]) -> tuple[str, list[tuple[str, str]] | None
         return print_, [(role or "", text or "")]
     if "turns" in m:
         name, role, text = m["turns"]
-        return print_, [(ROLES.get(t[role], t[role]) or "", t[text] or "") for t in record[name]]
+        names = m.get("roles", {})
+        return print_, [(names.get(t[role], t[role]) or "", t[text] or "") for t in record[name]]
     joined = [(role, "\n\n".join(record[f] for f in fields if record[f])) for role, fields in m["parts"]]
     return print_, [(r, t) for r, t in joined if t or r != "system"]
 
