@@ -98,6 +98,7 @@ def test_model_equals_dictionaries(spark, order):
 def test_whole_table_in_small_slices(spark, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     monkeypatch.setattr(lm, "SLICE_BYTES", 60_000)
+    monkeypatch.setattr(lm, "SCORE_BYTES", 40_000)
     compare(lm.score_corpus(docs), [tuple(r) for r in docs.collect()], lm.ORDER)
 
 

@@ -43,8 +43,8 @@ from tidewatch.llm.common import forget, map_batches, slices, work_dir, written
 from tidewatch.llm.shingles import mix, word_hashes
 
 ORDER = 2
-#: Text that is counted or scored at once, in bytes; text for each shard; bits of the least number of shards.
-SLICE_BYTES, SHARD_BYTES, LEAST_BITS = 8_000_000, 16_000_000, 9
+#: Text that is counted at once and that is scored at once, in bytes; text for each shard; bits of the least number of shards.
+SLICE_BYTES, SCORE_BYTES, SHARD_BYTES, LEAST_BITS = 8_000_000, 3_000_000, 16_000_000, 9
 #: Text whose words are hashed in one array operation, in characters.
 HASH_CHARS = 1_000_000
 #: Of 7 remainders of an id's checksum, the one whose texts are held out.
@@ -343,7 +343,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         }
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
-    return map_batches(plain, rows, schema, "text", SLICE_BYTES)
+    return map_batches(plain, rows, schema, "text", SCORE_BYTES)
 
 
 def score_corpus(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
