@@ -468,6 +468,39 @@ def test_readers(spark, tmp_path):
     assert readers.setting("TIDEWATCH_NONE", None, "d") == "d"
 
 
+def test_files_go_by_their_whole_path(spark, tmp_path):
+    for path, text in {"a/x.md": "one", "b/x.md": "two", "b/y z.md": "three", "c.md": ""}.items():
+        (tmp_path / "t" / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "t" / path).write_text(text)
+    files = spark.createDataFrame([("g", "b/y z.md"), ("g", "a/x.md"), ("h", "b/x.md"), ("h", "none.md")], "group string, path string")
+    got = {r.group: r.text for r in readers.corpus(spark, files, str(tmp_path / "t")).collect()}
+    assert got == {"g": "one\nthree", "h": "two"}
+    assert {r.path: r.length for r in readers.file_tree(spark, str(tmp_path / "t"), "*.md").collect()} == {"a/x.md": 3, "b/x.md": 3, "b/y z.md": 5}
+    assert list(readers.listed(spark, str(tmp_path / "t"), (".md",))) == ["a/x.md", "b/x.md", "b/y z.md", "c.md"]
+
+
+def test_tables_of_many_cells_are_read_whole(spark):
+    line = "| **Use** | " + " | ".join(f"c{k}" for k in range(90)) + " |"
+    row = readers.matrix_rows(spark.createDataFrame([(1, line), (2, "| plain | c |")], "n int, value string")).collect()
+    assert [(r.construct, r.cells) for r in row] == [("Use", [f"c{k}" for k in range(90)])]
+
+
+def test_jdbc_reads_are_shared_out_and_pushed_down(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db"
+    rows = [(k, 7 if k % 2 else 8, float(k)) for k in range(1, 401)] + [(50, 7, -1.0)]
+    source = spark.createDataFrame(rows, "STAY int, ITEMID int, VALUE double")
+    source.coalesce(1).write.format("jdbc").options(url=url + ";create=true", dbtable="READINGS", driver="org.apache.derby.jdbc.EmbeddedDriver").save()
+    cohort = spark.createDataFrame([(k,) for k in range(41, 201, 4)] * 2, "STAY int")
+    read = lambda c, **o: readers.read_jdbc(spark, url, "SELECT * FROM READINGS", "STAY", c, [7], "ITEMID", driver="org.apache.derby.jdbc.EmbeddedDriver", **o)
+    want = sorted((k, v) for k, i, v in rows if i == 7 and 41 <= k <= 200 and (k - 41) % 4 == 0)
+    for parts in (1, 4):
+        df = read(cohort, partitions=parts)
+        assert sorted((r.STAY, r.VALUE) for r in df.collect()) == want
+    plain = df._jdf.queryExecution().executedPlan().toString()
+    assert "BETWEEN 41 AND 197" in plain and "IN (7)" in plain and "numPartitions=4" in plain
+    assert read(cohort.where("false"), partitions=4).count() == 0
+
+
 def test_stores_records_and_environment(spark, tmp_path):
     df = spark.createDataFrame([("S1", 1, 2.0), ("S2", 1, 3.0)], "scenario string, replicate int, tafd double")
     readers.write_replicates(df, str(tmp_path / "store"))

@@ -108,25 +108,30 @@ class Pool:
         return float(a)
 
     def sensitivity(self, slope: float, group: int | None = None) -> float:
+        """Expected share of the outcomes that are flagged."""
         z, flagged = self.of(group)
-        mu = 1 / (1 + np.exp(-(self.intercept(slope, group) + slope * z)))
-        return float((mu * flagged).sum() / mu.sum())
+        return float(np.average(flagged, weights=1 / (1 + np.exp(-(self.intercept(slope, group) + slope * z)))))
 
     def slope(self, loss: float, group: int | None = None) -> float:
-        """Slope at which sensitivity is lower by the share `loss`, prevalence held; ValueError beyond what slope 0 loses."""
+        """Slope that leaves 1 - loss of the sensitivity at the prevalence. Two means of the outcome's probability are
+        given, over all cases and over the flagged ones; Newton's method moves slope and intercept until both hold.
+        Without a slope the flagged get their plain share, so ValueError for a loss that would need less."""
         if loss <= 0:
             return 1.0
-        whole, none = self.sensitivity(1.0, group), self.sensitivity(0.0, group)
-        if loss >= 1 - none / whole:
-            raise ValueError(f"a relative loss of {loss:.3f} is not reachable; the most is {1 - none / whole:.3f}")
-        lo, hi = 0.0, 1.0
-        while hi - lo > 1e-9:
-            mid = (lo + hi) / 2
-            if self.sensitivity(mid, group) < whole * (1 - loss):
-                lo = mid
-            else:
-                hi = mid
-        return (lo + hi) / 2
+        z, flagged = self.of(group)
+        sides, by = np.stack([np.ones_like(z), flagged]) / len(z), np.stack([z, np.ones_like(z)])
+        at = np.array([1.0, self.intercept(1.0, group)])
+        want = sides @ (1 / (1 + np.exp(-(at @ by)))) * [1, 1 - loss]
+        if want[1] <= PREVALENCE * flagged.mean():
+            raise ValueError(f"sensitivity can't fall by {loss:.3f}: chance alone flags a share of {flagged.mean():.3f}")
+        for _ in range(200):
+            mu = 1 / (1 + np.exp(-(at @ by)))
+            gap = sides @ mu - want
+            if np.abs(gap).max() < 1e-14:
+                break
+            step = np.linalg.solve((sides * (mu * (1 - mu))) @ by.T, gap)
+            at = at - step * min(1.0, 0.25 / np.abs(step).max())
+        return float(at[0])
 
 
 _POOL: list[Pool] = []

@@ -21,12 +21,21 @@ def read_cohort(spark: SparkSession, path: str, roles: tuple[str, ...] = ROLES)
     return df, [c for c in df.columns if c not in roles]
 
 
-def read_jdbc(spark: SparkSession, url: str, query: str, key: str, cohort: DataFrame, items: list[int] | None = None, item: str = "itemid", **options) -> DataFrame:
-    """A query's rows for cohort members: the few items go into the query, the many keys into a left-semi join."""
+def read_jdbc(
+    spark: SparkSession, url: str, query: str, key: str, cohort: DataFrame, items: list[int] | None = None, item: str = "itemid", partitions: int = 1, **options
+) -> DataFrame:
+    """A query's rows for cohort members. The few items and the cohort's range of integer keys go into the query, the many
+    keys into a left-semi join; `partitions` reads share out the range, so that each connection reads its own keys. An
+    empty cohort reads nothing."""
+    low, high = cohort.agg(F.min(key).cast("long"), F.max(key).cast("long")).first()
+    where = "1 = 0" if low is None else f"{key} BETWEEN {low} AND {high}"
     if items:
-        query = f"SELECT * FROM ({query}) q WHERE {item} IN ({', '.join(str(int(i)) for i in items)})"
-    rows = spark.read.format("jdbc").options(url=url, query=query, **options).load()
-    return rows.join(cohort.select(key).distinct(), key, "left_semi")
+        where += f" AND {item} IN ({', '.join(str(int(i)) for i in items)})"
+    reader = spark.read.format("jdbc").options(url=url, dbtable=f"(SELECT * FROM ({query}) q WHERE {where}) r", **options)
+    if low is not None and partitions > 1 and high > low:
+        # The upper bound only sets the stride; rows beyond it would go to the last read.
+        reader = reader.options(partitionColumn=key, lowerBound=low, upperBound=high + 1, numPartitions=partitions)
+    return reader.load().join(cohort.select(key).distinct(), key, "left_semi")
 
 
 def run_aggregate(spark: SparkSession, sql: str, counts: list[str]) -> DataFrame:
@@ -52,14 +61,38 @@ def spark_catalog(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "table string, column string, type string")
 
 
+def _root(spark: SparkSession, root: str):
+    """The root's file system and its full address."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs, fs.makeQualified(at)
+
+
+def file_tree(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
+    """path (relative to root), length and content of every file below root whose name fits, on any file system; content
+    is read only where it is selected. Empty files have no row, as Spark's readers pass over them."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+    return files.select(F.substr("path", F.lit(len(_root(spark, root)[1].toString()) + 2)).alias("path"), "length", "content")
+
+
+def listed(spark: SparkSession, root: str, endings: tuple[str, ...]) -> dict[str, str]:
+    """Relative path to full address of every file below root with one of the endings, empty ones too, in order."""
+    fs, at = _root(spark, root)
+    files, found, cut = fs.listFiles(at, True), {}, len(at.toString()) + 1
+    while files.hasNext():
+        name = files.next().getPath().toString()
+        if name.endswith(endings):
+            found[name[cut:]] = name
+    return dict(sorted(found.items()))
+
+
 def csv_tree(spark: SparkSession, root: str, count_rows: bool = False) -> DataFrame:
-    """path (relative), columns, rows of every .csv and .csv.gz file below root; an empty file has none."""
+    """path (relative), columns, rows of every .csv and .csv.gz file below root, on any file system; an empty file has none.
+    Names and headers come to the driver, rows are counted by Spark."""
     out = []
-    for p in sorted(Path(root).rglob("*.csv*")):
-        if not p.is_file() or not p.name.endswith((".csv", ".csv.gz")):
-            continue
-        df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(str(p))
-        out.append((p.relative_to(root).as_posix(), df.columns, df.count() if count_rows and df.columns else (0 if count_rows else None)))
+    for path, file in listed(spark, root, (".csv", ".csv.gz")).items():
+        df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(file)
+        out.append((path, df.columns, df.count() if count_rows and df.columns else (0 if count_rows else None)))
     return spark.createDataFrame(out, "path string, columns array<string>, rows long")
 
 
@@ -96,13 +129,14 @@ def pilot_rows(lines: DataFrame) -> DataFrame:
 def matrix_rows(lines: DataFrame) -> DataFrame:
     """Rows of a Markdown table whose first cell is bold: construct and the remaining cells."""
     bold = F.regexp_extract("value", r"^\|\s*\*\*([^*]+)\*\*\s*\|", 1)
-    cells = F.slice(F.transform(F.split("value", r"\|"), lambda c: F.trim(c)), 3, 64)
+    parts = F.split("value", r"\|")
+    cells = F.transform(F.slice(parts, F.lit(3), F.size(parts)), lambda c: F.trim(c))
     return lines.where(bold != "").select(bold.alias("construct"), F.filter(cells, lambda c: c != "").alias("cells"))
 
 
 def corpus(spark: SparkSession, files: DataFrame, root: str) -> DataFrame:
-    """files(group, path): the texts of each group's files in the order of paths, joined by line ends."""
-    text = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root).withColumn("path", F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1))
+    """files(group, path relative to root): the texts of each group's files in the order of paths, joined by line ends."""
+    text = file_tree(spark, root).select("path", F.col("content").cast("string").alias("value"))
     both = files.join(text, "path")
     return both.groupBy("group").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("path", "value"))), lambda x: x["value"])).alias("text"))
 
