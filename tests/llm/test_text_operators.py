@@ -5,10 +5,13 @@ import json
 import random
 import re
 import string
+import time
 from collections import defaultdict
 
 import duckdb
+import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -110,6 +113,78 @@ def test_the_threshold_selects(monkeypatch):
     assert "Foot" in html.extract(page)
 
 
+LONG = "<p>" + "The river was long, and the boats went slowly along it; nobody knew why, but they did. " * 3 + "</p>"
+UNMARKED = {
+    "copyright": f"<div><h1>Head</h1>{LONG * 4}<p>Ok.</p></div><div>Copyright 2020 Foo</div>",
+    "beside an article": f"<article><h1>Head</h1>{LONG * 4}<p>Ok.</p></article><div>Copyright 2020 Foo</div>",
+    "menu": f"<ul><li>Home<li>News<li>Shop</ul><div><h1>Head</h1>{LONG * 4}<p>Ok.</p></div><div>Imprint</div>",
+    "menu of blocks": f"<div><span>Home</span></div><div>News</div><div><h1>Head</h1>{LONG * 4}<p>Ok.</p></div>",
+    "comments": f"<article><h1>Head</h1>{LONG * 4}<p>Ok.</p></article><section id=discussion><p>I liked this, thanks a lot.</p></section>",
+    "short comments": f"<div><h1>Head</h1>{LONG * 4}<p>Ok.</p></div><section id=discussion><p>I liked this, thanks.</p></section>",
+}
+
+
+def constant_scores(found, able):
+    return np.array([float(ok and linked < html.LINKED * len(t)) for (_, t, linked), ok in zip(found, able, strict=True)])
+
+
+@pytest.mark.parametrize("page", UNMARKED.values(), ids=UNMARKED)
+def test_ratios_decide_where_no_word_does(page, monkeypatch):
+    want = ["Head", *[LONG[3:-4].strip()] * 4, "Ok."]
+    assert html.extract(f"<body>{page}</body>").split("\n") == want
+    monkeypatch.setattr(html, "path_scores", constant_scores)
+    assert html.extract(f"<body>{page}</body>").split("\n") != want
+
+
+def test_ratios_find_articles_of_the_table_without_marks(monkeypatch):
+    pages = pq.read_table(f"{SF}/pages.parquet")["html"].to_pylist()
+    lines = lambda t: set(t.split("\n"))
+
+    def found() -> tuple[float, float]:
+        """Shares of the article's lines found and of the lines found that are the article's, menus and marks made div."""
+        plain = [re.sub(r"<(/?)(article|footer|nav)\b", r"<\1div", p).replace(' class="ad"', "") for p in pages]
+        both = [(lines(html.extract(p)), w) for p, w in zip(plain, want, strict=True)]
+        hit = sum(len(g & w) for g, w in both)
+        return hit / sum(len(w) for _, w in both), hit / sum(len(g) for g, _ in both)
+
+    want = [lines(html.extract(p)) for p in pages]
+    recall, precision = found()
+    monkeypatch.setattr(html, "path_scores", constant_scores)
+    assert recall == 1.0 and precision > found()[1] + 0.03
+
+
+def test_ambiguous_words_inside_an_article():
+    aside = "<p>Trains, of course, went by the river as well.</p>"
+    page = lambda words: html.extract(f"<article><h1>Head</h1>{LONG * 2}<div class='{words}'>{aside}</div>{LONG * 2}</article>")
+    assert "Trains" in page("rail-transport") and "Trains" in page("legal_history wide")
+    assert "Trains" not in page("rail") and "Trains" not in page("right-rail") and "Trains" not in page("sidebar wide")
+
+
+BROKEN = {
+    "no bracket": "<a href=x ", "quote": '<a "', "value": '<a b="', "two quotes": "<a b=\"><a b='>", "nested": "<div>x", "inline": "<b>x ", "comment": "<!--",
+    "object": "<object>x", "option": "<option>x", "paragraph": "<p>x, y.", "items": "<ul><li>x", "bracket": "<", "reference": "&", "ends": "<b></i>",
+}
+
+
+@pytest.mark.parametrize("part", BROKEN.values(), ids=BROKEN)
+def test_a_megabyte_of_broken_markup_takes_seconds(part):
+    began = time.perf_counter()
+    whole = html.extract(f"<p>{LONG}</p>" + part * (1_000_000 // len(part)))
+    assert time.perf_counter() - began < 10 and whole.startswith("The river")
+
+
+def test_ends_are_matched_within_borders():
+    assert html.extract("<span><div><b>a, b.</span> c, d.</div>") == "a, b. c, d."
+    assert html.extract('<p title="a > b">Text, here.</p><p title=">More, text.</p>') == "Text, here.\nMore, text."
+    assert html.extract("<ul><li>One, a.<ul><li>Two, b.</ul><li>Three, c.</ul>") == "One, a.\nTwo, b.\nThree, c."
+
+
+def test_very_long_pages_and_clashing_columns(spark):
+    long = "<article>" + PROSE * 20_000 + "</article>"
+    df = spark.createDataFrame([(1, "u", long, "t", 5, "q")], "page_id long, url string, html string, text string, n_chars long, `a.b` string")
+    assert [(r.page_id, r.n_chars) for r in html.extract_pages(df).collect()] == [(1, (len(PROSE) - 6) * 20_000 - 1)]
+
+
 def test_pages_query_on_edges(spark):
     df = spark.createDataFrame([(1, "u", None), (1, "u", PROSE), (1, "u", PROSE), (None, None, "")], "page_id long, url string, html string")
     assert sorted(r["n_chars"] for r in html.extract_pages(df).collect()) == [0, 0, len(PROSE) - 7, len(PROSE) - 7]
