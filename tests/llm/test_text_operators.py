@@ -343,6 +343,65 @@ def test_secret_escapes_and_triple_quotes():
     assert found(f'db_password = "{long}"') == [long]
 
 
+def planted(rnd: random.Random) -> tuple[str, list[str]]:
+    """A configuration or source text and the literals in it that belong to sensitive names."""
+    key = lambda n=10: "".join(rnd.sample(string.ascii_letters, n)) + str(rnd.randrange(100, 1000))
+    out, want = [], []
+    for k in range(12):
+        a, b = key(), key()
+        name = rnd.choice(["db_pwd", "client_secret", "apiKey", "auth_token", "PASSWORD", "signing.key", "credential"])
+        plain = rnd.choice(["colour", "host_name", "title", "path"])
+        pad, q = " " * rnd.choice([0, 1, 45]), rnd.choice("\"'")
+        line, found = rnd.choice([
+            (f"{name}{pad}={pad}{q}{a}{q}", [a]),
+            (f'"{name}"{pad}:{pad}"{a}",', [a]),
+            (f"{name} := {q}{a}{q};", [a]),
+            (f"export {name.replace('.', '_')}={a}", [a]),
+            (f"{name} = ({q}{a}{q} {q}{b}{q})", [a, b]),
+            (f"{name} = (\n    {q}{a}{q}\n    {q}{b}{q}\n)", [a, b]),
+            (f"{name} = {q}{a}{q} +\n    {q}{b}{q}", [a, b]),
+            (f"{name}: >\n  {a}\n  {b}\nend: 1", [a, b]),
+            (f"set {name} {q}{a}{q}", [a]),
+            (f"<{name}>{a}</{name}>", [a]),
+            (f'<property name="{name}" value="{a}"/>', [a]),
+            (f'String {name} = new String("{a}");', [a]),
+            (f"c{k}: {a}\n{name}: c{k}", [a]),
+            (f"c{k} = {q}{a}{q}\n{name} = c{k}", [a]),
+            (f"c{k} = {q}{a}{q}\n{name} = f{q}{{c{k}}}{b}{q}", [a, b]),
+            (f"{plain}{pad}= {q}{a}{q}", []),
+            (f"<{plain}>{a}</{plain}>", []),
+            (f"set {plain} {q}{a}{q}", []),
+            (f"{name} = os.getenv({q}{a}{q})", []),
+            (f"{name} = table[{q}{a}{q}]", []),
+            (f"{name} = f{q}{{unknown}}{q}", []),
+            (f"{name} = f{q}{{unknown}}{a}{q}", [a]),
+            (f"{name} = unknown + {q}{a}{q}", [a]),
+            (f"{name} = {q}${{{a}}}{q}", []),
+            (f"if {name} == {q}{a}{q}:", []),
+            ("it's a line, of words; they're here: nothing to see", []),
+        ])
+        out.append(line)
+        want += found
+    return "\n".join(out) + "\n", want
+
+
+def test_planted_literals_are_found_and_no_others():
+    rnd = random.Random(11)
+    for _ in range(300):
+        text, want = planted(rnd)
+        assert sorted(text[a:b] for a, b, _ in secrets.literal_spans(text)) == sorted(want), text
+
+
+@pytest.mark.parametrize(
+    "part",
+    ['pwd = pwd + "ab1c"\n', "pwd = pwd + pwd\n", "a=", "pwd=(", "pwd='", 'pwd="""', "pwd=a1 ", "<pwd>a", "pwd: >\n", "pwd = a + ", "pwd = new ", "a.", "set a b ", "pwd \t "],
+)
+def test_half_a_megabyte_of_statements_takes_seconds(part):
+    began = time.perf_counter()
+    secrets.scan('pwd = "ab1cdEf" ' + part * (1000 if "pwd + pwd" in part else 500_000 // len(part)))
+    assert time.perf_counter() - began < 10
+
+
 def brute_base(text):
     """Base spans, character by character: kind, start, end."""
     text = text or ""

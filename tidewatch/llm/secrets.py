@@ -1,9 +1,16 @@
 """Secret scans by assignment-aware lexing.
 
-A lexer reads `name = literal`, `name: literal`, `"name": "literal"`, `name := literal` and `export NAME=literal`
-(quoted, with escapes, in triple quotes also over lines, or bare: to the next blank, quote, comma, semicolon or bracket, and with a digit unless the line is only NAME=value) out of source and configuration text, follows constants (`k = "..."` then `api_key = k`, also `k + "..."`), and
-scores each literal by the sensitivity of the name that it finally reaches, its length and its entropy. Spans of
-fixed patterns (assign, access, hex) are always reported; the lexer adds spans of kind `literal`.
+A lexer reads pairs of a name and an expression out of source and configuration text: `name = literal`, `name: literal`,
+`"name": "literal"`, `name := literal`, `export NAME=literal`, `set name literal`, `<name>literal</name>`,
+`name="..." value="..."` and YAML blocks (`name: >` with indented lines). A small grammar reads the expression: literals
+(quoted, with escapes, in triple quotes also over lines) and names, joined by + or side by side, also over line ends
+after + and in brackets, calls that only convert a literal (`new String("...")`), f-strings and templates, whose
+pieces are literals and whose placeholders are names. A name that is bound to no literal adds nothing. A bare value goes to the next blank, quote, comma, semicolon or bracket, and has a digit
+unless the line is only NAME=value. Constants are followed (`k = "..."` then `api_key = k`, also `k + "..."`). Each
+literal is scored by the sensitivity of the name that it finally reaches, its length and its entropy. Spans of fixed
+patterns (assign, access, hex) are always reported; the lexer adds spans of kind `literal`.
+
+A joined constant keeps its two parts and their letter counts, so that text grown in a loop takes linear time.
 
 Defined results: a null text is empty and has no spans; very long texts are read whole; repeated rows each get their
 own row; spans with one start are in the order of their kinds; an empty table gives no rows; other columns of the input
@@ -34,33 +41,39 @@ SENSITIVE = {
     "accesskey": 3.0, "privatekey": 3.0, "credential": 2.5, "authorization": 2.0, "bearer": 2.0, "auth": 1.5,
     "signingkey": 3.0, "encryptionkey": 3.0, "clientsecret": 3.0, "connectionstring": 2.0,
 }
-#: name, operator, first operand; further operands joined by + follow.
-STATEMENT = re.compile(
-    r"""(?<![\w.$-])["']?(?P<name>[A-Za-z_$][\w.$-]*+)["']?[ \t]{0,20}(?::=|=>|=(?!=)|:(?![:/]))[ \t]{0,20}"""
-    r"""(?=[^\s=])"""
-)
-OPERAND = re.compile(
-    r"""(?:\"\"\"((?:[^\\"]|\\.|"(?!""))*+)\"\"\"|'''((?:[^\\']|\\.|'(?!''))*+)'''"""
-    r"""|"((?:[^"\\\n]|\\.)++)"|'((?:[^'\\\n]|\\.)++)'|`([^`\n]++)`|([A-Za-z_$][\w.$]*+)(?=[ \t]*(?:[+;,)\]}\r\n#]|\Z)))""",
+#: name and operator; an expression follows.
+STATEMENT = re.compile(r"""(?<![\w.$-])["']?(?P<name>[A-Za-z_$][\w.$-]*+)["']?[ \t]*+(?P<op>:=|=>|=(?!=)|:(?![:/]))""")
+#: The other forms of a name with its value.
+COMMAND = re.compile(r"""^[ \t]*+(?:set|setx|setenv|export|define)[ \t]++(?P<name>[A-Za-z_$][\w.$-]*+)[ \t]++(?=["'\w])""", re.M)
+ELEMENT = re.compile(r"<(?P<name>[A-Za-z_][\w.:-]*+)(?:[ \t\n][^<>]*+)?+>(?P<value>[^<>]++)</(?P=name)[ \t]*+>")
+PAIR = re.compile(r"""\b(?:name|key)=(["'])(?P<name>[\w.$-]++)\1\s++value=(["'])(?P<value>[^"'\n]*+)\3""")
+QUOTED = re.compile(
+    r"""(?P<prefix>[A-Za-z]{0,2})(?:\"\"\"(?P<d3>(?:[^\\"]|\\.|"(?!""))*+)\"\"\"|\'\'\'(?P<s3>(?:[^\\']|\\.|'(?!''))*+)\'\'\'"""
+    r"""|"(?P<d>(?:[^"\\\n]|\\.)*+)"|'(?P<s>(?:[^'\\\n]|\\.)*+)'|`(?P<b>[^`\n]*+)`)""",
     re.S,
 )
+PREFIXES = frozenset(["", *"frbuFRBU", "rb", "br", "fr", "rf", "Rb", "bR", "RB", "BR"])
+REFERENCE = re.compile(r"([A-Za-z_$][\w.$]*+)(?=[ \t]*+(?:[+;,)\]}\r\n#]|\Z))")
+#: A call that only converts its literal.
+CALL = re.compile(r"(?:new[ \t]++)?+(?:\w+\.)*(?:String|SecretString|SecretStr|SecureString|Secret|StringBuilder|NSString|Text|str|bytes|char|b64decode)\(")
+HOLE = re.compile(r"\$?\{([^{}]*)\}")
+BLOCK = re.compile(r"[ \t]*+[|>][+-]?\d?[+-]?[ \t]*+(?:#[^\n]*+)?\r?\n")
 _ESCAPE = re.compile(r"\\(.)", re.S)
 #: A bare value goes to the next blank, quote, comma, semicolon or bracket; a call or an index is none.
-BARE = re.compile(r"""[^\s"'`,;(){}\[\]<>]++(?![(\[])""")
-#: A line NAME=value, as in .env files.
-LINE = re.compile(r"(?:export[ \t]+)?[\w.$-]++=([^\s\"'`,;(){}\[\]<>]++)[ \t]*\r?$", re.M)
+BARE = re.compile(r"""[^\s"'`,;(){}\[\]<>]++""")
+CALLED = frozenset("([")
+#: What is left of a line NAME=value, as in .env files.
+LINE = re.compile(r"([^\s\"'`,;(){}\[\]<>]++)[ \t]*+\r?$", re.M)
+EXPORT = re.compile(r"(?:export[ \t]++)?")
 PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
-PLUS = re.compile(r"[ \t]{0,20}\+[ \t]{0,20}")
+BLANK = re.compile(r"[ \t]*+")
+ANY_BLANK = re.compile(r"(?:\s|\\\r?\n)*+")
+PLUS = re.compile(r"(?:[ \t]|\\?\r?\n)*+\+(?:\s|\\\r?\n)*+")
+_NO_KEY = re.compile(r"\$\{|<[^>]*>|\*{3}|%\(|\s\s|^\s|\s$|[^\S ]")
 #: A literal is reported from this score on.
 THRESHOLD = 4.0
 
 
-def entropy(s: str) -> float:
-    """Bits per character."""
-    n = len(s)
-    return -sum(c / n * math.log2(c / n) for c in Counter(s).values()) if n else 0.0
-
-
 def name_weight(name: str) -> float:
     plain = re.sub(r"[^a-z0-9]", "", name.lower())
     return max((w for k, w in SENSITIVE.items() if k in plain), default=0.0)
@@ -68,42 +81,160 @@ def name_weight(name: str) -> float:
 
 def literal_score(name: str, literal: str) -> float:
     """Name weight, plus entropy; 0 for what can't be a key (short, white space, placeholders)."""
-    w = name_weight(name)
-    if w and PEM.search(literal):
-        return w + 4.0
-    if w and "passphrase" in re.sub(r"[^a-z]", "", name.lower()):
-        literal = re.sub(r"(?<=\S) (?=\S)", "_", literal)
-    if not w or len(literal) < 6 or re.search(r"\s|\$\{|<[^>]*>|\*{3}|%\(", literal):
-        return 0.0
-    return w + min(entropy(literal), 4.0) * min(len(literal), 16) / 16
-
-
-def lex(text: str) -> list[tuple[str, list[tuple[str, int, int, str]]]]:
-    """(name, operands) in order; an operand is (kind lit or ref, start, end, value)."""
-    out = []
-    for m in STATEMENT.finditer(text):
-        at, ops = m.end(), []
-        while o := OPERAND.match(text, at):
-            g = o.lastindex
-            a, value = o.start(g), o.group(g)
-            if g <= 2:  # in triple quotes, the blank space around the literal is layout
-                a, value = a + len(value) - len(value.lstrip()), value.strip()
-            ops.append(("ref" if g == 6 else "lit", a, a + len(value), value if g == 6 else _ESCAPE.sub(r"\1", value)))
-            p = PLUS.match(text, o.end())
-            if not p:
-                break
+    return Literal(0, len(literal), literal).score(name)
+
+
+class Literal:
+    """A literal of a text, or two values joined. Letters are counted when first asked for; those of a join at once."""
+
+    __slots__ = ("parts", "start", "end", "value", "known", "passed")
+
+    def __init__(self, start: int, end: int, value: str, parts: tuple[Literal, Literal] | None = None):
+        self.start, self.end, self.value, self.parts, self.passed = start, end, value, parts, False
+        self.known: tuple[int, Counter] | None = None
+        if parts:
+            (k, c), (l, d) = parts[0].counted(), parts[1].counted()
+            self.known = max(k, l), c + d
+
+    def counted(self) -> tuple[int, Counter]:
+        """Kind and letter counts. 0 may be a key; 1 words with single blanks; 2 no key; 3 a private key."""
+        if not self.known:
+            v = self.value
+            kind = 3 if PEM.search(v) else 2 if _NO_KEY.search(v) else int(" " in v)
+            self.known = kind, Counter(v)
+        return self.known
+
+    def score(self, name: str) -> float:
+        w = name_weight(name)
+        if not w:
+            return 0.0
+        kind, chars = self.counted()
+        n = chars.total()
+        if kind == 3:
+            return w + 4.0
+        if n < 6 or kind == 2 or kind == 1 and "passphrase" not in re.sub(r"[^a-z]", "", name.lower()):
+            return 0.0
+        bits = -sum(c / n * math.log2(c / n) for c in chars.values())
+        return w + min(bits, 4.0) * min(n, 16) / 16
+
+    def leaves(self) -> list[Literal]:
+        """Literals of the value that no earlier call has given."""
+        out, todo = [], [self]
+        while todo:
+            v = todo.pop()
+            if v.passed:
+                continue
+            v.passed = True
+            if v.parts:
+                todo += v.parts
+            else:
+                out.append(v)
+        return out
+
+
+#: kind (lit, ref, bare or line), start, end, value
+Operand = tuple[str, int, int, str]
+
+
+def quoted(text: str, m: re.Match) -> list[Operand]:
+    """A quoted literal, or the pieces and names of an f-string or template."""
+    g = m.lastgroup
+    a, value = m.start(g), m[g]
+    if g in ("d3", "s3"):  # in triple quotes, the blank space around the literal is layout
+        a, value = a + len(value) - len(value.lstrip()), value.strip()
+    if not ("f" in m["prefix"].lower() or g == "b" and "${" in value) or "{" not in value:
+        return [("lit", a, a + len(value), _ESCAPE.sub(r"\1", value))]
+    out: list[Operand] = []
+    at = 0
+    for hole in HOLE.finditer(value):
+        out += [("lit", a + at, a + hole.start(), value[at : hole.start()]), ("ref", a + hole.start(1), a + hole.end(1), hole[1].strip())]
+        at = hole.end()
+    return [o for o in [*out, ("lit", a + at, a + len(value), value[at:])] if o[3]]
+
+
+def expression(text: str, at: int) -> list[Operand]:
+    """Operands joined by + or side by side from a place on; within brackets, line ends are blanks."""
+    out: list[Operand] = []
+    depth, at = 0, BLANK.match(text, at).end()
+    while at < len(text):
+        if text[at] == "(" or (call := CALL.match(text, at)):
+            at, depth = at + 1 if text[at] == "(" else call.end(), depth + 1
+            at = ANY_BLANK.match(text, at).end()
+            continue
+        m = QUOTED.match(text, at)
+        if m and m["prefix"] in PREFIXES:
+            out += quoted(text, m)
+        elif m := REFERENCE.match(text, at):
+            out.append(("ref", m.start(), m.end(), m[1]))
+        else:
+            break
+        at = m.end()
+        while depth and (end := ANY_BLANK.match(text, at).end()) < len(text) and text[end] == ")":
+            at, depth = end + 1, depth - 1
+        if p := PLUS.match(text, at):
             at = p.end()
-        low = max(0, m.start() - 16)
-        line = text.rfind("\n", low, m.start()) + 1
-        if (line or not low) and (o := LINE.match(text, line)) and o.start(1) == m.end():
-            ops = [("line", o.start(1), o.end(1), o[1])]
-        if not ops and (o := BARE.match(text, at)):
-            ops.append(("bare", o.start(), o.end(), o[0]))
-        if ops:
-            out.append((m["name"], ops))
+            continue
+        at = (ANY_BLANK if depth else BLANK).match(text, at).end()
+        # The next literal may stand beside this one.
+        if not out or out[-1][0] != "lit" or not (m := QUOTED.match(text, at)) or m["prefix"] not in PREFIXES:
+            break
     return out
 
 
+def block(text: str, line: int, at: int) -> list[Operand]:
+    """Lines of a YAML block: those indented deeper than the line of its name."""
+    indent = BLANK.match(text, line).end() - line
+    out: list[Operand] = []
+    while at < len(text):
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        value = text[at:end].strip()
+        a = at + len(text[at:end]) - len(text[at:end].lstrip())
+        if value and a - at <= indent:
+            break
+        out += [("lit", a, a + len(value), value)] if value else []
+        at = end + 1
+    return out
+
+
+def lex(text: str) -> list[tuple[str, list[Operand]]]:
+    """(name, operands) in the order of the text."""
+    found: list[tuple[int, str, list[Operand]]] = []
+    line = before = first = 0
+    low = high = last = -1  # the last run of bare characters, and the place of its last digit (-1: no value)
+    for m in STATEMENT.finditer(text):
+        if (end := text.rfind("\n", before, m.start("name"))) >= 0:
+            line = end + 1
+        if end >= 0 or not before:
+            first = EXPORT.match(text, line).end()
+        before, ops = m.start("name"), []
+        if m["op"] == "=" and first == m.start() and m.end() == m.end("name") + 1 and (o := LINE.match(text, m.end())):
+            ops = [("line", o.start(1), o.end(1), o[1])]
+        elif m["op"] == ":" and (o := BLOCK.match(text, m.end())):
+            ops = block(text, line, o.end())
+        else:
+            ops = expression(text, m.end())
+            at = BLANK.match(text, m.end()).end()
+            if not ops and at < len(text) and text[at] != "=":
+                if not low <= at < high and (o := BARE.match(text, at)):
+                    low, high = o.span()
+                    last = max((i for i in range(low, high) if text[i].isdigit()), default=-1) if text[high : high + 1] not in CALLED else -1
+                if low <= at < high and at <= last:
+                    ops = [("bare", at, high, "")]
+        found.append((m.start("name"), m["name"], ops))
+    for m in COMMAND.finditer(text):
+        ops = expression(text, m.end())
+        if (o := LINE.match(text, m.end())) and (not ops or ops[0][0] == "ref"):
+            ops = [("bare", o.start(1), o.end(1), o[1])]
+        found.append((m.start("name"), m["name"], ops))
+    for form in (ELEMENT, PAIR):
+        for m in form.finditer(text):
+            value = m["value"].strip()
+            a = m.start("value") + len(m["value"]) - len(m["value"].lstrip())
+            found.append((m.start("name"), m["name"], [("lit", a, a + len(value), value)]))
+    return [(name, ops) for _, name, ops in sorted(found, key=lambda f: f[0]) if ops]
+
+
 def is_bare_key(kind: str, value: str) -> bool:
     """Whether an unquoted value that no name is bound to is a literal: in code, most are names, which seldom hold digits."""
     digits = sum(c.isdigit() for c in value)
@@ -111,23 +242,35 @@ def is_bare_key(kind: str, value: str) -> bool:
 
 
 def literal_spans(text: str) -> list[tuple[int, int, float]]:
-    """(start, end, score) of literals that reach a sensitive name, directly or through constants."""
-    bound: dict[str, list[tuple[int, int, str]]] = {}
+    """(start, end, score) of literals that reach a sensitive name, directly or through constants; the score is that of
+    the first name that is high enough."""
+    bound: dict[str, Literal | tuple[int, int]] = {}
     found: dict[tuple[int, int], float] = {}
+    taken = -1  # end of the last bare value reported: what is bare inside it is part of it
     for name, ops in lex(text):
-        parts: list[tuple[int, int, str]] = []
+        if ops[0][0] == "bare":
+            _, a, b, _ = ops[0]
+            bound[name] = (a, b)
+            if b > taken and name_weight(name) and (score := Literal(a, b, text[a:b]).score(name)) >= THRESHOLD:
+                taken, found[a, b] = b, max(score, found.get((a, b), 0.0))
+            continue
+        whole: Literal | None = None
         for kind, a, b, value in ops:
-            known = bound.get(value)
-            parts += [(a, b, value)] if kind == "lit" or known is None and len(ops) == 1 and is_bare_key(kind, value) else known or []
-        parts = list(dict.fromkeys(parts))
-        if not parts:
+            known = bound.get(value) if kind != "lit" else None
+            if isinstance(known, tuple):
+                known = bound[value] = Literal(*known, text[slice(*known)])
+            if kind == "lit" or known is None and len(ops) == 1 and is_bare_key(kind, value):
+                known = Literal(a, b, value)
+            if known:
+                whole = Literal(0, 0, "", (whole, known)) if whole else known
+        if not whole:
             continue
-        bound[name] = parts
-        score = literal_score(name, "".join(v for _, _, v in parts))
+        bound[name] = whole
+        score = whole.score(name)
         if score >= THRESHOLD:
-            for a, b, _ in parts:
-                if b > a:
-                    found[a, b] = max(score, found.get((a, b), 0.0))
+            for v in whole.leaves():
+                if v.end > v.start:
+                    found.setdefault((v.start, v.end), score)
     return sorted((a, b, s) for (a, b), s in found.items())
 
 
