@@ -450,6 +450,24 @@ def test_citation_match(spark):
     assert (out.verdict, out.sources, out.doi) == ("WARNING", ["s1"], "10.1/x")
 
 
+@pytest.mark.parametrize("least", [0.6, 0.9, 0.95])
+def test_similar_titles_equal_all_pairs(spark, least):
+    rnd = np.random.default_rng(5)
+    words = "monitoring of deployed clinical risk models under drift a study on calibration alarms and harm é aaaa".split()
+    titles: list[str | None] = [" ".join(rnd.choice(words, rnd.integers(1, 14))) for _ in range(40)]
+    for t in list(titles):
+        at = int(rnd.integers(0, len(t) + 1))
+        titles += [t[:at] + "x" + t[at:], t[: len(t) // 2], t + " " + t, t[:at] + t[at + 3 :], t.upper()]
+    titles += ["a", "b", "ab", "", None, "aaaaaaaaaa", "aaaaaaaaaab", titles[0]]
+    rows = list(enumerate(titles))
+    a, b = rows[::2], rows[1::2] + rows[:3]
+    frames = [spark.createDataFrame(r + r[:2], "id int, title string") for r in (a, b)]
+    got = {(r.id_a, r.id_b): r.ratio for r in catalog.similar_titles(*frames, least).collect()}
+    want = {(i, j): catalog.title_similarity(x, y) for i, x in a for j, y in b if catalog.title_similarity(x, y) >= least}
+    assert got == pytest.approx(want) and len(want) > 50
+    assert catalog.similar_titles(frames[0].limit(0), frames[1], least).count() == 0
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "t/sub").mkdir(parents=True)
     (tmp_path / "t/sub/a.csv").write_text('x,y\n1,"two\nlines"\n3,4\n')

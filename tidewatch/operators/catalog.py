@@ -207,6 +207,47 @@ def title_similarity(a: str | None, b: str | None) -> float:
     return max(ratio, 0.95) if len(short) > 25 and short in long_ else ratio
 
 
+def similar_titles(a: DataFrame, b: DataFrame, least: float = 0.90) -> DataFrame:
+    """a(id, title), b(id, title) to (id_a, id_b, ratio) of all pairs with a title_similarity of `least` (over 0.5, up to
+    0.95) or more, without comparing all pairs; null and empty titles are like none, repeated ids each count once.
+
+    Two titles of ratio r differ by at most d = 2 (1 - r) / r letters per letter of either one; each such letter spoils two
+    of its letter pairs. So similar titles share one of the 2d + 1 rarest pairs of each. A title of over 25 letters that is
+    part of another begins with 26 letters in a row of it. Nothing similar is lost; what is shared often is rarely among a
+    title's rarest pairs."""
+
+    @F.pandas_udf("string")
+    def plain(title: pd.Series) -> pd.Series:
+        return title.map(_plain)
+
+    sides = [x.select("id", plain("title").alias("p")).where("p != ''").distinct().withColumn("n", F.length("p")) for x in (a, b)]
+    cut = lambda width, text: F.transform(F.sequence(F.lit(1), F.length(text) - width + 1), lambda k: F.substr(text, k, F.lit(width)))
+    grams = [x.select("id", "p", "n", F.explode(F.array_distinct(cut(2, F.concat(F.lit(" "), "p", F.lit(" "))))).alias("key")) for x in sides]
+    often = grams[0].select("key").union(grams[1].select("key")).groupBy("key").agg(F.count("*").alias("often"))
+    keep = F.floor(F.lit(4 * (1 - least) / least) * F.col("n") + 1e-6).cast("int") + 1
+
+    def rarest(x: DataFrame) -> DataFrame:
+        own = x.join(often, "key").groupBy("id", "p", "n").agg(F.array_sort(F.collect_list(F.struct("often", "key"))).alias("keys"))
+        return own.select("id", "n", F.explode(F.slice("keys", F.lit(1), keep)["key"]).alias("key"))
+
+    near = rarest(grams[0]).alias("a").join(rarest(grams[1]).alias("b"), "key")
+    near = near.where(2 * F.least("a.n", "b.n") >= least * (F.col("a.n") + F.col("b.n")) - 1e-6).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
+    heads = [x.where("n > 25").select("id", F.substr("p", F.lit(1), F.lit(26)).alias("key")) for x in sides]
+    parts = [x.where("n > 25").select("id", F.explode(F.array_distinct(cut(26, F.col("p")))).alias("key")) for x in sides]
+    for left, right in ((heads[0], parts[1]), (parts[0], heads[1])):
+        near = near.union(left.withColumnRenamed("id", "id_a").join(right.withColumnRenamed("id", "id_b"), "key").select("id_a", "id_b"))
+    texts = [x.select(F.col("id").alias(f"id_{k}"), F.col("title").alias(f"title_{k}")).distinct() for k, x in (("a", a), ("b", b))]
+    both = near.distinct().join(texts[0], "id_a").join(texts[1], "id_b").select("id_a", "id_b", "title_a", "title_b")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            ratio = [title_similarity(x, y) for x, y in zip(pdf["title_a"], pdf["title_b"], strict=True)]
+            yield pdf[["id_a", "id_b"]].assign(ratio=ratio)
+
+    ids = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in both.schema.fields[:2])
+    return both.mapInPandas(run, f"{ids}, ratio double").where(F.col("ratio") >= least).groupBy("id_a", "id_b").agg(F.max("ratio").alias("ratio"))
+
+
 def matches(pairs: DataFrame, least: float = 0.90) -> DataFrame:
     """pairs(id, source, title_a, title_b, year_a, year_b, family, authors): adds matched. Titles are compared in Arrow
     batches; no built-in function has this similarity."""
