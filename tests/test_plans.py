@@ -229,6 +229,19 @@ def test_cusum_over_batches(spark):
     assert alone == [got["s0", t][0] for t in range(40)]
 
 
+def test_halves_of_texts_and_sources_without_text_as_in_sql(spark, tmp_path):
+    """7.5 letters are 8: the half of the first text is then not in the second one."""
+    docs = [(1, "The it of ensh."), (2, "the it was"), (3, None), (4, "abc"), (5, "ab")]
+    pd.DataFrame(docs, columns=["doc_id", "text"]).to_parquet(tmp_path / "documents.parquet")
+    pd.DataFrame([("item", "x"), ("item-3", "x"), ("item-4", "z")], columns=["item_id", "text"]).to_parquet(tmp_path / "benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    got, want = registry.QUERIES["quote_check"](spark, str(tmp_path)).toPandas(), con.sql(registry.ORACLE["quote_check"]).df()
+    assert ("quote not found", "1") in cells(got)
+    assert cells(got) == cells(want)
+
+
 def test_quantiles_are_exact(spark, monkeypatch):
     monkeypatch.setattr(wn, "BRACKET", 50)
     rng = np.random.default_rng(4)

@@ -269,9 +269,9 @@ DUPLICATES = "SELECT l_orderkey || '/' || l_linenumber AS \"where\", 'duplicate
 
 def quote_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole benchmark items as quotes, each against the document of the same place in the order of ids: which are absent."""
-    q = _t(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.regexp_extract(F.col("item_id").cast("string"), r"([0-9]+)$", 1).cast("long").alias("source"), F.col("text").alias("quote"))
+    q = _t(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.regexp_extract(F.col("item_id").cast("string"), r"([0-9]+)$", 1).try_cast("long").alias("source"), F.col("text").alias("quote"))
     s = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("source"), "text")
-    own = s.select(F.col("source").cast("string").alias("id"), "source", F.expr("substring(text, 1, CAST(length(text) / 2 AS INT))").alias("quote"))
+    own = s.select(F.col("source").cast("string").alias("id"), "source", F.expr("substring(text, 1, CAST(bround(length(text) / 2) AS INT))").alias("quote"))
     shifted = own.select("id", (F.col("source") + 1).alias("source"), "quote")
     return catalog.contains_quote(q.union(own).union(shifted), s)
 
