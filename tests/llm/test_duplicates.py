@@ -137,6 +137,27 @@ def test_chain_of_links_is_one_class(spark):
     assert [r["class_id"] for r in rows(neardup.near_duplicates(docs_of(spark, texts)))] == want
 
 
+def test_components_join_only_the_edges_that_are_left(spark, monkeypatch):
+    """A path, a star and single edges: least nodes by hand, and fewer edges in every round."""
+    digest = [hashlib.blake2b(bytes([k % 256, k // 256]), digest_size=16).digest() for k in range(700)]
+    edges = [(k, k + 1) for k in range(300)] + [(301, k) for k in range(302, 600)] + [(k, k + 1) for k in range(600, 700, 2)] + [(5, 5)]
+    sizes = []
+
+    def counted(df, real=neardup.written):
+        out = real(df)
+        if out.columns == ["a", "b"]:
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "written", counted)
+    got = neardup.components(spark.createDataFrame([(digest[a], digest[b]) for a, b in edges], "a binary, b binary")).collect()
+    least = lambda ks: min(digest[k] for k in ks)
+    want = {digest[k]: least(range(301)) for k in range(301)} | {digest[k]: least(range(301, 600)) for k in range(301, 600)}
+    want |= {digest[k]: least((k // 2 * 2, k // 2 * 2 + 1)) for k in range(600, 700)}
+    assert {bytes(r.node): bytes(r.comp) for r in got} == want and len(got) == len(want)
+    assert sizes[0] == 648 and sizes[-1] == 0 and sizes == sorted(set(sizes), reverse=True) and sum(sizes) < 3 * 648
+
+
 def test_signature_estimates_weighted_jaccard():
     rnd = np.random.default_rng(3)
     items = rnd.integers(1, 2**63, 60, dtype=np.uint64)

@@ -189,22 +189,25 @@ def _unpack(cols: dict[str, list]) -> dict[str, list]:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, comp (least node of its component) for all nodes of edges (a, b).
+    """node, comp (least node of its component) for all nodes that edges (a, b) join with another one.
 
-    Least labels travel over the edges and along the labels themselves, so the rounds grow with the logarithm of a
-    component's extent; each round is written to the shared folder.
+    A round maps every node to the least of itself and its neighbours, and the edges with it; an edge whose ends meet is
+    gone. So a family around a hub is settled in two rounds, and a later round joins only the edges that are left. Nodes
+    are digests, so their order is random and a path loses a share of its nodes in each round. Labels are handed down
+    from the last round to the first. Each round is written to the shared folder.
     """
-    both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")))
-    while True:
-        far = both.join(labels.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b").groupBy(F.col("a").alias("node")).agg(F.min("cb").alias("seen"))
-        near = labels.join(far, "node").select("node", F.col("comp").alias("old"), F.least("comp", "seen").alias("mid"))
-        jump = labels.select(F.col("node").alias("mid"), F.col("comp").alias("up"))
-        new = written(near.join(jump, "mid").select("node", "old", F.least("mid", "up").alias("comp")))
-        moved = new.where(F.col("comp") != F.col("old")).limit(1).count()
-        labels = new.select("node", "comp")
-        if not moved:
-            return labels
+    ends = lambda e: e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
+    left, rounds = written(ends(edges)), []
+    while not rounds or left.limit(1).count():
+        both = left.select("a", "b").union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        rounds.append(written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp"))))
+        to = lambda n: rounds[-1].select(F.col("node").alias(n), F.col("comp").alias(f"c{n}"))
+        left = written(ends(left.join(to("a"), "a").join(to("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
+    labels = rounds.pop()
+    for up in reversed(rounds):
+        top = labels.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+        labels = written(up.join(top, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp")))
+    return labels
 
 
 def _spanning(star: DataFrame) -> DataFrame:
