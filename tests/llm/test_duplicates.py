@@ -255,6 +255,19 @@ def shares_run(texts, size=50):
     return {i for d in holders.values() if len(d) > 1 for i in d}
 
 
+def test_a_partner_is_kept_though_both_sides_are_in_other_passages(spark):
+    """a is like p and b like q over all their words, p and q are not alike: the passage of a and b links them."""
+    a = [f"w{k}" for k in range(60)]
+    p = [f"p{k}" if k % 6 == 0 else w for k, w in enumerate(a)]
+    b = [f"b{k}" if k % 10 == 3 else w for k, w in enumerate(a)]
+    q = [f"q{k}" if k % 6 == 1 else w for k, w in enumerate(b)]
+    got = rows(chains.shared_passages(docs_of(spark, [" ".join(x) for x in (p, q, b, a)])))
+    links = {tuple(sorted((r["doc_id"], r["ref_doc_id"]))) for r in got}
+    ids = [r["doc_id"] for r in rows(docs_of(spark, list("pqba")))]
+    assert {(ids[0], ids[3]), (ids[1], ids[2]), (ids[2], ids[3])} <= links
+    assert list(chains.long_chains([(0, 0, 60)])) == [[(0, 0, 60)]]  # whatever other partners cover
+
+
 def test_no_exact_passage_is_lost(spark):
     """Lines that recur in ever new cuts, so that the seeds of a passage have many first holders."""
     rnd = random.Random(21)
