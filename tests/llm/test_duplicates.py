@@ -268,6 +268,23 @@ def test_a_partner_is_kept_though_both_sides_are_in_other_passages(spark):
     assert list(chains.long_chains([(0, 0, 60)])) == [[(0, 0, 60)]]  # whatever other partners cover
 
 
+@pytest.mark.parametrize("parts", [1, 4])
+def test_parts_of_a_passage_are_not_reported_beside_it(spark, parts):
+    """Texts that repeat two words 90 times meet each other shifted by every number of repeats; one of another end is apart."""
+    rnd = random.Random(31)
+    said = lambda n: [f"q{rnd.randrange(10**6)}" for _ in range(n)]
+    again, other = ["over", "again"] * 90, said(60)
+    texts = [said(20) + again + said(30) + other, said(7) + again + said(12) + other + said(3), said(40), said(9) + again[:120] + said(5)]
+    df = docs_of(spark, [" ".join(t) for t in texts]).repartition(parts, "doc_id")
+    got = defaultdict(list)
+    for r in rows(chains.shared_passages(df)):
+        got[tuple(sorted((r["doc_id"], r["ref_doc_id"])))].append(r["n_match"])
+    one, two, _, four = (r["doc_id"] for r in rows(docs_of(spark, list("abcd"))))
+    assert sorted(got[one, two]) == [60, 180] and all(min(v) >= 50 for v in got.values())
+    assert sum(len(v) for k, v in got.items() if four in k) <= 2 * 2 and any(four in k for k in got)
+    assert chains.outermost([(0, 50, 0, 50, 50), (0, 50, 0, 50, 49), (5, 60, 0, 50, 50), (10, 60, 0, 50, 50), (10, 40, 3, 33, 30)]) == [(0, 50, 0, 50, 50), (5, 60, 0, 50, 50)]
+
+
 def test_no_exact_passage_is_lost(spark):
     """Lines that recur in ever new cuts, so that the seeds of a passage have many first holders."""
     rnd = random.Random(21)
