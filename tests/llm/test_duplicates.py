@@ -65,6 +65,28 @@ def test_shard_arrays_combine_into_corpus_order(length, letters):
     assert same == [False, *(a == b for a, b in zip(keys, keys[1:], strict=False))]
 
 
+def test_a_hot_passage_is_one_row_for_each_slice(spark):
+    """Blocks that a slice repeats are settled there: a name goes to the join once, whatever number of documents hold it."""
+    rnd = random.Random(5)
+    said = lambda n: "".join(rnd.choice("etaoin shrdlu") for _ in range(n))
+    hot, length = said(1500), 400
+    texts = [said(100) + hot + said(100) for _ in range(40)] + [said(300) + hot[:700]]
+    cols = {"text": texts, "kd": list(range(41)), "kh": [0] * 41, "seen": [range(len(t)) for t in texts]}
+    cols["ranges"] = [[{"a": 100, "b": 1200}]] * 40 + [[{"a": 300, "b": 600}]]
+    got = repeats._piece_rows(length)(cols)
+    names = [x for x in got["name"] if x is not None]
+    assert len(names) == len(set(names)) < 1200
+    # Every position of the passage is settled, as one run for each document; a block alone in the slice is left open.
+    runs = [r for r in zip(got["kd"], got["a"], got["b"], got["n"], strict=True) if r[3] is None]
+    assert [d for d, *_ in runs] == list(range(41))
+    counts = [n for n in got["n"] if n is not None]
+    assert min(counts) == 1 and max(counts) == 41
+    for parts in (1, 7):
+        df = docs_of(spark, texts).repartition(parts)
+        found = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.repeated_spans(df, length).collect()}
+        assert [found[k] for k in sorted(found)] == brute_repeats(texts, length)
+
+
 def test_repeated_rows_are_copies(spark):
     text = "".join(random.Random(1).choice("abcdefgh ") for _ in range(900))
     df = docs_of(spark, [text, text, "other"], [5, 5, 6])
