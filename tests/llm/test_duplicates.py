@@ -1,10 +1,13 @@
 """Repeats, near duplicates, shared passages and the pipeline against brute force."""
 
+import cProfile
 import hashlib
+import pstats
 import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -87,6 +90,64 @@ def test_a_hot_passage_is_one_row_for_each_slice(spark):
         assert [found[k] for k in sorted(found)] == brute_repeats(texts, length)
 
 
+def test_positions_of_a_shard_cost_few_calls():
+    """Names, counts and places of a shard's positions against brute force, with few calls of Python for each."""
+    rnd, length = random.Random(6), 400
+    said = lambda n: "".join(rnd.choice("etaoin shrdlu") for _ in range(n))
+    shared = said(900)
+    texts = [said(rnd.randint(400, 900)) + shared[rnd.randint(0, 300) :] + said(50) for _ in range(12)]
+    cols = {"text": texts, "kd": list(range(50, 62)), "kh": [7] * 12}
+    cols["todo"] = [[{"a": 300, "b": len(t) - length, "w": 1}, {"a": 10, "b": 20, "w": 2}] for t in texts]
+    calls = cProfile.Profile()
+    got = calls.runcall(repeats._window_rows(length), cols)
+    places = [(d, i, p["w"]) for d, todo in enumerate(cols["todo"]) for p in todo for i in range(p["a"], p["b"] + 1)]
+    assert pstats.Stats(calls).total_calls < 9 * len(places)
+    sums = Counter()
+    for d, i, w in places:
+        sums[texts[d][i : i + length]] += w
+    listed = {c: pa.array(got[c]).to_pylist() for c in ("kd", "kh", "a", "b", "n")}
+    found = list(zip(got["x"], *(listed[c] for c in ("kd", "a", "b", "n")), strict=True))
+    assert sorted(n for x, *_, n in found if x) == sorted(sums.values())
+    once = {(d + 50, i) for d, i, w in places if w == 1 and sums[texts[d][i : i + length]] == 1}
+    assert {(d, a) for x, d, a, _, _ in found if x and d is not None} == once
+    runs = {(d, i) for x, d, a, b, _ in found if not x for i in range(a, b + 1)}
+    assert runs == {(d + 50, i) for d, i, w in places if w == 1} - once and set(listed["kh"]) == {7, None}
+
+
+def test_phrase_hashes_tell_phrases_at_any_place():
+    rnd = np.random.default_rng(3)
+    data = rnd.integers(97, 100, 2 * repeats.CHUNK + 40).astype(np.uint8)
+    data[repeats.CHUNK - 30 : repeats.CHUNK + 30] = data[100:160]
+    data[-60:] = data[100:160]
+    data[5000:7000] = 97
+    start = np.sort(np.concatenate([rnd.integers(0, len(data) - 70, 20_000), [100, repeats.CHUNK - 30, len(data) - 60]]))
+    end = start + np.where(data[start] == 97, 60, 7)
+    end[-1] = len(data)
+    start, end = start[np.argsort(end, kind="stable")], np.sort(end)
+    start, end = start[start == np.maximum.accumulate(start)], end[start == np.maximum.accumulate(start)]
+    assert {100, repeats.CHUNK - 30, len(data) - 60} <= set(start.tolist())
+    names = [data[a:b].tobytes() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+    hashes = repeats.phrase_hashes(data, start, end).tolist()
+    assert len(set(names)) == len(set(hashes)) == len(set(zip(names, hashes, strict=True)))
+
+
+def test_open_ranges_against_every_position():
+    rnd, length = random.Random(2), 40
+    for _ in range(200):
+        text = "".join(rnd.choice("abcdef ") for _ in range(rnd.randint(0, 300))).encode()
+        gram = repeats.shape(length)[0]
+        at = repeats.triggers([text], length, 6)[0]
+        often = np.array([x for x in at.tolist() if rnd.random() < 0.9], np.int64)
+        once = [(a, b + gram) for a, b in zip(at.tolist(), at[1:].tolist(), strict=False) if a not in often]
+        n = len(text) - length + 1
+        free = {i for i in range(n) if not any(a >= i and b <= i + length for a, b in once)}
+        given = [(x, x + rnd.randint(0, 40)) for x in range(rnd.randint(0, 50), max(n - 41, 0), 60)]
+        for ranges in (None, given):
+            want = free if ranges is None else {i for i in free if any(a <= i <= b for a, b in ranges)}
+            got = repeats.open_ranges(len(text), at, often, ranges, length)
+            assert sorted(i for a, b in got for i in range(a, b + 1)) == sorted(want)
+
+
 def test_repeated_rows_are_copies(spark):
     text = "".join(random.Random(1).choice("abcdefgh ") for _ in range(900))
     df = docs_of(spark, [text, text, "other"], [5, 5, 6])
